@@ -47,6 +47,21 @@ def annotate(docs: DataFrame, new: T.StructType, work: Callable[[pa.RecordBatch]
     return docs.select(*sent).mapInArrow(run, schema)
 
 
+def emit(df: DataFrame, schema: T.StructType, work: Callable[[pa.RecordBatch], Iterator[list]]) -> DataFrame:
+    """One pass over rows without a shuffle: work yields columns of new rows for each batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for columns in work(batch):
+                yield pa.RecordBatch.from_arrays(columns, schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def longs(*names: str) -> T.StructType:
+    return T.StructType([T.StructField(c, T.LongType()) for c in names])
+
+
 def _tally(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
     return row["n"], row["x"]
