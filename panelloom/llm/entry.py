@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, language, licences, packing, toxicity
+from . import dac, jaccard, language, licences, lines, packing, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, size=2048)
 
@@ -29,6 +33,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(docs, toxicity.train(docs, labels, ["low_quality", "toxic"]))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.dedup(_table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed", "earlier")
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder, manifest = dac.write(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return dac.read(folder, manifest)
@@ -41,7 +49,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op4_best_fit_packing": op4_best_fit_packing, "op7_token_files": op7_token_files, "op5_toxicity": op5_toxicity, "op8_language_id": op8_language_id, "op10_license_scan": op10_license_scan}
+    return {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op4_best_fit_packing": op4_best_fit_packing, "op6_line_dedup": op6_line_dedup, "op7_token_files": op7_token_files, "op5_toxicity": op5_toxicity, "op8_language_id": op8_language_id, "op10_license_scan": op10_license_scan}
 
 
 def oracle_sql() -> dict[str, str]:
