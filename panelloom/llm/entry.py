@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, jaccard, language, licences, lines, packing, toxicity
+from . import dac, jaccard, language, licences, lines, packing, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,10 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), end_id=0, size=2048)
 
@@ -48,8 +52,12 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, model).select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op4_best_fit_packing": op4_best_fit_packing, "op6_line_dedup": op6_line_dedup, "op7_token_files": op7_token_files, "op5_toxicity": op5_toxicity, "op8_language_id": op8_language_id, "op10_license_scan": op10_license_scan}
+    return {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op3_nearest_neighbours": op3_nearest_neighbours, "op4_best_fit_packing": op4_best_fit_packing, "op6_line_dedup": op6_line_dedup, "op7_token_files": op7_token_files, "op5_toxicity": op5_toxicity, "op8_language_id": op8_language_id, "op9_embedding_near_dedup": op9_embedding_near_dedup, "op10_license_scan": op10_license_scan}
 
 
 def oracle_sql() -> dict[str, str]:
