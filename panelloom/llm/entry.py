@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dac, jaccard, language, licences, lines, packing, toxicity, vectors
+import corpus_pipeline
+
+from . import dac, jaccard, language, licences, lines, packing, pieces, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +25,11 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents"), k=4, percent=85)
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return pieces.digest(pieces.encode(_table(spark, sf_dir, "documents"), model), model)
+
+
 def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -57,8 +64,21 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_ngram_jaccard_join": op1_ngram_jaccard_join, "op3_nearest_neighbours": op3_nearest_neighbours, "op4_best_fit_packing": op4_best_fit_packing, "op6_line_dedup": op6_line_dedup, "op7_token_files": op7_token_files, "op5_toxicity": op5_toxicity, "op8_language_id": op8_language_id, "op9_embedding_near_dedup": op9_embedding_near_dedup, "op10_license_scan": op10_license_scan}
+    return {
+        "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
+        "op2_sentencepiece": op2_sentencepiece,
+        "op3_nearest_neighbours": op3_nearest_neighbours,
+        "op4_best_fit_packing": op4_best_fit_packing,
+        "op5_toxicity": op5_toxicity,
+        "op6_line_dedup": op6_line_dedup,
+        "op7_token_files": op7_token_files,
+        "op8_language_id": op8_language_id,
+        "op9_embedding_near_dedup": op9_embedding_near_dedup,
+        "op10_license_scan": op10_license_scan,
+        "pipeline": corpus_pipeline.run,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
+    """None: each query's SQL would need its model, tokenizer, index or alignment."""
     return {}

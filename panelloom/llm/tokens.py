@@ -60,12 +60,52 @@ def cuts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-class Encoder:
-    """Encodes slices of texts; one per Python worker and tokenizer file."""
+class UnitMemo:
+    """Ids of units by the units' hashes: a direct-mapped table over a pool, both of a fixed size."""
 
     BITS = 22
     POOL = 1 << 24
 
+    def __init__(self) -> None:
+        self.keys = np.zeros(1 << self.BITS, np.uint64)
+        self.at = np.zeros(1 << self.BITS, np.int32)
+        self.n = np.zeros(1 << self.BITS, np.int32)
+        self.pool = np.zeros(self.POOL, np.uint32)
+        self.used = 0
+
+    def ids(self, keys: np.ndarray, make) -> tuple[np.ndarray, np.ndarray]:
+        """All units' ids, one after the other, and how many each has. make(places) encodes the units at
+        these places, which are new, into their ids and counts."""
+        slot = (keys >> np.uint64(64 - self.BITS)).astype(np.int64)
+        at, n, pool = self.at[slot].astype(np.int64), self.n[slot].astype(np.int64), self.pool
+        missing = np.flatnonzero(self.keys[slot] != keys)
+        if len(missing):
+            new, first, where = np.unique(keys[missing], return_index=True, return_inverse=True)
+            flat, count = make(missing[first])
+            begin = np.cumsum(count) - count
+            if self.used + len(flat) <= self.POOL:
+                pool[self.used : self.used + len(flat)] = flat
+                begin += self.used
+                self.used += len(flat)
+                slots = (new >> np.uint64(64 - self.BITS)).astype(np.int64)
+                self.keys[slots], self.at[slots], self.n[slots] = new, begin, count
+            else:  # full: this slice reads from a longer copy, the next ones start anew
+                pool = np.concatenate([pool, flat])
+                begin += self.POOL
+                self.used = 0
+                self.keys[:] = 0
+            at[missing], n[missing] = begin[where], count[where]
+        return pool[tb.gather_ranges(at, n)], n
+
+
+def flattened(ids: list) -> tuple[np.ndarray, np.ndarray]:
+    n = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter((i for own in ids for i in own), np.uint32, int(n.sum())), n
+
+
+class Encoder:
+    """Encodes slices of texts; one per Python worker and tokenizer file."""
+
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
@@ -74,11 +114,7 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         # Whether case and white space are dropped: then a unit is looked up without them.
         self.folds = self._ids([" A\n b"]) == self._ids(["a  B "])
-        self.keys = np.zeros(1 << self.BITS, np.uint64)
-        self.at = np.zeros(1 << self.BITS, np.int32)
-        self.n = np.zeros(1 << self.BITS, np.int32)
-        self.pool = np.zeros(self.POOL, np.uint32)
-        self.used = 0
+        self.memo = UnitMemo()
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -98,8 +134,7 @@ class Encoder:
                 other.append(i)
         for i, own in zip(other, self._ids([units[i].decode("utf-8", "replace") for i in other]), strict=True):
             ids[i] = own
-        n = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.fromiter((i for own in ids for i in own), np.uint32, int(n.sum())), n
+        return flattened(ids)
 
     def encode(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a slice's texts, one after the other, and the n + 1 offsets."""
@@ -110,30 +145,9 @@ class Encoder:
         key_data, key_starts = data, starts
         if self.folds:
             key_data, key_starts = tb.LOWER[data], starts + _SPACE[data[starts]]
-        keys = tb.hashes(key_data, key_starts, stops)
-        slot = (keys >> np.uint64(64 - self.BITS)).astype(np.int64)
-        known = self.keys[slot] == keys
-        at, n, pool = self.at[slot].astype(np.int64), self.n[slot].astype(np.int64), self.pool
-        missing = np.flatnonzero(~known)
-        if len(missing):
-            new, first, where = np.unique(keys[missing], return_index=True, return_inverse=True)
-            first, raw = missing[first], data.tobytes()
-            flat, count = self._encode([raw[a:b] for a, b in zip(key_starts[first].tolist(), stops[first].tolist(), strict=True)])
-            begin = np.cumsum(count) - count
-            if self.used + len(flat) <= self.POOL:
-                pool[self.used : self.used + len(flat)] = flat
-                begin += self.used
-                self.used += len(flat)
-                slots = (new >> np.uint64(64 - self.BITS)).astype(np.int64)
-                self.keys[slots], self.at[slots], self.n[slots] = new, begin, count
-            else:  # full: this slice reads from a longer copy, the next ones start anew
-                pool = np.concatenate([pool, flat])
-                begin += self.POOL
-                self.used = 0
-                self.keys[:] = 0
-            at[missing], n[missing] = begin[where], count[where]
-        total = np.concatenate([[0], np.cumsum(n)])
-        return pool[tb.gather_ranges(at, n)], total[np.searchsorted(starts, ends)]
+        raw = data.tobytes()
+        ids, n = self.memo.ids(tb.hashes(key_data, key_starts, stops), lambda at: self._encode([raw[a:b] for a, b in zip(key_starts[at].tolist(), stops[at].tolist(), strict=True)]))
+        return ids, np.concatenate([[0], np.cumsum(n)])[np.searchsorted(starts, ends)]
 
 
 _encoders: dict[str, Encoder] = {}
