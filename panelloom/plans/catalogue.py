@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from panelloom.plans import panel
+from panelloom.plans.registry import Query
 
-from pyspark.sql import DataFrame, SparkSession
+_PARTS = (panel.R,)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: q for part in _PARTS for name, q in part.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: text for part in _PARTS for name, text in part.sql.items()}
