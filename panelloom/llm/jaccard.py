@@ -25,6 +25,7 @@ from .tasks import components, emit, longs, written
 
 K2 = 1
 _FLUSH = 2_000_000
+_SMALL = 8
 
 
 def shingle_sets(data: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,29 +99,64 @@ def signatures(values: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def parity_sketch(values: np.ndarray) -> np.ndarray:
+    """A bitmap of at least 4 bits a feature, a power of two of them and 512 at least, in which each feature
+    flips the bit that its hash's upper part names."""
+    bits = max(9, int(4 * max(len(values), 1) - 1).bit_length())
+    odd = np.bincount((values >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
+
+
+def least_difference(a: np.ndarray, b: np.ndarray) -> int:
+    """A lower bound of two sets' symmetric difference, from their sketches: a feature that both have flips
+    a bit twice, so every bit that is left comes from a feature of one of them."""
+    while len(a) > len(b):
+        a = _folded(a)
+    while len(b) > len(a):
+        b = _folded(b)
+    return int(np.bitwise_count((a ^ b).view(np.uint64)).sum())  # of signed numbers it would count the absolute value
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """The sketch of half the size: neighbouring bits become their parity."""
+    bits = np.unpackbits(x.view(np.uint8), bitorder="little")
+    return np.packbits(bits[0::2] ^ bits[1::2], bitorder="little").view(np.int64)
+
+
+def small_sketch(sketch: np.ndarray) -> np.ndarray:
+    """The sketch of 512 bits, _SMALL longs."""
+    while len(sketch) > _SMALL:
+        sketch = _folded(sketch)
+    return sketch
+
+
 def _node(docs: DataFrame) -> Column:
     """What stands for a row: its doc_id, or a hash of its text where that is null."""
     return F.coalesce(F.col("doc_id"), F.xxhash64("text")).alias("node")
 
 
 def sets(docs: DataFrame, k: int) -> DataFrame:
-    """node, doc_id, n_shingles and h, the set's hash; h is null for an empty set."""
+    """node, doc_id, n_shingles, h, the set's hash, and its two sketches; h is null for an empty set."""
 
     def work(batch: pa.RecordBatch) -> Iterator[list]:
         for part, data, ends in tb.slices(batch):
             values, at = shingle_sets(data, ends, k)
-            h = [set_hash(values[a:b]) if b > a else None for a, b in zip(at[:-1], at[1:], strict=True)]
-            yield [part.column("node"), part.column("doc_id"), pa.array(np.diff(at)), pa.array(h, pa.int64())]
+            own = [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+            h = [set_hash(v) if len(v) else None for v in own]
+            sketches = [parity_sketch(v) for v in own]
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (sketches, [small_sketch(x) for x in sketches])]
+            yield [part.column("node"), part.column("doc_id"), pa.array(np.diff(at)), pa.array(h, pa.int64()), *lists]
 
-    return emit(docs.select(_node(docs), F.col("doc_id").cast("long"), "text"), longs("node", "doc_id", "n_shingles", "h"), work)
+    schema = T.StructType([*longs("node", "doc_id", "n_shingles", "h").fields, *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("sketch", "small"))])
+    return emit(docs.select(_node(docs), F.col("doc_id").cast("long"), "text"), schema, work)
 
 
 def bucket_edges(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """(sig, a, b): for every signature that several rows share, a star that joins all of them.
+    """(sig, a, b): for every signature that several sets share, a star that joins all of them.
 
-    Each task first joins the rows that it has itself and sends one row of each of its buckets on, so a
-    signature of very many rows sends as many rows as there are tasks. These are sorted by signature and
-    joined to the first one, as they stream by. Rows of one set in one task sign once.
+    Each task first joins the sets that it has itself and sends one of each of its buckets on, so a
+    signature of very many sets sends as many rows as there are tasks. These are sorted by signature and
+    joined to the first one, as they stream by. Equal sets are one and never make an edge.
     """
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,14 +175,14 @@ def bucket_edges(docs: DataFrame, k: int, percent: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)[keep]), pa.array(node[keep]), pa.array(leader[keep], mask=first[keep])], ["sig", "node", "leader"])
 
         for batch in batches:
-            for part, data, ends in tb.slices(batch):
+            for _, data, ends in tb.slices(batch):
                 values, at = shingle_sets(data, ends, k)
-                for node, a, b in zip(part.column("node").to_pylist(), at[:-1].tolist(), at[1:].tolist(), strict=True):
+                for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                     own = values[a:b]
-                    if (h := set_hash(own)) in seen or a == b:
+                    if a == b or (h := set_hash(own)) in seen:
                         continue
                     seen.add(h)
-                    held.append((signatures(own, percent), node))
+                    held.append((signatures(own, percent), h))
                     size += len(held[-1][0])
                 if size > _FLUSH:
                     yield flush()
@@ -173,22 +209,36 @@ def bucket_edges(docs: DataFrame, k: int, percent: int) -> DataFrame:
             edge = local | (node != leader)
             yield pa.RecordBatch.from_arrays([pa.array(x[edge]) for x in (sig, a, node)], ["sig", "a", "b"])
 
-    signed = docs.select(_node(docs), "text").mapInArrow(sign, longs("sig", "node", "leader"))
+    signed = docs.select("text").mapInArrow(sign, longs("sig", "node", "leader"))
     dealt = signed.repartition(F.when(F.col("leader").isNull(), F.xxhash64("sig")).otherwise(F.xxhash64("node", "leader")))
     return dealt.sortWithinPartitions(F.col("leader").isNotNull(), "sig", "node").mapInArrow(star, longs("sig", "a", "b"))
 
 
+def possible(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (ha, hb), those whose sizes and sketches allow enough similarity, with both sets' nodes."""
+
+    def work(batch: pa.RecordBatch) -> Iterator[list]:
+        n = batch.num_rows
+        na, nb = (np.asarray(batch.column(c)) for c in ("n_a", "n_b"))
+        most = (na + nb) * (100 - percent) // (100 + percent)
+        left, right = batch.column("s_a"), batch.column("s_b")
+        keep = np.fromiter((least_difference(left[i].values.to_numpy(), right[i].values.to_numpy()) <= most[i] for i in range(n)), bool, n)
+        yield [batch.column(c).filter(pa.array(keep)) for c in ("ha", "hb", "node_a", "node_b")]
+
+    side = lambda x: info.select(F.col("h").alias(f"h{x}"), F.col("node").alias(f"node_{x}"), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
+    both = pairs.join(side("a"), "ha").join(side("b"), "hb").where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    return emit(both.select("ha", "hb", "node_a", "node_b", "n_a", "n_b", "s_a", "s_b"), longs("ha", "hb", "node_a", "node_b"), work)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs (ha, hb, na, nb) of sets and rows that have them, (ha, hb) of those similar enough."""
+    """Of pairs (ha, hb, node_a, node_b), (ha, hb) of those similar enough, by the sets of both texts."""
 
     def work(batch: pa.RecordBatch) -> Iterator[list]:
+        sizes = np.cumsum(np.diff(tb.buffers(batch.column("ta"))[1]) + np.diff(tb.buffers(batch.column("tb"))[1]))
         row = 0
         while row < batch.num_rows:  # pieces of bounded size
-            to = row + 1
-            size = 0
-            while to < batch.num_rows and size < tb.SLICE_BYTES:
-                size += len(batch.column("ta")[to].as_buffer() or b"") + len(batch.column("tb")[to].as_buffer() or b"")
-                to += 1
+            before = int(sizes[row - 1]) if row else 0
+            to = max(row + 1, int(np.searchsorted(sizes, before + tb.SLICE_BYTES, "right")))
             piece = batch.slice(row, to - row)
             row = to
             (va, at_a), (vb, at_b) = (shingle_sets(*tb.buffers(piece.column(c)), k) for c in ("ta", "tb"))
@@ -203,56 +253,81 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
                         linked.append((ha, hb))
             yield [pa.array([x[j] for x in linked], pa.int64()) for j in range(2)]
 
-    left = texts.select(F.col("node").alias("na"), F.col("text").alias("ta"))
-    right = texts.select(F.col("node").alias("nb"), F.col("text").alias("tb"))
-    return emit(pairs.join(left, "na").join(right, "nb").select("ha", "hb", "ta", "tb"), longs("ha", "hb"), work).distinct()
+    left = texts.select(F.col("node").alias("node_a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("node").alias("node_b"), F.col("text").alias("tb"))
+    return emit(pairs.join(left, "node_a").join(right, "node_b").select("ha", "hb", "ta", "tb"), longs("ha", "hb"), work).distinct()
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("ha"), F.greatest("a", "b").alias("hb")).where("ha < hb").distinct()
+
+
+def _labels(links: DataFrame) -> DataFrame:
+    return components(links, "ha", "hb").select(F.col("node").alias("h"), "component")
+
 
+def _open_rows(rows: DataFrame, links: DataFrame) -> DataFrame:
+    """(sig, h, n_shingles, label) of the buckets whose sets aren't all in one component."""
+    marked = rows.select("sig", "h", "n_shingles").join(_labels(links), "h", "left").select("sig", "h", "n_shingles", F.coalesce("component", "h").alias("label"))
+    marked = written(marked, "marked")
+    mixed = marked.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig")
+    return written(marked.join(mixed, "sig", "left_semi"), "open")
 
-def _set_pairs(edges: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different sets (ha < hb) of similar sizes, each once, from pairs of rows (a, b)."""
-    one = info.select(F.col("node").alias("a"), F.col("h").alias("h1"), F.col("n_shingles").alias("n1"))
-    two = info.select(F.col("node").alias("b"), F.col("h").alias("h2"), F.col("n_shingles").alias("n2"))
-    both = edges.join(one, "a").join(two, "b").where(f"h1 <> h2 and 100 * least(n1, n2) >= {percent} * greatest(n1, n2)")
-    swap = F.col("h1") > F.col("h2")
-    ordered = both.select(*(F.when(swap, F.col(y)).otherwise(F.col(x)).alias(z) for x, y, z in (("h1", "h2", "ha"), ("h2", "h1", "hb"), ("a", "b", "na"), ("b", "a", "nb"))))
-    return ordered.groupBy("ha", "hb").agg(F.min("na").alias("na"), F.min("nb").alias("nb"))
+
+def links_between_sets(docs: DataFrame, info: DataFrame, k: int, percent: int) -> DataFrame:
+    """Enough verified links (ha, hb) to give the components of all links.
+
+    Every bucket is joined as a star and the star's pairs are verified. In buckets that hold several
+    components then, all sets are compared with the one that shares most buckets, the likeliest original
+    of near copies. What is still apart in a bucket is compared pair by pair, across components only. A
+    pair is left out only if both sets are in one component anyway, or if their sizes or sketches show
+    that they can't be linked.
+    """
+    edges = written(bucket_edges(docs, k, percent), "buckets")
+    one_of = written(info.where("h is not null").groupBy("h").agg(F.min("node").alias("node"), F.min("n_shingles").alias("n_shingles"), F.any_value("sketch").alias("sketch"), F.any_value("small").alias("small")), "classes")
+    members = edges.select(F.col("a").alias("h")).unionAll(edges.select(F.col("b").alias("h"))).distinct()
+    nodes = one_of.join(members, "h", "left_semi").select("node").distinct()
+    texts = written(docs.select(_node(docs), "text").join(nodes, "node", "left_semi"), "texts")
+    seen = written(_ordered(edges), "pairs")
+    check = lambda pairs: written(verified(possible(pairs, one_of, percent), texts, k, percent), "links")
+    links = check(seen)
+    label = _labels(links)
+    apart = seen.join(label.select(F.col("h").alias("ha"), F.col("component").alias("la")), "ha", "left").join(label.select(F.col("h").alias("hb"), F.col("component").alias("lb")), "hb", "left").where("coalesce(la, ha) <> coalesce(lb, hb)")
+    apart = written(apart.select("ha", "hb"), "apart")
+    sigs = edges.withColumns({"ha": F.least("a", "b"), "hb": F.greatest("a", "b")}).join(apart, ["ha", "hb"], "left_semi").select("sig").distinct()
+    stars = edges.join(sigs, "sig", "left_semi")
+    rows = stars.select("sig", F.col("a").alias("h")).unionAll(stars.select("sig", F.col("b").alias("h"))).distinct()
+    rows = _open_rows(rows.join(one_of.select("h", "n_shingles"), "h"), links)
+    # The set that shares most buckets with others leads each of its buckets.
+    size = rows.groupBy("sig").agg(F.count("*").alias("size"))
+    shared = rows.join(size, "sig").groupBy("h").agg(F.sum("size").alias("shared"))
+    leader = rows.join(shared, "h").groupBy("sig").agg(F.max(F.struct("shared", "h", "label")).alias("top"))
+    star = rows.join(leader, "sig").where("label <> top.label").select(F.col("h").alias("a"), F.col("top.h").alias("b"))
+    star = written(_ordered(star).join(seen, ["ha", "hb"], "left_anti"), "pairs")
+    links = links.unionAll(check(star))
+    rows = _open_rows(rows, links)
+    # The condition is part of the join, so a pair that sizes or small sketches rule out is never a row.
+    rows = rows.join(one_of.select("h", "small"), "h").withColumnRenamed("h", "a")
+    other = rows.select("sig", F.col("a").alias("b"), F.col("n_shingles").alias("n_b"), F.col("label").alias("label_b"), F.col("small").alias("small_b"))
+    apart_bits = " + ".join(f"bit_count(small[{i}] ^ small_b[{i}])" for i in range(_SMALL))
+    fits = f"label < label_b and 100 * least(n_shingles, n_b) >= {percent} * greatest(n_shingles, n_b) and {100 + percent} * ({apart_bits}) <= {100 - percent} * (n_shingles + n_b)"
+    rest = _ordered(rows.join(other, "sig").where(fits)).join(seen.unionAll(star), ["ha", "hb"], "left_anti")
+    return links.unionAll(check(written(rest, "pairs")))
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles and component_id of every row, by links of Jaccard percent/100 or more.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; a set is a text's distinct shingles
-    of k words, or all words of a shorter text. The join is exact (up to equal 64-bit hashes): buckets of
-    one signature are joined as stars and verified; then all pairs in a bucket that are still in different
-    components are verified too, so a pair stays unseen only if it is in one component anyway.
+    of k words, or all words of a shorter text. The join is exact, up to equal 64-bit hashes.
     An empty or null text has no set and is its own component. Rows of equal sets are linked, repeated
     rows among them; a null doc_id takes part but never names a component (null if all its ids are). An
     empty table gives an empty one. Other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     info = written(sets(docs, k), "sets")
-    edges = written(bucket_edges(docs, k, percent), "buckets")
-    one_of = info.where("h is not null").dropDuplicates(["node", "h"]).select("node", "h", "n_shingles")
-    star = edges.select("a", "b").distinct()
-    pairs = written(_set_pairs(star, one_of, percent), "pairs")
-    members = edges.select(F.col("a").alias("node")).unionAll(edges.select(F.col("b").alias("node"))).distinct()
-    texts = written(docs.select(_node(docs), "text").join(members, "node", "left_semi"), "texts")
-    links = written(verified(pairs, texts, k, percent), "links")
-    if not pairs.isEmpty():
-        label = written(components(links, "ha", "hb").select(F.col("node").alias("h"), "component"), "labels")
-        node_label = one_of.join(members, "node", "left_semi").join(label, "h", "left").select("node", F.coalesce("component", "h").alias("label"))
-        node_label = written(node_label, "nodes")
-        apart = star.join(node_label.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(node_label.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b").where("la <> lb").select("a", "b").distinct()
-        open_sigs = edges.join(apart, ["a", "b"], "left_semi").select("sig").distinct()
-        rows = edges.join(open_sigs, "sig", "left_semi")
-        rows = rows.select("sig", F.col("a").alias("node")).unionAll(rows.select("sig", F.col("b").alias("node"))).distinct().join(node_label, "node")
-        rows = written(rows, "open")
-        other = rows.select("sig", F.col("node").alias("other"), F.col("label").alias("other_label"))
-        across = rows.join(other, "sig").where("label < other_label").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-        more = _set_pairs(across, one_of, percent).join(pairs.select("ha", "hb"), ["ha", "hb"], "left_anti")
-        links = links.unionAll(written(verified(written(more, "pairs"), texts, k, percent), "links"))
-    final = components(links, "ha", "hb").select(F.col("node").alias("h"), "component")
-    named = info.where("h is not null").join(final, "h", "left").select("doc_id", "n_shingles", F.coalesce("component", "h").alias("label"))
+    final = _labels(links_between_sets(docs, info, k, percent))
+    named = info.where("h is not null").select("doc_id", "n_shingles", "h").join(final, "h", "left").select("doc_id", "n_shingles", F.coalesce("component", "h").alias("label"))
     named = written(named, "named")
     least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     lone = info.where("h is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
