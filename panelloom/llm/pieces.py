@@ -34,7 +34,7 @@ State = tuple[int, int]  # where a piece starts and ends, from the chunk's edge;
 class Lattice:
     """A model's pieces, the allowed steps between them, and a memo of what stands between cuts."""
 
-    STEPS = 1 << 20
+    STEPS = 1 << 19
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -64,9 +64,9 @@ class Lattice:
             raw = piece.replace(SPACE, " ").encode()
             for a, b in zip(raw, raw[1:], strict=False):
                 self.cut[a, b] = False
-        self.steps: dict[tuple[str, str], bool] = {}
+        self.steps: dict[int, bool] = {}
         self.scores = np.array([model.get_score(i) for i in range(n)], np.float64)
-        self.memo = UnitMemo()
+        self.memo = UnitMemo(21, 1 << 23)
 
     def merged(self, text: str) -> list[str]:
         """The merges of a short text: always the best-scored neighbours, the leftmost of equal ones."""
@@ -79,12 +79,17 @@ class Lattice:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
     def step(self, a: str, b: str) -> bool:
-        """Whether pieces a and b can stand side by side; an empty a: whether b can stand alone."""
-        known = self.steps.get((a, b))
+        """Whether pieces a and b can stand side by side; an empty a: whether b can stand alone. Nothing
+        merges with a character that the vocabulary lacks."""
+        one, two = self.ids.get(a, -1), self.ids.get(b, -1)
+        if two < 0:
+            return True
+        key = (one + 1) << 32 | two
+        known = self.steps.get(key)
         if known is None:
-            if len(self.steps) > self.STEPS:
+            if len(self.steps) >= self.STEPS:
                 self.steps.clear()
-            known = self.steps[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+            known = self.steps[key] = self.merged(b) == [b] if one < 0 else self.merged(a + b) == [a, b]
         return known
 
     def matches(self, text: str, at: int) -> list[int]:
@@ -152,7 +157,7 @@ class Lattice:
         whole = ids.get(text)
         if whole is not None and self.step("", text):
             return [whole]
-        steps, step, matches, tried = self.steps, self.step, self.matches, set()
+        step, matches, tried = self.step, self.matches, set()
         path, todo = [(0, 0)], [matches(text, 0)]
         while path[-1][1] < n:
             ends = todo[-1]
@@ -164,9 +169,7 @@ class Lattice:
             q = ends.pop()
             if (p, q) in tried:
                 continue
-            after = text[p:q]
-            known = steps.get((before, after))
-            if known if known is not None else step(before, after):
+            if step(before, text[p:q]):
                 tried.add((p, q))
                 path.append((p, q))
                 todo.append(matches(text, q))
@@ -289,11 +292,28 @@ def normalized(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.insert(data, ends[:-1][filled], 0x20), ends + np.concatenate([[0], np.cumsum(filled)])
 
 
-_FACTS = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_chunks", T.LongType())])
+_IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
+_DIGEST = longs("n_tokens", "ids_crc32", "n_bytes", "text_crc32")
 
 
-def encode(docs: DataFrame, model: str, giant_bytes: int = 1 << 15, chunk_chars: int = 1 << 13) -> DataFrame:
-    """doc_id, ids and n_chunks of every row.
+def _ids_column(model: str, ids: np.ndarray, at: np.ndarray) -> list:
+    return [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.astype(np.int32)))]
+
+
+def _digest_columns(model: str, ids: np.ndarray, at: np.ndarray) -> list:
+    data, ends = lattice(model).decode(ids, at)
+    raw, flat = ids.astype("<u4"), np.ascontiguousarray(data)
+    return [
+        pa.array(np.diff(at)),
+        pa.array([zlib.crc32(raw[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)], pa.int64()),
+        pa.array(np.diff(ends)),
+        pa.array([zlib.crc32(flat[a:b]) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.int64()),
+    ]
+
+
+def encode(docs: DataFrame, model: str, digest: bool = False, giant_bytes: int = 1 << 15, chunk_chars: int = 1 << 13) -> DataFrame:
+    """doc_id, n_chunks and ids of every row; with digest, instead of the ids, n_tokens, ids_crc32 (of
+    little-endian unsigned 32-bit ids), and n_bytes and text_crc32 of what the ids decode to.
 
     A text of up to giant_bytes is one chunk, solved in one task. A longer one is cut into chunks of
     chunk_chars characters with the context that states at their edges need; tasks make the chunks'
@@ -303,14 +323,22 @@ def encode(docs: DataFrame, model: str, giant_bytes: int = 1 << 15, chunk_chars:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     is_giant = F.coalesce(F.octet_length("text") > giant_bytes, F.lit(False))
+    columns = _digest_columns if digest else _ids_column
+    fields = _DIGEST.fields if digest else [_IDS]
 
     def whole(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list]]:
         for part, data, ends in tb.slices(batch, most=1 << 19):
             ids, at = lattice(model).encode(*normalized(data, ends))
-            yield part, [pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids.view(np.int32))), pa.array(np.ones(part.num_rows, np.int64))]
+            yield part, [pa.array(np.ones(part.num_rows, np.int64)), *columns(model, ids, at)]
+
+    def giant(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list]]:
+        for row in range(batch.num_rows):
+            part = batch.slice(row, 1)
+            yield part, columns(model, *_flat(part.column("ids")))
 
-    short = annotate(docs.where(~is_giant), _FACTS, whole, ["doc_id"])
-    return short.unionAll(_encode_giants(docs.where(is_giant), model, chunk_chars))
+    short = annotate(docs.where(~is_giant), T.StructType([*longs("n_chunks").fields, *fields]), whole, ["doc_id"])
+    long = _encode_giants(docs.where(is_giant), model, chunk_chars).select("doc_id", "n_chunks", "ids")
+    return short.unionAll(annotate(long, T.StructType(fields), giant, ["doc_id", "n_chunks"], "ids") if digest else long)
 
 
 def _encode_giants(docs: DataFrame, model: str, chunk_chars: int) -> DataFrame:
@@ -353,7 +381,7 @@ def _encode_giants(docs: DataFrame, model: str, chunk_chars: int) -> DataFrame:
             ids = lattice(model).backtrace(r["window"], r["lo"], r["hi"], r["first"], r["last"], (e[0], e[1]), (e[2], e[3]))
             yield [pa.array([r[c]], pa.int64()) for c in (*key, "chunk")] + [pa.array([ids], pa.list_(pa.int32()))]
 
-    own_ids = T.StructType([*longs(*key, "chunk").fields, _FACTS["ids"]])
+    own_ids = T.StructType([*longs(*key, "chunk").fields, _IDS])
     found = emit(chunks, cells, matrices).groupBy(*key).applyInArrow(combine, edges)
     on = [chunks[c].eqNullSafe(found[c]) for c in (*key, "chunk")]
     traced = emit(chunks.join(found, on).select(*(chunks[c] for c in chunks.columns), "edge"), own_ids, trace)
@@ -381,22 +409,3 @@ def decode(rows: DataFrame, model: str, carry: list[str] | None = None) -> DataF
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     n = np.array([0 if x is None else x for x in column.value_lengths().to_pylist()], np.int64)
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.concatenate([[0], np.cumsum(n)])
-
-
-def digest(rows: DataFrame, model: str) -> DataFrame:
-    """doc_id, n_chunks, n_tokens, ids_crc32 (of little-endian unsigned 32-bit ids), n_bytes and text_crc32 of what the ids decode to."""
-
-    def work(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list]]:
-        for row in range(0, batch.num_rows, 256):
-            part = batch.slice(row, 256)
-            ids, at = _flat(part.column("ids"))
-            data, ends = lattice(model).decode(ids, at)
-            raw, flat = ids.astype("<u4"), np.ascontiguousarray(data)
-            yield part, [
-                pa.array(np.diff(at)),
-                pa.array([zlib.crc32(raw[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)], pa.int64()),
-                pa.array(np.diff(ends)),
-                pa.array([zlib.crc32(flat[a:b].tobytes()) for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.int64()),
-            ]
-
-    return annotate(rows, longs("n_tokens", "ids_crc32", "n_bytes", "text_crc32"), work, ["doc_id", "n_chunks"], "ids")

@@ -63,35 +63,33 @@ def cuts(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
 class UnitMemo:
     """Ids of units by the units' hashes: a direct-mapped table over a pool, both of a fixed size."""
 
-    BITS = 22
-    POOL = 1 << 24
-
-    def __init__(self) -> None:
-        self.keys = np.zeros(1 << self.BITS, np.uint64)
-        self.at = np.zeros(1 << self.BITS, np.int32)
-        self.n = np.zeros(1 << self.BITS, np.int32)
-        self.pool = np.zeros(self.POOL, np.uint32)
+    def __init__(self, bits: int = 22, pool: int = 1 << 24) -> None:
+        self.bits, self.size = bits, pool
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.at = np.zeros(1 << bits, np.int32)
+        self.n = np.zeros(1 << bits, np.int32)
+        self.pool = np.zeros(pool, np.uint32)
         self.used = 0
 
     def ids(self, keys: np.ndarray, make) -> tuple[np.ndarray, np.ndarray]:
         """All units' ids, one after the other, and how many each has. make(places) encodes the units at
         these places, which are new, into their ids and counts."""
-        slot = (keys >> np.uint64(64 - self.BITS)).astype(np.int64)
+        slot = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
         at, n, pool = self.at[slot].astype(np.int64), self.n[slot].astype(np.int64), self.pool
         missing = np.flatnonzero(self.keys[slot] != keys)
         if len(missing):
             new, first, where = np.unique(keys[missing], return_index=True, return_inverse=True)
             flat, count = make(missing[first])
             begin = np.cumsum(count) - count
-            if self.used + len(flat) <= self.POOL:
+            if self.used + len(flat) <= self.size:
                 pool[self.used : self.used + len(flat)] = flat
                 begin += self.used
                 self.used += len(flat)
-                slots = (new >> np.uint64(64 - self.BITS)).astype(np.int64)
+                slots = (new >> np.uint64(64 - self.bits)).astype(np.int64)
                 self.keys[slots], self.at[slots], self.n[slots] = new, begin, count
             else:  # full: this slice reads from a longer copy, the next ones start anew
                 pool = np.concatenate([pool, flat])
-                begin += self.POOL
+                begin += self.size
                 self.used = 0
                 self.keys[:] = 0
             at[missing], n[missing] = begin[where], count[where]
