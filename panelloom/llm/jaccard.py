@@ -100,9 +100,9 @@ def signatures(values: np.ndarray, percent: int) -> np.ndarray:
 
 
 def parity_sketch(values: np.ndarray) -> np.ndarray:
-    """A bitmap of at least 4 bits a feature, a power of two of them and 512 at least, in which each feature
+    """A bitmap of at least 2 bits a feature, a power of two of them and 512 at least, in which each feature
     flips the bit that its hash's upper part names."""
-    bits = max(9, int(4 * max(len(values), 1) - 1).bit_length())
+    bits = max(9, int(2 * max(len(values), 1) - 1).bit_length())
     odd = np.bincount((values >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1
     return np.packbits(odd.astype(bool), bitorder="little").view(np.int64)
 
@@ -136,19 +136,30 @@ def _node(docs: DataFrame) -> Column:
 
 
 def sets(docs: DataFrame, k: int) -> DataFrame:
-    """node, doc_id, n_shingles, h, the set's hash, and its two sketches; h is null for an empty set."""
+    """node, doc_id, n_shingles and h, the set's hash; h is null for an empty set."""
+
+    def work(batch: pa.RecordBatch) -> Iterator[list]:
+        for part, data, ends in tb.slices(batch):
+            values, at = shingle_sets(data, ends, k)
+            h = [set_hash(values[a:b]) if b > a else None for a, b in zip(at[:-1], at[1:], strict=True)]
+            yield [part.column("node"), part.column("doc_id"), pa.array(np.diff(at)), pa.array(h, pa.int64())]
+
+    return emit(docs.select(_node(docs), F.col("doc_id").cast("long"), "text"), longs("node", "doc_id", "n_shingles", "h"), work)
+
+
+def sketched(texts: DataFrame, k: int) -> DataFrame:
+    """node, h, n_shingles and both sketches of the texts' sets."""
 
     def work(batch: pa.RecordBatch) -> Iterator[list]:
         for part, data, ends in tb.slices(batch):
             values, at = shingle_sets(data, ends, k)
             own = [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-            h = [set_hash(v) if len(v) else None for v in own]
             sketches = [parity_sketch(v) for v in own]
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (sketches, [small_sketch(x) for x in sketches])]
-            yield [part.column("node"), part.column("doc_id"), pa.array(np.diff(at)), pa.array(h, pa.int64()), *lists]
+            yield [part.column("node"), pa.array([set_hash(v) for v in own], pa.int64()), pa.array(np.diff(at)), *lists]
 
-    schema = T.StructType([*longs("node", "doc_id", "n_shingles", "h").fields, *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("sketch", "small"))])
-    return emit(docs.select(_node(docs), F.col("doc_id").cast("long"), "text"), schema, work)
+    schema = T.StructType([*longs("node", "h", "n_shingles").fields, *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("sketch", "small"))])
+    return emit(texts, schema, work)
 
 
 def bucket_edges(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -266,12 +277,10 @@ def _labels(links: DataFrame) -> DataFrame:
     return components(links, "ha", "hb").select(F.col("node").alias("h"), "component")
 
 
-def _open_rows(rows: DataFrame, links: DataFrame) -> DataFrame:
-    """(sig, h, n_shingles, label) of the buckets whose sets aren't all in one component."""
-    marked = rows.select("sig", "h", "n_shingles").join(_labels(links), "h", "left").select("sig", "h", "n_shingles", F.coalesce("component", "h").alias("label"))
-    marked = written(marked, "marked")
-    mixed = marked.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig")
-    return written(marked.join(mixed, "sig", "left_semi"), "open")
+def _open(rows: DataFrame) -> DataFrame:
+    """Rows (sig, h, n_shingles, label) of the buckets that hold several labels."""
+    mixed = rows.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig")
+    return written(rows.join(mixed, "sig", "left_semi"), "open")
 
 
 def links_between_sets(docs: DataFrame, info: DataFrame, k: int, percent: int) -> DataFrame:
@@ -279,40 +288,46 @@ def links_between_sets(docs: DataFrame, info: DataFrame, k: int, percent: int) -
 
     Every bucket is joined as a star and the star's pairs are verified. In buckets that hold several
     components then, all sets are compared with the one that shares most buckets, the likeliest original
-    of near copies. What is still apart in a bucket is compared pair by pair, across components only. A
-    pair is left out only if both sets are in one component anyway, or if their sizes or sketches show
-    that they can't be linked.
+    of near copies; what is linked to it takes its label. What still has different labels in a bucket is
+    compared pair by pair. A pair is left out only if both sets are in one component anyway, or if their
+    sizes or sketches show that they can't be linked.
     """
     edges = written(bucket_edges(docs, k, percent), "buckets")
-    one_of = written(info.where("h is not null").groupBy("h").agg(F.min("node").alias("node"), F.min("n_shingles").alias("n_shingles"), F.any_value("sketch").alias("sketch"), F.any_value("small").alias("small")), "classes")
     members = edges.select(F.col("a").alias("h")).unionAll(edges.select(F.col("b").alias("h"))).distinct()
-    nodes = one_of.join(members, "h", "left_semi").select("node").distinct()
-    texts = written(docs.select(_node(docs), "text").join(nodes, "node", "left_semi"), "texts")
+    named = info.where("h is not null").groupBy("h").agg(F.min("node").alias("node")).join(members, "h", "left_semi")
+    named = written(named, "members")
+    texts = written(docs.select(_node(docs), "text").join(named.select("node").distinct(), "node", "left_semi"), "texts")
+    one_of = written(sketched(texts, k).join(named, ["node", "h"], "left_semi").dropDuplicates(["h"]), "classes")
     seen = written(_ordered(edges), "pairs")
     check = lambda pairs: written(verified(possible(pairs, one_of, percent), texts, k, percent), "links")
     links = check(seen)
-    label = _labels(links)
-    apart = seen.join(label.select(F.col("h").alias("ha"), F.col("component").alias("la")), "ha", "left").join(label.select(F.col("h").alias("hb"), F.col("component").alias("lb")), "hb", "left").where("coalesce(la, ha) <> coalesce(lb, hb)")
-    apart = written(apart.select("ha", "hb"), "apart")
+    label = one_of.select("h", "n_shingles").join(_labels(links), "h", "left").select("h", "n_shingles", F.coalesce("component", "h").alias("label"))
+    label = written(label, "labels")
+    side = lambda x: label.select(F.col("h").alias(f"h{x}"), F.col("label").alias(f"l{x}"))
+    apart = seen.join(side("a"), "ha").join(side("b"), "hb").where("la <> lb").select("ha", "hb")
     sigs = edges.withColumns({"ha": F.least("a", "b"), "hb": F.greatest("a", "b")}).join(apart, ["ha", "hb"], "left_semi").select("sig").distinct()
     stars = edges.join(sigs, "sig", "left_semi")
     rows = stars.select("sig", F.col("a").alias("h")).unionAll(stars.select("sig", F.col("b").alias("h"))).distinct()
-    rows = _open_rows(rows.join(one_of.select("h", "n_shingles"), "h"), links)
+    rows = written(rows.join(label, "h").select("sig", "h", "n_shingles", "label"), "open")
     # The set that shares most buckets with others leads each of its buckets.
     size = rows.groupBy("sig").agg(F.count("*").alias("size"))
     shared = rows.join(size, "sig").groupBy("h").agg(F.sum("size").alias("shared"))
     leader = rows.join(shared, "h").groupBy("sig").agg(F.max(F.struct("shared", "h", "label")).alias("top"))
-    star = rows.join(leader, "sig").where("label <> top.label").select(F.col("h").alias("a"), F.col("top.h").alias("b"))
-    star = written(_ordered(star).join(seen, ["ha", "hb"], "left_anti"), "pairs")
-    links = links.unionAll(check(star))
-    rows = _open_rows(rows, links)
+    star = rows.join(leader, "sig").where("label <> top.label").select(F.col("h").alias("a"), F.col("top.h").alias("b"), F.col("top.label").alias("to"))
+    star = written(star.distinct(), "star")
+    pairs = written(_ordered(star).join(seen, ["ha", "hb"], "left_anti"), "pairs")
+    more = check(pairs)
+    # A component of which a set is linked to a leader takes the leader's label, the least one of several.
+    linked = star.withColumns({"ha": F.least("a", "b"), "hb": F.greatest("a", "b")}).join(more, ["ha", "hb"], "left_semi")
+    moved = linked.join(label.select(F.col("h").alias("a"), F.col("label").alias("label")), "a").groupBy("label").agg(F.min("to").alias("to"))
+    rows = _open(rows.join(moved, "label", "left").select("sig", "h", "n_shingles", F.coalesce("to", "label").alias("label")))
     # The condition is part of the join, so a pair that sizes or small sketches rule out is never a row.
     rows = rows.join(one_of.select("h", "small"), "h").withColumnRenamed("h", "a")
     other = rows.select("sig", F.col("a").alias("b"), F.col("n_shingles").alias("n_b"), F.col("label").alias("label_b"), F.col("small").alias("small_b"))
     apart_bits = " + ".join(f"bit_count(small[{i}] ^ small_b[{i}])" for i in range(_SMALL))
     fits = f"label < label_b and 100 * least(n_shingles, n_b) >= {percent} * greatest(n_shingles, n_b) and {100 + percent} * ({apart_bits}) <= {100 - percent} * (n_shingles + n_b)"
-    rest = _ordered(rows.join(other, "sig").where(fits)).join(seen.unionAll(star), ["ha", "hb"], "left_anti")
-    return links.unionAll(check(written(rest, "pairs")))
+    rest = _ordered(rows.join(other, "sig").where(fits)).join(seen.unionAll(pairs), ["ha", "hb"], "left_anti")
+    return links.unionAll(more).unionAll(check(written(rest, "pairs")))
 
 
 def join(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
