@@ -43,40 +43,50 @@ def present(data: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 60) -> np.ndarray:
-    """Weights with a last intercept of an L2-penalised logistic regression, by Newton's method with
-    conjugate gradients; with one class only, just the intercept of the smoothed rate."""
-    w = np.zeros(x.shape[1] + 1)
-    rate = (y.sum() + 0.5) / (len(y) + 1)
+def _linear(x: np.ndarray, z: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """x, the float32 features, and z, the probabilities fed, times the weights, plus the last one."""
+    m = x.shape[1]
+    return (x @ w[:m].astype(np.float32)).astype(np.float64) + z @ w[m:-1] + w[-1]
+
+
+def _transposed(x: np.ndarray, z: np.ndarray, r: np.ndarray) -> np.ndarray:
+    return np.concatenate([(r.astype(np.float32) @ x).astype(np.float64), r @ z, [r.sum()]])
+
+
+def fit_logistic(x: np.ndarray, z: np.ndarray, y: np.ndarray, on: np.ndarray, l2: float = 1.0, steps: int = 40) -> np.ndarray:
+    """Weights with a last intercept of an L2-penalised logistic regression over the rows that `on` marks,
+    by Newton's method with conjugate gradients; with one class only, just the intercept of the smoothed
+    rate. No copy of x is made."""
+    w, n = np.zeros(x.shape[1] + z.shape[1] + 1), on.sum()
+    rate = ((y * on).sum() + 0.5) / (n + 1)
     w[-1] = np.log(rate / (1 - rate))
-    if not len(y) or y.min() == y.max():
+    if not n or y[on].min() == y[on].max():
         return w
-    x = np.concatenate([x, np.ones((len(x), 1), x.dtype)], axis=1).astype(np.float64)
     penalty = np.full(len(w), l2)
     penalty[-1] = 1e-6
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient = x.T @ (p - y) + penalty * w
-        if np.abs(gradient).max() < 1e-3:
+        p = 1 / (1 + np.exp(-np.clip(_linear(x, z, w), -30, 30)))
+        gradient = _transposed(x, z, (p - y) * on) + penalty * w
+        if np.abs(gradient).max() < 1e-2:
             break
-        curve = p * (1 - p)
+        curve = p * (1 - p) * on
         step, left = np.zeros_like(w), -gradient
         towards, size = left.copy(), left @ left
-        for _ in range(30):
-            image = x.T @ (curve * (x @ towards)) + penalty * towards
+        for _ in range(25):
+            image = _transposed(x, z, curve * (_linear(x, z, towards))) + penalty * towards
             scale = size / max(towards @ image, 1e-30)
             step += scale * towards
             left -= scale * image
             new = left @ left
-            if new < 1e-8 * max(1.0, gradient @ gradient):
+            if new < 1e-6 * max(1e-6, gradient @ gradient):
                 break
             towards, size = left + (new / size) * towards, new
         w += step
     return w
 
 
-def _probability(x: np.ndarray, w: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x.astype(np.float64) @ w[:-1] + w[-1], -30, 30)))
+def _probability(x: np.ndarray, z: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(_linear(x, z, w), -30, 30)))
 
 
 @dataclass
@@ -90,7 +100,7 @@ class Chain:
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         out = np.zeros((len(x), 0))
         for w in self.weights:
-            out = np.concatenate([out, _probability(np.concatenate([x, out], axis=1), w)[:, None]], axis=1)
+            out = np.concatenate([out, _probability(x, out, w)[:, None]], axis=1)
         return out
 
 
@@ -98,17 +108,17 @@ def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray, categories: list[s
     """Each model is fitted on all rows; what it feeds to later models is predicted out of fold, by
     models of the same place in the chain that haven't seen the row."""
     chain, fed = Chain(categories, keys), np.zeros((len(x), 0))
+    every = np.ones(len(x), bool)
     for j in range(len(categories)):
-        seen = np.concatenate([x, fed], axis=1)
-        chain.weights.append(fit_logistic(seen, y[:, j]))
+        chain.weights.append(fit_logistic(x, fed, y[:, j], every))
         out = np.zeros(len(x))
         for f in np.unique(fold):
-            out[fold == f] = _probability(seen[fold == f], fit_logistic(seen[fold != f], y[fold != f, j]))
+            out[fold == f] = _probability(x, fed, fit_logistic(x, fed, y[:, j], fold != f))[fold == f]
         fed = np.concatenate([fed, out[:, None]], axis=1)
     return chain
 
 
-def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int = 12_000, n_features: int = 1500, folds: int = 5, least_docs: int = 4) -> Chain:
+def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int = 12_000, n_features: int = 1200, folds: int = 5, least_docs: int = 4) -> Chain:
     """Fit the chain on a bounded sample: about `sample` labelled rows, those with the smallest hashed id.
 
     labels: doc_id and a 0/1 column for each category. Features are the n_features with the largest
