@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import exp, inf, lgamma, log
 from statistics import NormalDist
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _NORMAL = NormalDist()
@@ -38,16 +40,21 @@ def two_sided_t(t: float, df: float) -> float:
     return incomplete_beta(df / 2, 0.5, df / (df + t * t))
 
 
-@F.pandas_udf("double")
-def t_p_value(t: pd.Series, df: pd.Series) -> pd.Series:
+def _column(work) -> Callable[..., Column]:
+    """A column function of a pandas function, made when it is first used: types need a session."""
+    return lambda *args: F.pandas_udf(work, "double")(*args)
+
+
+def _t(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(a) or pd.isna(b) or b <= 0 else two_sided_t(a, b) for a, b in zip(t, df, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("double")
-def normal_cdf(z: pd.Series) -> pd.Series:
+def _cdf(z: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(x) else _NORMAL.cdf(x) for x in z], dtype="float64")
 
 
-@F.pandas_udf("double")
-def normal_ppf(p: pd.Series) -> pd.Series:
+def _ppf(p: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(x) else (-inf if x <= 0 else inf if x >= 1 else _NORMAL.inv_cdf(x)) for x in p], dtype="float64")
+
+
+t_p_value, normal_cdf, normal_ppf = _column(_t), _column(_cdf), _column(_ppf)

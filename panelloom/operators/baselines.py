@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from panelloom.functions.windows import by
 
-W = by("symbol")
+
+def symbol_rows() -> WindowSpec:
+    """A symbol's rows in order; made when it is needed, as a window needs a session."""
+    return by("symbol")
 
 
 def rules() -> dict[str, Column]:
@@ -25,7 +29,7 @@ def rules() -> dict[str, Column]:
 def rsi_latch(low: float = 0.3, high: float = 0.7) -> Column:
     """1 from below low until above high: the last crossing decides; 0 before any and where rsi is null."""
     crossing = F.when(F.col("rsi_14") < low, 1.0).when(F.col("rsi_14") > high, 0.0)
-    held = F.last(crossing, ignorenulls=True).over(W.rowsBetween(Window.unboundedPreceding, 0))
+    held = F.last(crossing, ignorenulls=True).over(symbol_rows().rowsBetween(Window.unboundedPreceding, 0))
     return F.when(F.col("rsi_14").isNotNull(), F.coalesce(held, F.lit(0.0))).otherwise(0.0)
 
 

@@ -6,27 +6,31 @@ from math import sqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from panelloom.functions.windows import by, clip, ewm, pct_rank, roll
 
-W = by("symbol")
 
+def symbol_rows() -> WindowSpec:
+    """A symbol's rows in order; made when it is needed, as a window needs a session."""
+    return by("symbol")
 
-def ret(k: int = 1, column: str = "close", w=W) -> Column:
-    return F.try_divide(F.col(column), F.lag(column, k).over(w)) - 1
 
+def ret(k: int = 1, column: str = "close", w=None) -> Column:
+    return F.try_divide(F.col(column), F.lag(column, k).over(w or symbol_rows())) - 1
 
-def true_range(w=W) -> Column:
+
+def true_range(w=None) -> Column:
     """greatest skips the null of a series' first row."""
-    before = F.lag("close").over(w)
+    before = F.lag("close").over(w or symbol_rows())
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
 def window_features(bars: DataFrame) -> DataFrame:
     """Returns, Bollinger position, volume z, volatility, distances to means, stochastic %K and range."""
     rows = bars.withColumns({f"ret_{k}d": ret(k) for k in (1, 5, 10, 20)})
-    mean, std = (lambda c, n: roll(F.avg, c, n, W)), (lambda c, n: roll(F.stddev_samp, c, n, W))
-    low, high = roll(F.min, "low", 14, W), roll(F.max, "high", 14, W)
+    mean, std = (lambda c, n: roll(F.avg, c, n, symbol_rows())), (lambda c, n: roll(F.stddev_samp, c, n, symbol_rows()))
+    low, high = roll(F.min, "low", 14, symbol_rows()), roll(F.max, "high", 14, symbol_rows())
     return rows.withColumns(
         {
             "bb_pos": F.try_divide(F.col("close") - mean("close", 20), 2 * std("close", 20)),
@@ -41,8 +45,8 @@ def window_features(bars: DataFrame) -> DataFrame:
 
 def recursive_features(bars: DataFrame) -> DataFrame:
     """RSI(14) as a share, MACD histogram and ATR(14), both relative to the close."""
-    change = F.col("close") - F.lag("close").over(W)
-    rows = bars.withColumns({"_gain": F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))), "_loss": F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0))), "_tr": true_range(), "_n": F.row_number().over(W)})
+    change = F.col("close") - F.lag("close").over(symbol_rows())
+    rows = bars.withColumns({"_gain": F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))), "_loss": F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0))), "_tr": true_range(), "_n": F.row_number().over(symbol_rows())})
     rows = ewm(rows, {"_g": ("_gain", 1 / 14), "_l": ("_loss", 1 / 14), "_a": ("_tr", 1 / 14), "_fast": ("close", 2 / 13), "_slow": ("close", 2 / 27)}, ["symbol"])
     rows = rows.withColumn("_macd", F.col("_fast") - F.col("_slow"))
     rows = ewm(rows, {"_signal": ("_macd", 0.2)}, ["symbol"])
@@ -61,11 +65,11 @@ def macro_series(index: DataFrame, vix: DataFrame) -> DataFrame:
 
 def regime_table(bars: DataFrame, macro: DataFrame) -> DataFrame:
     """Bars with the macro series filled forward, trend, strength, 52-week position and volatility ranks."""
-    fill = W.rowsBetween(Window.unboundedPreceding, 0)
+    fill = symbol_rows().rowsBetween(Window.unboundedPreceding, 0)
     rows = bars.join(macro, "date", "left")
     rows = rows.withColumns({c: F.last(c, ignorenulls=True).over(fill) for c in ("index_close", "index_mom_20d", "vix", "vix_percentile")})
-    gap = F.try_divide(F.col("close"), roll(F.avg, "close", 200, W)) - 1
-    low, high = roll(F.min, "low", 252, W), roll(F.max, "high", 252, W)
+    gap = F.try_divide(F.col("close"), roll(F.avg, "close", 200, symbol_rows())) - 1
+    low, high = roll(F.min, "low", 252, symbol_rows()), roll(F.max, "high", 252, symbol_rows())
     rows = rows.withColumns(
         {
             "ret_1d": ret(),
@@ -76,7 +80,7 @@ def regime_table(bars: DataFrame, macro: DataFrame) -> DataFrame:
         }
     )
     # Rounded, so that equal windows tie in the ranks whatever the order of their sums.
-    return rows.withColumn("vol_20", F.round(roll(F.stddev_samp, "ret_1d", 20, W) * sqrt(252), 10)).withColumn("vol_percentile", pct_rank("vol_20", 252, W, 60))
+    return rows.withColumn("vol_20", F.round(roll(F.stddev_samp, "ret_1d", 20, symbol_rows()) * sqrt(252), 10)).withColumn("vol_percentile", pct_rank("vol_20", 252, symbol_rows(), 60))
 
 
 def market_regime(index: DataFrame, start: str) -> DataFrame:
@@ -89,8 +93,8 @@ def market_regime(index: DataFrame, start: str) -> DataFrame:
 
 def causal_atr(bars: DataFrame) -> DataFrame:
     """Mean true range of the 14 rows before."""
-    return bars.withColumn("_tr", true_range()).withColumn("atr_prior", roll(F.avg, "_tr", 14, W, lag=1)).drop("_tr")
+    return bars.withColumn("_tr", true_range()).withColumn("atr_prior", roll(F.avg, "_tr", 14, symbol_rows(), lag=1)).drop("_tr")
 
 
 def momentum_12_1(bars: DataFrame) -> DataFrame:
-    return bars.withColumn("mom_12_1", F.lag("close", 21).over(W) / F.lag("close", 252).over(W) - 1)
+    return bars.withColumn("mom_12_1", F.lag("close", 21).over(symbol_rows()) / F.lag("close", 252).over(symbol_rows()) - 1)

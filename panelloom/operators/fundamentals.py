@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from panelloom.functions.windows import as_of_backward, clip
 
-W = Window.partitionBy("symbol").orderBy("available_from")
+
+def symbol_rows() -> WindowSpec:
+    """A symbol's rows in order; made when it is needed, as a window needs a session."""
+    return Window.partitionBy("symbol").orderBy("available_from")
 
 
 def period_end(label: Column) -> tuple[Column, Column]:
@@ -35,19 +39,19 @@ def from_long(rows: DataFrame) -> DataFrame:
 
 def _growth(column: str) -> Column:
     """Growth on a positive base, between two periods of twelve months."""
-    before = F.lag(column).over(W)
-    whole = (F.col("months") == 12) & (F.lag("months").over(W) == 12) & (before > 1e-9)
+    before = F.lag(column).over(symbol_rows())
+    whole = (F.col("months") == 12) & (F.lag("months").over(symbol_rows()) == 12) & (before > 1e-9)
     return clip(F.when(whole, F.try_divide(F.col(column) - before, F.abs(before))), -1, 2)
 
 
 def features(statements: DataFrame) -> DataFrame:
     """revenue_growth, profit_growth, roe and roe_change of each available statement."""
     rows = available(statements)
-    average = (F.col("equity") + F.coalesce(F.lag("equity").over(W), F.col("equity"))) / 2
+    average = (F.col("equity") + F.coalesce(F.lag("equity").over(symbol_rows()), F.col("equity"))) / 2
     roe = clip(F.when(average > 0, F.try_divide(F.col("net_profit") * 12 / F.col("months"), average)), -0.5, 0.6)
     rows = rows.withColumns({"revenue_growth": _growth("revenue"), "profit_growth": _growth("net_profit"), "roe": roe})
-    whole = (F.col("months") == 12) & (F.lag("months").over(W) == 12)
-    return rows.withColumn("roe_change", F.when(whole, F.col("roe") - F.lag("roe").over(W)))
+    whole = (F.col("months") == 12) & (F.lag("months").over(symbol_rows()) == 12)
+    return rows.withColumn("roe_change", F.when(whole, F.col("roe") - F.lag("roe").over(symbol_rows())))
 
 
 METRICS = ("revenue_growth", "profit_growth", "roe", "roe_change")

@@ -4,20 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from panelloom.functions.windows import by
 
-W = by("symbol")
 
+def symbol_rows() -> WindowSpec:
+    """A symbol's rows in order; made when it is needed, as a window needs a session."""
+    return by("symbol")
 
-def forward_return(h: int = 1, w=W) -> Column:
+
+def forward_return(h: int = 1, w=None) -> Column:
     """Open to open, entered on the next row: null for the last h + 1 rows."""
+    w = w or symbol_rows()
     return F.try_divide(F.lead("open", 1 + h).over(w), F.lead("open", 1).over(w)) - 1
 
 
 def sequences(rows: DataFrame, features: list[str], label: str, length: int = 30) -> DataFrame:
     """symbol, date, x (length x features) and y of each row whose whole window is known, label included."""
-    frame = W.rowsBetween(-(length - 1), 0)
+    frame = symbol_rows().rowsBetween(-(length - 1), 0)
     valid = F.lit(1)
     for c in [*features, label]:
         valid = valid * F.when(F.col(c).isNotNull() & ~F.isnan(c), 1).otherwise(0)

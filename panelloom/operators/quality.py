@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from panelloom.functions.windows import by, roll
 
-W = by("symbol")
+
+def symbol_rows() -> WindowSpec:
+    """A symbol's rows in order; made when it is needed, as a window needs a session."""
+    return by("symbol")
 
 
 def _returns(bars: DataFrame, benchmark: DataFrame) -> DataFrame:
     """r, explained (the market moved 5 % or more that day; unknown counts as not) and the prior deviation."""
     market = benchmark.select("date", (F.col("close") / F.lag("close").over(Window.orderBy("date")) - 1).alias("_b"))
-    rows = bars.withColumn("r", F.try_divide("close", F.lag("close").over(W)) - 1).join(market, "date", "left")
-    return rows.withColumns({"explained": F.coalesce(F.abs("_b"), F.lit(0.0)) >= 0.05, "sd": roll(F.stddev_samp, "r", 60, W, least=20, lag=1)})
+    rows = bars.withColumn("r", F.try_divide("close", F.lag("close").over(symbol_rows())) - 1).join(market, "date", "left")
+    return rows.withColumns({"explained": F.coalesce(F.abs("_b"), F.lit(0.0)) >= 0.05, "sd": roll(F.stddev_samp, "r", 60, symbol_rows(), least=20, lag=1)})
 
 
 def corporate_actions(rows: DataFrame) -> DataFrame:
@@ -31,16 +35,16 @@ def missing_days(bars: DataFrame, sessions: DataFrame) -> DataFrame:
     Only gaps are expanded, so nothing is built that isn't a finding or a row of the panel.
     """
     numbered = sessions.select("date").distinct().withColumn("_i", F.row_number().over(Window.orderBy("date")))
-    rows = bars.select("symbol", "date").join(numbered, "date").withColumn("_next", F.lead("_i").over(W))
+    rows = bars.select("symbol", "date").join(numbered, "date").withColumn("_next", F.lead("_i").over(symbol_rows()))
     gaps = rows.where("_next > _i + 1").select("symbol", F.explode(F.sequence(F.col("_i") + 1, F.col("_next") - 1)).alias("_i"))
     return gaps.join(numbered, "_i").select("symbol", "date", F.lit("missing_day").alias("kind"))
 
 
 def stale_runs(bars: DataFrame, least: int = 5) -> DataFrame:
     """Runs of equal closes, reported at their last day."""
-    before = F.lag("close").over(W)
+    before = F.lag("close").over(symbol_rows())
     same = F.abs(F.col("close") - before) <= 1e-8 + 1e-5 * F.abs(before)
-    rows = bars.withColumn("_new", F.when(same, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(W))
+    rows = bars.withColumn("_new", F.when(same, 0).otherwise(1)).withColumn("_run", F.sum("_new").over(symbol_rows()))
     runs = rows.groupBy("symbol", "_run").agg(F.max("date").alias("date"), F.count("*").alias("_n"))
     return runs.where(F.col("_n") >= least).select("symbol", "date", F.lit("stale_run").alias("kind"))
 

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from panelloom.functions.windows import by, roll
 from panelloom.operators.metrics import average_ranks
 
-W = by("symbol")
+
+def symbol_rows() -> WindowSpec:
+    """A symbol's rows in order; made when it is needed, as a window needs a session."""
+    return by("symbol")
 
 
 def daily(rows: DataFrame, least: int = 1) -> DataFrame:
@@ -30,7 +34,7 @@ def debias_trailing(views: DataFrame, n: int = 60, least: int = 10) -> DataFrame
     days = views.groupBy("date").agg(F.sum("sentiment").alias("_s"), F.count("sentiment").alias("_n"))
     before = Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)  # a row for each date
     market = days.select("date", F.try_divide(F.sum("_s").over(before), F.sum("_n").over(before)).alias("_market"))
-    rows = views.withColumn("_own", roll(F.avg, "sentiment", n, W, least=least, lag=1)).join(market, "date")
+    rows = views.withColumn("_own", roll(F.avg, "sentiment", n, symbol_rows(), least=least, lag=1)).join(market, "date")
     return rows.withColumn("sentiment", F.col("sentiment") - F.coalesce("_own", "_market", F.lit(0.0))).drop("_own", "_market")
 
 

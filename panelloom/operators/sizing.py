@@ -5,19 +5,23 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 from pyspark.sql import types as T
 
 from panelloom.functions.folds import CAP, fold_days
 from panelloom.functions.windows import by
 from panelloom.operators.features import causal_atr
 
-W = by("symbol")
+
+def symbol_rows() -> WindowSpec:
+    """A symbol's rows in order; made when it is needed, as a window needs a session."""
+    return by("symbol")
 BASE, TARGET_VOL = 0.20, 0.20
 
 
 def breaker(bars: DataFrame, gap: float = -0.03, ranges: float = 2.5) -> DataFrame:
     """symbol, date and trigger: a gap down first, else a range over so many prior average true ranges."""
-    rows = causal_atr(bars).withColumn("_gap", F.try_divide("open", F.lag("close").over(W)) - 1)
+    rows = causal_atr(bars).withColumn("_gap", F.try_divide("open", F.lag("close").over(symbol_rows())) - 1)
     trigger = F.when(F.col("_gap") <= gap, "gap_down").when(F.col("high") - F.col("low") > ranges * F.col("atr_prior"), "range")
     return rows.select("symbol", "date", trigger.alias("trigger")).where("trigger is not null")
 

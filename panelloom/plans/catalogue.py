@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from panelloom.plans import decisions, panel, text
+from panelloom.plans import decisions, more, panel, text
 from panelloom.plans.registry import Query
 
-_PARTS = (panel.R, text.R, decisions.R)
+_PARTS = (panel.R, text.R, decisions.R, more.R)
 
 
 def queries() -> dict[str, Query]:

@@ -32,7 +32,7 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity",
     )
     running = order.rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumns({"rn": F.row_number().over(order), "S": F.sum("step").over(running).cast("long")}).select("k", "d", "rn", "q", "tx", "ln", "step", "S", "flag")
+    return rows.withColumns({"rn": F.row_number().over(order).cast("long"), "S": F.sum("step").over(running).cast("long")}).select("k", "d", "rn", "q", "tx", "ln", "step", "S", "flag")
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,3 +96,10 @@ def misses(rows: DataFrame, cache: DataFrame) -> DataFrame:
 
 def cache_statistics(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count_if("hit").alias("hits"), F.count_if(~F.col("hit")).alias("misses"), F.avg(F.col("hit").cast("double")).alias("hit_rate"))
+
+
+def adjusted(bars: DataFrame) -> DataFrame:
+    """Bars scaled by adjusted / close; rows without a price go, a null volume is 0."""
+    ratio = F.try_divide("adjusted", "close")
+    rows = bars.dropna(subset=["open", "high", "low", "close", "adjusted"])
+    return rows.select("symbol", "date", *((F.col(c) * ratio).alias(c) for c in ("open", "high", "low")), F.col("adjusted").alias("close"), F.coalesce("volume", F.lit(0.0)).alias("volume"))
