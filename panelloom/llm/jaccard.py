@@ -288,7 +288,7 @@ def links_between_sets(docs: DataFrame, info: DataFrame, k: int, percent: int) -
 
     Every bucket is joined as a star and the star's pairs are verified. In buckets that hold several
     components then, all sets are compared with the one that shares most buckets, the likeliest original
-    of near copies; what is linked to it takes its label. What still has different labels in a bucket is
+    of near copies, and labels that get linked so become one. What still has different labels in a bucket is
     compared pair by pair. A pair is left out only if both sets are in one component anyway, or if their
     sizes or sketches show that they can't be linked.
     """
@@ -313,13 +313,12 @@ def links_between_sets(docs: DataFrame, info: DataFrame, k: int, percent: int) -
     size = rows.groupBy("sig").agg(F.count("*").alias("size"))
     shared = rows.join(size, "sig").groupBy("h").agg(F.sum("size").alias("shared"))
     leader = rows.join(shared, "h").groupBy("sig").agg(F.max(F.struct("shared", "h", "label")).alias("top"))
-    star = rows.join(leader, "sig").where("label <> top.label").select(F.col("h").alias("a"), F.col("top.h").alias("b"), F.col("top.label").alias("to"))
-    star = written(star.distinct(), "star")
+    star = rows.join(leader, "sig").where("label <> top.label").select(F.col("h").alias("a"), F.col("top.h").alias("b"))
     pairs = written(_ordered(star).join(seen, ["ha", "hb"], "left_anti"), "pairs")
     more = check(pairs)
-    # A component of which a set is linked to a leader takes the leader's label, the least one of several.
-    linked = star.withColumns({"ha": F.least("a", "b"), "hb": F.greatest("a", "b")}).join(more, ["ha", "hb"], "left_semi")
-    moved = linked.join(label.select(F.col("h").alias("a"), F.col("label").alias("label")), "a").groupBy("label").agg(F.min("to").alias("to"))
+    # What the second star linked takes one label: the components of the labels that its links join.
+    joined = more.join(side("a"), "ha").join(side("b"), "hb").select("la", "lb")
+    moved = components(joined, "la", "lb").select(F.col("node").alias("label"), F.col("component").alias("to"))
     rows = _open(rows.join(moved, "label", "left").select("sig", "h", "n_shingles", F.coalesce("to", "label").alias("label")))
     # The condition is part of the join, so a pair that sizes or small sketches rule out is never a row.
     rows = rows.join(one_of.select("h", "small"), "h").withColumnRenamed("h", "a")
