@@ -14,10 +14,10 @@ from panelloom.sources import corpus
 R = Registry()
 
 
-@R.add("bars", "SELECT symbol, date, round(open * (CASE WHEN year(date) % 2 = 1 THEN 1 / 3.0::DOUBLE ELSE 1.0::DOUBLE END), 4) AS open, round(high * (CASE WHEN year(date) % 2 = 1 THEN 1 / 3.0::DOUBLE ELSE 1.0::DOUBLE END), 4) AS high, round(low * (CASE WHEN year(date) % 2 = 1 THEN 1 / 3.0::DOUBLE ELSE 1.0::DOUBLE END), 4) AS low, round(close * (CASE WHEN year(date) % 2 = 1 THEN 1 / 3.0::DOUBLE ELSE 1.0::DOUBLE END), 4) AS close, volume FROM bars")
+@R.add("bars", "SELECT symbol, date, round(open * (CASE WHEN year(date) % 2 = 1 THEN 1 / 3.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS open, round(high * (CASE WHEN year(date) % 2 = 1 THEN 1 / 3.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS high, round(low * (CASE WHEN year(date) % 2 = 1 THEN 1 / 3.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS low, round(close * (CASE WHEN year(date) % 2 = 1 THEN 1 / 3.0::DOUBLE ELSE 1.0::DOUBLE END), 6) AS close, volume FROM bars")
 def s3_bar_adjustment(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = src.bars(spark, sf_dir).withColumn("adjusted", F.col("close") * F.when(F.year("date") % 2 == 1, 1 / 3.0).otherwise(1.0))
-    return rounded(corpus.adjusted(raw), 4)
+    return rounded(corpus.adjusted(raw))
 
 
 @R.add("bars index_bars", "SELECT 'equal' AS name, date, round(avg(f), 8) + 0.0 AS ret FROM (SELECT date, lead(open, 2) OVER w / lead(open, 1) OVER w - 1 AS f FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)) GROUP BY date UNION ALL SELECT 'index', date, round(lead(open, 2) OVER (ORDER BY date) / lead(open, 1) OVER (ORDER BY date) - 1, 8) + 0.0 FROM index_bars")
