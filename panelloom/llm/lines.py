@@ -1,4 +1,4 @@
-"""Line dedup by pairwise patience alignment with earlier documents that share rare lines."""
+"""Line dedup by pairwise patience alignment with the earlier documents that share runs of lines."""
 
 from __future__ import annotations
 
@@ -118,14 +118,75 @@ def _sequences(docs: DataFrame) -> DataFrame:
     return annotate(docs, _SEQUENCE, work, ["doc_id", "text_key"])
 
 
-def removals(docs: DataFrame, anchor_words: int = 5, least_words: int = 8) -> DataFrame:
+def runs(hashes: np.ndarray, words: np.ndarray, at: np.ndarray, least_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first line, number of lines and text of the shortest runs of lines with so many words.
+
+    They are the shortest from each line on and the shortest up to each line, within the texts that end at
+    at[1:]. Every line of a block of least_words words or more lies in such a run that lies in the block.
+    """
+    total = np.concatenate([[0], np.cumsum(words)])
+    text = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    here = np.arange(len(hashes))
+    stop = np.searchsorted(total, total[:-1] + least_words)
+    start = np.searchsorted(total, total[1:] - least_words, "right") - 1
+    on, upto = stop <= at[1:][text], start >= at[:-1][text]
+    both = np.unique(np.stack([np.concatenate([here[on], start[upto]]), np.concatenate([stop[on], here[upto] + 1])], axis=1), axis=0)
+    first, size = both[:, 0], both[:, 1] - both[:, 0]
+    key = size.astype(np.uint64)
+    for i in range(int(size.max(initial=0))):  # a line has a word, so least_words at most
+        more = np.flatnonzero(size > i)
+        key[more] += tb.mix(hashes[first[more] + i] + tb.U64((i * 0x9E3779B97F4A7C15) % 2**64))
+    return tb.mix(key), first - at[text[first]], size, text[first]
+
+
+_RUN = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_key", T.LongType()), T.StructField("run", T.LongType()), T.StructField("at", T.IntegerType()), T.StructField("size", T.IntegerType())])
+
+
+def _runs(heads: DataFrame, least_words: int) -> DataFrame:
+    """doc_id, text_key, run, at (its first line among those that hold a word) and size of every run."""
+
+    def work(batch: pa.RecordBatch) -> Iterator[list]:
+        hashes, words = batch.column("lines"), batch.column("words")
+        ends = np.concatenate([[0], np.cumsum(hashes.value_lengths().to_numpy(zero_copy_only=False))]).astype(np.int64)
+        key, first, size, text = runs(hashes.flatten().to_numpy(zero_copy_only=False).view(np.uint64), words.flatten().to_numpy(zero_copy_only=False), ends, least_words)
+        yield [batch.column("doc_id").take(pa.array(text)), batch.column("text_key").take(pa.array(text)), pa.array(key.view(np.int64)), pa.array(first.astype(np.int32)), pa.array(size.astype(np.int32))]
+
+    return emit(heads.select("doc_id", "text_key", "lines", "words"), _RUN, work)
+
+
+def _align(pairs: DataFrame, heads: DataFrame, least_words: int) -> DataFrame:
+    """doc_id, text_key, first_id and at, the lines of the document in its common blocks with the first."""
+    with_a = pairs.join(heads.select(F.col("doc_id").alias("first_id"), F.col("lines").alias("a")), "first_id")
+    rows = with_a.join(heads.select("doc_id", "text_key", F.col("lines").alias("b"), "words"), ["doc_id", "text_key"])
+
+    def align(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list]]:
+        out = []
+        for a, b, words in zip(*(batch.column(c) for c in ("a", "b", "words")), strict=True):
+            a, b, words = (x.values.to_numpy().tolist() for x in (a, b, words))
+            out.append(common_blocks(a, b, words, least_words))
+        yield batch.select(["doc_id", "text_key", "first_id"]), [pa.array(out, pa.list_(pa.int32()))]
+
+    sent = rows.select("doc_id", "text_key", "first_id", "a", "b", "words")
+    schema = T.StructType([sent.schema[c] for c in ("doc_id", "text_key", "first_id")] + [T.StructField("at", T.ArrayType(T.IntegerType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, columns in align(batch):
+                yield pa.RecordBatch.from_arrays([*part.columns, *columns], schema.names)
+
+    return sent.mapInArrow(run, schema).where(F.size("at") > 0)
+
+
+def removals(docs: DataFrame, least_words: int = 8) -> DataFrame:
     """doc_id, text_key, n_lines, removed (places of lines) and earlier (doc_ids) of every distinct document.
 
     A document is a doc_id with a text; it comes after those with a smaller doc_id. Exact copies of a
-    text but the first are common blocks as a whole; only distinct texts go on. For each line of at least
-    anchor_words words that several of them hold, Spark finds the first one that holds it; a document is
-    aligned with all the documents that come first for one of its lines. So no line is too frequent to be
-    found, and a line of n documents makes n - 1 pairs. Blocks of at least least_words words are removed.
+    text but the first are common blocks as a whole; only distinct texts go on. Blocks of at least
+    least_words words that a document has in common with any earlier one are removed. A pair is found by
+    the runs of lines that both hold (see runs). A document is first aligned with the first holder of each
+    of its runs, then, for runs of which a line is left, with the first that holds the run as often, and
+    then with a growing share of the earlier holders, at last with all that are left. A pair that isn't
+    aligned has no run of which a line is left, so the result is that of aligning all pairs.
     """
     keyed = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     seqs = written(_sequences(keyed).dropDuplicates(["doc_id", "text_key"]), "lines")
@@ -133,28 +194,44 @@ def removals(docs: DataFrame, anchor_words: int = 5, least_words: int = 8) -> Da
     marked = seqs.select("doc_id", "text_key").join(first, "text_key")
     copies = marked.where("doc_id > first_id and text_key is not null")
     heads = written(seqs.join(marked.where("doc_id = first_id").select("doc_id", "text_key"), ["doc_id", "text_key"], "left_semi"), "heads")
-    own = heads.select("doc_id", F.explode(F.arrays_zip("lines", "words")).alias("x")).where(F.col("x.words") >= anchor_words).select("doc_id", F.col("x.lines").alias("line")).distinct()
-    owners = own.groupBy("line").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").select("line", "first_id")
+    every = _runs(heads, least_words)
+    shared = every.groupBy("run").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id")
+    own = written(every.join(shared.select("run", "first_id"), "run"), "runs")
+    counted = own.groupBy("run", "doc_id", "text_key").agg(F.count("*").alias("n"))
     # Two texts with one doc_id can't be told apart by order, so they aren't aligned with each other.
-    pairs = own.join(owners, "line").where("doc_id > first_id").select("doc_id", "first_id").distinct()
-    with_a = pairs.join(heads.select(F.col("doc_id").alias("first_id"), F.col("lines").alias("a")), "first_id")
-    rows = with_a.join(heads.select("doc_id", "text_key", F.col("lines").alias("b"), "words", "places"), "doc_id")
-
-    def align(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list]]:
-        out = []
-        for a, b, words, places in zip(*(batch.column(c) for c in ("a", "b", "words", "places")), strict=True):
-            a, b, places = a.values.to_numpy(), b.values.to_numpy(), places.values.to_numpy()
-            out.append([int(places[j]) for j in common_blocks(a.tolist(), b.tolist(), words.values.to_numpy().tolist(), least_words)])
-        yield batch, [pa.array(out, pa.list_(pa.int32()))]
-
-    found = annotate(rows, T.StructType([T.StructField("at", T.ArrayType(T.IntegerType()))]), align, ["doc_id", "text_key", "first_id", "a", "b", "words", "places"], None)
-    found = found.where(F.size("at") > 0).select("doc_id", "text_key", "first_id", F.explode("at").alias("place"))
-    cut = found.groupBy("doc_id", "text_key").agg(F.sort_array(F.collect_set("place")).alias("removed"), F.sort_array(F.collect_set("first_id")).alias("earlier"))
+    left = own.where("doc_id > first_id")
+    by_count = counted.groupBy("run", "n").agg(F.min("doc_id").alias("other_id"))
+    key, pair = ["doc_id", "text_key"], ["doc_id", "text_key", "first_id"]
+
+    def further(left: DataFrame, share: int) -> DataFrame:
+        holders = own.select("run", F.col("doc_id").alias("other_id")).distinct().where(F.pmod(F.xxhash64("other_id"), F.lit(share)) == 0)
+        return left.select("run", *key).distinct().join(holders, "run")
+
+    rounds = [
+        lambda left: left.select(*key, F.col("first_id").alias("other_id")),
+        lambda left: left.select("run", *key).distinct().join(counted, ["run", *key]).join(by_count, ["run", "n"]),
+        *(lambda left, share=share: further(left, share) for share in (64, 8, 1)),
+    ]
+    tried = found = None
+    for candidates in rounds:
+        pairs = candidates(left).where("other_id < doc_id").select(*key, F.col("other_id").alias("first_id")).distinct()
+        pairs = written(pairs if tried is None else pairs.join(tried, pair, "left_anti"), "pairs")
+        tried = pairs if tried is None else tried.unionAll(pairs)
+        now = written(_align(pairs, heads, least_words), "blocks")
+        found = now if found is None else found.unionAll(now)
+        gone = now.groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("gone"))
+        covered = F.size(F.array_except(F.sequence("at", F.col("at") + F.col("size") - 1), F.coalesce("gone", F.array().cast("array<int>")))) == 0
+        # A run whose lines went in different rounds is kept for the next one, which costs a pair and loses none.
+        left = written(left.join(gone, key, "left").where(~covered).drop("gone"), "left")
+        if left.isEmpty():
+            break
+    cut = found.groupBy(*key).agg(F.array_distinct(F.flatten(F.collect_list("at"))).alias("at"), F.sort_array(F.collect_set("first_id")).alias("earlier"))
+    cut = cut.join(heads.select(*key, "places"), key).select(*key, F.sort_array(F.transform("at", lambda j: F.get("places", j))).alias("removed"), "earlier")
     whole = copies.join(seqs.select("doc_id", "text_key", "places"), ["doc_id", "text_key"]).select("doc_id", "text_key", F.col("places").alias("removed"), F.array("first_id").alias("earlier"))
     return seqs.select("doc_id", "text_key", "n_lines").join(cut.unionAll(whole), ["doc_id", "text_key"], "left")
 
 
-def dedup(docs: DataFrame, anchor_words: int = 5, least_words: int = 8) -> DataFrame:
+def dedup(docs: DataFrame, least_words: int = 8) -> DataFrame:
     """All rows and columns of docs, the text without the removed lines; and n_lines, n_removed, earlier.
 
     earlier: the doc_ids of the documents that hold what was removed. Lines are parted by line feeds; a
@@ -163,7 +240,7 @@ def dedup(docs: DataFrame, anchor_words: int = 5, least_words: int = 8) -> DataF
     table gives an empty one. Columns of docs named like the new ones are replaced.
     """
     new = ("n_lines", "n_removed", "earlier")
-    found = written(removals(docs, anchor_words, least_words), "removals")
+    found = written(removals(docs, least_words), "removals")
     kept = docs.select(*(c for c in docs.columns if c not in new)).withColumn("_id", F.col("doc_id").cast("long")).withColumn("_key", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
     facts = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "n_lines", "removed", "earlier")
     joined = kept.join(facts, ["_id", "_key"], "left").drop("_id", "_key")

@@ -194,6 +194,53 @@ def test_line_dedup(spark):
     assert lines.dedup(df.limit(0)).count() == 0
 
 
+def _removed_by_all_pairs(rows, least):
+    """Places of lines that alignment with every earlier distinct text removes, by brute force."""
+    seqs = []
+    for d, t in sorted({(d, t) for d, t in rows if d is not None and t is not None}):
+        held = [(p, x.split()) for p, x in enumerate(t.split("\n")) if x.split()]
+        seqs.append((d, t, [p for p, _ in held], [" ".join(x) for _, x in held], [len(x) for _, x in held]))
+    first = {}
+    for d, t, *_ in seqs:
+        first.setdefault(t, d)
+    heads = [s for s in seqs if first[s[1]] == s[0]]
+    out = {}
+    for d, t, places, b, words in seqs:
+        if first[t] != d:
+            out[d, t] = set(places)
+        else:
+            out[d, t] = {places[j] for e in heads if e[0] < d for j in lines.common_blocks(e[3], b, words, least)}
+    return out
+
+
+def _by_lines(spark, rows, least=8):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = df.where("text is not null").select("doc_id", "text", F.xxhash64("text").alias("text_key")).distinct()
+    return {(r["doc_id"], r["text"]): set(r["removed"] or []) for r in keys.join(lines.removals(df, least_words=least), ["doc_id", "text_key"]).collect()}
+
+
+def test_line_dedup_with_further_holders(spark):
+    x, y = ("a line of eight words or more stands " + c for c in ("here x", "here y"))
+    crossed = [(1, f"one\n{x}\na\n{y}\nend"), (2, f"two\n{y}\nb\n{x}\nfin"), (3, f"three\n{y}\nc\n{x}\nstop")]
+    twice = [(4, f"p\n{x}w\nq"), (5, f"r\n{x}w\nmore\n{x}w\ns"), (6, f"t\n{x}w\nu\n{x}w\nv")]
+    short = [(7, "k1 k2 k3\nk4 k5 k6\nk7 k8 k9\nthe seventh"), (8, "eighth text\nk1 k2 k3\nk4 k5 k6\nk7 k8 k9\nanother end")]
+    parted = [(9, "m1 m2 m3 m4 m5\nlone"), (10, "own\nn1 n2 n3 n4 n5\nalone"), (11, "start\nm1 m2 m3 m4 m5\nn1 n2 n3 n4 n5\nthen"), (12, "begin\nm1 m2 m3 m4 m5\nn1 n2 n3 n4 n5\nafter")]
+    rows = crossed + twice + short + parted
+    got = _by_lines(spark, rows)
+    assert got == _removed_by_all_pairs(rows, 8)
+    assert got[crossed[2]] == {1, 3} and got[short[1]] == {1, 2, 3} and got[parted[3]] == {1, 2}
+
+
+def test_line_dedup_against_all_pairs(spark, documents):
+    rng = np.random.default_rng(5)
+    pool = [" ".join(f"w{i}x{j}" for j in range(1 + i % 11)) for i in range(14)]
+    rows = [(int(i), "\n".join(pool[k] for k in rng.integers(0, len(pool), rng.integers(1, 9)))) for i in rng.integers(0, 100, 120)]
+    assert _by_lines(spark, rows) == _removed_by_all_pairs(rows, 8)
+    rows = [(r["doc_id"], r["text"]) for r in documents.orderBy("doc_id").limit(150).collect()]
+    rows += [(d + 10**6, "\n".join(reversed((t or "").split("\n")))) for d, t in rows[:50]]
+    assert _by_lines(spark, rows) == _removed_by_all_pairs(rows, 8)
+
+
 def test_patience_blocks():
     assert lines.patience([1, 2, 3, 4], [9, 2, 3, 8, 4]) == [(1, 1), (2, 2), (3, 4)]
     assert lines.common_blocks([1, 2, 3], [1, 2, 3], [4, 4, 4], 8) == [0, 1, 2]
