@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import ceil, e, sqrt
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -78,11 +81,11 @@ def _interval(boots: DataFrame, value: str) -> DataFrame:
     return out.select("strategy", F.col("_p")[0].alias("low"), F.col("_p")[1].alias("high"), F.least(2 * F.least("_lo", "_hi"), F.lit(1.0)).alias("p_value"))
 
 
-def sharpe_intervals(track: DataFrame, value: str = "net_return", n_boot: int = 1000, block: int = 20, seed: int = 0) -> DataFrame:
+def sharpe_intervals(track: DataFrame, value: str = "net_return", n_boot: int = 5000, block: int = 20, seed: int = 0) -> DataFrame:
     return _interval(bootstrap(track, [value], n_boot, block, seed), f"sharpe_{value}")
 
 
-def compare_to(track: DataFrame, benchmark: str, n_boot: int = 1000, block: int = 20, seed: int = 0) -> DataFrame:
+def compare_to(track: DataFrame, benchmark: str, n_boot: int = 5000, block: int = 20, seed: int = 0) -> DataFrame:
     """Paired Sharpe difference of every other strategy to the benchmark on their common days, with Holm's
     step-down over all of them."""
     base = track.where(F.col("strategy") == benchmark).select("date", F.col("net_return").alias("other"))
@@ -129,33 +132,47 @@ def deflated_sharpe(track: DataFrame, value: str = "net_return", risk_free: floa
     return s.select("strategy", "n", (F.col("sr") * sqrt(periods)).alias("sharpe"), (F.col("_max") * sqrt(periods)).alias("expected_max"), _psr(s, F.col("_max")).alias("_z")).withColumn("dsr", normal_cdf("_z")).drop("_z")
 
 
-def power_curve(track: DataFrame, targets: list[float], n_sims: int = 100, n_boot: int = 200, block: int = 20, seed: int = 0) -> DataFrame:
-    """strategy, target and power: the share of synthetic histories with that Sharpe ratio whose bootstrap
-    interval lies above 0.
+def lower_bounds(returns: np.ndarray, targets: list[float], n_boot: int, block: int, seed: tuple[int, ...], periods: int = 252) -> np.ndarray:
+    """For each target the 2.5 % bound of the bootstrapped Sharpe ratio of one synthetic history.
 
-    A history is one circular-block draw of the residuals; its own bootstrap resamples the same block
-    sums, so a target only shifts the mean and all targets share the draws.
+    The history is a circular-block draw of the residuals, as long as the series, with the mean that gives
+    the target; its bootstrap draws circular blocks of the history itself. A target only shifts the mean, so
+    all targets share the draws. Not a number where the series is shorter than two blocks.
     """
-    values = ["net_return"]
-    moments = block_moments(numbered(track, values), values, block)
-    spark = track.sparkSession
-    sizes = moments.groupBy("strategy").agg(F.max("n").alias("n"), F.sqrt(F.sum(F.col("q_net_return")) / block / (F.max("n") - 1)).alias("sd"))
-    m = F.ceil(F.col("n") / block).cast("int")
-    sims = sizes.select("strategy", "n", "sd", m.alias("m"), F.explode(F.sequence(F.lit(0), m - 1)).alias("slot")).crossJoin(F.broadcast(spark.range(n_sims).select(F.col("id").alias("sim"))))  # n_sims numbers
-    sims = sims.withColumn("i", F.floor(uniform(F.lit(seed), F.lit("sim"), "sim", "slot") * F.col("n")).cast("int"))
-    blocks = sims.join(moments.select("strategy", "i", "s_net_return", "q_net_return"), ["strategy", "i"]).select("strategy", "n", "sd", "m", "sim", "slot", "s_net_return", "q_net_return")
-    pools = blocks.groupBy("strategy", "n", "sd", "m", "sim").agg(F.transform(F.sort_array(F.collect_list(F.struct("slot", "s_net_return", "q_net_return"))), lambda x: F.struct(x["s_net_return"].alias("s"), x["q_net_return"].alias("q"))).alias("pool"))  # n / block sums
-    reps = pools.crossJoin(F.broadcast(spark.range(n_boot).select(F.col("id").alias("rep"))))  # n_boot numbers
-    pick = lambda k: F.floor(uniform(F.lit(seed), F.lit("rep"), "sim", "rep", k) * F.col("m")).cast("int")
-    chosen = F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda k: F.element_at("pool", pick(k) + 1))
-    sums = F.aggregate(chosen, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), lambda a, x: F.struct((a["s"] + x["s"]).alias("s"), (a["q"] + x["q"]).alias("q")))
-    reps = reps.select("strategy", "sd", "sim", "rep", (F.col("m") * block).alias("len"), sums.alias("x"))
-    mean = F.col("x.s") / F.col("len")
-    reps = reps.select("strategy", "sim", "rep", "sd", mean.alias("mean"), F.sqrt((F.col("x.q") - F.col("len") * mean * mean) / (F.col("len") - 1)).alias("own"))
-    goals = spark.createDataFrame([(float(t),) for t in targets], "target double")
-    shifted = reps.crossJoin(F.broadcast(goals)).withColumn("sharpe", F.try_divide(F.col("mean") + F.col("target") / sqrt(252) * F.col("sd"), F.col("own")))
-    low = shifted.groupBy("strategy", "target", "sim").agg(F.percentile("sharpe", 0.025).alias("low"))
-    return low.groupBy("strategy", "target").agg(F.avg((F.col("low") > 0).cast("double")).alias("power"))
+    n = len(returns)
+    if n < 2 * block:
+        return np.full(len(targets), np.nan)
+    rng = np.random.default_rng(seed)
+    m, last = ceil(n / block), (n - 1) % block + 1
+    sd = returns.std(ddof=1)
+    at = (rng.integers(0, n, m)[:, None] + np.arange(block)).ravel()[:n] % n
+    history = (returns - returns.mean())[at]
+    around = np.concatenate([history, history[:block]])
+    run = [np.concatenate([[0.0], np.cumsum(x)]) for x in (around, around * around)]
+    starts = rng.integers(0, n, (n_boot, m))
+    total, square = ((r[starts[:, :-1] + block] - r[starts[:, :-1]]).sum(axis=1) + r[starts[:, -1] + last] - r[starts[:, -1]] for r in run)
+    mean = total / n
+    var = (square - n * mean * mean) / (n - 1)
+    own = np.sqrt(np.where(var > 1e-24, var, np.inf))
+    return np.array([np.percentile((mean + t * sd / sqrt(periods)) / own, 2.5) for t in targets])
+
+
+def power_curve(track: DataFrame, targets: list[float], n_sims: int = 200, n_boot: int = 500, block: int = 20, seed: int = 0) -> DataFrame:
+    """strategy, target and power: the share of synthetic histories with that Sharpe ratio whose bootstrap
+    interval lies above 0. A task works on some of the n_sims histories of a strategy (see lower_bounds)."""
+    rows = numbered(track, ["net_return"])
+    series = rows.groupBy("strategy").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "net_return"))), lambda x: x["net_return"]).alias("r"))  # a number for each session
+    sims = track.sparkSession.range(0, n_sims, 1, min(n_sims, 64)).withColumnRenamed("id", "sim").crossJoin(F.broadcast(series.withColumn("key", F.xxhash64("strategy"))))
+    goals = [float(t) for t in targets]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low = [lower_bounds(np.asarray(r, float), goals, n_boot, block, (seed, k % 2**64, sim)) for sim, r, k in zip(*(batch.column(c).to_pylist() for c in ("sim", "r", "key")), strict=True)]
+            above = np.concatenate([np.zeros(0), *low]) > 0
+            yield pa.RecordBatch.from_arrays([batch.column("strategy").take(pa.array(np.repeat(np.arange(batch.num_rows), len(goals)))), pa.array(np.tile(goals, batch.num_rows), pa.float64()), pa.array(above.astype(float))], ["strategy", "target", "above"])
+
+    found = sims.mapInArrow(work, "strategy string, target double, above double")
+    return found.groupBy("strategy", "target").agg(F.avg("above").alias("power"))
 
 
 def least_detectable(curve: DataFrame, power: float = 0.8) -> DataFrame:

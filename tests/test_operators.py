@@ -1,7 +1,9 @@
 """Hand-made cases of the panel operators."""
 
 import datetime as dt
+import inspect
 
+import numpy as np
 import pandas as pd
 import pytest
 
@@ -113,3 +115,32 @@ def test_drawdown_brake_and_band():
     days = [{"date": 1, "symbols": ["a"], "sizes": [0.2], "returns": [-1.0]}, {"date": 2, "symbols": ["a"], "sizes": [0.21], "returns": [0.0]}]
     out = folds.fold_days(days, 0.05, 0.0)
     assert out[0]["equity"] == pytest.approx(0.8) and out[1]["weights"]["a"] == pytest.approx(folds.drawdown_factor(-0.2) * 0.2, abs=0.06)
+
+
+def test_power_resamples_the_history():
+    rng = np.random.default_rng(3)
+    r = rng.normal(0.0005, 0.01, 130)
+    got = inference.lower_bounds(r, [0.0, 2.0], 40, 20, (1, 2))
+    rng = np.random.default_rng((1, 2))
+    circle = lambda starts, n: np.concatenate([np.arange(s, s + 20) % n for s in starts])[:n]
+    history = (r - r.mean())[circle(rng.integers(0, 130, 7), 130)]
+    drawn = [history[circle(starts, 130)] for starts in rng.integers(0, 130, (40, 7))]
+    for t, low in zip([0.0, 2.0], got, strict=True):
+        assert low == pytest.approx(np.percentile([(x.mean() + t * r.std(ddof=1) / 252**0.5) / x.std(ddof=1) for x in drawn], 2.5))
+
+
+def test_resampling_counts(spark, monkeypatch):
+    from panelloom.plans import decisions
+
+    asked = {}
+    for name in ("sharpe_intervals", "compare_to", "power_curve"):
+        def spy(*args, _name=name, _made=getattr(inference, name), **options):
+            asked[_name] = inspect.signature(_made).bind(*args, **options)
+            asked[_name].apply_defaults()
+            return _made(*args, **options)
+
+        monkeypatch.setattr(inference, name, spy)
+    for query in (decisions.i1_i2_whole_bootstrap_intervals, decisions.i3_i7_comparisons_with_buyhold, decisions.i9_i10_power):
+        query(spark, "/root/testdata/sf0.001")
+    assert asked["sharpe_intervals"].arguments["n_boot"] == asked["compare_to"].arguments["n_boot"] == 5000
+    assert (asked["power_curve"].arguments["n_sims"], asked["power_curve"].arguments["n_boot"]) == (200, 500)
