@@ -123,7 +123,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
 
     labels: doc_id and a 0/1 column for each category. Features are the n_features with the largest
     |z| of the difference between the share of positive and of negative texts that have them, over all
-    categories; Spark counts them. Rows with a null id, text or label teach nothing.
+    categories; Spark counts them over all labelled rows. Rows with a null id, text or label teach nothing.
     """
     ready = labels.select("doc_id", *categories).dropna().dropDuplicates(["doc_id"])
     total = ready.count()
@@ -146,8 +146,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
             yield [pa.array(unique.view(np.int64)), *(pa.array(s.astype(np.int64)) for s in sums)]
 
     names = ["n", *(f"pos{j}" for j in range(k))]
-    seen = emit(held.select("text", *categories), longs("feature", *names), count).groupBy("feature").agg(*(F.sum(c).alias(c) for c in names))
-    rows = held.agg(F.count("*").alias("n"), *(F.sum(c).alias(f"pos{j}") for j, c in enumerate(categories))).first()
+    labelled = docs.select("doc_id", "text").where("text is not null").join(ready, "doc_id")
+    seen = emit(labelled.select("text", *categories), longs("feature", *names), count).groupBy("feature").agg(*(F.sum(c).alias(c) for c in names))
+    rows = docs.select("doc_id").where("text is not null").join(ready, "doc_id").agg(F.count("*").alias("n"), *(F.sum(c).alias(f"pos{j}") for j, c in enumerate(categories))).first()
     n = rows["n"]
     score = F.lit(0.0)
     for j in range(k):

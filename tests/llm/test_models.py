@@ -57,3 +57,12 @@ def test_pipeline(spark):
             assert docs.columns == columns
         else:
             assert after == before
+
+
+def test_toxicity_counts_all_labelled_rows(spark):
+    rows = [(i, f"plain words number{i} " + ("zyxwv" if i % 10 == 0 else "good day")) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = docs.select("doc_id", (F.col("doc_id") % 10 == 0).cast("int").alias("toxic"))
+    few = toxicity.train(docs, labels, ["toxic"], sample=20)  # the word stands in about two of these
+    every = toxicity.train(docs, labels, ["toxic"], sample=10_000)
+    assert len(every.keys) > 0 and few.keys.tolist() == every.keys.tolist()
