@@ -287,10 +287,12 @@ def v10_briefing_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add()
 def m1_m3_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = features.window_features(src.bars(spark, sf_dir)).withColumn("fwd_ret", labels.forward_return(1)).where("fwd_ret is not null and ret_5d is not null and stoch_k is not null")
-    rows = rows.select("date", "symbol", "fwd_ret", (F.col("fwd_ret") > 0).cast("int").alias("y"), "ret_1d", "ret_5d", "stoch_k")
-    table = labels.folds(rows.select("date"), test_months=12)
-    return rounded(walkforward.walk_forward(rows, table, ["ret_1d", "ret_5d", "stoch_k"]), 4)
+    bars = src.bars(spark, sf_dir)
+    rows = features.recursive_features(features.window_features(bars))
+    names = [c for c in rows.columns if c not in bars.columns]
+    rows = rows.withColumn("fwd_ret", labels.forward_return(1)).dropna(subset=["fwd_ret", *names])
+    rows = rows.select("date", "symbol", "fwd_ret", (F.col("fwd_ret") > 0).cast("int").alias("y"), *names).cache()  # each fold reads them again
+    return rounded(walkforward.walk_forward(rows, labels.folds(rows.select("date"), test_months=6), names, "gbt"), 4)
 
 
 @R.add("bars", "WITH " + ", ".join(f"r{k} AS (SELECT date, symbol, 1 / (1 + exp({10 + k} * (close / lag(close) OVER w - 1))) AS p FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date))" for k in range(3)) + " SELECT 'model' AS architecture, date, symbol, round(avg(p), 6) AS prob_up FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2) WHERE p IS NOT NULL GROUP BY 2, 3")

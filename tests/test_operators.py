@@ -144,3 +144,20 @@ def test_resampling_counts(spark, monkeypatch):
         query(spark, "/root/testdata/sf0.001")
     assert asked["sharpe_intervals"].arguments["n_boot"] == asked["compare_to"].arguments["n_boot"] == 5000
     assert (asked["power_curve"].arguments["n_sims"], asked["power_curve"].arguments["n_boot"]) == (200, 500)
+
+
+def test_walk_forward_query_boosts_trees_on_all_features(spark, monkeypatch):
+    from panelloom.operators import walkforward
+    from panelloom.plans import decisions
+
+    asked = {}
+
+    def spy(rows, folds, names, model="logistic"):
+        asked.update(folds=folds.count(), names=set(names), model=model)
+        return rows.select("date", "symbol", "fwd_ret").limit(0)
+
+    monkeypatch.setattr(walkforward, "walk_forward", spy)
+    decisions.m1_m3_walk_forward(spark, "/root/testdata/sf0.001")
+    assert asked["model"] == "gbt" and {"ret_20d", "bb_pos", "dist_sma200", "rsi_14", "macd_hist", "atr_14"} <= asked["names"] and asked["folds"] > 0
+    trees = walkforward.classifier("gbt")
+    assert (trees.getMaxIter(), trees.getMaxDepth(), trees.getStepSize()) == (200, 4, 0.05)
