@@ -5,6 +5,9 @@ neighbouring ones. For each band the similarity bounds the symmetric difference
 domain is cut into n1 parts of n2 subparts each; some part then holds at most k2 = 1 differing feature,
 so some subset of n2 - k2 of its subparts is equal in both sets. A set signs with every such subset of
 every part, for its own band and for the next one, so that similar sets always share a signature.
+
+More parts than needed make them share several, so a set may leave out its most frequent ones: with r in
+common, two sets still have one in common without the r - 1 most frequent of each.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
-from math import ceil, exp, sqrt
+from math import comb, exp, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,11 @@ from .tasks import components, emit, longs, written
 
 K2 = 1
 _FLUSH = 2_000_000
-_SMALL = 8
+_SMALL, _WIDE = 8, 32
+_WIDE_FROM = 500
+_BLOCK = 64
+#: A join with so many ids at most is a broadcast (about 50 bytes each in memory), with more a shuffle.
+_FEW = 2_000_000
 
 
 def shingle_sets(data: np.ndarray, ends: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,13 +60,16 @@ def bands(percent: int, upto: int) -> tuple[tuple[int, int], ...]:
     return tuple(out)
 
 
+Layer = tuple[int, int, int, np.ndarray]
+
+
 @lru_cache(maxsize=4096)
-def scheme(percent: int, band: int) -> tuple[int, int, int, np.ndarray] | None:
-    """(n1, n2, slack, constants) with which sets of a band and of the one below it sign.
+def scheme(percent: int, band: int) -> tuple[Layer, ...]:
+    """The layers (n1, n2, slack, constants) with which sets of a band and of the one below it sign.
 
-    None if sets of these sizes are similar enough only if they are equal. slack: so many parts more than
-    needed, so that a set with at most so many parts of which some subset is empty needs no signature of
-    an empty subset.
+    Empty if sets of these sizes are similar enough only if they are equal. slack: so many parts more than
+    needed that most sets have no more parts than these of which some subset is empty. The second layer
+    has one subpart more in a part, so larger subsets, for the sets that have more such parts.
     """
     limits = bands(percent, 1)
     while len(limits) <= band:
@@ -67,36 +77,55 @@ def scheme(percent: int, band: int) -> tuple[int, int, int, np.ndarray] | None:
     low, high = limits[max(band - 1, 0)][0], limits[band][1]
     most = 2 * high * (100 - percent) // (100 + percent)
     if not most:
-        return None
-    n1, n2 = most // (K2 + 1) + 1, 3 if high < 128 else 2
-    weak = n1 * n2 * exp(-low / n1 * (n2 - K2) / n2)
-    slack = ceil(min(weak + 4 * sqrt(weak), n1))
-    n1 += slack
-    subsets = len(list(combinations(range(n2), n2 - K2)))
-    return n1, n2, slack, tb.mix(np.arange(n1 * subsets, dtype=np.uint64) + tb.U64((band + 1) << 32)).reshape(n1, subsets)
+        return ()
+    out, base = [], most // (K2 + 1) + 1
+    for layer, n2 in enumerate((3, 4) if high < 128 else (2, 3)):
+        slack = _slack(base, n2, low)
+        n1, subsets = base + slack, comb(n2, K2)
+        out.append((n1, n2, slack, tb.mix(np.arange(n1 * subsets, dtype=np.uint64) + tb.U64((band + 1) << 32 | layer << 30)).reshape(n1, subsets)))
+    return tuple(out)
+
+
+def _slack(base: int, n2: int, low: int) -> int:
+    """The least slack that exceeds the mean number of parts with an empty subset by 2.5 deviations, or a
+    third of base where more parts only make more empty ones."""
+    for slack in range(base + 1):
+        n1 = base + slack
+        weak = min(n1, n1 * comb(n2, K2) * exp(-low / n1 * (n2 - K2) / n2))
+        if slack >= weak + 2.5 * sqrt(weak):
+            return slack
+    return max(1, base // 3)
+
 
+def signatures(values: np.ndarray, percent: int) -> list[tuple[np.ndarray, int]]:
+    """PartEnum signatures of a set, by band and layer. values: its sorted distinct 64-bit features.
 
-def signatures(values: np.ndarray, percent: int) -> np.ndarray:
-    """All PartEnum signatures of a set. values: its sorted distinct 64-bit features."""
+    With each layer comes how many of its signatures the set shares at least with a similar one that has
+    the layer. slack + 1 parts have at most k2 differing features, so a subset in common; a part of which
+    some subset is empty counts as lost. A set with more than slack such parts signs in the next layer
+    too, where it meets others like it; in the last one, empty subsets have signatures as well.
+    """
     if not len(values):
-        return np.zeros(0, np.uint64)
+        return []
     band, out = len(bands(percent, len(values))) - 1, []
     sums = np.zeros(len(values) + 1, np.uint64)
     np.cumsum(tb.mix(values), out=sums[1:])
     for b in (band, band + 1):
-        if not (how := scheme(percent, b)):
-            continue
-        n1, n2, slack, constants = how
-        # Subparts are equal ranges of the hash's upper half, so each is a run of the sorted values.
-        subpart = (values >> np.uint64(32)) * tb.U64(n1 * n2) >> np.uint64(32)
-        at = np.searchsorted(subpart, np.arange(n1 * n2 + 1, dtype=np.uint64))
-        count, total = np.diff(at).reshape(n1, n2), (sums[at[1:]] - sums[at[:-1]]).reshape(n1, n2)
-        chosen = list(combinations(range(n2), n2 - K2))
-        has = np.stack([count[:, c].sum(axis=1) > 0 for c in chosen], axis=1)
-        sign = tb.mix(np.stack([total[:, c].sum(axis=1) for c in chosen], axis=1) + constants)
-        sparse = (~has.all(axis=1)).sum() > slack
-        out.append(sign.ravel() if sparse else sign[has])
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        layers = scheme(percent, b)
+        for n1, n2, slack, constants in layers:
+            # Subparts are equal ranges of the hash's upper half, so each is a run of the sorted values.
+            subpart = (values >> np.uint64(32)) * tb.U64(n1 * n2) >> np.uint64(32)
+            at = np.searchsorted(subpart, np.arange(n1 * n2 + 1, dtype=np.uint64))
+            count, total = np.diff(at).reshape(n1, n2), (sums[at[1:]] - sums[at[:-1]]).reshape(n1, n2)
+            chosen = list(combinations(range(n2), n2 - K2))
+            has = np.stack([count[:, c].sum(axis=1) > 0 for c in chosen], axis=1)
+            sign = tb.mix(np.stack([total[:, c].sum(axis=1) for c in chosen], axis=1) + constants)
+            weak = int((~has.all(axis=1)).sum())
+            if weak <= slack:
+                out.append((sign[has], 1 + slack - weak))
+                break
+            out.append((sign.ravel() if constants is layers[-1][-1] else sign[has], 1))
+    return out
 
 
 def parity_sketch(values: np.ndarray) -> np.ndarray:
@@ -123,9 +152,9 @@ def _folded(x: np.ndarray) -> np.ndarray:
     return np.packbits(bits[0::2] ^ bits[1::2], bitorder="little").view(np.int64)
 
 
-def small_sketch(sketch: np.ndarray) -> np.ndarray:
-    """The sketch of 512 bits, _SMALL longs."""
-    while len(sketch) > _SMALL:
+def cut_sketch(sketch: np.ndarray, size: int) -> np.ndarray:
+    """The sketch of at most so many longs."""
+    while len(sketch) > size:
         sketch = _folded(sketch)
     return sketch
 
@@ -148,18 +177,16 @@ def sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def sketched(texts: DataFrame, k: int) -> DataFrame:
-    """node, h, n_shingles and both sketches of the texts' sets."""
+    """node, h, n_shingles and the sketch of the texts' sets."""
 
     def work(batch: pa.RecordBatch) -> Iterator[list]:
         for part, data, ends in tb.slices(batch):
             values, at = shingle_sets(data, ends, k)
             own = [values[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-            sketches = [parity_sketch(v) for v in own]
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (sketches, [small_sketch(x) for x in sketches])]
-            yield [part.column("node"), pa.array([set_hash(v) for v in own], pa.int64()), pa.array(np.diff(at)), *lists]
+            sketches = pa.array([parity_sketch(v) for v in own], pa.list_(pa.int64()))
+            yield [part.column("node"), pa.array([set_hash(v) for v in own], pa.int64()), pa.array(np.diff(at)), sketches]
 
-    schema = T.StructType([*longs("node", "h", "n_shingles").fields, *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("sketch", "small"))])
-    return emit(texts, schema, work)
+    return emit(texts, T.StructType([*longs("node", "h", "n_shingles").fields, T.StructField("sketch", T.ArrayType(T.LongType()))]), work)
 
 
 def bucket_edges(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -193,7 +220,8 @@ def bucket_edges(docs: DataFrame, k: int, percent: int) -> DataFrame:
                     if a == b or (h := set_hash(own)) in seen:
                         continue
                     seen.add(h)
-                    held.append((signatures(own, percent), h))
+                    signed = [sig for sig, _ in signatures(own, percent)]
+                    held.append((np.concatenate(signed) if signed else np.zeros(0, np.uint64), h))
                     size += len(held[-1][0])
                 if size > _FLUSH:
                     yield flush()
@@ -278,9 +306,102 @@ def _labels(links: DataFrame) -> DataFrame:
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """Rows (sig, h, n_shingles, label) of the buckets that hold several labels."""
-    mixed = rows.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("sig")
-    return written(rows.join(mixed, "sig", "left_semi"), "open")
+    """Rows with a sig and a label of the buckets that hold several labels, and the bucket's size."""
+    mixed = rows.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi")
+    return rows.join(mixed.select("sig", "size"), "sig")
+
+
+_OPEN = T.StructType([*longs("sig", "h", "n_shingles", "label").fields, *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("small", "wide"))])
+
+
+def rarest(rows: DataFrame, one_of: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Rows of mixed buckets (sig, h, label, size) that are needed, with the sets' sizes and sketches.
+
+    Each set leaves out its most frequent signatures of each layer, one fewer than it must share with a
+    similar set. Buckets are ordered by their size and signature, for all sets alike, so of the signatures
+    that two similar sets share the rarest one stays in both.
+    """
+
+    def work(batch: pa.RecordBatch) -> Iterator[list]:
+        row = 0
+        for part, data, ends in tb.slices(batch):
+            values, at = shingle_sets(data, ends, k)
+            for i in range(part.num_rows):
+                h, label, held = (batch.column(c)[row].as_py() for c in ("h", "label", "held"))
+                row += 1
+                own = values[at[i] : at[i + 1]]
+                if set_hash(own) != h:  # another text of this doc_id
+                    continue
+                place = {x["sig"]: (x["size"], x["sig"]) for x in held}
+                kept: list[int] = []
+                for signed, shared in signatures(own, percent):
+                    mine = sorted((place[x] for x in signed.view(np.int64).tolist() if x in place), reverse=True)
+                    kept += [x for _, x in mine[shared - 1 :]]
+                if kept:
+                    full = parity_sketch(own)
+                    wide = cut_sketch(full, _WIDE) if len(own) > _WIDE_FROM else full[:0]
+                    yield [pa.array(kept, pa.int64()), *(pa.array([x] * len(kept), pa.int64()) for x in (h, len(own), label)), *(pa.array([x] * len(kept), pa.list_(pa.int64())) for x in (cut_sketch(full, _SMALL), wide))]
+
+    held = rows.groupBy("h").agg(F.first("label").alias("label"), F.collect_list(F.struct("sig", "size")).alias("held"))  # a set's own signatures
+    named = held.join(one_of.select("h", "node"), "h").join(texts, "node")
+    return emit(named.select("h", "label", "held", "text"), _OPEN, work)
+
+
+def near_in_buckets(rows: DataFrame, percent: int) -> DataFrame:
+    """(ha, hb) of different labels in one bucket whose sizes and sketches allow enough similarity.
+
+    A bucket of more than _BLOCK rows is cut into hashed blocks, and each pair of its blocks is a group
+    of its own, so no task gets a whole bucket. Groups stream by in order of their keys.
+    """
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        sig, one, two, own, h, n, label = (np.asarray(t.column(c)) for c in ("sig", "one", "two", "own", "h", "n_shingles", "label"))
+        small = t.column("small").combine_chunks().flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, _SMALL)
+        wide = t.column("wide").combine_chunks()
+        has_wide = wide.value_lengths().to_numpy(zero_copy_only=False) > 0
+        at_wide = np.cumsum(has_wide) - 1
+        wide = wide.flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, _WIDE)
+        group = np.cumsum(np.concatenate([[0], _changes(sig, one, two)]))
+        ha, hb = [h[:0]], [h[:0]]
+        for d in range(1, len(h)):
+            i = np.flatnonzero(group[d:] == group[:-d])
+            if not len(i):
+                break
+            j = i + d
+            fits = (label[i] != label[j]) & ((one[i] == two[i]) | (own[i] != own[j])) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+            i, j = i[fits], j[fits]
+            most = (n[i] + n[j]) * (100 - percent) // (100 + percent)
+            fits = np.bitwise_count(small[i] ^ small[j]).sum(axis=1) <= most
+            both = np.flatnonzero(fits & has_wide[i] & has_wide[j])
+            fits[both] = np.bitwise_count(wide[at_wide[i[both]]] ^ wide[at_wide[j[both]]]).sum(axis=1) <= most[both]
+            ha.append(h[i[fits]])
+            hb.append(h[j[fits]])
+        a, b = np.concatenate(ha), np.concatenate(hb)
+        found = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(found[0]), pa.array(found[1])], ["ha", "hb"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if held is None else pa.concat_tables([held, t]).combine_chunks()
+            ends = np.flatnonzero(_changes(*(np.asarray(t.column(c)) for c in ("sig", "one", "two")))) + 1
+            last = int(ends[-1]) if len(ends) else 0
+            if last:
+                yield pairs(t.slice(0, last))
+            held = t.slice(last)  # the last group may go on
+        if held is not None and held.num_rows:
+            yield pairs(held)
+
+    blocks = F.ceil(F.col("size") / _BLOCK).cast("int")
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("h"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select(*_OPEN.names, "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
+    return dealt.repartition("sig", "one", "two").sortWithinPartitions("sig", "one", "two").mapInArrow(run, longs("ha", "hb")).distinct()
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Where a row's columns differ from those of the row before, from the second row on."""
+    return np.any([c[1:] != c[:-1] for c in columns], axis=0)
 
 
 def links_between_sets(docs: DataFrame, info: DataFrame, k: int, percent: int) -> DataFrame:
@@ -289,26 +410,29 @@ def links_between_sets(docs: DataFrame, info: DataFrame, k: int, percent: int) -
     Every bucket is joined as a star and the star's pairs are verified. In buckets that hold several
     components then, all sets are compared with the one that shares most buckets, the likeliest original
     of near copies, and labels that get linked so become one. What still has different labels in a bucket is
-    compared pair by pair. A pair is left out only if both sets are in one component anyway, or if their
-    sizes or sketches show that they can't be linked.
+    compared pair by pair, but for the signatures that sets can do without (see rarest). A pair is left out
+    only if both sets are in one component anyway, or if their sizes or sketches show that they can't be
+    linked.
     """
     edges = written(bucket_edges(docs, k, percent), "buckets")
     members = edges.select(F.col("a").alias("h")).unionAll(edges.select(F.col("b").alias("h"))).distinct()
     named = info.where("h is not null").groupBy("h").agg(F.min("node").alias("node")).join(members, "h", "left_semi")
     named = written(named, "members")
-    texts = written(docs.select(_node(docs), "text").join(named.select("node").distinct(), "node", "left_semi"), "texts")
+    nodes = named.select("node").distinct()
+    few = nodes.limit(_FEW + 1).count() <= _FEW
+    texts = written(docs.select(_node(docs), "text").join(F.broadcast(nodes) if few else nodes.hint("shuffle_hash"), "node", "left_semi"), "texts")
     one_of = written(sketched(texts, k).join(named, ["node", "h"], "left_semi").dropDuplicates(["h"]), "classes")
     seen = written(_ordered(edges), "pairs")
     check = lambda pairs: written(verified(possible(pairs, one_of, percent), texts, k, percent), "links")
     links = check(seen)
-    label = one_of.select("h", "n_shingles").join(_labels(links), "h", "left").select("h", "n_shingles", F.coalesce("component", "h").alias("label"))
+    label = one_of.select("h").join(_labels(links), "h", "left").select("h", F.coalesce("component", "h").alias("label"))
     label = written(label, "labels")
     side = lambda x: label.select(F.col("h").alias(f"h{x}"), F.col("label").alias(f"l{x}"))
     apart = seen.join(side("a"), "ha").join(side("b"), "hb").where("la <> lb").select("ha", "hb")
     sigs = edges.withColumns({"ha": F.least("a", "b"), "hb": F.greatest("a", "b")}).join(apart, ["ha", "hb"], "left_semi").select("sig").distinct()
     stars = edges.join(sigs, "sig", "left_semi")
     rows = stars.select("sig", F.col("a").alias("h")).unionAll(stars.select("sig", F.col("b").alias("h"))).distinct()
-    rows = written(rows.join(label, "h").select("sig", "h", "n_shingles", "label"), "open")
+    rows = written(rows.join(label, "h").select("sig", "h", "label"), "open")
     # The set that shares most buckets with others leads each of its buckets.
     size = rows.groupBy("sig").agg(F.count("*").alias("size"))
     shared = rows.join(size, "sig").groupBy("h").agg(F.sum("size").alias("shared"))
@@ -319,13 +443,9 @@ def links_between_sets(docs: DataFrame, info: DataFrame, k: int, percent: int) -
     # What the second star linked takes one label: the components of the labels that its links join.
     joined = more.join(side("a"), "ha").join(side("b"), "hb").select("la", "lb")
     moved = components(joined, "la", "lb").select(F.col("node").alias("label"), F.col("component").alias("to"))
-    rows = _open(rows.join(moved, "label", "left").select("sig", "h", "n_shingles", F.coalesce("to", "label").alias("label")))
-    # The condition is part of the join, so a pair that sizes or small sketches rule out is never a row.
-    rows = rows.join(one_of.select("h", "small"), "h").withColumnRenamed("h", "a")
-    other = rows.select("sig", F.col("a").alias("b"), F.col("n_shingles").alias("n_b"), F.col("label").alias("label_b"), F.col("small").alias("small_b"))
-    apart_bits = " + ".join(f"bit_count(small[{i}] ^ small_b[{i}])" for i in range(_SMALL))
-    fits = f"label < label_b and 100 * least(n_shingles, n_b) >= {percent} * greatest(n_shingles, n_b) and {100 + percent} * ({apart_bits}) <= {100 - percent} * (n_shingles + n_b)"
-    rest = _ordered(rows.join(other, "sig").where(fits)).join(seen.unionAll(pairs), ["ha", "hb"], "left_anti")
+    rows = rows.join(moved, "label", "left").select("sig", "h", F.coalesce("to", "label").alias("label"))
+    rows = written(rarest(_open(rows), one_of, texts, k, percent), "open")
+    rest = near_in_buckets(_open(rows), percent).join(seen.unionAll(pairs), ["ha", "hb"], "left_anti")
     return links.unionAll(more).unionAll(check(written(rest, "pairs")))
 
 
