@@ -15,6 +15,8 @@ from . import textbytes as tb
 from .tasks import annotate, emit, longs, written
 
 BEGINNINGS = (4, 5, 6)
+#: Bitmaps of labels of so many bytes at most go to every task; beyond it texts and labels are shuffled.
+_BITMAP_BYTES = 1 << 26
 
 
 def features(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,14 +120,33 @@ def fit_chain(x: np.ndarray, y: np.ndarray, fold: np.ndarray, categories: list[s
     return chain
 
 
+def labelled_texts(docs: DataFrame, ready: DataFrame, categories: list[str]) -> DataFrame:
+    """text and categories of every document with a text and a label.
+
+    Labels are bits at the places of their ids, 4 KiB for 32,768 neighbouring ids, so those of dense ids
+    are small enough for every task and no text is shuffled. Bitmaps of scattered ids are not: then both
+    sides are dealt by id. ready: distinct doc_ids with categories of 0 or 1.
+    """
+    rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    place = F.bitmap_bit_position("doc_id")
+    maps = ready.groupBy(F.bitmap_bucket_number("doc_id").alias("bucket")).agg(F.bitmap_construct_agg(place).alias("known"), *(F.bitmap_construct_agg(F.when(F.col(c) == 1, place)).alias(c) for c in categories))
+    bucket_bytes = 4096 * (1 + len(categories))
+    if ready.select(F.bitmap_bucket_number("doc_id")).distinct().count() * bucket_bytes > _BITMAP_BYTES:
+        return rows.join(ready.hint("merge"), "doc_id").select("text", *categories)
+    bit = lambda c: F.getbit(F.conv(F.hex(F.substring(c, (place / 8).cast("int") + 1, 1)), 16, 10).cast("int"), (place % 8).cast("int"))
+    met = rows.withColumn("bucket", F.bitmap_bucket_number("doc_id")).join(F.broadcast(maps), "bucket").where(bit(F.col("known")) == 1)
+    return met.select("text", *(bit(F.col(c)).cast("int").alias(c) for c in categories))
+
+
 def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int = 12_000, n_features: int = 1200, folds: int = 5, least_docs: int = 4) -> Chain:
     """Fit the chain on a bounded sample: about `sample` labelled rows, those with the smallest hashed id.
 
     labels: doc_id and a 0/1 column for each category. Features are the n_features with the largest
     |z| of the difference between the share of positive and of negative texts that have them, over all
-    categories; Spark counts them over all labelled rows. Rows with a null id, text or label teach nothing.
+    categories; Spark counts them over all labelled rows. Rows with a null id, text or label teach nothing;
+    of several labels of one id the larger ones count.
     """
-    ready = labels.select("doc_id", *categories).dropna().dropDuplicates(["doc_id"])
+    ready = labels.select(F.col("doc_id").cast("long").alias("doc_id"), *categories).dropna().groupBy("doc_id").agg(*(F.max(c).alias(c) for c in categories))
     total = ready.count()
     key = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     ids = ready.where(key < sample / max(total, 1)).withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(31)), F.lit(folds)).cast("int"))
@@ -135,7 +156,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
     def count(batch: pa.RecordBatch) -> Iterator[list]:
         y = np.stack([np.asarray(batch.column(c)).astype(np.int64) for c in categories], axis=1)
         row = 0
-        for part, data, ends in tb.slices(batch):
+        for part, data, ends in tb.slices(batch, most=1 << 20):  # counts of more texts at once are fewer rows
             n = part.num_rows
             values, owner = features(data, ends)
             values, at = tb.distinct(values, owner, n)
@@ -146,9 +167,9 @@ def train(docs: DataFrame, labels: DataFrame, categories: list[str], sample: int
             yield [pa.array(unique.view(np.int64)), *(pa.array(s.astype(np.int64)) for s in sums)]
 
     names = ["n", *(f"pos{j}" for j in range(k))]
-    labelled = docs.select("doc_id", "text").where("text is not null").join(ready, "doc_id")
-    seen = emit(labelled.select("text", *categories), longs("feature", *names), count).groupBy("feature").agg(*(F.sum(c).alias(c) for c in names))
-    rows = docs.select("doc_id").where("text is not null").join(ready, "doc_id").agg(F.count("*").alias("n"), *(F.sum(c).alias(f"pos{j}") for j, c in enumerate(categories))).first()
+    labelled = labelled_texts(docs, ready, categories)
+    seen = emit(labelled, longs("feature", *names), count).groupBy("feature").agg(*(F.sum(c).alias(c) for c in names))
+    rows = labelled.agg(F.count("*").alias("n"), *(F.sum(c).alias(f"pos{j}") for j, c in enumerate(categories))).first()
     n = rows["n"]
     score = F.lit(0.0)
     for j in range(k):

@@ -66,3 +66,13 @@ def test_toxicity_counts_all_labelled_rows(spark):
     few = toxicity.train(docs, labels, ["toxic"], sample=20)  # the word stands in about two of these
     every = toxicity.train(docs, labels, ["toxic"], sample=10_000)
     assert len(every.keys) > 0 and few.keys.tolist() == every.keys.tolist()
+
+
+def test_labels_by_bitmaps_and_by_a_shuffle(spark, monkeypatch):
+    ids = [0, 1, -1, 7, 8, 32768, 32769, 65536, -32768, 10**12, None]
+    docs = spark.createDataFrame([(d, f"text {d}") for d in ids] + [(7, "text 7"), (8, None), (9, "no label")], "doc_id long, text string")
+    labels = spark.createDataFrame([(d, i % 2, i % 3 % 2) for i, d in enumerate(ids) if d is not None], "doc_id long, a int, b int")
+    want = sorted((f"text {d}", i % 2, i % 3 % 2) for i, d in enumerate([*ids[:-1]]) for _ in range(2 if d == 7 else 1))
+    for most in (1 << 26, 0):
+        monkeypatch.setattr(toxicity, "_BITMAP_BYTES", most)
+        assert sorted(tuple(r) for r in toxicity.labelled_texts(docs, labels, ["a", "b"]).collect()) == want
