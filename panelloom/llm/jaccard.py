@@ -27,9 +27,9 @@ from . import textbytes as tb
 from .tasks import components, emit, longs, written
 
 K2 = 1
-_FLUSH = 2_000_000
+_FLUSH = 1_000_000
 _SMALL, _WIDE = 8, 32
-_WIDE_FROM = 500
+_WIDE_FROM = 512  # larger sets have sketches of _WIDE longs or more
 _BLOCK = 64
 #: A join with so many ids at most is a broadcast (about 50 bytes each in memory), with more a shuffle.
 _FEW = 2_000_000
@@ -311,7 +311,7 @@ def _open(rows: DataFrame) -> DataFrame:
     return rows.join(mixed.select("sig", "size"), "sig")
 
 
-_OPEN = T.StructType([*longs("sig", "h", "n_shingles", "label").fields, *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("small", "wide"))])
+_OPEN = T.StructType([*longs("sig", "size", "h", "n_shingles", "label").fields, *(T.StructField(c, T.ArrayType(T.LongType())) for c in ("small", "wide"))])
 
 
 def rarest(rows: DataFrame, one_of: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -333,14 +333,14 @@ def rarest(rows: DataFrame, one_of: DataFrame, texts: DataFrame, k: int, percent
                 if set_hash(own) != h:  # another text of this doc_id
                     continue
                 place = {x["sig"]: (x["size"], x["sig"]) for x in held}
-                kept: list[int] = []
+                kept: list[tuple[int, int]] = []
                 for signed, shared in signatures(own, percent):
                     mine = sorted((place[x] for x in signed.view(np.int64).tolist() if x in place), reverse=True)
-                    kept += [x for _, x in mine[shared - 1 :]]
+                    kept += mine[shared - 1 :]
                 if kept:
                     full = parity_sketch(own)
                     wide = cut_sketch(full, _WIDE) if len(own) > _WIDE_FROM else full[:0]
-                    yield [pa.array(kept, pa.int64()), *(pa.array([x] * len(kept), pa.int64()) for x in (h, len(own), label)), *(pa.array([x] * len(kept), pa.list_(pa.int64())) for x in (cut_sketch(full, _SMALL), wide))]
+                    yield [*(pa.array([x[j] for x in kept], pa.int64()) for j in (1, 0)), *(pa.array([x] * len(kept), pa.int64()) for x in (h, len(own), label)), *(pa.array([x] * len(kept), pa.list_(pa.int64())) for x in (cut_sketch(full, _SMALL), wide))]
 
     held = rows.groupBy("h").agg(F.first("label").alias("label"), F.collect_list(F.struct("sig", "size")).alias("held"))  # a set's own signatures
     named = held.join(one_of.select("h", "node"), "h").join(texts, "node")
@@ -350,7 +350,7 @@ def rarest(rows: DataFrame, one_of: DataFrame, texts: DataFrame, k: int, percent
 def near_in_buckets(rows: DataFrame, percent: int) -> DataFrame:
     """(ha, hb) of different labels in one bucket whose sizes and sketches allow enough similarity.
 
-    A bucket of more than _BLOCK rows is cut into hashed blocks, and each pair of its blocks is a group
+    A bucket whose size is over _BLOCK is cut into hashed blocks, and each pair of its blocks is a group
     of its own, so no task gets a whole bucket. Groups stream by in order of their keys.
     """
 
@@ -395,7 +395,7 @@ def near_in_buckets(rows: DataFrame, percent: int) -> DataFrame:
 
     blocks = F.ceil(F.col("size") / _BLOCK).cast("int")
     dealt = rows.withColumn("own", F.pmod(F.xxhash64("h"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select(*_OPEN.names, "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
+    dealt = dealt.select(*(c for c in _OPEN.names if c != "size"), "own", F.least("own", "other").alias("one"), F.greatest("own", "other").alias("two"))
     return dealt.repartition("sig", "one", "two").sortWithinPartitions("sig", "one", "two").mapInArrow(run, longs("ha", "hb")).distinct()
 
 
@@ -445,7 +445,7 @@ def links_between_sets(docs: DataFrame, info: DataFrame, k: int, percent: int) -
     moved = components(joined, "la", "lb").select(F.col("node").alias("label"), F.col("component").alias("to"))
     rows = rows.join(moved, "label", "left").select("sig", "h", F.coalesce("to", "label").alias("label"))
     rows = written(rarest(_open(rows), one_of, texts, k, percent), "open")
-    rest = near_in_buckets(_open(rows), percent).join(seen.unionAll(pairs), ["ha", "hb"], "left_anti")
+    rest = near_in_buckets(rows, percent).join(seen.unionAll(pairs), ["ha", "hb"], "left_anti")
     return links.unionAll(more).unionAll(check(written(rest, "pairs")))
 
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 #: Words of op 1: everything but ASCII white space. Words of op 10: ASCII letters, digits, all non-ASCII.
 NOT_SPACE = np.ones(256, bool)

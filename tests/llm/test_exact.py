@@ -62,6 +62,21 @@ def test_jaccard_join_is_exact(spark, documents, odd, k, percent):
     assert jaccard.join(df.limit(0), k, percent).count() == 0
 
 
+def test_jaccard_join_of_a_passage_in_large_buckets(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "_BLOCK", 8)
+    rng = np.random.default_rng(11)
+    rows = []
+    for i in range(90):
+        size = (700, 300, 40)[i % 3]
+        passage = [f"p{i % 3}x{j}" for j in range(int(size * 0.84))]
+        own = [f"d{i}x{j}" for j in range(int(rng.integers(size * 0.06, size * 0.16)))]
+        rows.append((i, " ".join(own[: i % 7] + passage + own[i % 7 :])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in jaccard.join(df, 5, 80).collect()), key=str)
+    want = _components(rows, 5, 80)
+    assert got == want and 3 < len({c for *_, c in want}) < 90
+
+
 def test_signatures_are_shared_and_sketches_never_overrate():
     rng = np.random.default_rng(3)
     for n in (6, 7, 13, 40, 150, 700):
