@@ -114,7 +114,7 @@ class _Templates:
         return out
 
 
-def scan(docs: DataFrame, templates: tuple = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = 0.9, block_words: int = 48, carry: list[str] | None = None) -> DataFrame:
+def scan(docs: DataFrame, templates: tuple = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = 0.9, block_words: int | None = None, carry: list[str] | None = None) -> DataFrame:
     """Licence statements in every text.
 
     Blocks are the windows of block_words words that start at each multiple of half as many, so any run
@@ -136,6 +136,8 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, phrases: dict[str, str]
     hot = np.zeros(len(vocabulary.words) + 1, bool)
     for r in ready.prefixes:
         hot[np.flatnonzero(ready.rank == r)] = True
+    longest = max((len(set(text.split())) for _, text in templates), default=0)
+    block_words = block_words or max(48, 2 * longest)  # any run of as many words as a template has lies in a block
     half = block_words // 2
 
     def one_slice(data: np.ndarray, ends: np.ndarray) -> list:

@@ -13,9 +13,11 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The cluster's shared folder, spark.checkpoint.dir; a folder of our own only in local mode where it is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="panelloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")

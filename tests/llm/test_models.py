@@ -59,6 +59,27 @@ def test_pipeline(spark):
             assert after == before
 
 
+def test_pipeline_stages_with_odd_rows_and_clashing_names(spark):
+    names = ["score", "lang_pred", "rejected", "is_toxic", "p_toxic", "n_lines", "n_removed", "earlier", "_text"]
+    text = "these are the plain words of a document that is written in one language and not in another"
+    rows = [(1, text, 9), (2, text, 9), (2, text, 9), (3, None, 9), (4, "", 9), (None, "a text without an id but with words of its own language", 9), (5, text + " now", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    docs = docs.select("*", *(F.concat(F.lit(c), F.coalesce("doc_id", F.lit(0))).alias(c) for c in names))
+    sf_dir = "/root/testdata/sf0.001"
+    for name, stage in corpus_pipeline.STAGES[1:4]:
+        kept = stage(spark, docs, sf_dir)
+        assert kept.columns == docs.columns
+        got = kept.collect()
+        assert all(r[c] == f"{c}{r['doc_id'] or 0}" for r in got for c in names) and stage(spark, docs.limit(0), sf_dir).count() == 0
+        ids = sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in got)
+        want = {"toxicity": [0, 1, 2, 2, 3, 4, 5], "line_dedup": [0, 1, 3, 4, 5], "ngram_jaccard_join": [0, 1, 3, 4]}[name]
+        assert [d for _, d in ids] == want, name
+    language_stage = dict(corpus_pipeline.STAGES)["language_id"]
+    real = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("score", F.lit("mine"))
+    kept = language_stage(spark, real.unionByName(docs.select("doc_id", "text", "n_chars", "score"), allowMissingColumns=True), sf_dir)
+    assert kept.columns == real.columns and not {3, 4} & {r["doc_id"] for r in kept.where("n_chars = 9").collect()}
+
+
 def test_toxicity_counts_all_labelled_rows(spark):
     rows = [(i, f"plain words number{i} " + ("zyxwv" if i % 10 == 0 else "good day")) for i in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
