@@ -63,6 +63,29 @@ def cash_flow(fills: DataFrame, initial: float = 1e6) -> DataFrame:
     return days.withColumn("cash", initial + F.sum("flow").over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
+def marked_equity(fills: DataFrame, quotes: DataFrame, initial: float = 1e6) -> DataFrame:
+    """account, date, cash, holdings and equity after each day with a fill or a quote of a held name.
+
+    fills: as positions() leaves them. quotes: symbol, date, close. A name keeps its last quote until the
+    next one. The value of a name changes on its own days only, so running sums of a day's changes give
+    the account's holdings, and no grid of days and names is built.
+    """
+    held = fills.groupBy("account", "symbol", F.col("d").alias("date")).agg(F.max_by("quantity_after", "trade_id").alias("quantity"))
+    # Quotes go to the accounts that ever hold the name.
+    days = quotes.join(held.select("account", "symbol").distinct(), "symbol").select("account", "symbol", "date", "close")
+    rows = held.join(days, ["account", "symbol", "date"], "full_outer")
+    w = Window.partitionBy("account", "symbol").orderBy("date")
+    last = lambda c: F.coalesce(F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0))
+    value = rows.withColumn("value", last("quantity") * last("close"))
+    changes = value.withColumn("change", F.col("value") - F.coalesce(F.lag("value").over(w), F.lit(0.0)))
+    moves = changes.groupBy("account", "date").agg(F.sum("change").alias("change"))
+    flows = cash_flow(fills, initial).select("account", F.col("d").alias("date"), "flow")
+    upto = Window.partitionBy("account").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    out = moves.join(flows, ["account", "date"], "left")
+    out = out.withColumns({"cash": initial + F.coalesce(F.sum("flow").over(upto), F.lit(0.0)), "holdings": F.sum("change").over(upto)})
+    return out.select("account", "date", "cash", "holdings", (F.col("cash") + F.col("holdings")).alias("equity"))
+
+
 def snapshot(history: DataFrame, today: DataFrame) -> DataFrame:
     """History (account, date, equity) with today's rows in place of those of the same day, and returns."""
     rows = history.withColumn("_n", F.lit(0)).unionByName(today.withColumn("_n", F.lit(1)))

@@ -88,10 +88,11 @@ def k1_k3_o14_sizes_and_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add()
 def k5_k7_sequential_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two accounts, with and without a band: each is one fold."""
+    """Two accounts, with and without a band: each is one fold over all days, held or not."""
     fwd = src.bars(spark, sf_dir).select("symbol", "date", labels.forward_return(1).alias("fwd_ret"))
-    rows = _sized(spark, sf_dir).where("size > 0").join(fwd, ["symbol", "date"]).where("fwd_ret is not null").select(F.lit("core").alias("account"), "date", "symbol", "size", "fwd_ret")
-    return rounded(sizing.decide(rows, band=0.02))
+    sized = _sized(spark, sf_dir).join(fwd, ["symbol", "date"]).where("fwd_ret is not null").select("date", "symbol", "size", "fwd_ret")
+    every = sizing.decide(sized.withColumn("account", F.lit("every_change")), band=0.0)
+    return rounded(every.unionByName(sizing.decide(sized.withColumn("account", F.lit("band")), band=0.02)))
 
 
 # --- evaluation ---------------------------------------------------------------------------------
@@ -266,8 +267,19 @@ def v3_average_cost_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @R.add()
 def v4_v6_account_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flow = ledger.cash_flow(_positions(spark, sf_dir)).select("account", F.col("d").alias("date"), F.col("cash").alias("equity"))
-    return rounded(ledger.overview(ledger.snapshot(flow, flow.limit(0)), 1e6), 4)
+    """Equity is cash and holdings at the day's last quotes; the last day is a snapshot of its own."""
+    days = ledger.marked_equity(_positions(spark, sf_dir), src.bars(spark, sf_dir).select("symbol", "date", "close")).select("account", "date", "equity")
+    last = F.broadcast(days.agg(F.max("date").alias("last")))  # one row
+    dated = days.crossJoin(last)
+    return rounded(ledger.overview(ledger.snapshot(dated.where("date < last").drop("last"), dated.where("date = last").drop("last")), 1e6), 4)
+
+
+@R.add()
+def v7_open_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each account holds at the end, at the last quotes, with its unrealised return."""
+    end = _positions(spark, sf_dir).groupBy("account", "symbol").agg(F.max_by("quantity_after", "trade_id").alias("quantity"), F.max_by("average_cost", "trade_id").alias("average_cost")).where("quantity > 0")
+    quotes = src.bars(spark, sf_dir).groupBy("symbol").agg(F.max_by("close", "date").alias("price"))
+    return rounded(ledger.valued(end, quotes), 4)
 
 
 @R.add()

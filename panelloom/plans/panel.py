@@ -70,10 +70,10 @@ def f2_f3_f5_recursive_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @R.add("bars", f"""WITH t AS (SELECT *, greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)) AS tr FROM bars {_W})
-SELECT symbol, date, round(CASE WHEN count(tr) OVER v >= 14 THEN avg(tr) OVER v END, 6) AS atr_prior FROM t
+SELECT symbol, date, round(CASE WHEN count(tr) OVER v >= 14 THEN avg(tr) OVER v END, 8) AS atr_prior FROM t
 WINDOW v AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING)""")
 def f11_causal_atr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(features.causal_atr(src.bars(spark, sf_dir)).select("symbol", "date", "atr_prior"))
+    return rounded(features.causal_atr(src.bars(spark, sf_dir)).select("symbol", "date", "atr_prior"), 8)  # a 14th of a number of six places never ties at the eighth
 
 
 _MACRO = """m0 AS (SELECT date, close AS index_close, close / lag(close, 20) OVER (ORDER BY date) - 1 AS index_mom_20d FROM index_bars),
@@ -182,11 +182,12 @@ z AS (SELECT p.*, coalesce(abs(br), 0) >= 0.05 AS explained,
   CASE WHEN count(r) OVER v >= 20 THEN stddev_samp(r) OVER v END AS sd FROM p LEFT JOIN ib USING (date) WINDOW v AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
 st AS (SELECT symbol, date, CASE WHEN abs(close - pc) <= 1e-8 + 1e-5 * abs(pc) THEN 0 ELSE 1 END AS brk FROM p),
 run AS (SELECT symbol, date, sum(brk) OVER (PARTITION BY symbol ORDER BY date) AS id FROM st),
-span AS (SELECT symbol, min(date) AS lo, max(date) AS hi FROM bars GROUP BY symbol),
+num AS (SELECT date, row_number() OVER (ORDER BY date) AS i FROM index_bars),
+gap AS (SELECT symbol, i, lead(i) OVER (PARTITION BY symbol ORDER BY i) AS nx FROM bars JOIN num USING (date)),
 findings AS (
   SELECT symbol, date, 'corporate_action' AS kind FROM z WHERE abs(r) > 0.15 AND NOT explained
   UNION ALL SELECT symbol, date, 'zero_volume' FROM p WHERE volume <= 0
-  UNION ALL SELECT symbol, ib.date, 'missing_day' FROM span JOIN ib ON ib.date BETWEEN lo AND hi WHERE NOT EXISTS (SELECT 1 FROM bars b WHERE b.symbol = span.symbol AND b.date = ib.date)
+  UNION ALL SELECT symbol, date, 'missing_day' FROM (SELECT symbol, unnest(range(i + 1, nx)) AS i FROM gap WHERE nx > i + 1) JOIN num USING (i)
   UNION ALL SELECT symbol, max(date), 'stale_run' FROM run GROUP BY symbol, id HAVING count(*) >= 5
   UNION ALL SELECT symbol, date, 'outlier_spike' FROM z WHERE sd > 1e-6 AND abs(r) / sd > 6 AND NOT explained AND abs(r) <= 0.15)"""
 

@@ -35,11 +35,11 @@ def n2_noise_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return news.without_noise(src.headlines(spark, sf_dir), "multibagger|live nse|the and").select("doc_id", "symbol", F.col("title").rlike("(?i)on the|ing and").alias("noisy"))
 
 
-@R.add(None, """WITH t AS (SELECT doc_id, substr(text, 1, 60) || ' - ' || source || ' &amp;lt;' AS title FROM documents)
+@R.add(None, """WITH t AS (SELECT doc_id, text || ' - ' || source || ' &amp;lt;' AS title FROM documents)
 SELECT doc_id, replace(replace(replace(replace(replace(trim(regexp_extract(title, '(?s)^(.*) - (.*?)$', 1)), '&amp;', '&'), '&#39;', ''''), '&quot;', '"'), '&lt;', '<'), '&gt;', '>') AS headline,
        replace(replace(replace(replace(replace(trim(regexp_extract(title, '(?s)^(.*) - (.*?)$', 2)), '&amp;', '&'), '&#39;', ''''), '&quot;', '"'), '&lt;', '<'), '&gt;', '>') AS publisher FROM t""")
 def n3_n4_publisher_and_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = F.concat(F.substring("text", 1, 60), F.lit(" - "), "source", F.lit(" &amp;lt;"))
+    title = F.concat("text", F.lit(" - "), "source", F.lit(" &amp;lt;"))
     head, tail = news.split_publisher(F.col("title"))
     return src.table(spark, sf_dir, "documents").select("doc_id", title.alias("title")).select("doc_id", news.unescaped(head).alias("headline"), news.unescaped(tail).alias("publisher"))
 

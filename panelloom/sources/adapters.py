@@ -69,9 +69,9 @@ def vix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def headlines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """symbol, published_utc, title, source of each document."""
+    """symbol, published_utc, title (the whole text) and source of each document."""
     n = F.broadcast(table(spark, sf_dir, "supplier").agg(F.count("*").alias("n")))  # one row
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", 1, 80).alias("title"), "source")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("title"), "source")
     when = F.timestamp_add("HOUR", (F.col("doc_id") * 5 % 24).cast("int"), F.date_add(F.lit("1996-01-01"), (F.col("doc_id") * 7 % 1500).cast("int")).cast("timestamp"))
     return docs.crossJoin(n).select("doc_id", F.concat(F.lit("s"), F.col("doc_id") % F.col("n")).alias("symbol"), when.alias("published_utc"), "title", "source")
 
@@ -141,7 +141,7 @@ SQL = {
     "headlines": """headlines AS (
   SELECT doc_id, 's' || (doc_id % (SELECT count(*) FROM supplier)) AS symbol,
          CAST(DATE '1996-01-01' + CAST(doc_id * 7 % 1500 AS INT) AS TIMESTAMP) + to_hours(CAST(doc_id * 5 % 24 AS INT)) AS published_utc,
-         substr(text, 1, 80) AS title, source FROM documents)""",
+         text AS title, source FROM documents)""",
     "scored": """scored AS (
   SELECT *, p_good - p_bad AS score FROM (
     SELECT doc_id, symbol, published_utc, title, source, g / (g + b + u) AS p_good, b / (g + b + u) AS p_bad, u / (g + b + u) AS p_unknown FROM (

@@ -161,3 +161,15 @@ def test_walk_forward_query_boosts_trees_on_all_features(spark, monkeypatch):
     assert asked["model"] == "gbt" and {"ret_20d", "bb_pos", "dist_sma200", "rsi_14", "macd_hist", "atr_14"} <= asked["names"] and asked["folds"] > 0
     trees = walkforward.classifier("gbt")
     assert (trees.getMaxIter(), trees.getMaxDepth(), trees.getStepSize()) == (200, 4, 0.05)
+
+
+def test_marked_equity_counts_holdings(spark):
+    from panelloom.operators import ledger
+
+    fills = spark.createDataFrame(
+        [(0, "a", 1, "2020-01-01", "buy", 10.0, 100.0, 1.0, 10.0, False), (0, "b", 1, "2020-01-02", "buy", 5.0, 20.0, 0.0, 5.0, False), (0, "a", 2, "2020-01-03", "sell", 4.0, 120.0, 0.0, 6.0, False), (0, "b", 2, "2020-01-03", "sell", 9.0, 20.0, 0.0, 5.0, True)],
+        "account long, symbol string, trade_id long, d string, side string, quantity double, fill_price double, cost double, quantity_after double, rejected boolean",
+    ).selectExpr("* except (d)", "cast(d as date) as d")
+    quotes = spark.createDataFrame([("a", "2020-01-01", 100.0), ("a", "2020-01-02", 110.0), ("a", "2020-01-03", 120.0), ("b", "2020-01-02", 20.0), ("b", "2020-01-04", 30.0), ("c", "2020-01-02", 1.0)], "symbol string, date string, close double").selectExpr("symbol", "cast(date as date) as date", "close")
+    got = [(str(r["date"]), round(r["cash"], 6), round(r["holdings"], 6)) for r in ledger.marked_equity(fills, quotes, 10_000.0).orderBy("date").collect()]
+    assert got == [("2020-01-01", 8999.0, 1000.0), ("2020-01-02", 8899.0, 1200.0), ("2020-01-03", 9379.0, 820.0), ("2020-01-04", 9379.0, 870.0)]
