@@ -31,11 +31,21 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(at)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on batches to Python workers hold at most about 8 MiB in this session (Spark's default: 64), as
+    a batch is held on both sides and rows can be long texts. A smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key).removesuffix("b")
+    if not now.isdigit() or not 0 < int(now) <= 1 << 23:
+        spark.conf.set(key, str(1 << 23))
+
+
 def annotate(docs: DataFrame, new: T.StructType, work: Callable[[pa.RecordBatch], Iterator[tuple[pa.RecordBatch, list]]], carry: list[str], text: str | None = "text") -> DataFrame:
     """One pass over rows without a shuffle: work yields pieces of each batch with the new columns' arrays.
 
     carry names the input columns to keep; text goes to the task too, but comes back only if carried.
     """
+    bounded_batches(docs.sparkSession)
     sent = list(dict.fromkeys([*carry, *([text] if text else [])]))
     fields = {f.name: f for f in docs.schema.fields}
     schema = T.StructType([fields[c] for c in carry] + list(new.fields))
@@ -51,6 +61,7 @@ def annotate(docs: DataFrame, new: T.StructType, work: Callable[[pa.RecordBatch]
 
 def emit(df: DataFrame, schema: T.StructType, work: Callable[[pa.RecordBatch], Iterator[list]]) -> DataFrame:
     """One pass over rows without a shuffle: work yields columns of new rows for each batch."""
+    bounded_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
