@@ -21,6 +21,18 @@ def usable(vector: str) -> Column:
     return F.coalesce(F.col(vector).isNotNull() & fine & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def kind(rows: DataFrame, vector: str) -> tuple[T.ArrayType, pa.DataType]:
+    """How tasks exchange the vectors: 32-bit floats as they are, every other number as a double."""
+    single = rows.schema[vector].dataType.elementType == T.FloatType()
+    return T.ArrayType(T.FloatType() if single else T.DoubleType()), pa.list_(pa.float32() if single else pa.float64())
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    """Rows over their lengths; scaled by powers of two before, so that no square overflows or vanishes."""
+    v = np.ldexp(v, -np.frexp(np.abs(v).max(axis=1, keepdims=True, initial=0))[1])
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
     """Rows of a list column, all of one length, as doubles."""
     if isinstance(column, pa.ChunkedArray):
@@ -36,7 +48,7 @@ def _sample(rows: DataFrame, key: str, vector: str, n: int) -> np.ndarray:
 
 def _ready(rows: DataFrame, key: str, vector: str) -> tuple[DataFrame, int, int]:
     """Rows that take part, their number, and their length, the most frequent one (ties: the least)."""
-    good = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v")).where(F.col("id").isNotNull() & usable("v"))
+    good = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind(rows, vector)[0]).alias("v")).where(F.col("id").isNotNull() & usable("v"))
     sizes = good.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
     if not sizes:
         return good, 0, 0
@@ -103,12 +115,13 @@ def build_index(rows: DataFrame, n: int, fit_rows: int = 8192, vectors_per_cell:
     return index
 
 
-def best(ids: np.ndarray, v: np.ndarray, query_id: int, q: np.ndarray, near: np.ndarray, top: int) -> list[tuple[float, int]]:
-    """The top rows by exact inner product, ties to the smaller id. near: the products up to rounding."""
+def best(ids: np.ndarray, v: np.ndarray, query_id: int, q: np.ndarray, near: np.ndarray, top: int, largest: float) -> list[tuple[float, int]]:
+    """The top rows by exact inner product, ties to the smaller id. near: the products up to rounding, whose
+    error no component over `largest` makes greater."""
     at = np.flatnonzero((ids != query_id) & (near > -np.inf))
     if len(at) > top:
         least = np.partition(near[at], len(at) - top)[len(at) - top]
-        at = at[near[at] >= least - 1e-9 * max(1.0, abs(least))]
+        at = at[near[at] >= least - 1e-15 * len(q) * largest * np.abs(q).sum()]
     score = (v[at] * q).sum(axis=1)
     order = np.lexsort((ids[at], -score))[:top]
     return list(zip(score[order].tolist(), ids[at][order].tolist(), strict=True))
@@ -127,7 +140,8 @@ def exact_search(rows: DataFrame, queries: list[tuple[int, list[float]]], top: i
 
     def work(batch: pa.RecordBatch) -> Iterator[list]:
         ids, v = np.asarray(batch.column("id")), matrix(batch.column("v"))
-        out = [(qid, i, s) for qid, q in queries for s, i in best(ids, v, qid, np.array(q, np.float64), v @ np.array(q, np.float64), top)]
+        largest = np.abs(v).max(initial=0)
+        out = [(qid, i, s) for qid, q in queries for s, i in best(ids, v, qid, np.array(q, np.float64), v @ np.array(q, np.float64), top, largest)]
         yield [pa.array([x[j] for x in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))]
 
     return _answers(emit(rows, _FOUND, work), top)
@@ -183,11 +197,12 @@ def search(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
     blocks = np.maximum(1, np.ceil(np.bincount(group, weights=per_first) / (1.5 * block))).astype(np.int64)
     n_queries = queries.count()
     parts = max(1, -(-n_queries // query_block))
-    kinds = T.StructType([*longs("grp", "blk", "part", "id", "code").fields, T.StructField("v", T.ArrayType(T.FloatType()))])
+    of_vector, arrow_kind = kind(rows, vector)
+    kinds = T.StructType([*longs("grp", "blk", "part", "id", "code").fields, T.StructField("v", of_vector)])
 
     def repeat(batch: pa.RecordBatch, at: np.ndarray, grp: np.ndarray, blk: np.ndarray, part: np.ndarray, code: np.ndarray) -> list:
         taken = batch.take(pa.array(at))
-        return [pa.array(grp), pa.array(blk), pa.array(part), taken.column("id"), pa.array(code), taken.column("v").cast(pa.list_(pa.float32()))]
+        return [pa.array(grp), pa.array(blk), pa.array(part), taken.column("id"), pa.array(code), taken.column("v").cast(arrow_kind)]
 
     def deal(batch: pa.RecordBatch) -> Iterator[list]:
         a, b = index.codes(matrix(batch.column("v")))
@@ -212,21 +227,21 @@ def search(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
                 for x in range(blocks[g]):
                     at.append(i), grp.append(g), blk.append(x), cells.append(c), part.append(own[i])
         taken = batch.take(pa.array(at, pa.int64()))
-        yield [pa.array(grp, pa.int64()), pa.array(blk, pa.int64()), pa.array(part, pa.int64()), taken.column("id"), pa.array(cells, pa.list_(pa.int64())), taken.column("v").cast(pa.list_(pa.float32()))]
+        yield [pa.array(grp, pa.int64()), pa.array(blk, pa.int64()), pa.array(part, pa.int64()), taken.column("id"), pa.array(cells, pa.list_(pa.int64())), taken.column("v").cast(arrow_kind)]
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, code, v = np.asarray(left.column("id")), np.asarray(left.column("code")), matrix(left.column("v"))
         out = []
         if len(ids) and right.num_rows:
             q = matrix(right.column("v"))
-            near = v @ q.T
+            near, largest = v @ q.T, np.abs(v).max(initial=0)
             for i, (qid, cells) in enumerate(zip(right.column("id").to_pylist(), right.column("cells").to_pylist(), strict=True)):
                 inside = np.zeros(k * k, bool)
                 inside[cells] = True
-                out += [(qid, vec, s) for s, vec in best(ids, v, qid, q[i], np.where(inside[code], near[:, i], -np.inf), top)]
+                out += [(qid, vec, s) for s, vec in best(ids, v, qid, q[i], np.where(inside[code], near[:, i], -np.inf), top, largest)]
         return pa.table([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=_FOUND.names)
 
-    asked = T.StructType([*longs("grp", "blk", "part", "id").fields, T.StructField("cells", T.ArrayType(T.LongType())), T.StructField("v", T.ArrayType(T.FloatType()))])
+    asked = T.StructType([*longs("grp", "blk", "part", "id").fields, T.StructField("cells", T.ArrayType(T.LongType())), T.StructField("v", of_vector)])
     keys = ("grp", "blk", "part")
     found = emit(good, kinds, deal).groupBy(*keys).cogroup(emit(queries, asked, ask).groupBy(*keys)).applyInArrow(rerank, _FOUND)
     return _answers(found, top)
@@ -258,9 +273,6 @@ def _local_components(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-_CLASS = T.StructType([*longs("pivot", "one", "two", "c", "n").fields, T.StructField("side", T.LongType()), T.StructField("list", T.ArrayType(T.IntegerType())), T.StructField("v", T.ArrayType(T.FloatType()))])
-
-
 def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.95, list_length: int = 6, shared_pivots: int = 2, rows_per_pivot: int = 100, most_pivots: int = 4096, block: int = 1024) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row, by links of cosine `least` or more.
 
@@ -276,23 +288,25 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     """
     good, n, size = _ready(rows, key, vector)
     spark = rows.sparkSession
-    alone = rows.select(F.col(key).cast("long").alias("vec_id"), F.xxhash64(vector).alias("c"), F.when(usable(vector) & (F.size(vector) == size), F.col(key)).isNotNull().alias("ok"))
+    of_vector, arrow_kind = kind(rows, vector)
+    alone = rows.select(F.col(key).cast("long").alias("vec_id"), F.xxhash64(F.col(vector).cast(of_vector)).alias("c"), F.when(usable(vector) & (F.size(vector) == size), F.col(key)).isNotNull().alias("ok"))
     lone = alone.where("not ok").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     if not n:
         return lone
     classes = written(good.groupBy("v").agg(F.count("*").alias("n")).select(F.xxhash64("v").alias("c"), "v", "n"), "classes")
     n_classes = classes.count()
     pivots = _sample(classes, "c", "v", int(np.clip(n_classes // rows_per_pivot, min(n_classes, 32), most_pivots)))
-    pivots /= np.linalg.norm(pivots, axis=1, keepdims=True)
+    pivots = unit(pivots)
     m, words = min(list_length, len(pivots)), -(-len(pivots) // 64)
     shared_pivots = min(shared_pivots, m)
 
     def describe(batch: pa.RecordBatch) -> Iterator[list]:
         v = matrix(batch.column("v"))
-        lists = pivot_lists(v / np.linalg.norm(v, axis=1, keepdims=True), pivots, m).astype(np.int32)
-        yield [batch.column("c"), batch.column("n"), pa.array(list(lists), pa.list_(pa.int32())), batch.column("v").cast(pa.list_(pa.float32()))]
+        lists = pivot_lists(unit(v), pivots, m).astype(np.int32)
+        yield [batch.column("c"), batch.column("n"), pa.array(list(lists), pa.list_(pa.int32())), batch.column("v").cast(arrow_kind)]
 
-    described = written(emit(classes, T.StructType([*longs("c", "n").fields, *_CLASS.fields[-2:]]), describe), "lists")
+    described_as = [T.StructField("list", T.ArrayType(T.IntegerType())), T.StructField("v", of_vector)]
+    described = written(emit(classes, T.StructType([*longs("c", "n").fields, *described_as]), describe), "lists")
     counts = np.zeros(len(pivots), np.int64)
     for r in described.select(F.explode("list").alias("p")).groupBy("p").agg(F.count("*").alias("n")).collect():  # a row for each pivot
         counts[r["p"]] = r["n"]
@@ -312,8 +326,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
     def compare(group: pa.Table) -> pa.Table:
         c, count, side = (np.asarray(group.column(x)) for x in ("c", "n", "side"))
         pivot, same = group.column("pivot")[0].as_py(), group.column("one")[0].as_py() == group.column("two")[0].as_py()
-        v = matrix(group.column("v"))
-        v /= np.linalg.norm(v, axis=1, keepdims=True)
+        v = unit(matrix(group.column("v")))
         lists = np.stack(group.column("list").combine_chunks().to_numpy(zero_copy_only=False)).astype(np.int64)
         bits = np.zeros((len(c), words), np.uint64)
         for j in range(m):
@@ -337,7 +350,7 @@ def near_duplicates(rows: DataFrame, key: str = "vec_id", vector: str = "embeddi
         some = links > 0
         return pa.table([pa.array(c[some]), pa.array(links[some].astype(np.int64)), pa.array(root[some])], names=["c", "links", "root"])
 
-    found = written(emit(described, _CLASS, post).groupBy("pivot", "one", "two").applyInArrow(compare, longs("c", "links", "root")), "links")
+    found = written(emit(described, T.StructType([*longs("pivot", "one", "two", "c", "n", "side").fields, *described_as]), post).groupBy("pivot", "one", "two").applyInArrow(compare, longs("c", "links", "root")), "links")
     label = written(components(found, "c", "root").select(F.col("node").alias("c"), "component"), "labels")
     per_class = classes.select("c", "n").join(found.groupBy("c").agg(F.sum("links").alias("links")), "c", "left").join(label, "c", "left")
     per_class = per_class.select("c", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "c").alias("label"))

@@ -263,20 +263,21 @@ def test_patience_blocks():
     assert lines.common_blocks([5, 1, 6], [1, 7], [4, 4], 8) == []
 
 
-def _vectors(spark):
+def _vectors(spark, of="float", scale=1.0):
     rng = np.random.default_rng(9)
     v = rng.normal(size=(300, 8))
     v[100:140] = v[0] + rng.normal(scale=0.05, size=(40, 8))
     v[200:230] = v[5]
-    rows = [(i, [float(x) for x in r], 0) for i, r in enumerate(v.astype(np.float32))]
+    rows = [(i, [float(x) for x in r], 0) for i, r in enumerate(v.astype(np.float32) if of == "float" else v * scale)]
     rows += [(1000, None, 0), (1001, [0.0] * 8, 0), (1002, [float("nan")] + [1.0] * 7, 0), (1003, [None] + [1.0] * 7, 0), (None, [1.0] * 8, 0), (1020, [1.0, 2.0], 0)]
-    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int"), {i: np.array(r, np.float64) for i, r, _ in rows[:300]}
+    return spark.createDataFrame(rows, f"vec_id long, embedding array<{of}>, rank int"), {i: np.array(r, np.float64) for i, r, _ in rows[:300]}
 
 
-def test_near_duplicate_vectors(spark):
-    df, good = _vectors(spark)
+@pytest.mark.parametrize(("of", "scale"), [("float", 1.0), ("double", 1e180)])
+def test_near_duplicate_vectors(spark, of, scale):
+    df, good = _vectors(spark, of, scale)
     got = {r["vec_id"]: r for r in vectors.near_duplicates(df, block=16).collect()}
-    unit = np.stack([v / np.linalg.norm(v) for v in good.values()])
+    unit = np.stack([v / scale / np.linalg.norm(v / scale) for v in good.values()])
     near = unit @ unit.T >= 0.95
     label = np.arange(len(unit))
     for _ in range(20):
@@ -286,8 +287,9 @@ def test_near_duplicate_vectors(spark):
     assert vectors.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_nearest_neighbours(spark):
-    df, good = _vectors(spark)
+@pytest.mark.parametrize(("of", "scale"), [("float", 1.0), ("double", 1e60), ("double", 1e-60)])
+def test_nearest_neighbours(spark, of, scale):
+    df, good = _vectors(spark, of, scale)
     rows = vectors.search(df, F.col("vec_id") % 20 == 0, block=64).collect()
     ids, v = np.array(list(good)), np.stack(list(good.values()))
     hit = total = 0
@@ -299,7 +301,7 @@ def test_nearest_neighbours(spark):
         s[q] = -np.inf
         hit += len({r["vec_id"] for r in mine} & set(ids[np.lexsort((ids, -s))[:20]].tolist()))
         total += 20
-        assert all(r["score"] == pytest.approx(float(good[r["vec_id"]] @ good[q]), abs=1e-12) for r in mine)
+        assert all(r["score"] == pytest.approx(float(good[r["vec_id"]] @ good[q]), rel=1e-12, abs=1e-12 * scale**2) for r in mine)
     assert hit / total >= 0.9
     assert vectors.search(df.limit(0), F.lit(True)).count() == 0
 
