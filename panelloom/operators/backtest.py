@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions.costs import DELIVERY, rate
-from panelloom.operators.metrics import performance
+from panelloom.operators.metrics import curve, performance
 
 RISK_FREE = 0.06
 
@@ -64,10 +64,15 @@ def on_dates_of(track: DataFrame, strategy: str) -> DataFrame:
 
 def summary_table(track: DataFrame, periods: int = 252) -> DataFrame:
     """Net performance, gross Sharpe ratio and cost drag of each strategy."""
-    net = performance(track, "net_return", ["strategy"], periods=periods)
-    gross = performance(track, "gross_return", ["strategy"], periods=periods).select("strategy", F.col("sharpe").alias("gross_sharpe"))
-    drag = track.groupBy("strategy").agg((F.avg("cost") * periods).alias("cost_drag"))
-    return net.join(gross, "strategy").join(drag, "strategy")
+    more = (F.avg("gross_return").alias("gross_mean"), F.stddev_samp("gross_return").alias("gross_sd"), (F.avg("cost") * periods).alias("cost_drag"))
+    out = performance(track, "net_return", ["strategy"], periods=periods, more=more)
+    sharpe = F.when(F.col("gross_sd") >= 1e-12, (F.col("gross_mean") - per_period(periods=periods)) / F.col("gross_sd") * periods**0.5).otherwise(0.0)
+    return out.withColumn("gross_sharpe", sharpe).drop("gross_mean", "gross_sd")
+
+
+def worst_on(track: DataFrame, days: DataFrame) -> DataFrame:
+    """Largest drawdown of each strategy over the given days only, put one after the other."""
+    return curve(track.join(days.select("date").distinct(), "date", "left_semi"), "net_return", ["strategy"]).groupBy("strategy").agg(F.count("*").alias("n"), F.min("drawdown").alias("max_drawdown"))
 
 
 def threshold_sweep(signals: DataFrame, thresholds: list[float]) -> DataFrame:

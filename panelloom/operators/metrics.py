@@ -7,6 +7,8 @@ from math import sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelloom.functions.distributions import normal_cdf
+
 
 def _moments(x: Column) -> tuple[Column, Column]:
     return F.avg(x), F.stddev_samp(x)
@@ -22,8 +24,8 @@ def curve(rows: DataFrame, value: str, keys: list[str]) -> DataFrame:
     return rows.withColumn("drawdown", F.try_divide("equity", F.max("equity").over(upto)) - 1)
 
 
-def performance(rows: DataFrame, value: str, keys: list[str], risk_free: float = 0.06, periods: int = 252) -> DataFrame:
-    """One row for each key: return, risk, ratios, shape and extremes of the non-null returns."""
+def performance(rows: DataFrame, value: str, keys: list[str], risk_free: float = 0.06, periods: int = 252, more: tuple[Column, ...] = ()) -> DataFrame:
+    """One row for each key, with further aggregates in `more`: return, risk, ratios, shape and extremes of the non-null returns."""
     rf = (1 + risk_free) ** (1 / periods) - 1
     extra = [c for c in ("exposure", "turnover") if c in rows.columns]
     rows = curve(rows.where(F.col(value).isNotNull()), value, keys)
@@ -45,6 +47,7 @@ def performance(rows: DataFrame, value: str, keys: list[str], risk_free: float =
         F.min(r).alias("worst_day"),
         *([F.avg("exposure").alias("avg_exposure")] if "exposure" in extra else []),
         *([F.sum("turnover").alias("_turnover")] if "turnover" in extra else []),
+        *more,
     )
     years = F.col("n") / periods
     flat = F.col("_sd").isNull() | (F.col("_sd") < 1e-12)
@@ -84,11 +87,26 @@ def attribution(track: DataFrame, benchmarks: DataFrame, periods: int = 252, ris
     )
 
 
-def average_ranks(rows: DataFrame, value: str, out: str, keys: list[str]) -> DataFrame:
-    """Ranks from 1, ties averaged, from the counts of the distinct values: no window over all rows."""
+def running_counts(rows: DataFrame, value: str, keys: list[str], parts: int = 64) -> DataFrame:
+    """keys, value, _n (rows with the value), _upto (rows with at most it) and _all (the key's rows).
+
+    One key may hold most rows, so its distinct values are cut at approximate quantiles: a window counts
+    within each of the `parts` ranges, and another adds what the lower ranges hold. Equal values are one
+    row and so never part. The counts don't depend on where the cuts fall.
+    """
     counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
-    upto = Window.partitionBy(*keys).orderBy(value)
-    ranks = counts.withColumn(out, F.sum("_n").over(upto) - (F.col("_n") - 1) / 2).drop("_n")
+    cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)]).alias("_cuts"))
+    placed = counts.join(cuts, keys).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    lower = placed.groupBy(*keys, "_part").agg(F.sum("_n").alias("_s"))  # at most `parts` rows for each key
+    ordered, every = Window.partitionBy(*keys).orderBy("_part"), Window.partitionBy(*keys)
+    lower = lower.select(*keys, "_part", (F.sum("_s").over(ordered) - F.col("_s")).alias("_below"), F.sum("_s").over(every).alias("_all"))
+    inside = F.sum("_n").over(Window.partitionBy(*keys, "_part").orderBy(value))
+    return placed.withColumn("_inside", inside).join(lower, [*keys, "_part"]).select(*keys, value, "_n", (F.col("_inside") + F.col("_below")).alias("_upto"), "_all")
+
+
+def average_ranks(rows: DataFrame, value: str, out: str, keys: list[str]) -> DataFrame:
+    """Ranks from 1, ties averaged, from the counts of the distinct values."""
+    ranks = running_counts(rows, value, keys).select(*keys, value, (F.col("_upto") - (F.col("_n") - 1) / 2).alias(out))
     return rows.join(ranks, [*keys, value])
 
 
@@ -113,6 +131,15 @@ def classification(rows: DataFrame, keys: list[str], prob: str = "prob_up", labe
     ).drop("_ranks")
 
 
+def architecture_summary(runs: DataFrame) -> DataFrame:
+    """Mean and deviation of the accuracy over an architecture's runs (run: <architecture>_seed<k>), z against
+    one half with the n of the first run, and the two-sided normal p value."""
+    rows = runs.withColumns({"architecture": F.regexp_extract("run", r"^(.*)_seed\d+$", 1), "_seed": F.regexp_extract("run", r"_seed(\d+)$", 1).cast("int")})
+    out = rows.groupBy("architecture").agg(F.count("*").alias("n_runs"), F.avg("accuracy").alias("mean_accuracy"), F.stddev_samp("accuracy").alias("std_accuracy"), F.min_by("n", "_seed").alias("_n"))
+    out = out.withColumn("z", (F.col("mean_accuracy") - 0.5) / F.sqrt(0.25 / F.col("_n"))).drop("_n")
+    return out.withColumn("p_value", 2 * (1 - normal_cdf(F.abs("z"))))
+
+
 def kappa(rows: DataFrame, a: str, b: str) -> DataFrame:
     """n, agreement and Cohen's kappa (1 if chance agreement is 1)."""
     cells = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count("*").alias("n"))

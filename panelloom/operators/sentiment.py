@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from panelloom.functions.windows import by, roll
-from panelloom.operators.metrics import average_ranks
+from panelloom.operators.metrics import average_ranks, running_counts
 
 
 def symbol_rows() -> WindowSpec:
@@ -21,6 +21,11 @@ def daily(rows: DataFrame, least: int = 1) -> DataFrame:
     return out.where(F.col("n_headlines") >= least)
 
 
+def with_earnings(rows: DataFrame, pattern: str, keys: tuple[str, ...] = ("symbol", "date")) -> DataFrame:
+    """earnings: whether any of the key's titles is about results."""
+    return rows.groupBy(*keys).agg(F.bool_or(is_earnings(F.col("title"), pattern)).alias("earnings"))
+
+
 def debias_cross_section(views: DataFrame) -> DataFrame:
     return views.withColumn("sentiment", F.col("sentiment") - F.avg("sentiment").over(Window.partitionBy("date")))
 
@@ -60,11 +65,10 @@ def terciles(rows: DataFrame, keys: list[str], signal: str = "sentiment", ties:
 
     The place comes from counts of the distinct signal values and a number among equal ones.
     """
-    counts = rows.groupBy(*keys, signal).agg(F.count("*").alias("_c"))
-    upto = Window.partitionBy(*keys).orderBy(signal)
-    counts = counts.withColumns({"_upto": F.sum("_c").over(upto) - F.col("_c"), "_n": F.sum("_c").over(Window.partitionBy(*keys))}).drop("_c")
+    rows = rows.where(F.col(signal).isNotNull())
+    counts = running_counts(rows, signal, keys).select(*keys, signal, (F.col("_upto") - F.col("_n")).alias("_upto"), F.col("_all").alias("_n"))
     same = Window.partitionBy(*keys, signal).orderBy(*ties)
-    out = rows.where(F.col(signal).isNotNull()).join(counts, [*keys, signal]).withColumn("_r", F.col("_upto") + F.row_number().over(same) - 1)
+    out = rows.join(counts, [*keys, signal]).withColumn("_r", F.col("_upto") + F.row_number().over(same) - 1)
     bucket = F.when(3 * F.col("_r") < F.col("_n") - 1, "neg").when(3 * F.col("_r") < 2 * (F.col("_n") - 1), "neu").otherwise("pos")
     return out.withColumn("bucket", bucket).drop("_upto", "_n", "_r")
 

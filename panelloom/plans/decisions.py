@@ -198,13 +198,6 @@ def i4_i5_deflated_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(inference.deflated_sharpe(t).join(inference.probabilistic_sharpe(t).select("strategy", "psr"), "strategy"))
 
 
-@R.add(None, "WITH p AS (SELECT n_nationkey AS k, n_name AS strategy, CASE WHEN n_nationkey % 6 <> 5 THEN (n_nationkey * 7 % 25) / 200.0 END AS p_value FROM nation), r AS (SELECT *, row_number() OVER (ORDER BY p_value NULLS LAST, strategy) AS i, count(p_value) OVER () AS m FROM p), a AS (SELECT *, CASE WHEN p_value IS NOT NULL THEN least(1.0, (m - i + 1) * p_value) END AS x FROM r) SELECT strategy, round(CASE WHEN p_value IS NOT NULL THEN max(x) OVER (ORDER BY i) END, 6) AS p_adjusted FROM a")
-def i6_holm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("n_nationkey")
-    rows = src.table(spark, sf_dir, "nation").select(F.col("n_name").alias("strategy"), F.when(k % 6 != 5, (k * 7 % 25) / 200.0).alias("p_value"))
-    return rounded(inference.holm(rows).select("strategy", "p_adjusted"))
-
-
 @R.add()
 def i9_i10_power(spark: SparkSession, sf_dir: str) -> DataFrame:
     curve = inference.power_curve(panel._tracks(spark, sf_dir), [0.0, 0.5, 1.0, 2.0, 3.0], n_sims=200, n_boot=500)

@@ -54,16 +54,18 @@ def _ewm(x: str, a: float) -> str:
     return f"list_reduce(list({x}) OVER (PARTITION BY symbol ORDER BY date), lambda p, q: (1 - {a!r}) * p + {a!r} * q)"
 
 
-@R.add("bars", f"""WITH d AS (SELECT symbol, date, close, high, low, close - lag(close) OVER w AS ch, lag(close) OVER w AS pc, row_number() OVER w AS n FROM bars {_W}),
+_RECURSIVE = f"""d AS (SELECT symbol, date, open, close, high, low, close - lag(close) OVER w AS ch, lag(close) OVER w AS pc, row_number() OVER w AS n FROM bars {_W}),
 g AS (SELECT *, CASE WHEN ch IS NOT NULL THEN greatest(ch, 0.0) END AS gain, CASE WHEN ch IS NOT NULL THEN greatest(-ch, 0.0) END AS loss,
       greatest(high - low, abs(high - pc), abs(low - pc)) AS tr FROM d),
-e AS (SELECT symbol, date, close, n, list_reduce(CASE WHEN n = 1 THEN [0.0::DOUBLE] ELSE list_filter(list(gain) OVER w, lambda x: x IS NOT NULL) END, lambda p, q: (1 - 1/14.0::DOUBLE) * p + q * (1/14.0::DOUBLE)) AS eg,
+e AS (SELECT symbol, date, open, close, high, low, n, list_reduce(CASE WHEN n = 1 THEN [0.0::DOUBLE] ELSE list_filter(list(gain) OVER w, lambda x: x IS NOT NULL) END, lambda p, q: (1 - 1/14.0::DOUBLE) * p + q * (1/14.0::DOUBLE)) AS eg,
       list_reduce(CASE WHEN n = 1 THEN [0.0::DOUBLE] ELSE list_filter(list(loss) OVER w, lambda x: x IS NOT NULL) END, lambda p, q: (1 - 1/14.0::DOUBLE) * p + q * (1/14.0::DOUBLE)) AS el,
       list_reduce(list(tr) OVER w, lambda p, q: (1 - 1/14.0::DOUBLE) * p + q * (1/14.0::DOUBLE)) AS ea,
       list_reduce(list(close) OVER w, lambda p, q: (1 - 2/13.0::DOUBLE) * p + q * (2/13.0::DOUBLE)) - list_reduce(list(close) OVER w, lambda p, q: (1 - 2/27.0::DOUBLE) * p + q * (2/27.0::DOUBLE)) AS macd
       FROM g WHERE n > 0 {_W}),
-s AS (SELECT *, list_reduce(list(macd) OVER w, lambda p, q: 0.8::DOUBLE * p + 0.2::DOUBLE * q) AS sig FROM e {_W})
-SELECT symbol, date, round(coalesce(CASE WHEN n > 14 AND el <> 0 THEN 100 - 100 / (1 + eg / el) END, 50.0) / 100, 6) AS rsi_14,
+s AS (SELECT *, list_reduce(list(macd) OVER w, lambda p, q: 0.8::DOUBLE * p + 0.2::DOUBLE * q) AS sig FROM e {_W})"""
+
+
+@R.add("bars", "WITH " + _RECURSIVE + """ SELECT symbol, date, round(coalesce(CASE WHEN n > 14 AND el <> 0 THEN 100 - 100 / (1 + eg / el) END, 50.0) / 100, 6) AS rsi_14,
        round((macd - sig) / close, 6) + 0.0 AS macd_hist, round(CASE WHEN n >= 14 THEN ea / close END, 6) AS atr_14 FROM s""")
 def f2_f3_f5_recursive_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(features.recursive_features(src.bars(spark, sf_dir)).select("symbol", "date", "rsi_14", "macd_hist", "atr_14"))

@@ -60,7 +60,7 @@ def section_table(pages: DataFrame, section: str) -> DataFrame:
     cells = F.transform(F.regexp_extract_all("tr", F.lit(r"(?s)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), lambda c: F.trim(F.regexp_replace(c, r"<[^>]*>", "")))
     rows = rows.select("page_id", "r", cells.alias("cells"))
     head = rows.where("r = 0").select("page_id", F.col("cells").alias("head"))
-    body = rows.where("r > 0").join(head, "page_id").select("page_id", F.trim(F.regexp_replace(F.col("cells")[0], r"\s*\+$", "")).alias("label"), F.explode(F.arrays_zip(F.slice("head", 2, 1000).alias("f"), F.slice("cells", 2, 1000).alias("v"))).alias("x"))
+    body = rows.where("r > 0").join(head, "page_id").select("page_id", F.trim(F.regexp_replace(F.col("cells")[0], r"\s*\+$", "")).alias("label"), F.explode(F.arrays_zip(F.slice("head", F.lit(2), F.greatest(F.size("head"), F.lit(1))).alias("f"), F.slice("cells", F.lit(2), F.greatest(F.size("cells"), F.lit(1))).alias("v"))).alias("x"))
     return body.select("page_id", "label", F.col("x.f").alias("fiscal"), F.regexp_replace(F.col("x.v"), "[,%]", "").try_cast("double").alias("value"))
 
 
