@@ -10,6 +10,7 @@ import pytest
 from panelloom.functions import folds
 from panelloom.functions.distributions import two_sided_t
 from panelloom.operators import backtest, features, fundamentals, inference, labels, metrics, news, quality, sentiment
+from panelloom.sources import corpus
 from pyspark.sql import functions as F
 
 D = dt.date
@@ -173,3 +174,18 @@ def test_marked_equity_counts_holdings(spark):
     quotes = spark.createDataFrame([("a", "2020-01-01", 100.0), ("a", "2020-01-02", 110.0), ("a", "2020-01-03", 120.0), ("b", "2020-01-02", 20.0), ("b", "2020-01-04", 30.0), ("c", "2020-01-02", 1.0)], "symbol string, date string, close double").selectExpr("symbol", "cast(date as date) as date", "close")
     got = [(str(r["date"]), round(r["cash"], 6), round(r["holdings"], 6)) for r in ledger.marked_equity(fills, quotes, 10_000.0).orderBy("date").collect()]
     assert got == [("2020-01-01", 8999.0, 1000.0), ("2020-01-02", 8899.0, 1200.0), ("2020-01-03", 9379.0, 820.0), ("2020-01-04", 9379.0, 870.0)]
+
+
+def test_ranks_in_ranges_equal_ranks_over_all(spark):
+    rows = spark.createDataFrame([("a", float(i * 7919 % 400 // 3)) for i in range(400)] + [("b", 1.0)], "k string, x double")
+    got = metrics.average_ranks(rows, "x", "r", ["k"]).where("k = 'a'").collect()
+    values = [r["x"] for r in got]
+    assert len(got) == 400 and all(r["r"] == sum(v < r["x"] for v in values) + (values.count(r["x"]) + 1) / 2 for r in got)
+    assert metrics.average_ranks(rows.limit(0), "x", "r", ["k"]).count() == 0
+
+
+def test_section_table_has_any_number_of_columns(spark):
+    head, cells = ("".join(f"<{t}>{x}</{t}>" for x in row) for t, row in (("th", ["", *range(1500)]), ("td", ["Sales +", *("1,0%" for _ in range(1500))])))
+    page = f'<div id="x"><table><tr>{head}</tr><tr>{cells}</tr></table>'
+    got = corpus.section_table(spark.createDataFrame([(1, page), (2, "")], "page_id int, html string"), "x").collect()
+    assert len(got) == 1500 and {(r["label"], r["value"]) for r in got} == {("Sales", 10.0)} and {r["fiscal"] for r in got} == {str(i) for i in range(1500)}
