@@ -103,9 +103,12 @@ def staleness(ticks: DataFrame, late: str = "1 day", after: str = "4 days") -> D
 
 
 def idempotent_sink(path: str, keys: list[str]):
-    """foreachBatch writer: a batch replaces what the same batch wrote before, so a repeat changes nothing."""
+    """foreachBatch writer: the rows of a batch replace what any earlier batch wrote for their keys, so a repeated
+    batch and a corrected row change nothing else. Keys are folders of the table, such as account and date; of
+    equal keys in one batch one row stays, and an empty batch writes nothing."""
 
     def write(batch: DataFrame, number: int) -> None:
-        batch.dropDuplicates(keys).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        rows = batch.dropDuplicates(keys)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
     return write

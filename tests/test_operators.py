@@ -189,3 +189,37 @@ def test_section_table_has_any_number_of_columns(spark):
     page = f'<div id="x"><table><tr>{head}</tr><tr>{cells}</tr></table>'
     got = corpus.section_table(spark.createDataFrame([(1, page), (2, "")], "page_id int, html string"), "x").collect()
     assert len(got) == 1500 and {(r["label"], r["value"]) for r in got} == {("Sales", 10.0)} and {r["fiscal"] for r in got} == {str(i) for i in range(1500)}
+
+
+def test_feed_items(spark):
+    item = lambda title, at, link="u": f"<item><title>{title}</title><link>{link}</link><pubDate>{at}</pubDate></item>"
+    day = "Mon, 01 Jan 2024 10:00:00 GMT"
+    raw = "<rss>" + item("A &amp; B", day, "first") + item("a &amp; b", day, "second") + item("", day) + item("C", "soon") + item("D", day) + "</rss>"
+    got = news.feed_items(spark.createDataFrame([("s", raw), ("t", ""), ("u", None)], "symbol string, raw string"), "raw", ["symbol"]).orderBy("title").collect()
+    assert [(r["symbol"], r["title"], r["link"], r["published"].hour) for r in got] == [("s", "A & B", "first", 10), ("s", "D", "u", 10)]
+
+
+def test_corpus_files(spark, tmp_path):
+    line = '{"symbol": "%s", "date": "2024-01-0%d", "title": "t", "source": "s", "url": "u", "published_utc": "2024-01-01"}'
+    (tmp_path / "c.jsonl").write_text("\n".join([line % ("a", 1), "", "{broken", line % ("a", 2), line % ("b", 3)]))
+    read = lambda **k: sorted(r["date"][-1] for r in corpus.read_corpus(spark, str(tmp_path / "c.jsonl"), **k).collect())
+    assert read() == ["1", "2", "3"] and read(symbol="a", start="2024-01-02") == ["2"] and read(end="2024-01-02") == ["1", "2"]
+
+
+def test_run_and_statement_files(spark, tmp_path):
+    (tmp_path / "oos_one.csv").write_text("symbol,p\na,0.5\n")
+    (tmp_path / "oos_two.csv").write_text("symbol,p\nb,0.25\n")
+    runs = corpus.read_runs(spark, str(tmp_path / "oos_*.csv"), "symbol string, p double")
+    assert sorted(map(tuple, runs.collect())) == [("a", 0.5, "one"), ("b", 0.25, "two")]
+    (tmp_path / "TCS.json").write_text('{"ratios": {"Mar 2024": {"roe": 1.5, "gap": null}, "Mar 2023": {}}}')
+    got = corpus.read_statements(spark, str(tmp_path / "TCS.json")).collect()
+    assert {tuple(r) for r in got} == {("TCS", "ratios", "Mar 2024", "roe", 1.5), ("TCS", "ratios", "Mar 2024", "gap", None)}
+
+
+@pytest.mark.parametrize("kind", ["json", "csv"])
+def test_exports_are_replaced(spark, tmp_path, kind):
+    for n in (3, 2):
+        corpus.export({"t": spark.range(n)}, str(tmp_path / "x"), kind)
+    reader = spark.read.schema("id long")
+    at = str(tmp_path / "x" / "t")
+    assert sorted(r["id"] for r in (reader.json(at) if kind == "json" else reader.option("header", True).csv(at)).collect()) == [0, 1]
