@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import dac, jaccard, language, licences, lines, packing, pieces, toxicity, vectors
+from . import dac, jaccard, language, licences, lines, packing, periods, pieces, spelling, topk, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,43 @@ def op9_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"), drop_every=31)
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """documents whose h = crc32(doc_id) is a multiple of 10 repeat their words from word a on with period p, joined by one space."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.withColumn("_words", F.when(crc % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))))
+    g, n = F.floor(crc / 10), F.size("_words")
+    a = F.when(n > 0, g % n)
+    period = 1 + F.floor((n - a) / (3 + g % 8))
+    place = lambda i: F.when(i >= a, a + (i - a) % period).otherwise(i)
+    words = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get("_words", place(i).cast("int"))))
+    return rows.withColumn("text", F.when(n > 0, words).otherwise(F.col("text"))).drop("_words")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_planted_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = periods.runs(docs, min_words=24, min_periods=3)
+    # The greatest length / period compared as a fraction, ties to the smaller start, then period.
+    better = lambda x, y: F.when(x.length * y.period < y.length * x.period, y).otherwise(x)
+    best = F.when(F.size("runs") > 0, F.aggregate("runs", F.get("runs", F.lit(0)), better))
+    listed = F.concat_ws("", F.transform("runs", lambda r: F.concat(r.start, F.lit(","), r.length, F.lit(","), r.period, F.lit("\n"))))
+    return found.withColumn("best", best).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        *(F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
@@ -74,6 +111,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_id": op8_language_id,
         "op9_embedding_near_dedup": op9_embedding_near_dedup,
         "op10_license_scan": op10_license_scan,
+        "op11_spelling_variants": op11_spelling_variants,
+        "op12_periodic_runs": op12_periodic_runs,
+        "op13_exact_topk": op13_exact_topk,
         "pipeline": corpus_pipeline.run,
     }
 
