@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
+from bisect import bisect_left, bisect_right, insort
+from functools import partial
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import WindowSpec
 
+from panelloom.functions.tables import written
+
 
 def by(*keys: str, order: str = "date") -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(order)
@@ -34,34 +38,77 @@ def clip(column: Column, low: float, high: float) -> Column:
     return F.when(column.isNotNull(), F.least(F.greatest(column, F.lit(float(low))), F.lit(float(high))))
 
 
-def _recursive_mean(x: np.ndarray, alpha: float) -> np.ndarray:
-    """y0 = x0, y = (1 - alpha) y + alpha x; leading nulls stay null, later ones repeat the mean."""
-    out, y = np.full(len(x), np.nan), np.nan
-    for i, v in enumerate(x.tolist()):
-        if v == v:
-            y = v if y != y else (1 - alpha) * y + alpha * v
-        out[i] = y
-    return out
-
-
-def ewm(df: DataFrame, columns: dict[str, tuple[str, float]], keys: list[str], order: str = "date") -> DataFrame:
-    """Adds exponentially weighted means: new name -> (column, alpha). A group is one symbol's series.
+def pct_ranks(df: DataFrame, columns: dict[str, tuple[str, int, int]], keys: list[str], order: str = "date") -> DataFrame:
+    """Adds rolling ranks like pct_rank: new name -> (column, n, least). A group is one symbol's series.
 
-    The recursion is exact, so it is a fold over the series in order; columns that depend on another new
-    one may follow it. Series run in parallel, and a series is as long as its calendar.
+    Each series keeps the values of its last n rows in a sorted list: a row is put in and the one that leaves is
+    taken out by binary search, and its rank is the place between the smaller and the equal ones.
     """
     schema = T.StructType(list(df.schema.fields) + [T.StructField(c, T.DoubleType()) for c in columns])
 
+    def ranks(x: list, n: int, least: int) -> list:
+        held, out = [], []
+        for i, v in enumerate(x):
+            gone = x[i - n] if i >= n else None
+            if gone is not None:
+                del held[bisect_left(held, gone)]
+            if v is not None:
+                insort(held, v)
+            below, upto = (bisect_left(held, v), bisect_right(held, v)) if v is not None else (0, 0)
+            out.append((below + (upto - below + 1) / 2) / len(held) if v is not None and len(held) >= least else None)
+        return out
+
     def fold(group: pa.Table) -> pa.Table:
         group = group.sort_by(order)
-        for name, (source, alpha) in columns.items():
-            y = _recursive_mean(group.column(source).to_numpy(zero_copy_only=False).astype(float), alpha)
-            group = group.append_column(name, pa.array(y, pa.float64(), mask=np.isnan(y)))
+        for name, (source, n, least) in columns.items():
+            group = group.append_column(name, pa.array(ranks(group.column(source).to_pylist(), n, least), pa.float64()))
         return group
 
     return df.groupBy(*keys).applyInArrow(fold, schema)
 
 
+def _two(step):
+    """step as a function of two names, which is what Spark takes for an aggregate's lambda."""
+    return lambda y, m: step(y, m)
+
+
+def ewm(df: DataFrame, columns: dict[str, tuple[str, float]], keys: list[str], order: str = "date", block_days: int = 512) -> DataFrame:
+    """Adds exponentially weighted means: new name -> (column, alpha). y0 = x0, y = (1 - alpha) y + alpha x; leading
+    nulls stay null, later ones repeat the mean.
+
+    A row is an affine map of the mean before it, and maps compose. A series is cut into blocks of the calendar;
+    within a block the composed maps are running sums (weighted so that no term exceeds the values' size), and
+    the blocks' own maps, a row for each block, are scanned along the series. No task holds more of a series than
+    a block, and no step leaves the JVM. `order` is a date; df is written once, as both passes read it.
+    """
+    alphas = sorted({alpha for _, alpha in columns.values()})
+    sources = list(dict.fromkeys(source for source, _ in columns.values()))
+    block = [*keys, "_block"]
+    rows = df.withColumn("_block", F.floor(F.unix_date(order) / block_days))
+    w = Window.partitionBy(*block).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"_c{i}": F.count(x).over(w) for i, x in enumerate(sources)} | {f"_f{i}": F.first(x, ignorenulls=True).over(w) for i, x in enumerate(sources)})
+    pairs = {(i, alpha): f"_s{i}_{k}" for i, x in enumerate(sources) for k, alpha in enumerate(alphas) if (x, alpha) in columns.values()}
+    # The sum of alpha * x_j / d**c_j, so that times d**c it is what the block adds to the mean.
+    rows = written(rows.withColumns({name: F.sum(alpha * F.col(sources[i]) * F.pow(F.lit(1 - alpha), -F.col(f"_c{i}"))).over(w) for (i, alpha), name in pairs.items()}), "ewm")
+    last = rows.groupBy(*block).agg(*(F.max(f"_c{i}").alias(f"_c{i}") for i in range(len(sources))), *(F.max_by(c, order).alias(c) for c in [*(f"_f{i}" for i in range(len(sources))), *pairs.values()]))
+
+    def mean(before: Column, c: Column, first: Column, s: Column, alpha: float) -> Column:
+        """The mean behind c values of a block, given the one before the block (null: none yet)."""
+        d = 1 - alpha
+        fresh = F.pow(F.lit(d), c) * (F.coalesce(s, F.lit(0.0)) + (1 - alpha) * first / d)
+        return F.when(c == 0, before).when(before.isNull() & (c == 1), first).when(before.isNull(), fresh).otherwise(F.pow(F.lit(d), c) * (before + F.coalesce(s, F.lit(0.0))))
+
+    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    carries = {}
+    for (i, alpha), name in pairs.items():
+        maps = F.collect_list(F.struct(F.col(f"_c{i}").alias("c"), F.col(f"_f{i}").alias("f"), F.col(name).alias("s"))).over(earlier)
+        step = partial(lambda a, y, m: mean(y, m.c, m.f, m.s, a), alpha)
+        carries[f"_y{name}"] = F.aggregate(maps, F.lit(None).cast("double"), _two(step))
+    carried = last.withColumns(carries).select(*block, *carries)
+    out = rows.join(carried, block)
+    return out.select(*df.columns, *(mean(F.col(f"_y{pairs[sources.index(x), alpha]}"), F.col(f"_c{sources.index(x)}"), F.col(f"_f{sources.index(x)}"), F.col(pairs[sources.index(x), alpha]), alpha).alias(new) for new, (x, alpha) in columns.items()))
+
+
 def as_of_forward(days: DataFrame, sessions: DataFrame, day: str, session: str) -> DataFrame:
     """Adds the first session on or after each row's day; rows after the last session go.
 
@@ -77,8 +124,16 @@ def as_of_forward(days: DataFrame, sessions: DataFrame, day: str, session: str)
 
 
 def as_of_backward(rows: DataFrame, events: DataFrame, keys: list[str], at: str, since: str) -> DataFrame:
-    """Adds each row's latest event with since <= at: events get validity spans, one row per key and span."""
-    w = Window.partitionBy(*keys).orderBy(since)
-    spans = events.withColumn("_until", F.lead(since).over(w))
-    joined = rows.alias("l").join(spans.alias("r"), [F.col(f"l.{k}") == F.col(f"r.{k}") for k in keys] + [F.col(f"l.{at}") >= F.col(f"r.{since}"), F.col("r._until").isNull() | (F.col(f"l.{at}") < F.col("r._until"))], "left")
-    return joined.select("l.*", *(F.col(f"r.{c}") for c in events.columns if c not in keys))
+    """Adds each row's latest event with since <= at; nulls where there is none.
+
+    Rows and events are put together and sorted once for each key; a row takes the last event before it in that
+    order (events of the same moment first, of equal events the last one), so a key's rows and events are never
+    joined with each other. A row without a key or moment gets nulls.
+    """
+    values = [c for c in events.columns if c not in keys]
+    right = events.where(F.col(since).isNotNull()).select(*keys, F.col(since).alias("_at"), F.struct(*values).alias("_event"), *(F.lit(None).cast(rows.schema[c].dataType).alias(f"_row_{c}") for c in rows.columns), F.lit(0).alias("_side"))
+    left = rows.select(*keys, F.col(at).alias("_at"), F.lit(None).cast(right.schema["_event"].dataType).alias("_event"), *(F.col(c).alias(f"_row_{c}") for c in rows.columns), F.lit(1).alias("_side"))
+    w = Window.partitionBy(*keys).orderBy("_at", "_side", "_event").rowsBetween(Window.unboundedPreceding, 0)
+    known = F.when(F.col("_at").isNotNull() & ~F.expr(" or ".join(f"{k} is null" for k in keys)), F.last("_event", ignorenulls=True).over(w))
+    out = left.unionByName(right).withColumn("_last", known).where("_side = 1")
+    return out.select(*(F.col(f"_row_{c}").alias(c) for c in rows.columns), *(F.col(f"_last.{c}").alias(c) for c in values))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from panelloom.functions.windows import by, clip, ewm, pct_rank, roll
+from panelloom.functions.windows import by, clip, ewm, pct_rank, pct_ranks, roll
 
 
 def symbol_rows() -> WindowSpec:
@@ -80,7 +80,8 @@ def regime_table(bars: DataFrame, macro: DataFrame) -> DataFrame:
         }
     )
     # Rounded, so that equal windows tie in the ranks whatever the order of their sums.
-    return rows.withColumn("vol_20", F.round(roll(F.stddev_samp, "ret_1d", 20, symbol_rows()) * sqrt(252), 10)).withColumn("vol_percentile", pct_rank("vol_20", 252, symbol_rows(), 60))
+    rows = rows.withColumn("vol_20", F.round(roll(F.stddev_samp, "ret_1d", 20, symbol_rows()) * sqrt(252), 10))
+    return pct_ranks(rows, {"vol_percentile": ("vol_20", 252, 60)}, ["symbol"])
 
 
 def market_regime(index: DataFrame, start: str) -> DataFrame:

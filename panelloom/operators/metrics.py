@@ -7,7 +7,7 @@ from math import sqrt
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelloom.functions.distributions import normal_cdf
+from panelloom.functions.distributions import normal_cdf, t_p_value
 
 
 def _moments(x: Column) -> tuple[Column, Column]:
@@ -151,21 +151,66 @@ def kappa(rows: DataFrame, a: str, b: str) -> DataFrame:
     return both.select("n", po.alias("agreement"), F.when(pe >= 1, 1.0).otherwise(F.try_divide(po - pe, 1 - pe)).alias("kappa"))
 
 
-def factor_regression(rows: DataFrame, y: str, factors: tuple[str, str], keys: list[str], periods: int = 252) -> DataFrame:
-    """OLS of y on an intercept and two factors for each key: alpha, betas, their t values and R squared.
+def _at(matrix: Column, k: int, i: int | Column, j: int | Column) -> Column:
+    """The element of a k x k matrix that is an array, row after row."""
+    at = (F.lit(i) if isinstance(i, int) else i) * k + (F.lit(j) if isinstance(j, int) else j)
+    return F.get(matrix, at)
 
-    The sums of the normal equations are aggregates around the means; the 2 x 2 system is solved in columns.
+
+def cholesky(matrix: Column, k: int) -> Column:
+    """The lower factor of a symmetric k x k matrix in an array, row after row; null elements where it isn't
+    positive definite to twelve places of a diagonal element."""
+
+    def element(done: Column, at: Column) -> Column:
+        i, j = F.floor(at / k).cast("int"), F.pmod(at, F.lit(k)).cast("int")
+        known = F.aggregate(F.when(j > 0, F.sequence(F.lit(0), j - 1)).otherwise(F.array().cast("array<int>")), F.lit(0.0), lambda s, m: s + _at(done, k, i, m) * _at(done, k, j, m))
+        left = _at(matrix, k, i, j) - known
+        diagonal = F.when(left > 1e-12 * _at(matrix, k, i, i), F.sqrt(left))
+        return F.when(j > i, F.lit(0.0)).when(i == j, diagonal).otherwise(F.try_divide(left, _at(done, k, j, j)))
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(k * k - 1)), F.array().cast("array<double>"), lambda done, at: F.concat(done, F.array(element(done, at))))
+
+
+def solved(lower: Column, k: int, right: Column) -> Column:
+    """x of A x = right, from A's lower Cholesky factor: forwards, then backwards."""
+    steps = lambda lo, hi: F.when(hi >= lo, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))
+    down = F.aggregate(
+        F.sequence(F.lit(0), F.lit(k - 1)),
+        F.array().cast("array<double>"),
+        lambda z, i: F.concat(z, F.array(F.try_divide(F.get(right, i) - F.aggregate(steps(F.lit(0), i - 1), F.lit(0.0), lambda s, j: s + _at(lower, k, i, j) * F.get(z, j)), _at(lower, k, i, i)))),
+    )
+    # x is made from its end, so x_j stands at k - 1 - j from the front of what is made, which is put in front.
+    return F.aggregate(
+        F.sequence(F.lit(k - 1), F.lit(0), F.lit(-1)),
+        F.array().cast("array<double>"),
+        lambda x, i: F.concat(F.array(F.try_divide(F.get(down, i) - F.aggregate(steps(i + 1, F.lit(k - 1)), F.lit(0.0), lambda s, j: s + _at(lower, k, j, i) * F.get(x, j - i - 1)), _at(lower, k, i, i))), x),
+    )
+
+
+def factor_regression(rows: DataFrame, y: str, factors: list[str], keys: list[str], periods: int = 252) -> DataFrame:
+    """OLS of y on an intercept and any number of factors for each key, sorted by falling alpha: n, alpha (a year's),
+    alpha_t, alpha_p, and beta, t and p of each factor (<factor>_beta, <factor>_t, <factor>_p), r2.
+
+    The normal equations are aggregates around the means; a Cholesky factor in array columns solves them. p values
+    are two-sided of the t distribution with n - k - 1 degrees of freedom. A key with no more days that
+    have all values than coefficients is an error; collinear factors give nulls.
     """
-    a, b = factors
-    rows = rows.where(" and ".join(f"{c} is not null" for c in (y, a, b)))
-    s = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg(y).alias("my"), F.avg(a).alias("ma"), F.avg(b).alias("mb"), *(F.covar_pop(p, q).alias(n) for n, p, q in (("aa", a, a), ("bb", b, b), ("ab", a, b), ("ay", a, y), ("by", b, y), ("yy", y, y)))).where("n > 3")
-    c = F.col
-    det = c("aa") * c("bb") - c("ab") * c("ab")
-    s = s.withColumns({"beta_1": F.try_divide(c("ay") * c("bb") - c("by") * c("ab"), det), "beta_2": F.try_divide(c("by") * c("aa") - c("ay") * c("ab"), det), "_det": det})
-    s = s.withColumn("_a", c("my") - c("beta_1") * c("ma") - c("beta_2") * c("mb"))
-    left = c("yy") - c("beta_1") * c("ay") - c("beta_2") * c("by")
-    s = s.withColumns({"r2": 1 - F.try_divide(left, c("yy")), "_s2": left * c("n") / (c("n") - 3)})
-    var_1, var_2 = c("_s2") * c("bb") / c("_det") / c("n"), c("_s2") * c("aa") / c("_det") / c("n")
-    cov = -c("_s2") * c("ab") / c("_det") / c("n")
-    var_a = c("_s2") / c("n") + c("ma") * c("ma") * var_1 + c("mb") * c("mb") * var_2 + 2 * c("ma") * c("mb") * cov
-    return s.select(*keys, "n", (F.pow(1 + c("_a"), periods) - 1).alias("alpha"), "beta_1", "beta_2", F.try_divide(c("_a"), F.sqrt(var_a)).alias("t_alpha"), F.try_divide(c("beta_1"), F.sqrt(var_1)).alias("t_1"), F.try_divide(c("beta_2"), F.sqrt(var_2)).alias("t_2"), "r2")
+    k = len(factors)
+    rows = rows.where(" and ".join(f"{c} is not null and not isnan({c})" for c in (y, *factors)))
+    s = rows.groupBy(*keys).agg(
+        F.count("*").alias("n"), F.avg(y).alias("_my"), F.covar_pop(y, y).alias("_yy"), F.array(*(F.avg(f) for f in factors)).alias("_m"),
+        F.array(*(F.covar_pop(y, f) for f in factors)).alias("_xy"), F.array(*(F.covar_pop(f, g) for f in factors for g in factors)).alias("_xx"),
+    )
+    enough = F.col("n") >= k + 2
+    s = s.withColumn("n", F.when(enough, F.col("n")).otherwise(F.raise_error(F.concat(F.lit("too few days for a factor regression: "), F.col("n").cast("string"))).cast("long")))
+    s = s.withColumn("_l", cholesky(F.col("_xx"), k))
+    s = s.withColumn("_b", solved(F.col("_l"), k, F.col("_xy")))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, z: x * z), F.lit(0.0), lambda t, x: t + x)
+    unit = lambda i: F.array(*(F.lit(1.0 if j == i else 0.0) for j in range(k)))
+    s = s.withColumns({"_a": F.col("_my") - dot("_b", "_m"), "_left": F.greatest(F.col("_yy") - dot("_b", "_xy"), F.lit(0.0)), "_lm": solved(F.col("_l"), k, F.col("_m"))} | {f"_i{i}": F.get(solved(F.col("_l"), k, unit(i)), F.lit(i)) for i in range(k)})
+    freedom = F.col("n") - k - 1
+    per = F.col("_left") * F.col("n") / freedom / F.col("n")  # residual variance over n
+    t_of = lambda x, variance: F.try_divide(x, F.sqrt(variance))
+    out = s.withColumns({"alpha": F.pow(1 + F.col("_a"), periods) - 1, "r2": 1 - F.try_divide("_left", "_yy"), "alpha_t": t_of(F.col("_a"), per * (1 + dot("_m", "_lm")))} | {f"{f}_beta": F.get("_b", F.lit(i)) for i, f in enumerate(factors)} | {f"{f}_t": t_of(F.get("_b", F.lit(i)), per * F.col(f"_i{i}")) for i, f in enumerate(factors)})
+    out = out.withColumns({f"{c}_p": t_p_value(F.col(f"{c}_t"), freedom) for c in ("alpha", *factors)})
+    return out.select(*keys, "n", "alpha", "alpha_t", "alpha_p", *(f"{f}_{x}" for f in factors for x in ("beta", "t", "p")), "r2").orderBy(F.desc("alpha"), *keys)

@@ -57,22 +57,25 @@ def feed_items(pages: DataFrame, raw: str, keys: list[str]) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r", "at")
 
 
-def tag_companies(rows: DataFrame, names: DataFrame, column: str = "title") -> DataFrame:
-    """One row for each symbol whose lower-cased term the title holds.
+def tag_companies(rows: DataFrame, names: DataFrame, column: str = "title", gram: int = 6) -> DataFrame:
+    """One row for each symbol of which the title holds a term, both lower-cased, wherever in the title.
 
-    names (symbol, term) is a list of companies, not of documents. All its terms go into one pattern, so a
-    title is scanned once whatever the number of terms; the hits then join by equality.
+    names: symbol and term, any number of them; they stay in Spark. A term meets the titles that hold its first
+    `gram` characters (all of a shorter term) by equality, and is then looked for in those. Equal rows give one
+    row a symbol; null titles, and empty or null terms, match nothing.
     """
-    terms = [r["term"] for r in names.select(F.lower("term").alias("term")).distinct().orderBy(F.length("term").desc(), "term").collect()]
-    if not terms:
-        return rows.limit(0).withColumn("tagged", F.lit(None).cast("string"))
-    quoted = "|".join(r"\Q" + t + r"\E" for t in terms)
-    # A look-ahead matches at every place, so overlapping terms are all found; each place gives its longest
-    # term, and shorter ones that it starts with are added from the list itself.
-    hits = F.regexp_extract_all(F.lower(F.col(column)), F.lit(f"(?=({quoted}))"), F.lit(1))
-    inner = names.sparkSession.createDataFrame([(a, b) for a in terms for b in terms if a.startswith(b)], "hit string, term string")
-    found = rows.withColumn("hit", F.explode(F.array_distinct(hits))).join(F.broadcast(inner), "hit").drop("hit").distinct()  # a pair for each nested term
-    return found.join(F.broadcast(names.select(F.col("symbol").alias("tagged"), F.lower("term").alias("term"))), "term").drop("term").distinct()
+    text = F.lower(F.col(column))
+    terms = names.select(F.col("symbol").alias("tagged"), F.lower("term").alias("_term")).where(F.length("_term") > 0).distinct()
+    terms = terms.withColumns({"_gram": F.substring("_term", 1, gram), "_width": F.least(F.length("_term"), F.lit(gram))})
+    widths = sorted(r["_width"] for r in terms.select("_width").distinct().collect())  # at most `gram` numbers
+    keyed = rows.where(F.col(column).isNotNull()).withColumn("_key", F.xxhash64(text))
+    if not widths:
+        return keyed.drop("_key").limit(0).withColumn("tagged", F.lit(None).cast("string"))
+    grams = F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{w}}}))"), F.lit(1)) for w in widths)))
+    places = keyed.select("_key", F.explode(grams).alias("_gram"))
+    met = places.join(terms.select("_gram", "_term", "tagged"), "_gram").select("_key", "_term", "tagged").distinct()
+    found = keyed.join(met, "_key").where(F.contains(text, F.col("_term")))
+    return found.drop("_key", "_term").distinct()
 
 
 def to_sessions(rows: DataFrame, sessions: DataFrame) -> DataFrame:

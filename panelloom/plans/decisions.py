@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions.costs import DELIVERY, INTRADAY, rate
-from panelloom.operators import backtest, baselines, explain, features, fundamentals, inference, labels, ledger, metrics, opinions, scenarios, sizing, walkforward
+from panelloom.functions.tables import written
+from panelloom.operators import backtest, baselines, boosting, explain, features, fundamentals, inference, labels, ledger, metrics, opinions, scenarios, sizing, walkforward
 from panelloom.plans import panel
 from panelloom.plans.registry import Registry, rounded
 from panelloom.sources import adapters as src
@@ -108,6 +109,47 @@ def p5_p8_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.withColumns({c: F.round(c, 5) for c in ("treynor", "information_ratio", "up_capture", "down_capture")}))
 
 
+_FACTORS = _T + """, mo AS (SELECT symbol, date, lag(close, 21) OVER w / lag(close, 252) OVER w - 1 AS m, lead(open, 2) OVER w / lead(open, 1) OVER w - 1 AS f FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+rk AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY m DESC, symbol) AS b, row_number() OVER (PARTITION BY date ORDER BY m, symbol) AS l, count(*) OVER (PARTITION BY date) AS n FROM mo WHERE m IS NOT NULL AND f IS NOT NULL),
+wml AS (SELECT date, avg(f) FILTER (WHERE b <= 3) - avg(f) FILTER (WHERE l <= 3) AS wml FROM rk WHERE n >= 6 GROUP BY date),
+mk AS (SELECT date, lead(open, 2) OVER (ORDER BY date) / lead(open, 1) OVER (ORDER BY date) - 1 - (pow(1.06, 1/252.0) - 1) AS mkt FROM index_bars),
+vx AS (SELECT date, (vix - lag(vix) OVER (ORDER BY date)) / 100 AS vol FROM vix),
+model(model, k, has_wml, has_vol) AS (VALUES ('mkt', 1, false, false), ('mkt wml', 2, true, false), ('mkt wml vol', 3, true, true)),
+x AS (SELECT model, k, has_wml, has_vol, strategy, net_return - (pow(1.06, 1/252.0) - 1) AS y, mkt AS a, CASE WHEN has_wml THEN wml ELSE 0 END AS b, CASE WHEN has_vol THEN vol ELSE 0 END AS c
+  FROM tracks JOIN mk USING (date) LEFT JOIN wml USING (date) LEFT JOIN vx USING (date), model WHERE mkt IS NOT NULL AND (wml IS NOT NULL OR NOT has_wml) AND (vol IS NOT NULL OR NOT has_vol)),
+s AS (SELECT model, k, has_wml, has_vol, strategy, count(*) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, avg(c) AS mc, var_pop(y) AS yy, covar_pop(a, y) AS ya, covar_pop(b, y) AS yb, covar_pop(c, y) AS yc,
+  var_pop(a) AS aa, CASE WHEN has_wml THEN var_pop(b) ELSE 1 END AS bb, CASE WHEN has_vol THEN var_pop(c) ELSE 1 END AS cc, covar_pop(a, b) AS ab, covar_pop(a, c) AS ac, covar_pop(b, c) AS bc FROM x GROUP BY model, k, has_wml, has_vol, strategy),
+d AS (SELECT *, aa * (bb * cc - bc * bc) - ab * (ab * cc - bc * ac) + ac * (ab * bc - bb * ac) AS det FROM s),
+i AS (SELECT *, (bb * cc - bc * bc) / det AS i11, (aa * cc - ac * ac) / det AS i22, (aa * bb - ab * ab) / det AS i33, (ac * bc - ab * cc) / det AS i12, (ab * bc - ac * bb) / det AS i13, (ab * ac - aa * bc) / det AS i23 FROM d),
+e AS (SELECT *, i11 * ya + i12 * yb + i13 * yc AS b1, i12 * ya + i22 * yb + i23 * yc AS b2, i13 * ya + i23 * yb + i33 * yc AS b3 FROM i),
+r AS (SELECT *, n - k - 1 AS df, my - b1 * ma - b2 * mb - b3 * mc AS al, yy - b1 * ya - b2 * yb - b3 * yc AS lft FROM e),
+t AS (SELECT *, al / sqrt(lft / df * (1 + ma * ma * i11 + mb * mb * i22 + mc * mc * i33 + 2 * ma * mb * i12 + 2 * ma * mc * i13 + 2 * mb * mc * i23)) AS ta, b1 / sqrt(lft / df * i11) AS t1, CASE WHEN has_wml THEN b2 / sqrt(lft / df * i22) END AS t2, CASE WHEN has_vol THEN b3 / sqrt(lft / df * i33) END AS t3 FROM r)"""
+
+
+def _tail(t: str) -> str:
+    """The two-sided p value of t with df degrees of freedom: the density's integral by Simpson's rule in the angle atan(t / sqrt(df))."""
+    lo, step = f"atan(abs({t}) / sqrt(df))", f"(least(pi() / 2, atan(abs({t}) / sqrt(df)) + 12 / sqrt(df)) - atan(abs({t}) / sqrt(df))) / 2000"
+    return f"(2 * exp(lgamma((df + 1) / 2.0) - lgamma(df / 2.0)) / sqrt(pi()) * {step} / 3 * list_sum(list_transform(range(2001), lambda j: (CASE WHEN j IN (0, 2000) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END) * pow(greatest(cos({lo} + j * ({step})), 0), df - 1))))"
+
+
+@R.add("bars index_bars vix", _FACTORS + f""" SELECT model, strategy, n, round(pow(1 + al, 252) - 1, 5) + 0.0 AS alpha, round(ta, 4) + 0.0 AS alpha_t, round({_tail("ta")}, 4) + 0.0 AS alpha_p, round(b1, 5) + 0.0 AS mkt_beta, round(t1, 4) + 0.0 AS mkt_t, round({_tail("t1")}, 4) + 0.0 AS mkt_p,
+  CASE WHEN has_wml THEN round(b2, 5) + 0.0 END AS wml_beta, round(t2, 4) + 0.0 AS wml_t, CASE WHEN has_wml THEN round({_tail("t2")}, 4) + 0.0 END AS wml_p, CASE WHEN has_vol THEN round(b3, 5) + 0.0 END AS vol_beta, round(t3, 4) + 0.0 AS vol_t, CASE WHEN has_vol THEN round({_tail("t3")}, 4) + 0.0 END AS vol_p, round(1 - lft / yy, 5) AS r2 FROM t""")
+def p9_p10_factor_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every strategy on one, two and three factors, each model's rows by falling alpha: the market, winners minus losers, and the change of the volatility index."""
+    rf = backtest.per_period()
+    w = Window.orderBy("date")
+    market = src.index_bars(spark, sf_dir).select("date", (labels.forward_return(1, w) - rf).alias("mkt")).where("mkt is not null")
+    wml = baselines.winners_minus_losers(features.momentum_12_1(src.bars(spark, sf_dir)).withColumn("fwd_ret", labels.forward_return(1)))
+    vol = src.vix(spark, sf_dir).select("date", ((F.col("vix") - F.lag("vix").over(w)) / 100).alias("vol"))
+    rows = written(panel._tracks(spark, sf_dir).select("strategy", "date", (F.col("net_return") - rf).alias("y")).join(market, "date").join(wml, "date", "left").join(vol, "date", "left"), "factors")
+    out = None
+    for names in (["mkt"], ["mkt", "wml"], ["mkt", "wml", "vol"]):
+        part = metrics.factor_regression(rows, "y", names, ["strategy"]).withColumn("model", F.lit(" ".join(names)))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    four = {c: F.round(c, 4) for c in out.columns if c.endswith(("_t", "_p"))}
+    return rounded(out.withColumns(four), 5)
+
+
 @R.add("bars index_bars", _T + """, mo AS (SELECT symbol, date, lag(close, 21) OVER w / lag(close, 252) OVER w - 1 AS m, lead(open, 2) OVER w / lead(open, 1) OVER w - 1 AS f FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)),
 rk AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY m DESC, symbol) AS b, row_number() OVER (PARTITION BY date ORDER BY m, symbol) AS l, count(*) OVER (PARTITION BY date) AS n FROM mo WHERE m IS NOT NULL AND f IS NOT NULL),
 wml AS (SELECT date, avg(f) FILTER (WHERE b <= 3) - avg(f) FILTER (WHERE l <= 3) AS wml FROM rk WHERE n >= 6 GROUP BY date),
@@ -122,7 +164,7 @@ def p9_b6_b8_factor_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     market = src.index_bars(spark, sf_dir).select("date", (labels.forward_return(1, w) - rf).alias("mkt")).where("mkt is not null")
     wml = baselines.winners_minus_losers(features.momentum_12_1(src.bars(spark, sf_dir)).withColumn("fwd_ret", labels.forward_return(1)))
     rows = panel._tracks(spark, sf_dir).select("strategy", "date", (F.col("net_return") - rf).alias("y")).join(market, "date").join(wml, "date")
-    return rounded(metrics.factor_regression(rows, "y", ("mkt", "wml"), ["strategy"]).select("strategy", "n", "beta_1", "beta_2", "r2"), 5)
+    return rounded(metrics.factor_regression(rows, "y", ["mkt", "wml"], ["strategy"]).select("strategy", "n", F.col("mkt_beta").alias("beta_1"), F.col("wml_beta").alias("beta_2"), "r2"), 5)
 
 
 @R.add("predictions", """WITH p AS (SELECT 'm' AS model, round(prob_up, 12) AS prob_up, CAST(fwd_ret > 0 AS INT) AS y FROM predictions WHERE fwd_ret IS NOT NULL),
@@ -290,14 +332,23 @@ def v10_briefing_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ledger.top_of_latest_day(src.bars(spark, sf_dir), "close").select("symbol", "date", "close"))
 
 
-@R.add()
-def m1_m3_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     bars = src.bars(spark, sf_dir)
     rows = features.recursive_features(features.window_features(bars))
     names = [c for c in rows.columns if c not in bars.columns]
     rows = rows.withColumn("fwd_ret", labels.forward_return(1)).dropna(subset=["fwd_ret", *names])
-    rows = rows.select("date", "symbol", "fwd_ret", (F.col("fwd_ret") > 0).cast("int").alias("y"), *names).cache()  # each fold reads them again
-    return rounded(walkforward.walk_forward(rows, labels.folds(rows.select("date"), test_months=6), names, "gbt"), 4)
+    rows = written(rows.select("date", "symbol", "fwd_ret", (F.col("fwd_ret") > 0).cast("int").alias("y"), *names), "panel")
+    return walkforward.walk_forward(rows, labels.folds(rows.select("date"), test_months=6), names, "gbt")
+
+
+@R.add()
+def m1_m3_walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_walk_forward(spark, sf_dir), 4)
+
+
+@R.add()
+def m2_fold_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(boosting.fold_summary(_walk_forward(spark, sf_dir)), 4)
 
 
 @R.add("bars", "WITH " + ", ".join(f"r{k} AS (SELECT date, symbol, 1 / (1 + exp({10 + k} * (close / lag(close) OVER w - 1))) AS p FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date))" for k in range(3)) + " SELECT 'model' AS architecture, date, symbol, round(avg(p), 6) AS prob_up FROM (SELECT * FROM r0 UNION ALL SELECT * FROM r1 UNION ALL SELECT * FROM r2) WHERE p IS NOT NULL GROUP BY 2, 3")

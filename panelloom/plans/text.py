@@ -222,6 +222,14 @@ def s12_page_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.page_parts(src.table(spark, sf_dir, "pages"))
 
 
+@R.add("statements", """SELECT symbol AS page_id, 'flows' AS section, 'Sales' AS label, fiscal, CAST(CAST(revenue AS DECIMAL(18,2)) AS DOUBLE) AS value FROM statements
+UNION ALL SELECT symbol, 'flows', 'Net Profit', fiscal, CASE WHEN net_profit >= 0 THEN CAST(CAST(net_profit AS DECIMAL(18,2)) AS DOUBLE) END FROM statements
+UNION ALL SELECT symbol, 'stock', 'Equity', fiscal, CASE WHEN fiscal NOT LIKE '% 9m' THEN CAST(CAST(equity AS DECIMAL(18,2)) AS DOUBLE) END FROM statements""")
+def s12_section_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables parsed from pages that hold the statements."""
+    return rounded(corpus.section_tables(src.statement_pages(spark, sf_dir), ["flows", "stock"]).select("page_id", "section", "label", "fiscal", "value"))
+
+
 @R.add("scored", "SELECT count(*) FILTER (WHERE doc_id % 3 = 0) AS hits, count(*) FILTER (WHERE doc_id % 3 <> 0) AS misses, round(avg(CASE WHEN doc_id % 3 = 0 THEN 1.0 ELSE 0.0 END), 6) AS hit_rate FROM scored")
 def s15_s16_scoring_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = src.scored(spark, sf_dir)

@@ -110,6 +110,20 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.select(F.col("n_name").alias("symbol"), F.concat(F.lit("Dec "), "year", F.when(short, F.lit(" 9m")).otherwise(F.lit(""))).alias("fiscal"), "revenue", "net_profit", "equity")
 
 
+def statement_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id (a nation's name) and html: a page with a year a column, the newest first, in two sections. Equity
+    stands in a table of its own; a year that isn't whole has no equity cell, and the label of profit holds a table."""
+    years = statements(spark, sf_dir).groupBy("symbol").agg(F.reverse(F.sort_array(F.collect_list(F.struct(F.regexp_extract("fiscal", r"(\d{4})", 1).alias("y"), "fiscal", "revenue", "net_profit", "equity")))).alias("s"))
+    cells = lambda tag, f: F.concat_ws("", F.transform("s", lambda x: F.concat(F.lit(f"<{tag}>"), f(x), F.lit(f"</{tag}>"))))
+    money = lambda c: F.format_number(c, 2)
+    head = F.concat(F.lit("<tr><th></th>"), cells("th", lambda x: x.fiscal), F.lit("</tr>"))
+    row = lambda label, f: F.concat(F.lit(f"<tr><td>{label}</td>"), cells("td", f), F.lit("</tr>"))
+    last = F.concat_ws("", F.transform(F.filter("s", lambda x: ~x.fiscal.contains(" 9m")), lambda x: F.concat(F.lit("<td>"), money(x.equity), F.lit("</td>"))))
+    flows = F.concat(F.lit('<section id="flows"><h2>Flows</h2><table class="x">'), head, row("Sales +", lambda x: money(x.revenue)), row("Net Profit<table><tr><td>+</td></tr></table>", lambda x: F.when(x.net_profit < 0, F.lit("--")).otherwise(money(x.net_profit))), F.lit("</table></section>"))
+    stock = F.concat(F.lit('<section id="stock"><p>As of</p><table>'), F.concat(F.lit("<tr><th></th>"), F.concat_ws("", F.transform(F.sort_array(F.transform("s", lambda x: F.struct(F.when(x.fiscal.contains(" 9m"), 1).otherwise(0).alias("part"), (-x.y.cast("int")).alias("o"), x.fiscal.alias("fiscal")))), lambda x: F.concat(F.lit("<th>"), x.fiscal, F.lit("</th>")))), F.lit("</tr>")), F.lit("<tr><td>Equity"), last, F.lit("</table></section>"))
+    return years.select(F.col("symbol").alias("page_id"), F.concat(F.lit("<html><body>"), flows, stock, F.lit("</body></html>")).alias("html"))
+
+
 def fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     """account, symbol, trade_id, side, quantity, price: every tick as an order in its symbol's order."""
     t = ticks(spark, sf_dir)

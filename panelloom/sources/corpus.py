@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 HEADLINE = "symbol string, date string, title string, source string, url string, published_utc string"
 STATEMENT = "map<string,map<string,map<string,double>>>"
@@ -52,16 +57,87 @@ def page_parts(pages: DataFrame) -> DataFrame:
     )
 
 
+class _Tables(HTMLParser):
+    """The first table after each wanted section's id, as rows of cells; a table in a cell belongs to its text.
+
+    Rows and cells end where the next one, or their table, begins or ends, so unclosed tags do no harm. A cell
+    of `colspan` columns stands in the first of them.
+    """
+
+    def __init__(self, sections: set[str]) -> None:
+        super().__init__(convert_charrefs=True)
+        self.sections, self.waiting, self.depth = sections, None, 0
+        self.tables: dict[str, list[list[str]]] = {}
+        self.rows: list[list[str]] | None = None
+        self.open = False
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        at = dict(attrs)
+        if at.get("id") in self.sections and self.depth == 0 and at["id"] not in self.tables:
+            self.waiting = at["id"]
+        if tag == "table" and (self.rows is not None or self.waiting is not None):
+            if self.rows is None:
+                self.rows, self.open = self.tables.setdefault(self.waiting, []), False
+                self.waiting = None
+            self.depth += 1
+        elif self.depth == 1 and tag == "tr":
+            self.rows.append([])
+            self.open = False
+        elif self.depth == 1 and tag in ("td", "th"):
+            if not self.rows:
+                self.rows.append([])
+            wide = at.get("colspan") or "1"
+            self.rows[-1] += ["", *[""] * (min(int(wide), 1000) - 1)] if wide.isdigit() and int(wide) else [""]
+            self.cell = len(self.rows[-1]) - (min(int(wide), 1000) if wide.isdigit() and int(wide) else 1)
+            self.open = True
+
+    def handle_endtag(self, tag: str) -> None:
+        if tag == "table" and self.depth:
+            self.depth -= 1
+            if not self.depth:
+                self.rows, self.open = None, False
+        elif self.depth == 1 and tag in ("td", "th", "tr"):
+            self.open = False
+
+    def handle_data(self, data: str) -> None:
+        if self.open:
+            self.rows[-1][self.cell] += data
+
+
+def section_tables(pages: DataFrame, sections: list[str], html: str = "html") -> DataFrame:
+    """page_id, section, row (from 0), label, fiscal, raw and value of the first table after each section's id.
+
+    The first row that has cells names the columns, the first cell of a later row its label (without a trailing
+    +). Cells are aligned with the header by place: a missing cell of a header's column is null, cells beyond the
+    header are dropped. value is the number without , and %; empty, - and -- are null. A null page or a page
+    without the section gives no rows.
+    """
+    wanted = frozenset(sections)
+    schema = T.StructType([T.StructField("page_id", pages.schema["page_id"].dataType), *T.StructType.fromDDL("section string, row int, label string, fiscal string, raw string").fields])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, out = [], []
+            for i, page in enumerate(batch.column(1).to_pylist()):
+                parser = _Tables(set(wanted))
+                parser.feed(page or "")
+                parser.close()
+                for section, rows in parser.tables.items():
+                    rows = [[" ".join(c.split()) for c in r] for r in rows if r]
+                    for n, r in enumerate(rows[1:]):
+                        for k, fiscal in enumerate(rows[0][1:], 1):
+                            of.append(i)
+                            out.append((section, n, r[0].removesuffix("+").rstrip(), fiscal, r[k] if k < len(r) else None))
+            columns = [pa.array([r[j] for r in out], t) for j, t in enumerate((pa.string(), pa.int32(), pa.string(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(of, pa.int64())), *columns], schema.names)
+
+    found = pages.select("page_id", html).mapInArrow(work, schema)
+    plain = F.trim(F.regexp_replace("raw", "[,%]", ""))
+    return found.withColumn("value", F.when(~plain.isin("", "-", "--"), plain.try_cast("double")))
+
+
 def section_table(pages: DataFrame, section: str) -> DataFrame:
-    """page_id, label, fiscal and value of the first table after a section's id: the header row names the
-    columns, the first cell of a row its label (without a trailing +); , and % are dropped from numbers."""
-    table = F.regexp_extract("html", rf'(?s)id="{section}".*?<table[^>]*>(.*?)</table>', 1)
-    rows = pages.select("page_id", F.posexplode(F.regexp_extract_all(table, F.lit(r"(?s)<tr[^>]*>(.*?)</tr>"), F.lit(1))).alias("r", "tr"))
-    cells = F.transform(F.regexp_extract_all("tr", F.lit(r"(?s)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), lambda c: F.trim(F.regexp_replace(c, r"<[^>]*>", "")))
-    rows = rows.select("page_id", "r", cells.alias("cells"))
-    head = rows.where("r = 0").select("page_id", F.col("cells").alias("head"))
-    body = rows.where("r > 0").join(head, "page_id").select("page_id", F.trim(F.regexp_replace(F.col("cells")[0], r"\s*\+$", "")).alias("label"), F.explode(F.arrays_zip(F.slice("head", F.lit(2), F.greatest(F.size("head"), F.lit(1))).alias("f"), F.slice("cells", F.lit(2), F.greatest(F.size("cells"), F.lit(1))).alias("v"))).alias("x"))
-    return body.select("page_id", "label", F.col("x.f").alias("fiscal"), F.regexp_replace(F.col("x.v"), "[,%]", "").try_cast("double").alias("value"))
+    return section_tables(pages, [section]).select("page_id", "label", "fiscal", "value")
 
 
 def best_basis(rows: DataFrame, least: int = 8) -> DataFrame:
