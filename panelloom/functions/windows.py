@@ -88,15 +88,15 @@ def ewm(df: DataFrame, columns: dict[str, tuple[str, float]], keys: list[str], o
     w = Window.partitionBy(*block).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({f"_c{i}": F.count(x).over(w) for i, x in enumerate(sources)} | {f"_f{i}": F.first(x, ignorenulls=True).over(w) for i, x in enumerate(sources)})
     pairs = {(i, alpha): f"_s{i}_{k}" for i, x in enumerate(sources) for k, alpha in enumerate(alphas) if (x, alpha) in columns.values()}
-    # The sum of alpha * x_j / d**c_j, so that times d**c it is what the block adds to the mean.
-    rows = written(rows.withColumns({name: F.sum(alpha * F.col(sources[i]) * F.pow(F.lit(1 - alpha), -F.col(f"_c{i}"))).over(w) for (i, alpha), name in pairs.items()}), "ewm")
+    # The sum of alpha * (x_j - f) / d**c_j, f being the block's first value: times d**c it is what the block adds to
+    # f and to what is left of the mean before it. So equal values have themselves as their mean, exactly.
+    rows = written(rows.withColumns({name: F.sum(alpha * (F.col(sources[i]) - F.col(f"_f{i}")) * F.pow(F.lit(1 - alpha), -F.col(f"_c{i}"))).over(w) for (i, alpha), name in pairs.items()}), "ewm")
     last = rows.groupBy(*block).agg(*(F.max(f"_c{i}").alias(f"_c{i}") for i in range(len(sources))), *(F.max_by(c, order).alias(c) for c in [*(f"_f{i}" for i in range(len(sources))), *pairs.values()]))
 
     def mean(before: Column, c: Column, first: Column, s: Column, alpha: float) -> Column:
         """The mean behind c values of a block, given the one before the block (null: none yet)."""
-        d = 1 - alpha
-        fresh = F.pow(F.lit(d), c) * (F.coalesce(s, F.lit(0.0)) + (1 - alpha) * first / d)
-        return F.when(c == 0, before).when(before.isNull() & (c == 1), first).when(before.isNull(), fresh).otherwise(F.pow(F.lit(d), c) * (before + F.coalesce(s, F.lit(0.0))))
+        left = F.when(before.isNull(), 0.0).otherwise(before - first)
+        return F.when(c == 0, before).otherwise(first + F.pow(F.lit(1 - alpha), c) * (left + F.coalesce(s, F.lit(0.0))))
 
     earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carries = {}
