@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
+from collections.abc import Iterator
 from functools import partial
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,33 +39,51 @@ def clip(column: Column, low: float, high: float) -> Column:
     return F.when(column.isNotNull(), F.least(F.greatest(column, F.lit(float(low))), F.lit(float(high))))
 
 
+def _window_ranks(x: np.ndarray, first: np.ndarray, n: int, least: int) -> np.ndarray:
+    """Rank of each value among the last n (itself included, none before place `first`), ties averaged, over their number.
+
+    Distances are compared one after the other, each for all rows at once; nan is a null.
+    """
+    below, same, known = np.zeros(len(x)), np.zeros(len(x)), np.zeros(len(x))
+    at = np.arange(len(x))
+    for j in range(min(n, len(x))):
+        inside = at[j:] - j >= first[j:]
+        other, own = x[: len(x) - j], x[j:]
+        below[j:] += inside & (other < own)
+        same[j:] += inside & (other == own)
+        known[j:] += inside & ~np.isnan(other)
+    return np.where((known >= least) & ~np.isnan(x), (below + (same + 1) / 2) / np.maximum(known, 1), np.nan)
+
+
 def pct_ranks(df: DataFrame, columns: dict[str, tuple[str, int, int]], keys: list[str], order: str = "date") -> DataFrame:
-    """Adds rolling ranks like pct_rank: new name -> (column, n, least). A group is one symbol's series.
+    """Adds rolling ranks like pct_rank: new name -> (column, n, least).
 
-    Each series keeps the values of its last n rows in a sorted list: a row is put in and the one that leaves is
-    taken out by binary search, and its rank is the place between the smaller and the equal ones.
+    Rows are sorted by key and order within their partitions and pass by in batches; of a series only the last
+    n - 1 rows are kept for the next batch, however long it is.
     """
     schema = T.StructType(list(df.schema.fields) + [T.StructField(c, T.DoubleType()) for c in columns])
-
-    def ranks(x: list, n: int, least: int) -> list:
-        held, out = [], []
-        for i, v in enumerate(x):
-            gone = x[i - n] if i >= n else None
-            if gone is not None:
-                del held[bisect_left(held, gone)]
-            if v is not None:
-                insort(held, v)
-            below, upto = (bisect_left(held, v), bisect_right(held, v)) if v is not None else (0, 0)
-            out.append((below + (upto - below + 1) / 2) / len(held) if v is not None and len(held) >= least else None)
-        return out
-
-    def fold(group: pa.Table) -> pa.Table:
-        group = group.sort_by(order)
-        for name, (source, n, least) in columns.items():
-            group = group.append_column(name, pa.array(ranks(group.column(source).to_pylist(), n, least), pa.float64()))
-        return group
-
-    return df.groupBy(*keys).applyInArrow(fold, schema)
+    most = max(n for _, n, _ in columns.values())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            kept = held.num_rows if held is not None else 0
+            rows = pa.Table.from_batches([held, batch] if kept else [batch]).combine_chunks()
+            new = np.zeros(rows.num_rows, bool)
+            new[:1] = True
+            for k in keys:
+                code = rows.column(k).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                new[1:] |= code[1:] != code[:-1]
+            first = np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            columns_of = list(batch.columns)
+            for source, n, least in columns.values():
+                ranks = _window_ranks(rows.column(source).to_numpy().astype(float), first, n, least)[kept:]
+                columns_of.append(pa.array(ranks, pa.float64(), mask=np.isnan(ranks)))
+            yield pa.RecordBatch.from_arrays(columns_of, schema.names)
+            tail = rows.slice(max(0, rows.num_rows - most + 1)).combine_chunks().to_batches()
+            held = tail[0] if tail else held
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, order).mapInArrow(run, schema)
 
 
 def _two(step):
