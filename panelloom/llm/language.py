@@ -16,6 +16,7 @@ from .tasks import annotate, emit, longs
 
 UNKNOWN = "und"
 BUCKETS = 4096
+_ROWS = 512  # texts whose counts a task holds at once, BUCKETS numbers each
 LENGTHS = (1, 2, 3)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: ASCII bytes that aren't letters count as one separator; letters are lower-cased.
@@ -77,7 +78,7 @@ def document_frequency(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     def work(batch: pa.RecordBatch) -> Iterator[list]:
         total = np.zeros(BUCKETS + 1, np.int64)
-        for part, data, ends in tb.slices(batch):
+        for part, data, ends in tb.slices(batch, rows=_ROWS):
             total[:-1] += (counts(data, ends) > 0).sum(axis=0)
             total[-1] += part.num_rows
         at = np.flatnonzero(total)
@@ -123,7 +124,7 @@ def train(docs: DataFrame, lang: str = "lang", sample_per_lang: int = 500, centr
     key = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
     def work(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list]]:
-        for part, data, ends in tb.slices(batch):
+        for part, data, ends in tb.slices(batch, rows=_ROWS):
             count = counts(data, ends)
             yield part, [pa.array([np.flatnonzero(c).astype(np.int32) for c in count], pa.list_(pa.int32())), pa.array([c[c > 0] for c in count], pa.list_(pa.float32()))]
 
@@ -169,7 +170,7 @@ def identify(docs: DataFrame, model: Model, carry: list[str] | None = None) -> D
 
     def work(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, list]]:
         m = shared.value
-        for part, data, ends in tb.slices(batch):
+        for part, data, ends in tb.slices(batch, rows=_ROWS):
             n = part.num_rows
             letters = np.concatenate([[0], np.cumsum(ascii_letter[data])])
             lettered = letters[ends[1:]] > letters[ends[:-1]]

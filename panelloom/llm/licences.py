@@ -136,7 +136,7 @@ def scan(docs: DataFrame, templates: tuple = TEMPLATES, phrases: dict[str, str]
     hot = np.zeros(len(vocabulary.words) + 1, bool)
     for r in ready.prefixes:
         hot[np.flatnonzero(ready.rank == r)] = True
-    longest = max((len(set(text.split())) for _, text in templates), default=0)
+    longest = max((len(text.split()) for _, text in templates), default=0)
     block_words = block_words or max(48, 2 * longest)  # any run of as many words as a template has lies in a block
     half = block_words // 2
 

@@ -154,6 +154,30 @@ def _runs(heads: DataFrame, least_words: int) -> DataFrame:
     return emit(heads.select("doc_id", "text_key", "lines", "words"), _RUN, work)
 
 
+def _openings(heads: DataFrame, asking: DataFrame) -> DataFrame:
+    """doc_id, text_key and opening: what lets patience align two texts at all, of texts that share one with an asking text.
+
+    That is a line that stands once in each, the same first line, or the same last line.
+    """
+
+    def work(batch: pa.RecordBatch) -> Iterator[list]:
+        rows, values = [], []
+        for i, lines in enumerate(batch.column("lines").to_pylist()):
+            if lines:
+                own = np.array(lines, np.int64).view(np.uint64)
+                value, n = np.unique(own, return_counts=True)
+                found = np.unique(tb.mix(np.concatenate([value[n == 1], [own[0] + tb.U64(1)], [own[-1] + tb.U64(2)]])))
+                rows.append(np.full(len(found), i)), values.append(found.view(np.int64))
+        at = pa.array(np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64))
+        yield [batch.column("doc_id").take(at), batch.column("text_key").take(at), pa.array(np.concatenate([*values, np.zeros(0, np.int64)]).astype(np.int64))]
+
+    schema = T.StructType([heads.schema["doc_id"], heads.schema["text_key"], T.StructField("opening", T.LongType())])
+    every = emit(heads.select("doc_id", "text_key", "lines"), schema, work)
+    asked = every.join(asking, ["doc_id", "text_key"], "left_semi").select("opening").distinct()
+    held = every.groupBy("opening").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("opening").join(asked, "opening", "left_semi")
+    return every.join(held, "opening", "left_semi").select("doc_id", "text_key", "opening")
+
+
 def _align(pairs: DataFrame, heads: DataFrame, least_words: int) -> DataFrame:
     """doc_id, text_key, first_id and at, the lines of the document in its common blocks with the first."""
     with_a = pairs.join(heads.select(F.col("doc_id").alias("first_id"), F.col("lines").alias("a")), "first_id")
@@ -185,8 +209,9 @@ def removals(docs: DataFrame, least_words: int = 8) -> DataFrame:
     least_words words that a document has in common with any earlier one are removed. A pair is found by
     the runs of lines that both hold (see runs). A document is first aligned with the first holder of each
     of its runs, then, for runs of which a line is left, with the first that holds the run as often, and
-    then with a growing share of the earlier holders, at last with all that are left. A pair that isn't
-    aligned has no run of which a line is left, so the result is that of aligning all pairs.
+    then with a growing share of the earlier holders, at last with all that are left, of those that share a
+    line that could be aligned first (see _openings). A pair that isn't aligned has no run of which a line is left,
+    or nothing that patience could align, so the result is that of aligning all pairs.
     """
     keyed = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_key"))
     seqs = written(_sequences(keyed).dropDuplicates(["doc_id", "text_key"]), "lines")
@@ -203,9 +228,16 @@ def removals(docs: DataFrame, least_words: int = 8) -> DataFrame:
     by_count = counted.groupBy("run", "n").agg(F.min("doc_id").alias("other_id"))
     key, pair = ["doc_id", "text_key"], ["doc_id", "text_key", "first_id"]
 
+    opened = None
+
     def further(left: DataFrame, share: int) -> DataFrame:
+        """Pairs with the holders of a run that also share an opening: without one patience aligns nothing."""
+        nonlocal opened
+        opened = written(_openings(heads, left.select(*key).distinct()), "openings") if opened is None else opened
         holders = own.select("run", F.col("doc_id").alias("other_id")).distinct().where(F.pmod(F.xxhash64("other_id"), F.lit(share)) == 0)
-        return left.select("run", *key).distinct().join(holders, "run")
+        theirs = holders.join(opened.select(F.col("doc_id").alias("other_id"), "opening"), "other_id")
+        ours = left.select("run", *key).distinct().join(opened, key)
+        return ours.join(theirs.distinct(), ["run", "opening"])
 
     rounds = [
         lambda left: left.select(*key, F.col("first_id").alias("other_id")),
@@ -241,10 +273,12 @@ def dedup(docs: DataFrame, least_words: int = 8) -> DataFrame:
     """
     new = ("n_lines", "n_removed", "earlier")
     found = written(removals(docs, least_words), "removals")
-    kept = docs.select(*(c for c in docs.columns if c not in new)).withColumn("_id", F.col("doc_id").cast("long")).withColumn("_key", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
+    # Every column but these two gets a name of its own, so none can be taken for one of ours.
+    own = {c: c if c in ("doc_id", "text") else f"_kept{i}" for i, c in enumerate(docs.columns) if c not in new}
+    kept = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own.items())).withColumn("_id", F.col("doc_id").cast("long")).withColumn("_key", F.when(F.col("text").isNotNull(), F.xxhash64("text")))
     facts = found.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "n_lines", "removed", "earlier")
     joined = kept.join(facts, ["_id", "_key"], "left").drop("_id", "_key")
     left = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("removed", i))
     text = F.when(F.size("removed") > 0, F.array_join(left, "\n")).otherwise(F.col("text")).alias("text")
-    columns = [text if c == "text" else F.col(c) for c in docs.columns if c not in new]
+    columns = [text if c == "text" else F.col(n).alias(c) for c, n in own.items()]
     return joined.select(*columns, F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("earlier", F.array().cast("array<bigint>")).alias("earlier"))

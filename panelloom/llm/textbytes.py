@@ -69,12 +69,13 @@ def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, ends - ends[0]
 
 
-def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Consecutive rows of a batch with at most so many bytes of text, with the text's bytes and offsets."""
+def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES, rows: int | None = None) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Consecutive rows of a batch with at most so many bytes of text, and rows, with the text's bytes and offsets."""
     data, ends = buffers(batch.column(text))
     row = 0
     while row < batch.num_rows:
         to = max(row + 1, int(np.searchsorted(ends, ends[row] + most, "right")) - 1)
+        to = min(to, row + rows) if rows else to
         yield batch.slice(row, to - row), data[ends[row] : ends[to]], ends[row : to + 1] - ends[row]
         row = to
 

@@ -109,7 +109,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = True  # units are ordinary text; texts with a special token's string go whole
+        self.path, self.whole = path, None
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         # Whether case and white space are dropped: then a unit is looked up without them.
         self.folds = self._ids([" A\n b"]) == self._ids(["a  B "])
         self.memo = UnitMemo()
@@ -135,7 +137,25 @@ class Encoder:
         return flattened(ids)
 
     def encode(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of a slice's texts, one after the other, and the n + 1 offsets."""
+        """All ids of a slice's texts, one after the other, and the n + 1 offsets: those of the library, which takes a
+        special token's string in a text for that token."""
+        raw = data.tobytes()
+        if not any(s in raw for s in self.special):
+            return self._by_units(data, ends)
+        parts = []
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            if any(s in raw[a:b] for s in self.special):
+                parts.append(self._whole(raw[a:b].decode("utf-8", "replace")))
+            else:
+                parts.append(self._by_units(data[a:b], np.array([0, b - a]))[0])
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64)
+
+    def _whole(self, text: str) -> np.ndarray:
+        if self.whole is None:
+            self.whole = type(self.tokenizer).from_file(self.path)
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    def _by_units(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts = cuts(data, ends)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(ends), np.int64)

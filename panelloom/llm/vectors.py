@@ -128,11 +128,12 @@ def best(ids: np.ndarray, v: np.ndarray, query_id: int, q: np.ndarray, near: np.
 
 
 def _answers(found: DataFrame, top: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 
 
-_FOUND = T.StructType([*longs("query_id", "vec_id").fields, T.StructField("score", T.DoubleType())])
+_FOUND = T.StructType([*longs("q", "query_id", "vec_id").fields, T.StructField("score", T.DoubleType())])
+_FOUND_ARROW = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
 
 
 def exact_search(rows: DataFrame, queries: list[tuple[int, list[float]]], top: int) -> DataFrame:
@@ -141,8 +142,8 @@ def exact_search(rows: DataFrame, queries: list[tuple[int, list[float]]], top: i
     def work(batch: pa.RecordBatch) -> Iterator[list]:
         ids, v = np.asarray(batch.column("id")), matrix(batch.column("v"))
         largest = np.abs(v).max(initial=0)
-        out = [(qid, i, s) for qid, q in queries for s, i in best(ids, v, qid, np.array(q, np.float64), v @ np.array(q, np.float64), top, largest)]
-        yield [pa.array([x[j] for x in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))]
+        out = [(n, qid, i, s) for n, (qid, q) in enumerate(queries) for s, i in best(ids, v, qid, np.array(q, np.float64), v @ np.array(q, np.float64), top, largest)]
+        yield [pa.array([x[j] for x in out], t) for j, t in enumerate(_FOUND_ARROW)]
 
     return _answers(emit(rows, _FOUND, work), top)
 
@@ -153,7 +154,7 @@ def candidates_needed(rows: DataFrame, queries: DataFrame, index: MultiIndex, to
     Measured by brute force for a bounded sample of queries against all rows: the true neighbours' places
     in the order in which the traversal reaches them.
     """
-    chosen = [(r["id"], list(r["v"])) for r in queries.orderBy(F.xxhash64("id", F.lit(103)), "id").limit(sample).collect()]
+    chosen = [(r["id"], list(r["v"])) for r in queries.dropDuplicates(["id"]).orderBy(F.xxhash64("id", F.lit(103)), "id").limit(sample).collect()]
     truth = exact_search(rows, chosen, top)
     near: dict[int, list[int]] = {}
     for r in truth.join(rows.select(F.col("id").alias("vec_id"), "v"), "vec_id").collect():  # sample * top rows
@@ -180,14 +181,15 @@ def search(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
     by the first centroid and hashed blocks, queries by hashed blocks, so neither a frequent vector nor
     the number of queries makes a large group. Rows whose vector or key is null, whose vector is zero, has
     null or non-finite components or another length than most take no part. A row of the query's own key
-    is never its candidate; repeated rows are candidates of their own; an empty table gives no answers.
+    is never its candidate; repeated rows are candidates of their own; a repeated query row gets its own ranks
+    and so repeats its answers; an empty table gives no answers.
     """
     good, n, size = _ready(rows, key, vector)
     flagged = rows.where(is_query)
     if n < 1 or size < 2:
         return rows.sparkSession.createDataFrame([], T.StructType([*longs("query_id").fields, T.StructField("rank", T.IntegerType()), *longs("vec_id").fields, T.StructField("score", T.DoubleType())]))
     queries, _, _ = _ready(flagged, key, vector)
-    queries = queries.where(F.size("v") == size)
+    queries = written(queries.where(F.size("v") == size).withColumn("q", F.monotonically_increasing_id()), "queries")
     index = build_index(good, n)
     need = max(candidates_needed(good, queries, index, top, recall, sample), 2 * top) + 1
     k = len(index.first)
@@ -227,7 +229,7 @@ def search(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
                 for x in range(blocks[g]):
                     at.append(i), grp.append(g), blk.append(x), cells.append(c), part.append(own[i])
         taken = batch.take(pa.array(at, pa.int64()))
-        yield [pa.array(grp, pa.int64()), pa.array(blk, pa.int64()), pa.array(part, pa.int64()), taken.column("id"), pa.array(cells, pa.list_(pa.int64())), taken.column("v").cast(arrow_kind)]
+        yield [pa.array(grp, pa.int64()), pa.array(blk, pa.int64()), pa.array(part, pa.int64()), taken.column("q"), taken.column("id"), pa.array(cells, pa.list_(pa.int64())), taken.column("v").cast(arrow_kind)]
 
     def rerank(left: pa.Table, right: pa.Table) -> pa.Table:
         ids, code, v = np.asarray(left.column("id")), np.asarray(left.column("code")), matrix(left.column("v"))
@@ -235,13 +237,13 @@ def search(rows: DataFrame, is_query: Column, key: str = "vec_id", vector: str =
         if len(ids) and right.num_rows:
             q = matrix(right.column("v"))
             near, largest = v @ q.T, np.abs(v).max(initial=0)
-            for i, (qid, cells) in enumerate(zip(right.column("id").to_pylist(), right.column("cells").to_pylist(), strict=True)):
+            for i, (n, qid, cells) in enumerate(zip(*(right.column(c).to_pylist() for c in ("q", "id", "cells")), strict=True)):
                 inside = np.zeros(k * k, bool)
                 inside[cells] = True
-                out += [(qid, vec, s) for s, vec in best(ids, v, qid, q[i], np.where(inside[code], near[:, i], -np.inf), top, largest)]
-        return pa.table([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=_FOUND.names)
+                out += [(n, qid, vec, s) for s, vec in best(ids, v, qid, q[i], np.where(inside[code], near[:, i], -np.inf), top, largest)]
+        return pa.table([pa.array([x[j] for x in out], t) for j, t in enumerate(_FOUND_ARROW)], names=_FOUND.names)
 
-    asked = T.StructType([*longs("grp", "blk", "part", "id").fields, T.StructField("cells", T.ArrayType(T.LongType())), T.StructField("v", of_vector)])
+    asked = T.StructType([*longs("grp", "blk", "part", "q", "id").fields, T.StructField("cells", T.ArrayType(T.LongType())), T.StructField("v", of_vector)])
     keys = ("grp", "blk", "part")
     found = emit(good, kinds, deal).groupBy(*keys).cogroup(emit(queries, asked, ask).groupBy(*keys)).applyInArrow(rerank, _FOUND)
     return _answers(found, top)

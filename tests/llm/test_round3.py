@@ -216,3 +216,71 @@ def test_blocks_below_the_kth_score_are_not_read():
     assert all((bound[b] >= exact[starts[b] : starts[b + 1]]).all() for b in range(10))
     big = np.full((2, 3), 1 << 30)
     assert topk.products(big, big).tolist() == [[3 << 60] * 2] * 2 if 3 << 60 < 1 << 63 else True
+
+
+# --- faults of earlier rounds ---------------------------------------------------------------------
+
+
+def test_repeated_query_rows_have_their_own_ranks(spark):
+    from panelloom.llm import vectors
+
+    v = np.random.default_rng(8).normal(size=(120, 8))
+    rows = [(i, [float(x) for x in r]) for i, r in enumerate(v)] + [(20, [float(x) for x in v[20]])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [r for r in vectors.search(df, F.col("vec_id") % 20 == 0).collect() if r["query_id"] == 20]
+    pairs = collections.Counter((r["rank"], r["vec_id"]) for r in got)
+    assert len(got) == 40 and set(pairs.values()) == {2} and len({i for _, i in pairs}) == 20 and {k for k, _ in pairs} == set(range(1, 21))
+
+
+def test_a_template_with_repeated_words_is_found_at_every_place(spark):
+    from panelloom.llm import licences
+
+    template = " ".join(f"w{i % 104}" for i in range(180))
+    rows = [(k, " ".join(f"x{j}" for j in range(k)) + " " + template + " y" * 200) for k in range(0, 200, 13)]
+    got = licences.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates=(("own", template),)).collect()
+    assert len(got) == len(rows) and all(r["labels"] == "own" and r["score"] == 1.0 for r in got)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_special_tokens_in_texts_are_the_librarys(spark, name):
+    import public_tokenizers
+    from panelloom.llm import dac, packing
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(name)
+    t = Tokenizer.from_file(path)
+    texts = ["<|endoftext|>", "a<|endoftext|> b", "<|startoftext|> C <|endoftext|><|endoftext|>", "plain text", "", "<|ENDOFTEXT|> endoftext", "x " * 3000 + "<|endoftext|>"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: [*t.encode(x, add_special_tokens=False).ids, 2] for i, x in enumerate(texts)}
+    for r in dac.read(*dac.write(df, path, 2)).collect():
+        ids = want[r["doc_id"]]
+        assert (r["n_tokens"], r["ids_crc32"]) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    packed = collections.Counter()
+    for r in packing.pack(df, path, end_id=2).collect():
+        packed[r["doc_id"]] += r["length"]
+    assert packed == {i: len(x) for i, x in want.items()}
+
+
+def test_line_dedup_with_columns_of_its_names_and_a_line_that_stands_twice(spark, monkeypatch):
+    from panelloom.llm import lines
+
+    nav = "home news about contact terms privacy help and more links"
+    rows = [(i, f"own start {i}\n{nav}\nown middle of {i}\n{nav}\nown end {i}", 1, 2, "k", True, "z") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _id int, _key int, removed string, gone boolean, `a.b` string")
+    pairs = []
+    real = lines._align
+    monkeypatch.setattr(lines, "_align", lambda p, *a: pairs.append(p.count()) or real(p, *a))
+    got = lines.dedup(df)
+    assert got.columns == [*df.columns, "n_lines", "n_removed", "earlier"]
+    assert {(r["n_removed"], r["_id"], r["_key"], r["removed"], r["gone"], r["a.b"]) for r in got.collect()} == {(0, 1, 2, "k", True, "z")}
+    assert sum(pairs) <= 4 * len(rows)
+
+
+def test_many_short_texts_need_little_memory():
+    import pyarrow as pa
+    from panelloom.llm import language
+    from panelloom.llm import textbytes as tb
+
+    batch = pa.RecordBatch.from_arrays([pa.array([f"short text {i:09d}" for i in range(10_000)])], ["text"])
+    sizes = [part.num_rows for part, _, _ in tb.slices(batch, rows=language._ROWS)]
+    assert sum(sizes) == 10_000 and max(sizes) <= 512
