@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 
-from . import dac, jaccard, language, licences, lines, packing, periods, pieces, spelling, topk, toxicity, vectors
+from . import dac, jaccard, language, licences, lines, packing, periods, pieces, spelling, sql, topk, toxicity, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -119,5 +119,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """None: each query's SQL would need its model, tokenizer, index or alignment."""
-    return {}
+    """The other queries' SQL would need their model, tokenizer, index or alignment."""
+    return {"op11_spelling_variants": sql.SPELLING, "op12_periodic_runs": sql.PERIODS, "op13_exact_topk": sql.TOP_K}
