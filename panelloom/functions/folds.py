@@ -11,13 +11,13 @@ def drawdown_factor(drawdown: float) -> float:
     return min(max((drawdown + 0.30) / 0.15, 0.0), 1.0) if drawdown < -0.15 else 1.0
 
 
-def fold_days(days: list[dict], band: float, rf: float) -> list[dict]:
+def fold_days(days: list[dict], band: float, rf: float, equity: float = 1.0, peak: float = 1.0, held: dict[str, float] | None = None) -> list[dict]:
     """The pass over one account's days in order: brake by the drawdown so far, cap, band, cap, realise.
 
-    Small entries and exits are made; only small changes of a held name are not.
+    Small entries and exits are made; only small changes of a held name are not. equity, peak and held are what
+    an earlier pass ended with, so a series may be cut after any day.
     """
-    equity = peak = 1.0
-    held: dict[str, float] = {}
+    held = dict(held or {})
     out = []
     for day in days:
         drawdown = equity / peak - 1
@@ -34,7 +34,7 @@ def fold_days(days: list[dict], band: float, rf: float) -> list[dict]:
         equity *= 1 + sum(sizes[s] * r for s, r in earned.items()) + max(0.0, 1 - counted) * rf
         peak = max(peak, equity)
         held = sizes
-        out.append({"date": day["date"], "drawdown_before": drawdown, "equity": equity, "weights": sizes})
+        out.append({"date": day["date"], "drawdown_before": drawdown, "equity": equity, "peak": peak, "weights": sizes})
     return out
 
 

@@ -9,6 +9,7 @@ from pyspark.sql.window import WindowSpec
 from pyspark.sql import types as T
 
 from panelloom.functions.folds import CAP, fold_days
+from panelloom.functions.tables import written
 from panelloom.functions.windows import by
 from panelloom.operators.features import causal_atr
 
@@ -41,27 +42,55 @@ def capped(rows: DataFrame, keys: list[str], size: str = "size") -> DataFrame:
     return rows.withColumn(size, F.when(total > 1, F.try_divide(F.col(size), total)).otherwise(F.col(size)))
 
 
-_DAYS = T.StructType([T.StructField("account", T.StringType()), T.StructField("date", T.DateType()), T.StructField("symbol", T.StringType()), T.StructField("weight", T.DoubleType()), T.StructField("equity", T.DoubleType()), T.StructField("drawdown_before", T.DoubleType())])
+_DOUBLES = ("weight", "equity", "peak", "drawdown_before")
+_DAYS = T.StructType([T.StructField("account", T.StringType()), T.StructField("date", T.DateType()), T.StructField("symbol", T.StringType()), *(T.StructField(c, T.DoubleType()) for c in _DOUBLES)])
+STATE = "account string, equity double, peak double, held array<struct<symbol:string,weight:double>>"
 
 
-def decide(rows: DataFrame, band: float = 0.0, risk_free: float = 0.06) -> DataFrame:
-    """account, date, symbol, weight, equity and drawdown_before of rows (account, date, symbol, size, fwd_ret).
-
-    The only step whose days depend on each other. Spark first collapses an account's day to one row, so
-    an account's group is as long as its calendar; accounts, strategies and settings run in parallel.
-    """
+def decide_block(rows: DataFrame, state: DataFrame, risk_free: float = 0.06) -> DataFrame:
+    """One stretch of the calendar: rows (account, band, date, symbol, size, fwd_ret), from what each account was
+    before it (STATE; an account without a state starts with equity 1 and nothing held)."""
     rf = (1 + risk_free) ** (1 / 252) - 1
-    days = rows.groupBy("account", "date").agg(F.sort_array(F.collect_list(F.struct("symbol", "size", "fwd_ret"))).alias("names"))
-    days = days.select("account", "date", F.col("names.symbol").alias("symbols"), F.col("names.size").alias("sizes"), F.col("names.fwd_ret").alias("returns"))
-
-    def fold(group: pa.Table) -> pa.Table:
-        account = group.column("account")[0].as_py()
-        got = fold_days(sorted(group.to_pylist(), key=lambda r: r["date"]), band, rf)
-        flat = [(account, d["date"], s, w, d["equity"], d["drawdown_before"]) for d in got for s, w in d["weights"].items()]
-        kinds = (pa.string(), pa.date32(), pa.string(), pa.float64(), pa.float64(), pa.float64())
+    days = rows.groupBy("account", "date").agg(F.max("band").alias("band"), F.sort_array(F.collect_list(F.struct("symbol", "size", "fwd_ret"))).alias("names"))
+    days = days.select("account", "date", "band", F.col("names.symbol").alias("symbols"), F.col("names.size").alias("sizes"), F.col("names.fwd_ret").alias("returns"))
+
+    def fold(group: pa.Table, before: pa.Table) -> pa.Table:
+        old = before.to_pylist()[0] if before.num_rows else {"equity": 1.0, "peak": 1.0, "held": []}
+        ordered = sorted(group.to_pylist(), key=lambda r: r["date"])
+        got = fold_days(ordered, ordered[0]["band"], rf, old["equity"], old["peak"], {h["symbol"]: h["weight"] for h in old["held"]}) if ordered else []
+        flat = [(ordered[0]["account"], d["date"], s, w, d["equity"], d["peak"], d["drawdown_before"]) for d in got for s, w in d["weights"].items()]
+        kinds = (pa.string(), pa.date32(), pa.string(), *[pa.float64()] * 4)
         return pa.table([pa.array([r[i] for r in flat], k) for i, k in enumerate(kinds)], names=_DAYS.names)
 
-    return days.groupBy("account").applyInArrow(fold, _DAYS)
+    return days.groupBy("account").cogroup(state.groupBy("account")).applyInArrow(fold, _DAYS)
+
+
+def state_after(made: DataFrame, before: DataFrame) -> DataFrame:
+    """STATE behind the last day of each account; accounts without a day keep theirs."""
+    last = F.max("date").over(Window.partitionBy("account"))
+    end = made.withColumn("_last", last).where("date = _last").groupBy("account").agg(F.first("equity").alias("equity"), F.first("peak").alias("peak"), F.sort_array(F.collect_list(F.struct("symbol", "weight"))).alias("held"))
+    return end.unionByName(before.join(end.select("account"), "account", "left_anti"))
+
+
+def decide(rows: DataFrame, band: float | None = None, risk_free: float = 0.06, state: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The days (account, date, symbol, weight, equity, peak, drawdown_before) and the state after them, of rows
+    (account, date, symbol, size, fwd_ret, and band where none is given for all).
+
+    The only step whose days depend on each other. Accounts, strategies and settings run in parallel; their years
+    run one after the other, and the state after a year is written and handed to the next. So a task holds a year
+    of an account, a lost one repeats a year, and a later call goes on from the state that this one returns.
+    Two rows of an account, day and symbol are an error of the caller's: the later one in order of size counts.
+    """
+    spark = rows.sparkSession
+    rows = written(rows if band is None else rows.withColumn("band", F.lit(float(band))), "sized")
+    now = spark.createDataFrame([], STATE) if state is None else state
+    years = sorted(r["y"] for r in rows.select(F.year("date").alias("y")).distinct().collect())  # one number a year
+    out = spark.createDataFrame([], _DAYS)
+    for y in years:
+        made = written(decide_block(rows.where(F.year("date") == y), now, risk_free), "days")
+        now = written(state_after(made, now), "state")
+        out = out.unionByName(made)
+    return out, now
 
 
 def demoted(rows: DataFrame) -> DataFrame:

@@ -87,13 +87,32 @@ def k1_k3_o14_sizes_and_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_sized(spark, sf_dir).withColumn("action", opinions.action()).select("symbol", "date", "size", "action"))
 
 
-@R.add()
+#: A day's state (equity, peak, and the book as two lists) follows from the day before and the day's names: brake, cap, band, cap, realise.
+_DECIDED = _SIZED + """,
+fw AS (SELECT symbol, date, lead(open, 2) OVER w / lead(open, 1) OVER w - 1 AS f FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+dl AS MATERIALIZED (SELECT date, list(symbol ORDER BY symbol) AS sy, list(size::DOUBLE ORDER BY symbol) AS sz, list(f ORDER BY symbol) AS rt, row_number() OVER (ORDER BY date) AS i FROM cs JOIN fw USING (symbol, date) WHERE f IS NOT NULL GROUP BY date),
+ac(account, band) AS (VALUES ('band', 0.02::DOUBLE), ('every_change', 0.0::DOUBLE)),
+dd AS (WITH RECURSIVE st AS (
+ SELECT account, band, 0::BIGINT AS i, NULL::DATE AS date, 1.0::DOUBLE AS equity, 1.0::DOUBLE AS peak, 0.0::DOUBLE AS dd, []::VARCHAR[] AS sy, []::DOUBLE[] AS wt FROM ac
+ UNION ALL SELECT account, band, i, date, e2, greatest(peak, e2), dd, sy, w4 FROM (
+  SELECT *, equity * (1 + coalesce(list_sum(list_transform(range(1, len(sy) + 1), lambda k: CASE WHEN w4[k] > 0 THEN w4[k] * rt[k] ELSE 0 END)), 0) + greatest(0.0, 1 - coalesce(list_sum(w4), 0)) * (pow(1.06, 1 / 252.0) - 1)) AS e2 FROM (
+  SELECT *, CASE WHEN list_sum(w3) > 1 THEN list_transform(w3, lambda x: x / list_sum(w3)) ELSE w3 END AS w4 FROM (
+  SELECT *, list_transform(range(1, len(sy) + 1), lambda k: CASE WHEN band > 0 AND w2[k] > 0 AND coalesce(ow[list_position(os, sy[k])], 0) > 0 AND abs(w2[k] - ow[list_position(os, sy[k])]) < band THEN ow[list_position(os, sy[k])] ELSE w2[k] END) AS w3 FROM (
+  SELECT *, CASE WHEN list_sum(w1) > 1 THEN list_transform(w1, lambda x: x / list_sum(w1)) ELSE w1 END AS w2 FROM (
+  SELECT *, list_transform(sz, lambda x: greatest(0.0, least(0.2, x * (CASE WHEN dd <= -0.30 THEN 0.0 WHEN dd < -0.15 THEN least(greatest((dd + 0.30) / 0.15, 0.0), 1.0) ELSE 1.0 END)))) AS w1 FROM (
+  SELECT st.account, st.band, dl.i, dl.date, dl.sy, dl.sz, dl.rt, st.equity, st.peak, st.equity / st.peak - 1 AS dd, st.sy AS os, st.wt AS ow FROM st JOIN dl ON dl.i = st.i + 1)))))))
+ SELECT * FROM st)
+SELECT account, date, unnest(sy) AS symbol, round(unnest(wt), 6) + 0.0 AS weight, round(equity, 6) + 0.0 AS equity, round(peak, 6) + 0.0 AS peak, round(dd, 6) + 0.0 AS drawdown_before FROM dd WHERE i > 0"""
+
+
+@R.add(_VIEWS, "WITH " + _DECIDED)
 def k5_k7_sequential_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two accounts, with and without a band: each is one fold over all days, held or not."""
+    """Two accounts, with and without a band, over all days, held or not; each year goes on from the state before it."""
     fwd = src.bars(spark, sf_dir).select("symbol", "date", labels.forward_return(1).alias("fwd_ret"))
     sized = _sized(spark, sf_dir).join(fwd, ["symbol", "date"]).where("fwd_ret is not null").select("date", "symbol", "size", "fwd_ret")
-    every = sizing.decide(sized.withColumn("account", F.lit("every_change")), band=0.0)
-    return rounded(every.unionByName(sizing.decide(sized.withColumn("account", F.lit("band")), band=0.02)))
+    accounts = F.explode(F.array(*(F.struct(F.lit(a).alias("account"), F.lit(b).alias("band")) for a, b in (("every_change", 0.0), ("band", 0.02)))))
+    days, _ = sizing.decide(sized.withColumn("_a", accounts).select("_a.account", "_a.band", "date", "symbol", "size", "fwd_ret"))
+    return rounded(days)
 
 
 # --- evaluation ---------------------------------------------------------------------------------

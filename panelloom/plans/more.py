@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelloom.operators import backtest, baselines, explain, labels, ledger, news, opinions, sentiment
+from panelloom.functions.tables import shared_dir, written
+from panelloom.operators import backtest, baselines, explain, features, labels, ledger, news, opinions, scoring, sentiment, sizing, stored
 from panelloom.plans import panel, text
 from panelloom.plans.registry import Registry, rounded
 from panelloom.sources import adapters as src
-from panelloom.sources import corpus
+from panelloom.sources import corpus, ledger_log
 
 R = Registry()
 
@@ -86,3 +89,59 @@ def v1_rebalance_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 def x7_o13_rationale_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = opinions.technical(src.predictions(spark, sf_dir))
     return opinions.brief(ops).select("symbol", "date", explain.sections(F.replace("brief", F.lit("\n"), F.lit("; "))).alias("sections")).select("symbol", "date", F.size("sections").alias("n"), F.element_at("sections", "technical").alias("technical"))
+
+
+# --- scorers, logs and stored models ------------------------------------------------------------
+
+_LABELS = ("good", "bad", "unknown")
+_WORDS = {"the": (1.0, 0.0, 0.0), "die": (1.0, 0.0, 0.0), "of": (0.0, 1.0, 0.0), "les": (0.0, 1.0, 0.0), "in": (0.0, 0.0, 0.5)}
+_COUNTS = {k: " + ".join(f"{v[k]} * len(list_filter(ws, lambda x: x = '{w}'))" for w, v in _WORDS.items() if v[k]) for k in range(3)}
+
+
+@R.add("scored", f"""WITH e AS (SELECT doc_id, [{", ".join(_COUNTS[k] for k in range(3))}]::DOUBLE[] AS z FROM (SELECT doc_id, regexp_extract_all(lower(text), '\S+') AS ws FROM documents)),
+l AS (SELECT doc_id, list_transform(z, lambda x: exp(x - list_max(z))) AS e FROM e)
+SELECT 'letters-1' AS scorer, doc_id, round(p_good, 6) AS p_good, round(p_bad, 6) AS p_bad, round(p_unknown, 6) AS p_unknown, true AS hit FROM scored
+UNION ALL SELECT 'lexicon-1', doc_id, round(e[1] / list_sum(e), 6), round(e[2] / list_sum(e), 6), round(e[3] / list_sum(e), 6), true FROM l""")
+def m6_s15_two_scorers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by two scorers over one cache; the second pass forwards nothing, so every row is a hit."""
+    docs = src.table(spark, sf_dir, "documents").select("doc_id", "text")
+    cache = f"{shared_dir(spark)}/scores-{uuid.uuid4().hex}"
+    out = None
+    for scorer in (scoring.LetterShares(_LABELS, "eao"), scoring.Lexicon(_LABELS, _WORDS)):
+        scoring.scored(docs, "text", scorer, cache)
+        again = scoring.scored(docs, "text", scorer, cache).select(F.lit(scorer.name).alias("scorer"), "doc_id", "p_good", "p_bad", "p_unknown", "hit")
+        out = again if out is None else out.unionByName(again)
+    return rounded(out)
+
+
+@R.add("bars", """WITH atr0 AS (SELECT *, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr FROM (SELECT *, lag(close) OVER w AS pc FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date))),
+br AS (SELECT symbol, date, CASE WHEN open / pc - 1 <= -0.03 THEN 'gap_down' WHEN high - low > 2.5 * atr THEN 'range' END AS kind FROM (SELECT *, CASE WHEN count(tr) OVER v >= 14 THEN avg(tr) OVER v END AS atr FROM atr0 WINDOW v AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING)))
+SELECT CAST(year(date) AS VARCHAR) AS batch, symbol, date, kind FROM br WHERE kind IS NOT NULL""")
+def v12_risk_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The breakers' events, logged year by year; the first two years are sent again and count once."""
+    events = written(sizing.breaker(src.bars(spark, sf_dir)).withColumnRenamed("trigger", "kind"), "events")
+    log = f"{shared_dir(spark)}/risk-{uuid.uuid4().hex}"
+    years = sorted(r["y"] for r in events.select(F.year("date").alias("y")).distinct().collect())
+    for y in [*years, *years[:2]]:
+        ledger_log.append_once(events.where(F.year("date") == y), log, str(y))
+    return ledger_log.read_log(spark, log, "symbol string, date date, kind string").select("batch", "symbol", "date", "kind")
+
+
+@R.add("headlines", "SELECT symbol, title, source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY symbol, title ORDER BY doc_id % 3 DESC, doc_id DESC) AS i FROM headlines) WHERE i = 1")
+def s6_s8_upsert_into_a_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three shards of headlines put into a stored table one after the other, the first once more at the end."""
+    rows = src.headlines(spark, sf_dir).select("symbol", "title", "source", "doc_id", (F.col("doc_id") % 3).alias("shard"))
+    at = f"{shared_dir(spark)}/corpus-{uuid.uuid4().hex}"
+    for shard in (0, 1, 2, 0):
+        ledger_log.upsert_into(rows.where(F.col("shard") == shard), at, ["symbol", "title"], ["shard", "doc_id"], parts=8)
+    return spark.read.parquet(at).select("symbol", "title", "source", "doc_id")
+
+
+@R.add()
+def m5_latest_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model fitted on the days to the end of 1996 and stored, applied to the latest common window by March 1997."""
+    bars = src.bars(spark, sf_dir)
+    rows = written(bars.select("symbol", "date", features.ret().alias("ret_1d"), ((F.col("high") - F.col("low")) / F.col("close")).alias("range_pct"), labels.forward_return(1).alias("fwd_ret")), "panel")
+    path = f"{shared_dir(spark)}/model-{uuid.uuid4().hex}"
+    stored.fit_and_store(rows.where("date <= date'1996-12-31'"), ["ret_1d", "range_pct"], path, length=10)
+    return rounded(stored.score_latest(spark, rows, path, "1997-03-31"), 5)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from panelloom.functions.folds import drawdown_factor
+from panelloom.functions.folds import drawdown_factor, fold_days
 from panelloom.operators.news import actionable_date
 
 
@@ -65,6 +65,36 @@ def accounts(returns: DataFrame) -> DataFrame:
     return returns.groupBy("account").transformWithStateInPandas(Account(), ACCOUNT, "Append", "None")
 
 
+DECISION = "account string, date date, symbol string, weight double, equity double, peak double, drawdown_before double"
+
+
+class Decisions(StatefulProcessor):
+    """The sequential decision pass of an account on a stream: the state is what sizing.decide hands from year to year."""
+
+    def __init__(self, risk_free: float) -> None:
+        self.rf = (1 + risk_free) ** (1 / 252) - 1
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("decisions", "equity double, peak double, symbols array<string>, weights array<double>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+        equity, peak, symbols, weights = self.state.get() if self.state.exists() else (1.0, 1.0, [], [])
+        frame = pd.concat(list(rows)).sort_values(["date", "symbol"])
+        days = [{"date": d, "symbols": x["symbol"].tolist(), "sizes": x["size"].tolist(), "returns": x["fwd_ret"].tolist()} for d, x in frame.groupby("date")]
+        got = fold_days(days, float(frame["band"].max()), self.rf, equity, peak, dict(zip(symbols, weights, strict=True)))
+        end = got[-1]
+        self.state.update((end["equity"], end["peak"], list(end["weights"]), [float(w) for w in end["weights"].values()]))
+        yield pd.DataFrame([(key[0], d["date"], s, w, d["equity"], d["peak"], d["drawdown_before"]) for d in got for s, w in d["weights"].items()], columns=["account", "date", "symbol", "weight", "equity", "peak", "drawdown_before"])
+
+    def close(self) -> None:
+        pass
+
+
+def decisions(rows: DataFrame, risk_free: float = 0.06) -> DataFrame:
+    """rows: account, band, date, symbol, size and fwd_ret; all rows of an account's day come in one batch, days in order."""
+    return rows.groupBy("account").transformWithStateInPandas(Decisions(risk_free), DECISION, "Append", "None")
+
+
 ALERT = "symbol string, date string, trigger string"
 
 

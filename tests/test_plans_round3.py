@@ -199,3 +199,148 @@ def test_section_tables_with_nested_tables_and_missing_cells(spark):
     deep = {(f, v) for _, n, _, f, _, v in got if n == 1}
     assert ("Mar 2023", 7.0) in deep and ("Mar 2024", None) in deep and ("Mar 2025", None) in deep
     assert {x[0] for x in got} == {1}
+
+
+# --- decisions, scorers, logs, stored models --------------------------------------------------------
+
+
+def _sized_rows(spark):
+    rng = np.random.default_rng(6)
+    rows = []
+    for account, band in (("a", 0.0), ("b", 0.02)):
+        for i in range(500):
+            day = D(2019, 6, 1) + dt.timedelta(days=2 * i)
+            rows += [(account, band, day, f"s{k}", float(rng.choice([0.0, 0.2, 0.19, 0.15])), None if rng.random() < 0.03 else float(rng.normal(-0.002, 0.03))) for k in range(6) if rng.random() < 0.8]
+    return spark.createDataFrame(rows, "account string, band double, date date, symbol string, size double, fwd_ret double")
+
+
+def _key(rows):
+    return {(r["account"], r["date"], r["symbol"]): (r["weight"], r["equity"], r["peak"], r["drawdown_before"]) for r in rows}
+
+
+def test_decisions_in_one_pass_resumed_and_of_one_fold_agree(spark):
+    from panelloom.functions.folds import fold_days
+    from panelloom.operators import sizing
+
+    rows = _sized_rows(spark)
+    whole, end = sizing.decide(rows)
+    cut = D(2020, 9, 13)
+    first, state = sizing.decide(rows.where(F.col("date") < F.lit(cut)))
+    second, end_2 = sizing.decide(rows.where(F.col("date") >= F.lit(cut)), state=state)
+    want = _key(whole.collect())
+    assert _key(first.unionByName(second).collect()) == want
+    assert sorted(map(str, end.collect())) == sorted(map(str, end_2.collect()))
+    for account, band in (("a", 0.0), ("b", 0.02)):
+        mine = rows.where(F.col("account") == account).orderBy("date", "symbol").toPandas()
+        days = [{"date": d, "symbols": x["symbol"].tolist(), "sizes": x["size"].tolist(), "returns": [None if v != v else v for v in x["fwd_ret"]]} for d, x in mine.groupby("date")]
+        for d in fold_days(days, band, 1.06 ** (1 / 252) - 1):
+            for s, w in d["weights"].items():
+                assert want[account, d["date"], s] == (w, d["equity"], d["peak"], d["drawdown_before"])
+    assert any(v[3] < -0.15 for v in want.values())
+    none, kept = sizing.decide(rows.limit(0), state=end)
+    assert none.count() == 0 and kept.count() == 2
+
+
+def test_decisions_of_a_stream_are_those_of_the_batch(spark, tmp_path):
+    from panelloom.operators import sizing
+    from panelloom.streaming import streams
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        rows = _sized_rows(spark).where("date < date'2019-09-01'")
+        folder = str(tmp_path / "in")
+        for lo, hi in (("2019-06-01", "2019-07-10"), ("2019-07-10", "2019-09-01")):
+            rows.where(f"date >= date'{lo}' and date < date'{hi}'").coalesce(1).write.mode("append").parquet(folder)
+        stream = streams.decisions(spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder))
+        q = stream.writeStream.format("memory").queryName("dec").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+        q.processAllAvailable()
+        q.stop()
+        got, want = _key(spark.sql("select * from dec").collect()), _key(sizing.decide(rows)[0].collect())
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def _once(allowed):
+    """A scorer that may be called for some texts only, two at a time; its class is local, so tasks get its code."""
+
+    class Once:
+        labels, name = ("x", "y"), "once"
+
+        def score(self, texts):
+            assert len(texts) <= 2 and set(texts) <= allowed, texts
+            return np.array([[len(t), 1.0] for t in texts])
+
+    return Once()
+
+
+def test_a_second_run_scores_nothing(spark, tmp_path):
+    from panelloom.operators import scoring
+
+    cache = str(tmp_path / "cache")
+    df = spark.createDataFrame([(1, "aa", 5), (2, "b", 5), (3, "aa", 5), (4, None, 5), (5, "", 5)], "doc_id int, text string, hit_before int")
+    first = scoring.scored(df, "text", _once({"aa", "b", ""}), cache, batch_size=2)
+    assert sorted((r["doc_id"], r["p_x"], r["p_y"], r["hit"]) for r in first.collect()) == [(1, 2.0, 1.0, False), (2, 1.0, 1.0, False), (3, 2.0, 1.0, False), (4, 0.0, 1.0, False), (5, 0.0, 1.0, False)]
+    more = df.unionByName(spark.createDataFrame([(6, "new", 5)], df.schema))
+    second = {r["doc_id"]: r for r in scoring.scored(more, "text", _once({"new"}), cache, batch_size=2).collect()}
+    assert [second[i]["hit"] for i in range(1, 7)] == [True] * 5 + [False] and second[6]["p_x"] == 3.0
+    other = scoring.scored(df, "text", scoring.LetterShares(("p", "q"), "ab"), cache)
+    assert not any(r["hit"] for r in other.collect())
+    assert scoring.scored(df.limit(0), "text", _once(set()), cache).count() == 0
+
+
+def test_a_replayed_batch_leaves_the_log_equal(spark, tmp_path):
+    from panelloom.sources import ledger_log
+
+    log, schema = str(tmp_path / "log"), "k string, v int"
+    assert ledger_log.read_log(spark, log, schema).count() == 0
+    batch = lambda *rows: spark.createDataFrame(list(rows), schema)
+    ledger_log.append_once(batch(("a", 1), ("b", 2)), log, "one")
+    ledger_log.append_once(batch(("c", 3)), log, "two")
+    before = sorted(map(tuple, ledger_log.read_log(spark, log, schema).collect()))
+    ledger_log.append_once(batch(("a", 9)), log, "one")
+    batch(("lost", 0)).write.parquet(f"{log}/data-{'0' * 32}")  # a writer that was lost before it committed
+    sink = ledger_log.log_sink(log)
+    for _ in range(2):
+        sink(batch(("d", 4)), 7)
+    after = sorted(map(tuple, ledger_log.read_log(spark, log, schema).collect()))
+    assert after == sorted([*before, ("d", 4, "stream-7")]) and len(before) == 3
+
+
+def test_an_upsert_writes_only_what_it_touches(spark, tmp_path):
+    from panelloom.sources import ledger_log
+
+    at = tmp_path / "t"
+    rows = spark.range(200).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("v"), F.lit(1).alias("seq"))
+    assert ledger_log.upsert_into(rows, str(at), ["k"], ["seq"], parts=8) == 8
+    files = {p: p.stat().st_mtime_ns for p in at.rglob("*.parquet")}
+    one = spark.createDataFrame([("5", 2, 2), ("5", 3, 3), ("5", 0, 0)], "k string, v int, seq int")
+    for _ in range(2):
+        assert ledger_log.upsert_into(one, str(at), ["k"], ["seq"], parts=8) == 1
+    got = {r["k"]: r["v"] for r in spark.read.parquet(str(at)).collect()}
+    assert len(got) == 200 and got.pop("5") == 3 and set(got.values()) == {1}
+    assert sum(p in files for p in at.rglob("*.parquet")) == 7
+    assert ledger_log.upsert_into(rows.limit(0), str(at), ["k"], ["seq"], parts=8) == 0
+
+
+def test_stored_and_fresh_scores_are_equal(spark, tmp_path):
+    from panelloom.operators import stored
+
+    rng = np.random.default_rng(9)
+    rows = []
+    for s in range(3):
+        for i in range(120):
+            a = float(rng.normal())
+            rows.append((f"s{s}", D(2020, 1, 1) + dt.timedelta(days=i), a, 5.0, float(rng.normal() + 0.5 * a) if i < 119 else None))
+    df = spark.createDataFrame(rows, "symbol string, date date, a double, flat double, fwd_ret double")
+    path = str(tmp_path / "m")
+    model = stored.fit_and_store(df.where("date < date'2020-04-01'"), ["a", "flat"], path, length=5)
+    by = lambda x: {r["symbol"]: r["prob_up"] for r in x.collect()}
+    fresh = by(stored.score_latest(spark, df, path, "2020-04-20", model))
+    assert by(stored.score_latest(spark, df, path, "2020-04-20")) == fresh and len(fresh) == 3
+    wild = df.withColumn("a", F.when((F.col("symbol") == "s0") & (F.col("date") == F.lit("2020-04-20").cast("date")), 1e9).otherwise(F.col("a")))
+    row = spark.read.parquet(f"{path}/statistics").where("feature = 'a'").first()
+    at_limit = df.withColumn("a", F.when((F.col("symbol") == "s0") & (F.col("date") == F.lit("2020-04-20").cast("date")), row["mean"] + 8 * row["std"]).otherwise(F.col("a")))
+    assert by(stored.score_latest(spark, wild, path, "2020-04-20")) == pytest.approx(by(stored.score_latest(spark, at_limit, path, "2020-04-20")))
+    late = df.where("symbol <> 's2' or date < date'2020-03-01'")
+    assert {r["date"] for r in stored.score_latest(spark, late, path, "2020-04-20").collect()} == {D(2020, 2, 29)}
