@@ -221,12 +221,9 @@ def p14_usage_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- headlines and statements -------------------------------------------------------------------
 
-_FLAG = r"\b(?:results?|earnings)\b|\bnet profit\b"
-
-
-@R.add("headlines bars", "WITH " + text._ALIGNED + f" SELECT symbol, date, bool_or(regexp_matches(title, '{_FLAG}', 'i')) AS earnings FROM aligned GROUP BY symbol, date")
+@R.add("headlines bars", "WITH " + text._ALIGNED + f" SELECT symbol, date, bool_or(regexp_matches(title, '{news.EARNINGS}', 'i')) AS earnings FROM aligned GROUP BY symbol, date")
 def e5_e6_earnings_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sentiment.with_earnings(news.to_sessions(text._dated(spark, sf_dir), text._sessions(spark, sf_dir)), _FLAG)
+    return sentiment.with_earnings(news.to_sessions(text._dated(spark, sf_dir), text._sessions(spark, sf_dir)), news.EARNINGS)
 
 
 @R.add("statements", """WITH l AS (SELECT symbol, fiscal, unnest(['Sales', 'Revenue', 'Net Profit', 'Equity Capital', 'Reserves']) AS label, unnest([CASE WHEN substr(fiscal, 5, 4)::INT % 2 = 0 THEN revenue END, revenue + 1, net_profit, 1e6, CASE WHEN substr(fiscal, 5, 4)::INT % 3 > 0 THEN equity - 1e6 END]) AS value FROM statements)

@@ -253,7 +253,18 @@ def i3_i7_comparisons_with_buyhold(spark: SparkSession, sf_dir: str) -> DataFram
     return rounded(inference.compare_to(panel._tracks(spark, sf_dir), "BuyHold", n_boot=5000, seed=5), 5)
 
 
-@R.add()
+def _phi(x: str) -> str:
+    """The normal distribution function by Simpson's rule from 0 on."""
+    return f"(0.5 + ({x}) / 1200 / sqrt(2 * pi()) * list_sum(list_transform(range(401), lambda j: (CASE WHEN j IN (0, 400) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END) * exp(-pow(({x}) * j / 400.0, 2) / 2))))"
+
+
+@R.add("bars", _T + f""", m AS (SELECT strategy, count(*) AS n, avg(net_return) AS a, stddev_samp(net_return) AS sd, kurtosis_pop(net_return) + 3 AS kt, (avg(net_return * net_return * net_return) - 3 * avg(net_return) * avg(net_return * net_return) + 2 * pow(avg(net_return), 3)) / pow(var_pop(net_return), 1.5) AS sk FROM tracks GROUP BY strategy),
+s AS (SELECT *, (a - (pow(1.06, 1 / 252.0) - 1)) / sd AS sr FROM m), tr AS (SELECT count(sr) AS k, stddev_samp(sr) AS v FROM s),
+bi AS (WITH RECURSIVE b AS (SELECT 0 AS i, t, -8.0::DOUBLE AS lo, 8.0::DOUBLE AS hi FROM (SELECT unnest([1 - 1 / k::DOUBLE, 1 - 1 / (k * exp(1.0))]) AS t FROM tr)
+  UNION ALL SELECT i + 1, t, CASE WHEN {_phi("(lo + hi) / 2")} < t THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {_phi("(lo + hi) / 2")} < t THEN hi ELSE (lo + hi) / 2 END FROM b WHERE i < 50) SELECT t, lo AS z FROM b WHERE i = 50),
+mx AS (SELECT v * ((1 - 0.5772156649015329) * (SELECT min(z) FROM bi) + 0.5772156649015329 * (SELECT max(z) FROM bi)) AS e FROM tr),
+z AS (SELECT *, sqrt(n - 1) / sqrt(greatest(1 - sk * sr + (kt - 1) / 4 * sr * sr, 1e-12)) AS c FROM s, mx)
+SELECT strategy, n, round(sr * sqrt(252), 6) AS sharpe, round(e * sqrt(252), 6) AS expected_max, round({_phi("(sr - e) * c")}, 6) AS dsr, round({_phi("sr * c")}, 6) AS psr FROM z""")
 def i4_i5_deflated_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = panel._tracks(spark, sf_dir)
     return rounded(inference.deflated_sharpe(t).join(inference.probabilistic_sharpe(t).select("strategy", "psr"), "strategy"))
@@ -273,7 +284,7 @@ def x2_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(explain.attribution(_opinions(spark, sf_dir)))
 
 
-@R.add()
+@R.add(_VIEWS, "WITH " + _OPS + " SELECT count(*) AS n, round(max(abs(round(score, 3) - score)), 6) AS max_error, round(avg(CASE WHEN abs(round(score, 3) - score) <= 5e-4 THEN 1.0 ELSE 0.0 END), 6) AS share_within FROM sc")
 def x1_x5_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     ops = _opinions(spark, sf_dir)
     logged = opinions.combine(ops).select("symbol", "date", F.round("score", 3).alias("score"))
@@ -286,7 +297,11 @@ def x3_text_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(explain.text_consistency(opinions.rationale(rows, opinions.brief(_opinions(spark, sf_dir)))))
 
 
-@R.add()
+@R.add(_VIEWS, "WITH " + _OPS + """, pt AS (SELECT symbol, date, confidence * stance AS a, confidence AS b, row_number() OVER (PARTITION BY symbol, date ORDER BY abs(confidence * stance) DESC, agent DESC) AS r, count(*) OVER (PARTITION BY symbol, date) AS k FROM op WHERE NOT abstained),
+pk AS (SELECT symbol, date, sum(a) AS sa, sum(b) AS sb, max(k) AS k, max(a) FILTER (WHERE r = 1) AS a1, max(b) FILTER (WHERE r = 1) AS b1,
+  max(a) FILTER (WHERE r = floor(('0x' || substr(md5('0|' || symbol || '|' || date), 1, 12))::BIGINT / 281474976710656.0::DOUBLE * (k - 1)) + 2) AS a2, max(b) FILTER (WHERE r = floor(('0x' || substr(md5('0|' || symbol || '|' || date), 1, 12))::BIGINT / 281474976710656.0::DOUBLE * (k - 1)) + 2) AS b2 FROM pt GROUP BY symbol, date HAVING max(k) >= 2),
+fl AS (SELECT (CASE WHEN sb > 1e-9 THEN sa / sb ELSE 0 END > 0.05) <> (CASE WHEN sb - b1 > 1e-9 THEN (sa - a1) / (sb - b1) ELSE 0 END > 0.05) AS top, (CASE WHEN sb > 1e-9 THEN sa / sb ELSE 0 END > 0.05) <> (CASE WHEN sb - b2 > 1e-9 THEN (sa - a2) / (sb - b2) ELSE 0 END > 0.05) AS other FROM pk)
+SELECT count(*) AS n, round(avg(top::INT), 6) AS flip_top, round(avg(other::INT), 6) AS flip_other, count(*) FILTER (WHERE top AND NOT other) AS only_top, count(*) FILTER (WHERE NOT top AND other) AS only_other FROM fl""")
 def x4_deletion_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(explain.deletion_test(_opinions(spark, sf_dir)))
 
@@ -314,12 +329,34 @@ def v2_priced_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ledger.priced(src.fills(spark, sf_dir)).select("account", "symbol", "trade_id", "side", "quantity", "fill_price", F.round("cost", 4).alias("cost")))
 
 
-@R.add()
+_FREE = DELIVERY | {"slippage": 0.0}
+#: Fills with the position after each: step k of the recursion is the k-th fill of every account and symbol.
+_POSITIONS = f"""fp AS (SELECT account, symbol, trade_id, d, side, quantity AS n, price * (1 + (CASE WHEN side = 'buy' THEN 1 ELSE -1 END) * 5 / 1e4) AS p FROM fills),
+fc AS MATERIALIZED (SELECT *, n * p * (CASE WHEN side = 'buy' THEN {rate("buy", _FREE)!r} ELSE {rate("sell", _FREE)!r} END) AS fee FROM fp),
+ps AS (WITH RECURSIVE s AS (
+  SELECT DISTINCT account, symbol, 0::BIGINT AS trade_id, NULL::DATE AS d, '' AS side, 0.0::DOUBLE AS n, 0.0::DOUBLE AS p, 0.0::DOUBLE AS fee, 0.0::DOUBLE AS q, 0.0::DOUBLE AS avg_cost, 0.0::DOUBLE AS realised, false AS rejected FROM fc
+  UNION ALL SELECT f.account, f.symbol, f.trade_id, f.d, f.side, f.n, f.p, f.fee,
+    CASE WHEN f.side = 'buy' THEN q + f.n WHEN f.n > q + 1e-9 THEN q WHEN q - f.n <= 1e-9 THEN 0 ELSE q - f.n END, CASE WHEN f.side = 'buy' THEN (q * avg_cost + f.n * f.p) / (q + f.n) WHEN f.n > q + 1e-9 THEN avg_cost WHEN q - f.n <= 1e-9 THEN 0 ELSE avg_cost END,
+    CASE WHEN f.side = 'buy' OR f.n > q + 1e-9 THEN 0 ELSE f.n * (f.p - avg_cost) - f.fee END, f.side <> 'buy' AND f.n > q + 1e-9 FROM s JOIN fc f ON f.account = s.account AND f.symbol = s.symbol AND f.trade_id = s.trade_id + 1)
+  SELECT * FROM s WHERE trade_id > 0)"""
+
+
+@R.add("fills", "WITH " + _POSITIONS + " SELECT account, symbol, trade_id, round(q, 4) AS quantity_after, round(avg_cost, 4) AS average_cost, round(realised, 4) + 0.0 AS realised, rejected FROM ps")
 def v3_average_cost_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_positions(spark, sf_dir).select("account", "symbol", "trade_id", "quantity_after", "average_cost", "realised", "rejected"), 4)
 
 
-@R.add()
+@R.add("fills bars", "WITH " + _POSITIONS + """,
+eod AS (SELECT account, symbol, d AS date, max_by(q, trade_id) AS q FROM ps GROUP BY 1, 2, 3),
+own AS (SELECT DISTINCT account, symbol FROM ps),
+tl AS (SELECT coalesce(e.account, b.account) AS account, coalesce(e.symbol, b.symbol) AS symbol, coalesce(e.date, b.date) AS date, q, close FROM eod e FULL JOIN (SELECT account, symbol, date, close FROM bars JOIN own USING (symbol)) b ON e.account = b.account AND e.symbol = b.symbol AND e.date = b.date),
+vl AS (SELECT account, symbol, date, coalesce(last_value(q IGNORE NULLS) OVER w, 0) * coalesce(last_value(close IGNORE NULLS) OVER w, 0) AS v FROM tl WINDOW w AS (PARTITION BY account, symbol ORDER BY date ROWS UNBOUNDED PRECEDING)),
+mv AS (SELECT account, date, sum(c) AS c FROM (SELECT account, date, v - coalesce(lag(v) OVER (PARTITION BY account, symbol ORDER BY date), 0) AS c FROM vl) GROUP BY 1, 2),
+fw AS (SELECT account, d AS date, sum(CASE WHEN side = 'buy' THEN -n * p - fee ELSE n * p - fee END) AS f FROM ps WHERE NOT rejected GROUP BY 1, 2),
+eq AS (SELECT account, date, 1e6 + coalesce(sum(f) OVER w, 0) + sum(c) OVER w AS equity FROM mv LEFT JOIN fw USING (account, date) WINDOW w AS (PARTITION BY account ORDER BY date ROWS UNBOUNDED PRECEDING)),
+rt AS (SELECT *, equity / lag(equity) OVER w - 1 AS r, equity / greatest(1e6, max(equity) OVER (w ROWS UNBOUNDED PRECEDING)) - 1 AS dd FROM eq WINDOW w AS (PARTITION BY account ORDER BY date))
+SELECT account, round(max_by(equity, date), 4) AS equity, round(max_by(equity, date) / 1e6 - 1, 4) + 0.0 AS total_return, round(min(dd), 4) + 0.0 AS max_drawdown, count(r) AS n_returns,
+  round(CASE WHEN count(r) >= 60 AND stddev_samp(r) > 1e-12 THEN (avg(r) - (pow(1.06, 1 / 252.0) - 1)) / stddev_samp(r) * sqrt(252) END, 4) + 0.0 AS sharpe FROM rt GROUP BY account""")
 def v4_v6_account_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Equity is cash and holdings at the day's last quotes; the last day is a snapshot of its own."""
     days = ledger.marked_equity(_positions(spark, sf_dir), src.bars(spark, sf_dir).select("symbol", "date", "close")).select("account", "date", "equity")
@@ -328,7 +365,8 @@ def v4_v6_account_overview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ledger.overview(ledger.snapshot(dated.where("date < last").drop("last"), dated.where("date = last").drop("last")), 1e6), 4)
 
 
-@R.add()
+@R.add("fills bars", "WITH " + _POSITIONS + """, l AS (SELECT account, symbol, max_by(q, trade_id) AS quantity, max_by(avg_cost, trade_id) AS average_cost FROM ps GROUP BY 1, 2), qt AS (SELECT symbol, max_by(close, date) AS price FROM bars GROUP BY 1)
+SELECT account, symbol, round(quantity, 4) AS quantity, round(average_cost, 4) AS average_cost, round(price, 4) AS price, round(quantity * price, 4) AS market_value, round(price / average_cost - 1, 4) + 0.0 AS unrealised_return FROM l LEFT JOIN qt USING (symbol) WHERE quantity > 0""")
 def v7_open_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each account holds at the end, at the last quotes, with its unrealised return."""
     end = _positions(spark, sf_dir).groupBy("account", "symbol").agg(F.max_by("quantity_after", "trade_id").alias("quantity"), F.max_by("average_cost", "trade_id").alias("average_cost")).where("quantity > 0")
@@ -336,7 +374,7 @@ def v7_open_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ledger.valued(end, quotes), 4)
 
 
-@R.add()
+@R.add("fills", "WITH " + _POSITIONS + " SELECT count(*) AS n_inconsistent FROM (SELECT sum(CASE WHEN rejected THEN 0 WHEN side = 'buy' THEN n ELSE -n END) AS moved, max_by(q, trade_id) AS held FROM ps GROUP BY account, symbol) WHERE abs(moved - held) > 1e-6")
 def q9_ledger_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(ledger.consistent(_positions(spark, sf_dir)).agg(F.count("*").alias("n_inconsistent")))
 

@@ -43,7 +43,14 @@ def e15_matched_scorers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rows.agg(F.count("*").alias("n"), F.corr("score", "other").alias("correlation"), F.avg(((F.col("score") > 0) == (F.col("other") > 0)).cast("double")).alias("same_sign")))
 
 
-@R.add()
+@R.add("scored bars", "WITH " + text._EVENTS + """,
+own AS (SELECT *, CASE WHEN count(sentiment) OVER v >= 10 THEN avg(sentiment) OVER v END AS o FROM ev WINDOW v AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 60 PRECEDING AND 1 PRECEDING)),
+mk AS (SELECT date, sum(s) OVER b / nullif(sum(n) OVER b, 0) AS m FROM (SELECT date, sum(sentiment) AS s, count(*) AS n FROM ev GROUP BY date) WINDOW b AS (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+tt AS (SELECT own.date, sentiment, fwd_ret, sentiment - coalesce(o, m, 0) AS tr FROM own JOIN mk USING (date)),
+vs AS (SELECT fwd_ret, sentiment AS raw, sentiment - avg(sentiment) OVER d AS cs, tr, tr - avg(tr) OVER d AS bo FROM tt WINDOW d AS (PARTITION BY date)),
+va AS (SELECT 'raw' AS variant, raw AS s, fwd_ret FROM vs UNION ALL SELECT 'cross_section', cs, fwd_ret FROM vs UNION ALL SELECT 'trailing', tr, fwd_ret FROM vs UNION ALL SELECT 'both', bo, fwd_ret FROM vs),
+a AS (SELECT variant, count(*) AS n, regr_slope(fwd_ret, s) AS slope, regr_sxx(fwd_ret, s) AS xx, regr_syy(fwd_ret, s) AS yy, regr_sxy(fwd_ret, s) AS xy, avg(fwd_ret) AS m FROM va GROUP BY variant)
+SELECT variant, n, round(slope, 5) + 0.0 AS slope, round(m, 5) + 0.0 AS mean_ret, round(sqrt((yy - xy * xy / xx) / (n - 2) / xx), 5) AS stderr, round(xy * xy / xx / yy, 5) AS r2, round(slope / sqrt((yy - xy * xy / xx) / (n - 2) / xx), 5) + 0.0 AS t FROM a""")
 def e17_debias_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every variant in one grouped regression."""
     events = text._events(spark, sf_dir).drop("study")

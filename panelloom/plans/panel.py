@@ -127,12 +127,14 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return src.bars(spark, sf_dir).withColumns({"fwd_ret": labels.forward_return(1), "ret_1d": features.ret(), "range_pct": (F.col("high") - F.col("low")) / F.col("close")})
 
 
-@R.add("bars", "WITH " + _FWD + """, v AS (SELECT *, count(*) OVER f AS n, sum(CASE WHEN ret_1d IS NOT NULL AND fwd_ret IS NOT NULL THEN 1 ELSE 0 END) OVER f AS ok, avg(ret_1d) OVER f AS mean_ret
+@R.add("bars", "WITH " + _FWD + """, v AS (SELECT *, count(*) OVER f AS n, sum(CASE WHEN ret_1d IS NOT NULL AND fwd_ret IS NOT NULL THEN 1 ELSE 0 END) OVER f AS ok, flatten(list([ret_1d::FLOAT, ((high - low) / close)::FLOAT]) OVER f) AS xs
   FROM fw WINDOW f AS (PARTITION BY symbol ORDER BY date ROWS 29 PRECEDING))
-SELECT symbol, date, 60 AS n_values, CAST(fwd_ret > 0 AS INT) AS y FROM v WHERE n = 30 AND ok = 30""")
+SELECT symbol, date, 60 AS n_values, round(list_sum(list_transform(range(1, 61), lambda k: k * xs[k]::DOUBLE)), 5) + 0.0 AS weighed, round(xs[1]::DOUBLE, 6) + 0.0 AS first_value, round(xs[60]::DOUBLE, 6) + 0.0 AS last_value, CAST(fwd_ret > 0 AS INT) AS y FROM v WHERE n = 30 AND ok = 30""")
 def l2_l3_l5_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = labels.flatten(labels.sequences(_labelled(spark, sf_dir), ["ret_1d", "range_pct"], "fwd_ret"))
-    return flat.select("symbol", "date", F.size("x").alias("n_values"), "y")
+    # Every value counts in `weighed`, by its place.
+    weighed = F.aggregate(F.zip_with("x", F.sequence(F.lit(1), F.size("x")), lambda v, k: v.cast("double") * k), F.lit(0.0), lambda s, v: s + v)
+    return rounded(flat.select("symbol", "date", F.size("x").alias("n_values"), F.round(weighed, 5).alias("weighed"), F.get("x", F.lit(0)).cast("double").alias("first_value"), F.element_at("x", -1).cast("double").alias("last_value"), "y"))
 
 
 @R.add("bars", "WITH " + _FWD + " SELECT symbol, date, CAST(fwd_ret > median(fwd_ret) OVER (PARTITION BY date) AS INT) AS y FROM fw WHERE fwd_ret IS NOT NULL")
