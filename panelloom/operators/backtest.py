@@ -82,13 +82,23 @@ def threshold_sweep(signals: DataFrame, thresholds: list[float]) -> DataFrame:
     return summary_table(tracks(weights(rows)))
 
 
+def net_tracks(weighted: DataFrame, schedules: dict[str, dict[str, float]], periods: float = 252) -> DataFrame:
+    """strategy (with the schedule's name behind @), date and net_return under each cost schedule."""
+    return _under(weighted, schedules, periods).select(F.concat_ws("@", "strategy", "schedule").alias("strategy"), "date", "net_return")
+
+
 def cost_sensitivity(weighted: DataFrame, schedules: dict[str, dict[str, float]]) -> DataFrame:
+    """Performance under each cost schedule."""
+    return performance(_under(weighted, schedules), "net_return", ["strategy", "schedule"])
+
+
+def _under(weighted: DataFrame, schedules: dict[str, dict[str, float]], periods: float = 252) -> DataFrame:
     """Net return under each cost schedule: turnover is the same, so costs are a join with the schedules."""
     c = changes(weighted).groupBy("strategy", "date").agg(F.sum(F.col("weight") * F.col("fwd_ret")).alias("_r"), F.sum("weight").alias("exposure"), F.sum(F.greatest("delta", F.lit(0.0))).alias("_buy"), F.sum(F.greatest(-F.col("delta"), F.lit(0.0))).alias("_sell"))
     table = weighted.sparkSession.createDataFrame([(k, rate("buy", p), rate("sell", p)) for k, p in schedules.items()], "schedule string, c_buy double, c_sell double")
     rows = c.crossJoin(F.broadcast(table))
-    net = F.col("_r") + F.greatest(1 - F.col("exposure"), F.lit(0.0)) * per_period() - F.col("_buy") * F.col("c_buy") - F.col("_sell") * F.col("c_sell")
-    return performance(rows.withColumn("net_return", net), "net_return", ["strategy", "schedule"])
+    net = F.col("_r") + F.greatest(1 - F.col("exposure"), F.lit(0.0)) * per_period(periods=periods) - F.col("_buy") * F.col("c_buy") - F.col("_sell") * F.col("c_sell")
+    return rows.withColumn("net_return", net)
 
 
 def by_regime(track: DataFrame, regimes: DataFrame, least: int = 150) -> DataFrame:

@@ -52,6 +52,14 @@ def equal_weight(rows: DataFrame) -> DataFrame:
     return rows.groupBy("date").agg(F.avg("fwd_ret").alias("ret"))
 
 
+def align_benchmark(dates: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """date, ret and has_bench for each of the given dates, once: a date that the benchmark lacks has 0.0, and has_bench
+    tells it from a return of 0, so that measures of joint days can leave it out."""
+    own = benchmark.where("ret is not null").groupBy("date").agg(F.max("ret").alias("ret"))
+    rows = dates.select("date").distinct().join(own, "date", "left")
+    return rows.select("date", F.coalesce("ret", F.lit(0.0)).alias("ret"), F.col("ret").isNotNull().alias("has_bench"))
+
+
 def winners_minus_losers(rows: DataFrame, by_column: str = "mom_12_1", k: int = 3) -> DataFrame:
     """Each day with 2k valid rows: mean return of the k best minus that of the k worst."""
     valid = rows.where(F.col(by_column).isNotNull() & F.col("fwd_ret").isNotNull())

@@ -81,8 +81,8 @@ def _interval(boots: DataFrame, value: str) -> DataFrame:
     return out.select("strategy", F.col("_p")[0].alias("low"), F.col("_p")[1].alias("high"), F.least(2 * F.least("_lo", "_hi"), F.lit(1.0)).alias("p_value"))
 
 
-def sharpe_intervals(track: DataFrame, value: str = "net_return", n_boot: int = 5000, block: int = 20, seed: int = 0) -> DataFrame:
-    return _interval(bootstrap(track, [value], n_boot, block, seed), f"sharpe_{value}")
+def sharpe_intervals(track: DataFrame, value: str = "net_return", n_boot: int = 5000, block: int = 20, seed: int = 0, periods: float = 252) -> DataFrame:
+    return _interval(bootstrap(track, [value], n_boot, block, seed, periods=periods), f"sharpe_{value}")
 
 
 def compare_to(track: DataFrame, benchmark: str, n_boot: int = 5000, block: int = 20, seed: int = 0) -> DataFrame:

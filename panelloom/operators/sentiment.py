@@ -125,9 +125,13 @@ def ensemble(rows: DataFrame, item: list[str], label: str = "label", provider: s
 
     agreement: mean over pairs of 1 - half the absolute differences; 1 with one provider. The sum of the
     absolute differences of all pairs comes from the sorted values of a label, so no pairs are built.
-    confidence: 0.3 + 0.7 agreement.
+    confidence: 0.3 + 0.7 agreement. A provider with a null has failed for the item and doesn't count; an item for
+    which all have failed is an error, not a distribution of little confidence.
     """
-    ok = rows.groupBy(*item, provider).agg(F.count_if(F.col(p).isNull()).alias("_bad")).where("_bad = 0").drop("_bad")
+    each = rows.groupBy(*item, provider).agg(F.count_if(F.col(p).isNull()).alias("_bad"))
+    left = F.count_if(F.col("_bad") == 0).over(Window.partitionBy(*item))
+    none = F.raise_error(F.concat(F.lit("every provider failed for "), F.to_json(F.struct(*item)))).cast("boolean")
+    ok = each.withColumn("_left", left).where(F.when(F.col("_left") == 0, none).otherwise(F.col("_bad") == 0)).drop("_bad", "_left")
     rows = rows.join(ok, [*item, provider], "left_semi")
     sorted_p = F.sort_array(F.collect_list(p))  # as many values as providers
     per = rows.groupBy(*item, label).agg(F.avg(p).alias("p"), F.count("*").alias("_k"), sorted_p.alias("_ps"))

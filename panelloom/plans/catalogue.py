@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from panelloom.plans import audits, decisions, more, panel, text
+from panelloom.plans import audits, decisions, more, panel, sweeps, text
 from panelloom.plans.registry import Query
 
-_PARTS = (panel.R, text.R, decisions.R, more.R, audits.R)
+_PARTS = (panel.R, text.R, decisions.R, more.R, audits.R, sweeps.R)
 
 
 def queries() -> dict[str, Query]:

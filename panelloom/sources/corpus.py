@@ -35,14 +35,14 @@ def ingest_plan(symbols: DataFrame, first: str, last: str, done: DataFrame) -> D
 
 
 def read_runs(spark: SparkSession, glob: str, schema: str) -> DataFrame:
-    """Prediction files with their run's name from the file's."""
+    """Prediction files, or folders of them, with their run's name from the file's or folder's."""
     rows = spark.read.schema(schema).option("header", True).csv(glob)
-    return rows.withColumn("run", F.regexp_extract(F.input_file_name(), r"oos_([^/]+)\.csv$", 1))
+    return rows.withColumn("run", F.regexp_extract(F.input_file_name(), r"oos_([^/]+)\.csv(?:/[^/]*)?$", 1))
 
 
 def read_statements(spark: SparkSession, path: str) -> DataFrame:
-    """symbol, section, fiscal, label and value from one JSON file for each symbol."""
-    raw = spark.read.option("wholetext", True).text(path).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1).alias("symbol"), F.from_json("value", STATEMENT).alias("m"))
+    """symbol, section, fiscal, label and value from one JSON file, or a folder with one, for each symbol."""
+    raw = spark.read.option("wholetext", True).text(path).select(F.try_url_decode(F.replace(F.regexp_extract(F.input_file_name(), r"([^/=]+)\.json(?:/[^/]*)?$", 1), F.lit("+"), F.lit("%2B"))).alias("symbol"), F.from_json("value", STATEMENT).alias("m"))
     sections = raw.select("symbol", F.explode("m").alias("section", "periods"))
     periods = sections.select("symbol", "section", F.explode("periods").alias("fiscal", "rows"))
     return periods.select("symbol", "section", "fiscal", F.explode("rows").alias("label", "value"))

@@ -344,3 +344,44 @@ def test_stored_and_fresh_scores_are_equal(spark, tmp_path):
     assert by(stored.score_latest(spark, wild, path, "2020-04-20")) == pytest.approx(by(stored.score_latest(spark, at_limit, path, "2020-04-20")))
     late = df.where("symbol <> 's2' or date < date'2020-03-01'")
     assert {r["date"] for r in stored.score_latest(spark, late, path, "2020-04-20").collect()} == {D(2020, 2, 29)}
+
+
+# --- small rules ------------------------------------------------------------------------------------
+
+
+def test_every_provider_failing_is_an_error(spark):
+    from panelloom.operators import sentiment
+
+    schema = "item int, provider string, label string, p double"
+    rows = [(1, "a", "x", 0.2), (1, "a", "y", 0.8), (1, "b", "x", None), (1, "b", "y", 0.5)]
+    got = {r["label"]: (r["p"], r["n_providers"], r["agreement"]) for r in sentiment.ensemble(spark.createDataFrame(rows, schema), ["item"]).collect()}
+    assert got == {"x": (0.2, 1, 1.0), "y": (0.8, 1, 1.0)}
+    with pytest.raises(Exception, match="every provider failed"):
+        sentiment.ensemble(spark.createDataFrame([*rows, (2, "a", "x", None), (2, "b", "x", None)], schema), ["item"]).collect()
+
+
+def test_a_benchmark_is_filled_with_a_flag(spark):
+    from panelloom.operators import baselines
+
+    dates = spark.createDataFrame([(D(2020, 1, d),) for d in (1, 2, 2, 3, 4)], "date date")
+    bench = spark.createDataFrame([(D(2020, 1, 1), 0.0), (D(2020, 1, 3), 0.5), (D(2020, 1, 4), None), (D(2020, 1, 9), 1.0)], "date date, ret double")
+    got = sorted((r["date"].day, r["ret"], r["has_bench"]) for r in baselines.align_benchmark(dates, bench).collect())
+    assert got == [(1, 0.0, True), (2, 0.0, False), (3, 0.5, True), (4, 0.0, False)]
+
+
+def test_macro_columns_are_filled_forward(spark):
+    from panelloom.operators import features
+
+    days = [D(2020, 1, d) for d in range(1, 6)]
+    bars = spark.createDataFrame([("a", d, 1.0, 1.0, 1.0, 1.0, 1.0) for d in days], "symbol string, date date, open double, high double, low double, close double, volume double")
+    macro = spark.createDataFrame([(days[1], 100.0, 0.1, 20.0, 0.5), (days[3], 110.0, None, 21.0, None)], "date date, index_close double, index_mom_20d double, vix double, vix_percentile double")
+    got = features.regime_table(bars, macro).orderBy("date").collect()
+    assert [r["index_close"] for r in got] == [None, 100.0, 100.0, 110.0, 110.0] and [r["vix_percentile"] for r in got] == [None, 0.5, 0.5, 0.5, 0.5]
+
+
+def test_demoted_actions(spark):
+    from panelloom.operators import sizing
+
+    rows = [("BUY", 0.0, 0.0, []), ("BUY", 0.2, 0.1, ["x"]), ("FLAT", 0.0, 0.0, None)]
+    got = [(r["action"], r["risk_notes"]) for r in sizing.demoted(spark.createDataFrame(rows, "action string, size_before double, size double, risk_notes array<string>").coalesce(1)).collect()]
+    assert got == [("HOLD", []), ("BUY", ["x", "scaled to the gross cap"]), ("FLAT", None)]
