@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelloom.functions.costs import DELIVERY, rate, with_round_trip
+from panelloom.functions.tables import written
 from panelloom.operators import backtest, baselines, explain, features, fundamentals, inference, labels, metrics, news, opinions, sentiment, sizing
 from panelloom.plans import decisions, panel, text
 from panelloom.plans.registry import Registry, rounded
@@ -140,14 +141,16 @@ def tj_on_dates_of_the_latch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(days.groupBy("strategy").agg(F.count("*").alias("n"), F.sum("net_return").alias("total")))
 
 
-@R.add("bars index_bars", "WITH " + panel._TRACKS + """, bad AS (SELECT date FROM (SELECT date, close / lag(close, 60) OVER (ORDER BY date) - 1 AS r FROM index_bars) WHERE round(r, 12) < -0.02),
-c AS (SELECT strategy, date, exp(sum(ln(1 + net_return)) OVER w) AS equity FROM tracks WHERE date IN (SELECT date FROM bad) WINDOW w AS (PARTITION BY strategy ORDER BY date)),
-d AS (SELECT strategy, equity / max(equity) OVER (PARTITION BY strategy ORDER BY date) - 1 AS dd FROM c) SELECT strategy, count(*) AS n, round(min(dd), 6) + 0.0 AS max_drawdown FROM d GROUP BY strategy""")
+@R.add("bars index_bars", "WITH " + panel._TRACKS + """, bad AS (SELECT date, r FROM (SELECT date, close / lag(close, 60) OVER (ORDER BY date) - 1 AS r FROM index_bars) ), fa AS (SELECT * FROM bad, (VALUES (0.10::DOUBLE), (0.02::DOUBLE)) v(fall) WHERE round(r, 12) < -fall),
+c AS (SELECT fall, strategy, date, exp(sum(ln(1 + net_return)) OVER w) AS equity FROM tracks JOIN fa USING (date) WINDOW w AS (PARTITION BY fall, strategy ORDER BY date)),
+d AS (SELECT fall, strategy, equity / max(equity) OVER (PARTITION BY fall, strategy ORDER BY date) - 1 AS dd FROM c) SELECT fall, strategy, count(*) AS n, round(min(dd), 6) + 0.0 AS max_drawdown FROM d GROUP BY fall, strategy""")
 def tf_drawdown_in_falls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Drawdown over the days on which the index lost over 2 % in 60 sessions."""
+    """Drawdown over the days on which the index lost over 10 % in 60 sessions, and over 2 %, which also happens in calm years."""
     index = src.index_bars(spark, sf_dir).withColumn("one", F.lit("index"))
-    falls = index.select("date", F.round(features.ret(60, "close", backtest.Window.partitionBy("one").orderBy("date")), 12).alias("r")).where("r < -0.02")
-    return rounded(backtest.worst_on(panel._tracks(spark, sf_dir), falls))
+    falls = index.select("date", F.round(features.ret(60, "close", backtest.Window.partitionBy("one").orderBy("date")), 12).alias("r"))
+    track = written(panel._tracks(spark, sf_dir), "tracks")
+    each = [backtest.worst_on(track, falls.where(F.col("r") < -fall)).withColumn("fall", F.lit(fall)) for fall in (0.10, 0.02)]
+    return rounded(each[0].unionByName(each[1]))
 
 
 # --- reports ------------------------------------------------------------------------------------

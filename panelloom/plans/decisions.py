@@ -248,6 +248,18 @@ def i1_i2_whole_bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFra
     return rounded(inference.sharpe_intervals(panel._tracks(spark, sf_dir), n_boot=5000, block=20, seed=5), 5)
 
 
+@R.add("bars", _T + """, bh AS (SELECT date, net_return AS b FROM tracks WHERE strategy = 'BuyHold'), pa AS (SELECT strategy, date, net_return AS a, b FROM tracks JOIN bh USING (date) WHERE strategy <> 'BuyHold'),
+nu AS (SELECT strategy, a, b, row_number() OVER (PARTITION BY strategy ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY strategy) AS n FROM pa),
+dr AS (SELECT strategy, n, rep, off, CAST(floor(('0x' || substr(md5('5|' || rep || '|' || blk), 1, 12))::BIGINT / 281474976710656.0::DOUBLE * n) AS BIGINT) AS s FROM (SELECT DISTINCT strategy, n FROM nu), range(100) a(rep), range(200) b(blk), range(20) c(off) WHERE blk < ceil(n / 20.0) AND blk * 20 + off < n),
+bo AS (SELECT dr.strategy, rep, ((avg(a) - (pow(1.06, 1/252.0) - 1)) / stddev_samp(a) - (avg(b) - (pow(1.06, 1/252.0) - 1)) / stddev_samp(b)) * sqrt(252) AS d FROM dr JOIN nu ON nu.strategy = dr.strategy AND nu.i = (dr.s + off) % dr.n GROUP BY 1, 2),
+iv AS (SELECT strategy, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high, least(1.0, 2 * least(avg(CASE WHEN d <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN d >= 0 THEN 1.0 ELSE 0.0 END))) AS p FROM bo GROUP BY strategy),
+rk AS (SELECT *, row_number() OVER (ORDER BY p, strategy) AS r, count(*) OVER () AS m FROM iv)
+SELECT strategy, round(low, 5) + 0.0 AS low, round(high, 5) + 0.0 AS high, round(p, 5) AS p_value, round(max(least(1.0, (m - r + 1) * p)) OVER (ORDER BY r), 5) AS p_adjusted, max(least(1.0, (m - r + 1) * p)) OVER (ORDER BY r) <= 0.05 AS significant FROM rk""")
+def i3_i7_paired_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comparison of 100 draws, which SQL can do; the next query makes 5,000."""
+    return rounded(inference.compare_to(written(panel._tracks(spark, sf_dir), "tracks"), "BuyHold", n_boot=100, seed=5), 5)
+
+
 @R.add()
 def i3_i7_comparisons_with_buyhold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(inference.compare_to(panel._tracks(spark, sf_dir), "BuyHold", n_boot=5000, seed=5), 5)
@@ -291,7 +303,7 @@ def x1_x5_reconstruction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(explain.reconstruction_error(logged, ops))
 
 
-@R.add()
+@R.add(_VIEWS, "WITH " + _SIZED + " SELECT count(*) AS n, 1.0 AS action, round(avg(CASE WHEN abs(printf('%.3f', score)::DOUBLE - score) <= 5.01e-4 THEN 1.0 ELSE 0.0 END), 6) AS score, round(avg(CASE WHEN abs(printf('%.4f', size::DOUBLE)::DOUBLE - size) <= 5.01e-5 THEN 1.0 ELSE 0.0 END), 6) AS size FROM cs")
 def x3_text_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _sized(spark, sf_dir).withColumns({"action": opinions.action(), "debated": F.lit(False)})
     return rounded(explain.text_consistency(opinions.rationale(rows, opinions.brief(_opinions(spark, sf_dir)))))
@@ -309,9 +321,24 @@ def x4_deletion_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- scenarios, ledger, models ------------------------------------------------------------------
 
 
-@R.add()
+_SCENARIOS = {"control": [0.0] * 10, "crash": [-0.04] * 10, "rebound": [-0.05] * 5 + [0.05] * 5}
+_SHOCKED = f"""sh AS (SELECT scenario, unnest(shocks) AS shock, unnest(range(10)) AS step FROM (VALUES {", ".join(f"('{k}', {v}::DOUBLE[])" for k, v in _SCENARIOS.items())}) v(scenario, shocks)),
+bw AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS r FROM bars) WHERE r <= 480),
+la AS (SELECT symbol, max(date) AS last, max_by(close, date) AS c FROM bw WHERE r <= 20 GROUP BY symbol),
+tl AS (SELECT scenario, symbol, CAST((CASE WHEN isodow(last) > 5 THEN last - (isodow(last) - 5)::INT ELSE last END) + CAST(step + 1 + 2 * floor((least(isodow(last) - 1, 4) + step + 1) / 5) AS INT) AS DATE) AS date, c * exp(sum(ln(1 + shock)) OVER (PARTITION BY scenario, symbol ORDER BY step)) AS close FROM la, sh),
+kb AS (SELECT symbol || '@' || scenario AS symbol, date, open, high, low, close FROM bw, (SELECT DISTINCT scenario FROM sh) UNION ALL SELECT symbol || '@' || scenario, date, close, close * 1.002, close * 0.998, close FROM tl)"""
+_J = "j AS (SELECT bars.*, macro.index_close, index_mom_20d, vix, vix_percentile FROM bars LEFT JOIN macro USING (date))"
+_FILLED = ", ".join(f"last_value({c} IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING) AS {c}" for c in ("index_close", "index_mom_20d", "vix", "vix_percentile"))
+_SCENARIO_OPS = panel._REGIME.replace(_J, _SHOCKED + f",\nj AS (SELECT kb.*, {_FILLED} FROM kb LEFT JOIN macro USING (date))")
+_REGIME_OPINION = _OPS[_OPS.index("SELECT symbol, date, 'regime'") : _OPS.index("),\nco AS")]
+
+
+@R.add("bars index_bars vix", "WITH " + _SCENARIO_OPS + ", op(symbol, date, agent, stance, confidence, abstained) AS (" + _REGIME_OPINION + ")" + _OPS[_OPS.index(",\nco AS") :] + """,
+sz AS (SELECT split_part(symbol, '@', 2) AS scenario, confidence, CASE WHEN score <= 0 OR confidence < 0.10 THEN 0 ELSE least(0.2 * (CASE WHEN vol_20 > 1e-6 THEN least(greatest(0.2 / vol_20, 0.25), 1.5) ELSE 1.0 END), 0.2) END AS size FROM sc JOIN (SELECT symbol, date, vol_20 FROM regime) USING (symbol, date)),
+v AS (SELECT scenario, avg(CASE WHEN size <= 0 THEN 1.0 ELSE 0.0 END) AS f, avg(size) AS s, avg(confidence) AS c FROM sz GROUP BY scenario)
+SELECT v.scenario, round(v.f, 6) AS flat_share, round(v.s, 6) AS mean_size, round(v.c, 6) AS mean_confidence, round(v.f - o.f, 6) + 0.0 AS flat_change, round(v.s - o.s, 6) + 0.0 AS size_change, round(v.c - o.c, 6) + 0.0 AS confidence_change FROM v, v o WHERE o.scenario = 'control'""")
 def c1_c5_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    table = spark.createDataFrame([("control", [0.0] * 10), ("crash", [-0.04] * 10), ("rebound", [-0.05] * 5 + [0.05] * 5)], "scenario string, shocks array<double>")
+    table = spark.createDataFrame(list(_SCENARIOS.items()), "scenario string, shocks array<double>")
     rows = scenarios.shocked(scenarios.base_window(src.bars(spark, sf_dir)), table)
     keyed = rows.withColumn("symbol", F.concat_ws("@", "symbol", "scenario"))  # a scenario's series is one of its own
     days = features.regime_table(keyed.drop("scenario"), features.macro_series(src.index_bars(spark, sf_dir), src.vix(spark, sf_dir)))
