@@ -19,6 +19,11 @@ def by(*keys: str, order: str = "date") -> WindowSpec:
     return Window.partitionBy(*keys).orderBy(order)
 
 
+def symbol_rows() -> WindowSpec:
+    """A symbol's rows in order; made when it is needed, as a window needs a session."""
+    return by("symbol")
+
+
 def roll(aggregate, column: str | Column, n: int, w: WindowSpec, least: int | None = None, lag: int = 0) -> Column:
     """aggregate over the last n rows (shifted by lag), null where fewer than `least` values are not null."""
     column = F.col(column) if isinstance(column, str) else column

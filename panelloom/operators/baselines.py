@@ -4,14 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
-from panelloom.functions.windows import by
-
-
-def symbol_rows() -> WindowSpec:
-    """A symbol's rows in order; made when it is needed, as a window needs a session."""
-    return by("symbol")
+from panelloom.functions.windows import symbol_rows
 
 
 def rules() -> dict[str, Column]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from panelloom.functions.tables import written
 from panelloom.operators.inference import uniform
 from panelloom.operators.metrics import average_ranks
 
@@ -66,7 +67,7 @@ def sections(rationale: Column) -> Column:
 def decision_accuracy(decisions: DataFrame) -> DataFrame:
     """n, base rate of rises, precision of BUY, sign accuracy where the score isn't 0, and Spearman's ic."""
     up = (F.col("fwd_ret") > 0).cast("double")
-    known = decisions.where("fwd_ret is not null").withColumn("_one", F.lit(True)).persist()  # both ranks read them several times
+    known = written(decisions.where("fwd_ret is not null").select("score", "fwd_ret", "action", F.lit(True).alias("_one")), "decisions")  # both ranks read them several times
     ranked = average_ranks(average_ranks(known, "score", "_rs", ["_one"]), "fwd_ret", "_rr", ["_one"])
     return ranked.agg(F.count("*").alias("n"), F.avg(up).alias("base_rate"), F.avg(F.when(F.col("action") == "BUY", up)).alias("buy_precision"), F.avg(F.when(F.col("score") != 0, (F.signum("score") == F.signum("fwd_ret")).cast("double"))).alias("sign_accuracy"), F.corr("_rs", "_rr").alias("ic"))
 
@@ -79,5 +80,5 @@ def rubric(decisions: DataFrame, criteria: DataFrame) -> DataFrame:
 
 
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
-    known = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b, F.lit(True).alias("_one")).persist()  # both ranks read them several times
+    known = written(rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b, F.lit(True).alias("_one")), "pairs")  # both ranks read them several times
     return average_ranks(average_ranks(known, a, "_ra", ["_one"]), b, "_rb", ["_one"]).agg(F.count("*").alias("n"), F.corr("_ra", "_rb").alias("rho"))

@@ -6,14 +6,8 @@ from math import sqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
-from panelloom.functions.windows import by, clip, ewm, pct_rank, pct_ranks, roll
-
-
-def symbol_rows() -> WindowSpec:
-    """A symbol's rows in order; made when it is needed, as a window needs a session."""
-    return by("symbol")
+from panelloom.functions.windows import clip, ewm, pct_rank, pct_ranks, roll, symbol_rows
 
 
 def ret(k: int = 1, column: str = "close", w=None) -> Column:

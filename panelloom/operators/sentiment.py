@@ -4,17 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
-from panelloom.functions.windows import by, roll
+from panelloom.functions.windows import by, roll, symbol_rows
 from panelloom.operators.metrics import average_ranks, running_counts
 
 
-def symbol_rows() -> WindowSpec:
-    """A symbol's rows in order; made when it is needed, as a window needs a session."""
-    return by("symbol")
-
-
 def daily(rows: DataFrame, least: int = 1) -> DataFrame:
     """sentiment, n_headlines, dispersion (0 for one headline) and unknown_share of each symbol and date."""
     out = rows.groupBy("symbol", "date").agg(F.avg("score").alias("sentiment"), F.count("score").alias("n_headlines"), F.coalesce(F.stddev_samp("score"), F.lit(0.0)).alias("dispersion"), F.avg("p_unknown").alias("unknown_share"))

@@ -5,18 +5,14 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 from pyspark.sql import types as T
 
 from panelloom.functions.folds import CAP, fold_days
 from panelloom.functions.tables import written
-from panelloom.functions.windows import by
+from panelloom.functions.windows import by, symbol_rows
 from panelloom.operators.features import causal_atr
 
 
-def symbol_rows() -> WindowSpec:
-    """A symbol's rows in order; made when it is needed, as a window needs a session."""
-    return by("symbol")
 BASE, TARGET_VOL = 0.20, 0.20
 
 

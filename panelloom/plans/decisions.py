@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelloom.functions.costs import DELIVERY, INTRADAY, rate
 from panelloom.functions.tables import written
-from panelloom.operators import backtest, baselines, boosting, explain, features, fundamentals, inference, labels, ledger, metrics, opinions, scenarios, sizing, walkforward
+from panelloom.operators import backtest, baselines, boosting, explain, features, inference, labels, ledger, metrics, opinions, scenarios, sizing, walkforward
 from panelloom.plans import panel
 from panelloom.plans.registry import Registry, rounded
 from panelloom.sources import adapters as src
@@ -29,12 +29,15 @@ sc AS (SELECT *, CASE WHEN b > 1e-9 THEN a / b ELSE 0 END AS score FROM co)"""
 _VIEWS = "bars index_bars vix predictions"
 
 
-def _regime(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return features.regime_table(src.bars(spark, sf_dir), features.macro_series(src.index_bars(spark, sf_dir), src.vix(spark, sf_dir)))
+def _regime(spark: SparkSession, sf_dir: str, bars: DataFrame | None = None) -> DataFrame:
+    return features.regime_table(src.bars(spark, sf_dir) if bars is None else bars, features.macro_series(src.index_bars(spark, sf_dir), src.vix(spark, sf_dir)))
 
 
-def _opinions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return opinions.technical(src.predictions(spark, sf_dir)).unionByName(opinions.regime(_regime(spark, sf_dir)))
+def _opinions(spark: SparkSession, sf_dir: str, bars: DataFrame | None = None, regime: DataFrame | None = None) -> DataFrame:
+    """Both agents' opinions, from bars that are made once."""
+    bars = written(src.bars(spark, sf_dir), "bars") if bars is None else bars
+    regime = _regime(spark, sf_dir, bars) if regime is None else regime
+    return opinions.technical(src.predictions_of(bars)).unionByName(opinions.regime(regime))
 
 
 @R.add(_VIEWS, "WITH " + _OPS + " SELECT symbol, date, agent, round(stance, 6) + 0.0 AS stance, round(confidence, 6) + 0.0 AS confidence, abstained FROM op")
@@ -70,8 +73,10 @@ cs AS (SELECT *, CASE WHEN sum(s0) OVER (PARTITION BY date) > 1 THEN s0 / sum(s0
 
 
 def _sized(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = opinions.combine(_opinions(spark, sf_dir)).select("symbol", "date", "score", "confidence")
-    rows = rows.join(_regime(spark, sf_dir).select("symbol", "date", "vol_20"), ["symbol", "date"], "left").join(sizing.breaker(src.bars(spark, sf_dir)), ["symbol", "date"], "left")
+    bars = written(src.bars(spark, sf_dir), "bars")
+    regime = written(_regime(spark, sf_dir, bars), "regime")  # the opinion and the volatility both read it
+    rows = opinions.combine(_opinions(spark, sf_dir, bars, regime)).select("symbol", "date", "score", "confidence")
+    rows = rows.join(regime.select("symbol", "date", "vol_20"), ["symbol", "date"], "left").join(sizing.breaker(bars), ["symbol", "date"], "left")
     return sizing.capped(rows.withColumn("size", sizing.base_size()), ["date"])
 
 

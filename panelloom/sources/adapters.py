@@ -92,10 +92,14 @@ def scored(spark: SparkSession, sf_dir: str, chars: str = "eao") -> DataFrame:
 
 def predictions(spark: SparkSession, sf_dir: str, factor: float = 10.0) -> DataFrame:
     """date, symbol, prob_up and fwd_ret on bars: the sign is against the last day's return."""
+    return predictions_of(bars(spark, sf_dir), factor)
+
+
+def predictions_of(rows: DataFrame, factor: float = 10.0) -> DataFrame:
     w = Window.partitionBy("symbol").orderBy("date")
     ret = F.col("close") / F.lag("close").over(w) - 1
     ahead = F.lead("open", 2).over(w) / F.lead("open", 1).over(w) - 1
-    return bars(spark, sf_dir).select("date", "symbol", (1 / (1 + F.exp(factor * ret))).alias("prob_up"), ahead.alias("fwd_ret")).where("prob_up is not null")
+    return rows.select("date", "symbol", (1 / (1 + F.exp(factor * ret))).alias("prob_up"), ahead.alias("fwd_ret")).where("prob_up is not null")
 
 
 def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
