@@ -204,15 +204,17 @@ def v11_recent_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(sentiment.daily(news.to_sessions(rows, text._sessions(spark, sf_dir))).where("date <= date'1998-06-30'"))
 
 
-@R.add("predictions", """WITH q AS (SELECT k, count(*) AS n, avg(CASE WHEN (round(prob_up, 12) > 0.5 + 0.02 * k) = (fwd_ret > 0) THEN 1.0 ELSE 0.0 END) AS accuracy FROM predictions, range(3) r(k) WHERE fwd_ret IS NOT NULL GROUP BY k)
-SELECT 'm' AS architecture, count(*) AS n_runs, round(avg(accuracy), 6) AS mean_accuracy, round(stddev_samp(accuracy), 6) AS std_accuracy, round((avg(accuracy) - 0.5) / sqrt(0.25 / min_by(n, k)), 4) + 0.0 AS z FROM q""")
+@R.add("bars", f"""WITH b AS (SELECT lead(open, 2) OVER w / lead(open, 1) OVER w - 1 AS f, [close / lag(close, 1) OVER w - 1, close / lag(close, 2) OVER w - 1, close / lag(close, 3) OVER w - 1] AS r FROM bars {panel._W}),
+q AS (SELECT k, count(*) AS n, avg(CASE WHEN (round(1 / (1 + exp(10 * r[k + 1])), 12) > 0.5) = (f > 0) THEN 1.0 ELSE 0.0 END) AS accuracy FROM b, range(3) v(k) WHERE f IS NOT NULL AND r[k + 1] IS NOT NULL GROUP BY k),
+z AS (SELECT count(*) AS n_runs, avg(accuracy) AS m, stddev_samp(accuracy) AS s, (avg(accuracy) - 0.5) / sqrt(0.25 / min_by(n, k)) AS z FROM q)
+SELECT 'reversal' AS architecture, n_runs, round(m, 6) AS mean_accuracy, round(s, 6) AS std_accuracy, round(z, 4) + 0.0 AS z, round(2 * (1 - {decisions._phi("abs(z)")}), 4) + 0.0 AS p_value FROM z""")
 def p12_architecture_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mean and deviation of the accuracy over runs, which differ in the threshold of a rise, and z against chance."""
-    rows = src.predictions(spark, sf_dir).where("fwd_ret is not null")
-    runs = F.inline(F.array(*(F.struct(F.lit(f"m_seed{i}").alias("run"), F.lit(0.02 * i).alias("shift")) for i in range(3))))
-    rows = rows.select(F.round("prob_up", 12).alias("p"), (F.col("fwd_ret") > 0).alias("y"), runs)
-    per_run = rows.groupBy("run").agg(F.count("*").alias("n"), F.avg(((F.col("p") > 0.5 + F.col("shift")) == F.col("y")).cast("double")).alias("accuracy"))
-    return rounded(metrics.architecture_summary(per_run).withColumn("z", F.round("z", 4)).drop("p_value"))
+    """Mean and deviation of the accuracy over the runs of one rule on returns of one, two and three days, and z and p against chance."""
+    rows = src.bars(spark, sf_dir).select(labels.forward_return(1).alias("f"), *(features.ret(k).alias(f"r{k}") for k in (1, 2, 3))).where("f is not null")
+    back = F.inline(F.array(*(F.struct(F.lit(f"reversal_seed{k - 1}").alias("run"), F.col(f"r{k}").alias("r")) for k in (1, 2, 3))))
+    runs = rows.select("f", back).where("r is not null").withColumn("p", F.round(1 / (1 + F.exp(10 * F.col("r"))), 12))
+    per_run = runs.groupBy("run").agg(F.count("*").alias("n"), F.avg(((F.col("p") > 0.5) == (F.col("f") > 0)).cast("double")).alias("accuracy"))
+    return rounded(metrics.architecture_summary(per_run).withColumns({"z": F.round("z", 4), "p_value": F.round("p_value", 4)}))
 
 
 @R.add(decisions._VIEWS, "WITH " + decisions._OPS + " SELECT count(*) AS n, round(avg(CASE WHEN n_active >= 2 AND ((lo < 0 AND hi > 0) OR hi - lo > 0.3) THEN 1.0 ELSE 0.0 END), 6) AS escalation_rate, round(avg(CASE WHEN round(score, 12) > 0.05 THEN 1.0 ELSE 0.0 END), 6) AS long_share, round(avg(CASE WHEN round(score, 12) < -0.05 THEN 1.0 ELSE 0.0 END), 6) AS short_share FROM sc")
