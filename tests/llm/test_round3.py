@@ -284,3 +284,53 @@ def test_many_short_texts_need_little_memory():
     batch = pa.RecordBatch.from_arrays([pa.array([f"short text {i:09d}" for i in range(10_000)])], ["text"])
     sizes = [part.num_rows for part, _, _ in tb.slices(batch, rows=language._ROWS)]
     assert sum(sizes) == 10_000 and max(sizes) <= 512
+
+
+# --- whole pipeline, and recall at some size --------------------------------------------------------
+
+
+def test_pipeline_run_is_its_stages_one_after_the_other(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns, kept = docs.columns, [docs.count()]
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf)
+        if name != "best_fit_packing":
+            assert docs.columns == columns
+            rows = docs.collect()
+            kept.append(len(rows))
+            docs = spark.createDataFrame(rows, docs.schema)
+    assert kept == sorted(kept, reverse=True) and kept[-1] < kept[0]
+    out = corpus_pipeline.run(spark, sf).collect()
+    key = lambda r: (r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"])
+    assert sorted(map(key, out)) == sorted(map(key, docs.collect())) and len({r["doc_id"] for r in out}) == kept[-1]
+    places = collections.defaultdict(list)
+    for r in out:
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    for rows in places.values():
+        ends = np.cumsum([n for _, n in sorted(rows)])
+        assert [a for a, _ in sorted(rows)] == [0, *ends[:-1].tolist()] and ends[-1] <= 2048
+
+
+def test_recall_of_the_vector_indexes(spark):
+    from panelloom.llm import vectors
+
+    rng = np.random.default_rng(12)
+    v = rng.normal(size=(5000, 32))
+    v[3000:4500] = v[rng.integers(0, 600, 1500)] + rng.normal(scale=0.04, size=(1500, 32))
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(v)], "vec_id long, embedding array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    got = {r["vec_id"]: r["n_links"] for r in vectors.near_duplicates(df).collect()}
+    want = near.sum(axis=1)
+    assert all(got[i] <= want[i] for i in range(5000)) and sum(got.values()) >= 0.99 * want.sum() > 1000
+    scores = v @ v.T
+    np.fill_diagonal(scores, -np.inf)
+    found = collections.defaultdict(set)
+    for r in vectors.search(df, F.col("vec_id") % 20 == 0).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    truth = {q: set(np.argsort(-scores[q])[:20].tolist()) for q in range(0, 5000, 20)}
+    assert sum(len(found[q] & t) for q, t in truth.items()) >= 0.95 * 20 * len(truth)
