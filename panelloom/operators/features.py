@@ -41,9 +41,11 @@ def recursive_features(bars: DataFrame) -> DataFrame:
     """RSI(14) as a share, MACD histogram and ATR(14), both relative to the close."""
     change = F.col("close") - F.lag("close").over(symbol_rows())
     rows = bars.withColumns({"_gain": F.when(change.isNotNull(), F.greatest(change, F.lit(0.0))), "_loss": F.when(change.isNotNull(), F.greatest(-change, F.lit(0.0))), "_tr": true_range(), "_n": F.row_number().over(symbol_rows())})
-    rows = ewm(rows, {"_g": ("_gain", 1 / 14), "_l": ("_loss", 1 / 14), "_a": ("_tr", 1 / 14), "_fast": ("close", 2 / 13), "_slow": ("close", 2 / 27)}, ["symbol"])
-    rows = rows.withColumn("_macd", F.col("_fast") - F.col("_slow"))
-    rows = ewm(rows, {"_signal": ("_macd", 0.2)}, ["symbol"])
+    rows = ewm(rows, {"_g": ("_gain", 1 / 14), "_l": ("_loss", 1 / 14), "_a": ("_tr", 1 / 14), "_fast": ("close", 2 / 13), "_slow": ("close", 2 / 27), "_nine": ("close", 0.2)}, ["symbol"])
+    # The mean (0.2) of a mean (alpha) is a mixture of the two means themselves, so the signal needs no second pass.
+    share = lambda alpha: 0.2 * (1 - alpha) / (0.8 - (1 - alpha))
+    signal = share(2 / 27) * (F.col("_slow") - F.col("_nine")) - share(2 / 13) * (F.col("_fast") - F.col("_nine"))
+    rows = rows.withColumns({"_macd": F.col("_fast") - F.col("_slow"), "_signal": signal})
     rsi = F.when(F.col("_n") > 14, 100 - 100 / (1 + F.try_divide(F.col("_g"), F.when(F.col("_l") != 0, F.col("_l")))))
     rows = rows.withColumns({"rsi_14": F.coalesce(rsi, F.lit(50.0)) / 100, "macd_hist": (F.col("_macd") - F.col("_signal")) / F.col("close"), "atr_14": F.when(F.col("_n") >= 14, F.col("_a") / F.col("close"))})
     return rows.drop(*(c for c in rows.columns if c.startswith("_")))
