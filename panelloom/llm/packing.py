@@ -112,6 +112,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, size: int = 2048) -
                         out.append((d, k, lo, hi - lo, tk.crc32(ids[a + lo : a + hi]), task, int(seen[hi - lo])))
                         seen[hi - lo] += 1
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in range(7)], schema.names)
+        tk.release()
 
     schema = longs("doc_id", "piece", "start", "length", "ids_crc32", "task", "ordinal")
     return docs.select("doc_id", "text").mapInArrow(run, schema)

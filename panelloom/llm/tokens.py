@@ -177,6 +177,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def release() -> None:
+    """Give the encoders' memory back at a task's end: the worker may go on to other work."""
+    _encoders.clear()
+
+
 def encode_slices(batch: pa.RecordBatch, path: str, end_id: int, text: str = "text"):
     """For each slice: its rows, all ids with end_id after each text, and the offsets."""
     e = encoder(path)
