@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions.distributions import normal_cdf, normal_ppf
+from panelloom.functions.tables import written
 
 
 def uniform(*parts: str | Column) -> Column:
@@ -41,7 +42,8 @@ def block_moments(rows: DataFrame, values: list[str], block: int) -> DataFrame:
     out = ring.withColumns({k: F.sum(v).over(ahead) for k, v in sums.items()})
     # The shorter block: the same sums over its own length, from running sums.
     upto = w.rowsBetween(Window.unboundedPreceding, -1)
-    run = out.withColumns({f"r_{k}": F.coalesce(F.sum(v).over(upto), F.lit(0.0)) for k, v in sums.items()}).withColumn("last", last)
+    # Written, as the join reads it twice: a plan of both sides in one lost the ring's rows behind the end on one side.
+    run = written(out.withColumns({f"r_{k}": F.coalesce(F.sum(v).over(upto), F.lit(0.0)) for k, v in sums.items()}).withColumn("last", last), "moments")
     ends = run.select("strategy", F.col("i").alias("e"), *(F.col(f"r_{k}").alias(f"e_{k}") for k in sums))
     starts = run.where(F.col("i") < F.col("n"))
     joined = starts.join(ends, (starts["strategy"] == ends["strategy"]) & (starts["i"] + starts["last"] == ends["e"])).drop(ends["strategy"])
@@ -51,7 +53,7 @@ def block_moments(rows: DataFrame, values: list[str], block: int) -> DataFrame:
 def numbered(track: DataFrame, values: list[str]) -> DataFrame:
     w = Window.partitionBy("strategy").orderBy("date")
     rows = track.where(" and ".join(f"{v} is not null" for v in values))
-    return rows.select("strategy", (F.row_number().over(w) - 1).alias("i"), F.count("*").over(Window.partitionBy("strategy")).alias("n"), *values)
+    return rows.select("strategy", (F.row_number().over(w) - 1).cast("long").alias("i"), F.count("*").over(Window.partitionBy("strategy")).alias("n"), *values)
 
 
 def bootstrap(track: DataFrame, values: list[str], n_boot: int, block: int, seed: int, risk_free: float = 0.06, periods: int = 252) -> DataFrame:

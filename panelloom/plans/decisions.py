@@ -247,27 +247,31 @@ def i1_i2_bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(inference.sharpe_intervals(panel._tracks(spark, sf_dir), n_boot=100, block=20, seed=5), 5)
 
 
-@R.add()
+def drawn(n_boot: int, series: str, columns: str, block: str = "20") -> str:
+    """SQL of dw: strategy, rep and the columns of every row of every draw of circular blocks, from a view of strategy and date.
+
+    A block's start is a hash of draw and block, the same for every strategy; `block` may be a column of the view.
+    """
+    return f"""bt_nu AS (SELECT *, row_number() OVER (PARTITION BY strategy ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY strategy) AS n FROM {series}),
+bt_hs AS MATERIALIZED (SELECT rep, blk, ('0x' || substr(md5('5|' || rep || '|' || blk), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM range({n_boot}) a(rep), range((SELECT max(CAST(ceil(n / ({block})) AS BIGINT)) FROM bt_nu)) b(blk)),
+bt_st AS (SELECT strategy, n, bl, rep, blk, CAST(floor(u * n) AS BIGINT) AS s FROM (SELECT DISTINCT strategy, n, {block} AS bl FROM bt_nu) JOIN bt_hs ON blk * bl < n WHERE n >= 2 * bl),
+dw AS (SELECT bt_st.strategy, rep, {columns} FROM bt_st JOIN range(20) o(off) ON off < bl AND blk * bl + off < n JOIN bt_nu ON bt_nu.strategy = bt_st.strategy AND bt_nu.i = (s + off) % bt_st.n)"""
+
+
+@R.add("bars", _T + ", " + drawn(5000, "(SELECT strategy, date, net_return FROM tracks)", "net_return") + ", bo AS (SELECT strategy, rep, (avg(net_return) - (pow(1.06, 1/252.0) - 1)) / stddev_samp(net_return) * sqrt(252) AS sharpe FROM dw GROUP BY 1, 2) SELECT strategy, round(quantile_cont(sharpe, 0.025), 5) AS low, round(quantile_cont(sharpe, 0.975), 5) AS high, round(least(1.0, 2 * least(avg(CASE WHEN sharpe <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN sharpe >= 0 THEN 1.0 ELSE 0.0 END))), 5) AS p_value FROM bo GROUP BY strategy")
 def i1_i2_whole_bootstrap_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The intervals of 5,000 draws; the query before is held to 100 by its SQL."""
-    return rounded(inference.sharpe_intervals(panel._tracks(spark, sf_dir), n_boot=5000, block=20, seed=5), 5)
+    """The intervals of 5,000 draws; the query before makes 100."""
+    return rounded(inference.sharpe_intervals(written(panel._tracks(spark, sf_dir), "tracks"), n_boot=5000, block=20, seed=5), 5)
 
 
 @R.add("bars", _T + """, bh AS (SELECT date, net_return AS b FROM tracks WHERE strategy = 'BuyHold'), pa AS (SELECT strategy, date, net_return AS a, b FROM tracks JOIN bh USING (date) WHERE strategy <> 'BuyHold'),
-nu AS (SELECT strategy, a, b, row_number() OVER (PARTITION BY strategy ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY strategy) AS n FROM pa),
-dr AS (SELECT strategy, n, rep, off, CAST(floor(('0x' || substr(md5('5|' || rep || '|' || blk), 1, 12))::BIGINT / 281474976710656.0::DOUBLE * n) AS BIGINT) AS s FROM (SELECT DISTINCT strategy, n FROM nu), range(100) a(rep), range(200) b(blk), range(20) c(off) WHERE blk < ceil(n / 20.0) AND blk * 20 + off < n),
-bo AS (SELECT dr.strategy, rep, ((avg(a) - (pow(1.06, 1/252.0) - 1)) / stddev_samp(a) - (avg(b) - (pow(1.06, 1/252.0) - 1)) / stddev_samp(b)) * sqrt(252) AS d FROM dr JOIN nu ON nu.strategy = dr.strategy AND nu.i = (dr.s + off) % dr.n GROUP BY 1, 2),
+""" + drawn(5000, "pa", "a, b") + """,
+bo AS (SELECT strategy, rep, ((avg(a) - (pow(1.06, 1/252.0) - 1)) / stddev_samp(a) - (avg(b) - (pow(1.06, 1/252.0) - 1)) / stddev_samp(b)) * sqrt(252) AS d FROM dw GROUP BY 1, 2),
 iv AS (SELECT strategy, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high, least(1.0, 2 * least(avg(CASE WHEN d <= 0 THEN 1.0 ELSE 0.0 END), avg(CASE WHEN d >= 0 THEN 1.0 ELSE 0.0 END))) AS p FROM bo GROUP BY strategy),
 rk AS (SELECT *, row_number() OVER (ORDER BY p, strategy) AS r, count(*) OVER () AS m FROM iv)
 SELECT strategy, round(low, 5) + 0.0 AS low, round(high, 5) + 0.0 AS high, round(p, 5) AS p_value, round(max(least(1.0, (m - r + 1) * p)) OVER (ORDER BY r), 5) AS p_adjusted, max(least(1.0, (m - r + 1) * p)) OVER (ORDER BY r) <= 0.05 AS significant FROM rk""")
-def i3_i7_paired_comparisons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The comparison of 100 draws, which SQL can do; the next query makes 5,000."""
-    return rounded(inference.compare_to(written(panel._tracks(spark, sf_dir), "tracks"), "BuyHold", n_boot=100, seed=5), 5)
-
-
-@R.add()
 def i3_i7_comparisons_with_buyhold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(inference.compare_to(panel._tracks(spark, sf_dir), "BuyHold", n_boot=5000, seed=5), 5)
+    return rounded(inference.compare_to(written(panel._tracks(spark, sf_dir), "tracks"), "BuyHold", n_boot=5000, seed=5), 5)
 
 
 def _phi(x: str) -> str:

@@ -19,14 +19,13 @@ R = Registry()
 
 # --- sweeps with resampled intervals -------------------------------------------------------------
 
-_N_BOOT = 100  # what the SQL can do; the operators' default is 5,000
+_N_BOOT = 2000  # draws
 
 
 def _resampled(cells: str) -> str:
     """SQL of Sharpe ratios and their intervals by circular blocks, of a view with strategy, date, net_return, blen and ppy."""
-    return f"""nu AS (SELECT strategy, blen, ppy, net_return, row_number() OVER (PARTITION BY strategy ORDER BY date) - 1 AS i, count(*) OVER (PARTITION BY strategy) AS n FROM {cells}),
-dr AS (SELECT strategy, n, ppy, rep, off, blk * blen + off AS k, CAST(floor(('0x' || substr(md5('5|' || rep || '|' || blk), 1, 12))::BIGINT / 281474976710656.0::DOUBLE * n) AS BIGINT) AS s FROM (SELECT DISTINCT strategy, n, blen, ppy FROM nu WHERE n >= 2 * blen), range({_N_BOOT}) a(rep), range(1000) b(blk), range(20) c(off) WHERE off < blen AND blk * blen + off < n),
-bo AS (SELECT dr.strategy, rep, (avg(net_return) - (pow(1.06, 1 / dr.ppy) - 1)) / stddev_samp(net_return) * sqrt(dr.ppy) AS sharpe FROM dr JOIN nu ON nu.strategy = dr.strategy AND nu.i = (dr.s + off) % dr.n GROUP BY dr.strategy, rep, dr.ppy),
+    return f"""{decisions.drawn(_N_BOOT, cells, "ppy, net_return", "blen")},
+bo AS (SELECT strategy, rep, (avg(net_return) - (pow(1.06, 1 / ppy) - 1)) / stddev_samp(net_return) * sqrt(ppy) AS sharpe FROM dw GROUP BY strategy, rep, ppy),
 iv AS (SELECT strategy, quantile_cont(sharpe, 0.025) AS low, quantile_cont(sharpe, 0.975) AS high FROM bo GROUP BY strategy),
 pt AS (SELECT strategy, count(*) AS n, (avg(net_return) - (pow(1.06, 1 / ppy) - 1)) / stddev_samp(net_return) * sqrt(ppy) AS sharpe FROM {cells} GROUP BY strategy, ppy)
 SELECT pt.strategy, n, round(sharpe, 5) + 0.0 AS sharpe, round(low, 5) + 0.0 AS low, round(high, 5) + 0.0 AS high FROM pt LEFT JOIN iv USING (strategy)"""

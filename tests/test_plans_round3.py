@@ -385,3 +385,19 @@ def test_demoted_actions(spark):
     rows = [("BUY", 0.0, 0.0, []), ("BUY", 0.2, 0.1, ["x"]), ("FLAT", 0.0, 0.0, None)]
     got = [(r["action"], r["risk_notes"]) for r in sizing.demoted(spark.createDataFrame(rows, "action string, size_before double, size double, risk_notes array<string>").coalesce(1)).collect()]
     assert got == [("HOLD", []), ("BUY", ["x", "scaled to the gross cap"]), ("FLAT", None)]
+
+
+def test_block_sums_of_every_start_equal_brute_force(spark):
+    from panelloom.operators import inference
+
+    rng = np.random.default_rng(1)
+    rows = [(s, D(2020, 1, 1) + dt.timedelta(days=i), float(v)) for s, n in (("a", 47), ("b", 40), ("c", 61)) for i, v in enumerate(rng.normal(size=n))]
+    df = spark.createDataFrame(rows, "strategy string, date date, r double")
+    got = inference.block_moments(inference.numbered(df, ["r"]), ["r"], 20).collect()
+    assert len(got) == 148
+    for s in "abc":
+        x = np.array([v for k, _, v in rows if k == s])
+        c, n, last = x - x.mean(), len(x), (len(x) - 1) % 20 + 1
+        for m in (m for m in got if m["strategy"] == s):
+            at = lambda k, i=m["i"]: c[np.arange(i, i + k) % n]  # noqa: E731, B023
+            assert [m["s_r"], m["q_r"], m["l_s_r"], m["l_q_r"]] == pytest.approx([at(20).sum(), (at(20) ** 2).sum(), at(last).sum(), (at(last) ** 2).sum()])
