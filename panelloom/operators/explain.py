@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions.tables import written
@@ -24,9 +24,8 @@ def reconstruction_error(decisions: DataFrame, opinions: DataFrame, tolerance: f
 
 def attribution(opinions: DataFrame) -> DataFrame:
     """Each active agent's part of the score."""
-    total = F.sum(F.when(~F.col("abstained"), F.col("confidence")))
-    sums = opinions.groupBy("symbol", "date").agg(total.alias("_t"))
-    return opinions.join(sums, ["symbol", "date"]).select("symbol", "date", "agent", F.when(F.col("abstained"), 0.0).otherwise(F.coalesce(F.try_divide(F.col("confidence") * F.col("stance"), F.col("_t")), F.lit(0.0))).alias("share"))
+    total = F.sum(F.when(~F.col("abstained"), F.col("confidence"))).over(Window.partitionBy("symbol", "date"))  # as many rows as agents
+    return opinions.withColumn("_t", total).select("symbol", "date", "agent", F.when(F.col("abstained"), 0.0).otherwise(F.coalesce(F.try_divide(F.col("confidence") * F.col("stance"), F.col("_t")), F.lit(0.0))).alias("share"))
 
 
 def deletion_test(opinions: DataFrame, seed: int = 0, threshold: float = 0.05) -> DataFrame:
