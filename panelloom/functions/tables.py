@@ -25,3 +25,8 @@ def written(df: DataFrame, name: str = "table") -> DataFrame:
     at = f"{shared_dir(spark)}/panelloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
     return spark.read.schema(df.schema).parquet(at)
+
+
+def dealt(df: DataFrame, parts: int | None, *keys: str) -> DataFrame:
+    """df hashed by keys to so many partitions, which a window or aggregate over these keys takes as they are; df itself for None."""
+    return df if parts is None else df.repartition(parts, *keys)
