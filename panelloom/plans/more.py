@@ -68,7 +68,7 @@ _THRESHOLDS = (0.50, 0.52, 0.55)
 signals AS (SELECT printf('P@%.2f', t) AS strategy, date, symbol, CASE WHEN round(prob_up, 12) > t THEN 1.0 ELSE 0.0 END AS score, fwd_ret FROM x2, (VALUES {", ".join(f"({t}::DOUBLE)" for t in _THRESHOLDS)}) v(t))""" + panel._TRACKS[len(panel._SIGNALS) :] + ", " + panel._perf_sql("tracks", "net_return", "strategy", ", sum(turnover) AS tu") + " SELECT strategy, n, round(total_return, 5) AS total_return, round(sharpe, 5) AS sharpe, round(tu / (n / 252.0), 5) AS turnover_per_year FROM perf")
 def th_threshold_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = src.predictions(spark, sf_dir).where("fwd_ret is not null").select(F.lit("P").alias("strategy"), "date", "symbol", F.round("prob_up", 12).alias("score"), "fwd_ret")
-    return rounded(backtest.threshold_sweep(rows, list(_THRESHOLDS)).select("strategy", "n", "total_return", "sharpe", "turnover_per_year"), 5)
+    return rounded(backtest.threshold_sweep(rows, list(_THRESHOLDS), src.parts(spark, sf_dir)).select("strategy", "n", "total_return", "sharpe", "turnover_per_year"), 5)
 
 
 @R.add("bars", "WITH " + panel._TRACKS + ", tp AS (SELECT tracks.*, name FROM tracks JOIN (VALUES ('early', DATE '1995-01-01', DATE '1996-12-31'), ('late', DATE '1997-01-01', DATE '2001-12-31')) v(name, lo, hi) ON date BETWEEN lo AND hi), " + panel._perf_sql("tp", "net_return", "strategy, name") + " SELECT strategy, name, n, round(total_return, 6) AS total_return, round(volatility, 6) AS volatility, round(mdd, 6) AS max_drawdown FROM perf WHERE n >= 5")
