@@ -250,7 +250,8 @@ def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backtest.tracks(backtest.weights(_signals(spark, sf_dir)))
+    n = src.parts(spark, sf_dir)
+    return backtest.tracks(backtest.weights(_signals(spark, sf_dir), parts=n), parts=n)
 
 
 def _perf_sql(rows: str, value: str, keys: str, extra: str = "") -> str:
