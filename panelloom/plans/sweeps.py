@@ -201,8 +201,7 @@ def n11_aligned_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add(decisions._VIEWS, "WITH " + decisions._SIZED + " SELECT symbol, date, round(s0, 6) + 0.0 AS size_before, round(size, 6) + 0.0 AS size, CASE WHEN score > 0.05 AND size > 0 THEN 'BUY' WHEN score > 0.05 THEN 'HOLD' ELSE 'FLAT' END AS action, CASE WHEN trigger IS NOT NULL THEN 'stopped by ' || trigger || (CASE WHEN size < s0 THEN '; ' ELSE '' END) ELSE '' END || (CASE WHEN size < s0 THEN 'scaled to the gross cap' ELSE '' END) AS risk_notes FROM cs")
 def k8_demoted_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes of breakers and of the cap, and what would be BUY without a size."""
-    rows = opinions.combine(decisions._opinions(spark, sf_dir)).select("symbol", "date", "score", "confidence")
-    rows = rows.join(decisions._regime(spark, sf_dir).select("symbol", "date", "vol_20"), ["symbol", "date"], "left").join(sizing.breaker(src.bars(spark, sf_dir)), ["symbol", "date"], "left")
+    rows = decisions._scored(spark, sf_dir, *decisions._panel(spark, sf_dir))
     rows = rows.withColumn("size", sizing.base_size()).withColumn("size_before", F.col("size"))
     notes = F.when(F.col("trigger").isNotNull(), F.array(F.concat(F.lit("stopped by "), "trigger"))).otherwise(F.array().cast("array<string>"))
     out = sizing.demoted(sizing.capped(rows, ["date"]).withColumns({"risk_notes": notes, "action": F.when(F.col("score") > 0.05, "BUY").otherwise("FLAT")}))

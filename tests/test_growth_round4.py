@@ -7,7 +7,9 @@ import pandas as pd
 import pytest
 
 from panelloom.functions import windows
-from panelloom.operators import features
+from panelloom.operators import backtest, explain, features
+from panelloom.plans import catalogue
+from panelloom.sources import adapters
 
 D = dt.date
 
@@ -48,3 +50,36 @@ def test_long_frames_are_not_read_again_at_every_row(spark, table):
     macro = spark.createDataFrame([(D(2020, 1, 1), 1.0, 0.0, 10.0, 0.5)], "date date, index_close double, index_mom_20d double, vix double, vix_percentile double")
     text = plan(features.regime_table(bars, macro) if table == "regime" else features.window_features(bars))
     assert "RowFrame, -19," not in text and "RowFrame, -199," not in text and "RowFrame, -251," not in text
+
+
+def test_attribution_reads_the_opinions_once(spark):
+    ops = spark.createDataFrame([("a", D(2020, 1, 1), "x", 0.5, 0.4, False), ("a", D(2020, 1, 1), "y", -1.0, 0.1, False), ("a", D(2020, 1, 2), "x", 0.0, 0.0, True)], "symbol string, date date, agent string, stance double, confidence double, abstained boolean")
+    shares = explain.attribution(ops)
+    assert "Join" not in plan(shares)
+    assert [pytest.approx(r["share"]) for r in shares.orderBy("date", "agent").collect()] == [0.4, -0.2, 0.0]
+
+
+@pytest.mark.parametrize("name", ["k2_cost_gated_sizes", "k8_demoted_actions"])
+def test_sizes_read_one_written_regime_table(spark, name):
+    assert "lineitem" not in plan(catalogue.queries()[name](spark, "/root/testdata/sf0.001")) and "MapInArrow" not in plan(catalogue.queries()[name](spark, "/root/testdata/sf0.001"))
+
+
+def test_a_track_is_dealt_by_its_number_of_rows(spark):
+    rows = [("p", D(2020, 1, 1 + i), f"s{k}", float((i * k) % 3), 0.01 * ((i + k) % 5 - 2)) for i in range(20) for k in range(9)]
+    signals = spark.createDataFrame(rows, "strategy string, date date, symbol string, score double, fwd_ret double")
+    whole, some = (backtest.tracks(backtest.weights(signals, parts=n), parts=n) for n in (None, 7))
+    assert "RepartitionByExpression [strategy" in plan(some) and ", 7" in plan(some)
+    got, want = (t.orderBy("date").toPandas() for t in (some, whole))
+    pd.testing.assert_frame_equal(got, want)
+
+
+def test_partitions_grow_with_line_items(spark):
+    n = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert adapters.parts(spark, "/root/testdata/sf0.001") is None
+    assert adapters.parts(spark, "/root/testdata/sf0.001", n // 20) in (20, 21)
+
+
+def test_runs_of_an_ensemble_are_averaged_where_their_day_is(spark):
+    df = catalogue.queries()["m4_seed_ensemble"](spark, "/root/testdata/sf0.001")
+    assert "Union" not in plan(df)
+    assert df._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(date") == 0
