@@ -101,7 +101,8 @@ UNION ALL SELECT strategy, 'benchmark', n, round(tr, 5) + 0.0, round(cagr, 5) +
 def p13_factsheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Performance of every strategy with beta and information ratio beside it, and the benchmark's own row."""
     signals = panel._signals(spark, sf_dir)
-    track = written(backtest.tracks(backtest.weights(signals)), "tracks")
+    n = src.parts(spark, sf_dir)
+    track = written(backtest.tracks(backtest.weights(signals, parts=n), parts=n), "tracks")
     equal = written(baselines.equal_weight(signals.where("strategy = 'BuyHold'")).select("date", "ret"), "equal")
     names = ["n", "total_return", "cagr", "sharpe", "max_drawdown"]
     own = metrics.performance(track, "net_return", ["strategy"]).select("strategy", *names).join(metrics.attribution(track, equal.withColumn("name", F.lit("equal"))).select("strategy", "beta", "information_ratio"), "strategy", "left")
