@@ -75,11 +75,10 @@ wt AS (SELECT strategy, s1.symbol, s1.date, CASE WHEN sum(s0) OVER (PARTITION BY
 """ + audits._AFTER_SIGNALS[audits._AFTER_SIGNALS.index("grid AS") :] + ", cells AS (SELECT strategy, date, net_return, 20 AS blen, 252.0::DOUBLE AS ppy FROM tracks), " + _resampled("cells"))
 def to_conviction_floor_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The debate's conviction floor from gate to Sharpe ratio: gated days take the debated score, sizes and tracks follow; all floors in one job."""
-    rows = opinions.combine(decisions._opinions(spark, sf_dir)).withColumns({c: F.round(c, 12) for c in ("lowest_conviction", "highest_conviction")})
-    regime = decisions._regime(spark, sf_dir).select("symbol", "date", "vol_20")
-    rows = rows.join(regime, ["symbol", "date"], "left").join(sizing.breaker(src.bars(spark, sf_dir)), ["symbol", "date"], "left")
+    bars, regime = decisions._panel(spark, sf_dir)
+    rows = decisions._scored(spark, sf_dir, bars, regime).withColumns({c: F.round(c, 12) for c in ("lowest_conviction", "highest_conviction")})
     debates = opinions.debate_residual(audits._arguments(spark, sf_dir)).select("symbol", "date", "residual", "contested")
-    rows = rows.join(debates, ["symbol", "date"], "left").join(src.predictions(spark, sf_dir).select("symbol", "date", "fwd_ret"), ["symbol", "date"]).where("fwd_ret is not null")
+    rows = rows.join(debates, ["symbol", "date"], "left").join(src.predictions_of(bars).select("symbol", "date", "fwd_ret"), ["symbol", "date"]).where("fwd_ret is not null")
     flags = F.array(*(F.struct(F.format_string("floor%.2f", F.lit(f)).alias("strategy"), opinions.gate_conviction(f).alias("_gated")) for f in _FLOORS))
     floors = rows.select("*", F.inline(flags))
     at = floors.withColumn("_debated", F.col("_gated") & F.col("residual").isNotNull())
