@@ -59,7 +59,7 @@ def test_attribution_reads_the_opinions_once(spark):
     assert [pytest.approx(r["share"]) for r in shares.orderBy("date", "agent").collect()] == [0.4, -0.2, 0.0]
 
 
-@pytest.mark.parametrize("name", ["k2_cost_gated_sizes", "k8_demoted_actions"])
+@pytest.mark.parametrize("name", ["k2_cost_gated_sizes", "k8_demoted_actions", "x3_text_consistency"])
 def test_sizes_read_one_written_regime_table(spark, name):
     assert "lineitem" not in plan(catalogue.queries()[name](spark, "/root/testdata/sf0.001")) and "MapInArrow" not in plan(catalogue.queries()[name](spark, "/root/testdata/sf0.001"))
 
