@@ -63,7 +63,7 @@ def macro_series(index: DataFrame, vix: DataFrame) -> DataFrame:
 def regime_table(bars: DataFrame, macro: DataFrame) -> DataFrame:
     """Bars with the macro series filled forward, trend, strength, 52-week position and volatility ranks."""
     fill = symbol_rows().rowsBetween(Window.unboundedPreceding, 0)
-    rows = bars.join(macro, "date", "left")
+    rows = bars.join(F.broadcast(macro), "date", "left")  # macro is a row for each session
     rows = rows.withColumns({c: F.last(c, ignorenulls=True).over(fill) for c in ("index_close", "index_mom_20d", "vix", "vix_percentile")})
     rows = rows.withColumns({"ret_1d": ret(), "rel_strength_60d": ret(60) - ret(60, "index_close")})
     # The volatility is rounded, so that equal windows tie in the ranks whatever the order of their sums.

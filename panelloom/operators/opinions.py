@@ -6,16 +6,19 @@ abstains. Agents, and named sets of agents, are columns.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelloom.functions.windows import clip
 
 
-def _opinion(rows: DataFrame, agent: str, stance: Column, confidence: Column, abstain: Column) -> DataFrame:
+def _opinion(rows: DataFrame, agent: str, stance: Column, confidence: Column, abstain: Column, keep: tuple[str, ...] = ()) -> DataFrame:
     out = abstain | stance.isNull() | confidence.isNull()
     zero = lambda c: F.when(out, 0.0).otherwise(c)
-    return rows.select("symbol", "date", F.lit(agent).alias("agent"), zero(stance).alias("stance"), zero(confidence).alias("confidence"), F.coalesce(out, F.lit(True)).alias("abstained"))
+    return rows.select("symbol", "date", F.lit(agent).alias("agent"), zero(stance).alias("stance"), zero(confidence).alias("confidence"), F.coalesce(out, F.lit(True)).alias("abstained"), *keep)
 
 
 def technical(rows: DataFrame, scale: float = 4.0) -> DataFrame:
@@ -28,14 +31,19 @@ def sentiment(rows: DataFrame, scale: float = 0.35, full: int = 5) -> DataFrame:
     return _opinion(rows, "sentiment", clip(F.col("sentiment") / scale, -1, 1), clip(confidence, 0, 1), F.col("sentiment").isNull())
 
 
-def regime(rows: DataFrame) -> DataFrame:
-    votes = F.filter(F.array(F.col("trend"), clip(5 * F.col("rel_strength_60d"), -1, 1), clip(2 * (F.col("pos_52w") - 0.5), -1, 1), clip(8 * F.col("index_mom_20d"), -1, 1)), lambda x: x.isNotNull())
-    mean = F.aggregate(votes, F.lit(0.0), lambda a, x: a + x) / F.size(votes)
-    spread = F.sqrt(F.aggregate(F.transform(votes, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda a, x: a + x) / F.size(votes))
+def regime(rows: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """keep: columns of rows that stay beside the opinion."""
+    # Plain arithmetic, a step at a time: Spark evaluates a lambda's outer values again for every element of every use.
+    votes = {"_v0": F.col("trend"), "_v1": clip(5 * F.col("rel_strength_60d"), -1, 1), "_v2": clip(2 * (F.col("pos_52w") - 0.5), -1, 1), "_v3": clip(8 * F.col("index_mom_20d"), -1, 1)}
+    total = lambda f: reduce(add, (F.when(F.col(v).isNotNull(), f(F.col(v))).otherwise(0.0) for v in votes))
     calm = lambda c, k: F.when(F.col(c).isNotNull(), 1 - k * F.col(c)).otherwise(1.0)
-    confidence = F.greatest(1 - spread, F.lit(0.0)) * calm("vol_percentile", 0.5) * calm("vix_percentile", 0.4)
     missing = F.col("trend").isNull() | F.col("rel_strength_60d").isNull() | F.col("pos_52w").isNull()
-    return _opinion(rows, "regime", F.when(~missing, mean), F.when(~missing, clip(confidence, 0, 1)), missing)
+    rows = rows.select("symbol", "date", (calm("vol_percentile", 0.5) * calm("vix_percentile", 0.4)).alias("_calm"), missing.alias("_missing"), *(x.alias(v) for v, x in votes.items()), *keep)
+    rows = rows.withColumn("_n", reduce(add, (F.col(v).isNotNull().cast("int") for v in votes)))
+    rows = rows.withColumn("_mean", F.try_divide(total(lambda x: x), F.col("_n")))
+    rows = rows.withColumn("_spread", F.sqrt(F.try_divide(total(lambda x: (x - F.col("_mean")) * (x - F.col("_mean"))), F.col("_n"))))
+    confidence = F.greatest(1 - F.col("_spread"), F.lit(0.0)) * F.col("_calm")
+    return _opinion(rows, "regime", F.when(~F.col("_missing"), F.col("_mean")), F.when(~F.col("_missing"), clip(confidence, 0, 1)), F.col("_missing"), keep)
 
 
 def fundamental(rows: DataFrame, metrics: tuple[str, ...] = ("z_revenue_growth", "z_profit_growth", "z_roe", "z_roe_change")) -> DataFrame:

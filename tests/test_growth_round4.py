@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from panelloom.functions import windows
-from panelloom.operators import backtest, explain, features
+from panelloom.operators import backtest, explain, features, opinions
 from panelloom.plans import catalogue
 from panelloom.sources import adapters
 
@@ -83,3 +83,20 @@ def test_runs_of_an_ensemble_are_averaged_where_their_day_is(spark):
     df = catalogue.queries()["m4_seed_ensemble"](spark, "/root/testdata/sf0.001")
     assert "Union" not in plan(df)
     assert df._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(date") == 0
+
+
+def test_a_regime_opinion_is_plain_arithmetic(spark):
+    schema = "symbol string, date date, trend double, rel_strength_60d double, pos_52w double, index_mom_20d double, vol_percentile double, vix_percentile double, vol_20 double"
+    rows = [("a", D(2020, 1, 1), 1.0, 0.1, 0.6, None, None, 0.5, 0.3), ("b", D(2020, 1, 1), -1.0, 0.4, 0.1, 0.05, 0.2, None, None), ("c", D(2020, 1, 1), None, 0.1, 0.6, 0.1, 0.1, 0.1, 0.2)]
+    df = opinions.regime(spark.createDataFrame(rows, schema), ("vol_20",))
+    assert "lambda" not in plan(df)
+    got = {r["symbol"]: (r["stance"], r["confidence"], r["abstained"], r["vol_20"]) for r in df.collect()}
+    for name, votes, calm, vol in (("a", [1.0, 0.5, 0.2], 0.8, 0.3), ("b", [-1.0, 1.0, -0.8, 0.4], 0.9, None)):
+        assert got[name] == (pytest.approx(np.mean(votes)), pytest.approx((1 - np.std(votes)) * calm), False, vol)
+    assert got["c"] == (0.0, 0.0, True, 0.2)
+
+
+def test_bars_meet_the_sessions_without_a_shuffle_by_date(spark):
+    bars = spark.createDataFrame([("a", D(2020, 1, 1), 1.0, 1.0, 1.0, 1.0, 1.0)], "symbol string, date date, open double, high double, low double, close double, volume double")
+    macro = spark.createDataFrame([(D(2020, 1, 1), 1.0, 0.0, 10.0, 0.5)], "date date, index_close double, index_mom_20d double, vix double, vix_percentile double")
+    assert "strategy=broadcast" in plan(features.regime_table(bars, macro))
