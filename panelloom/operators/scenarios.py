@@ -34,5 +34,8 @@ def shocked(bars: DataFrame, scenarios: DataFrame) -> DataFrame:
 def verdicts(decisions: DataFrame, control: str) -> DataFrame:
     """Flat share, mean size and mean confidence of each scenario, and their changes against the control."""
     s = decisions.groupBy("scenario").agg(F.avg((F.col("size") <= 0).cast("double")).alias("flat_share"), F.avg("size").alias("mean_size"), F.avg("confidence").alias("mean_confidence"))
-    c = s.where(F.col("scenario") == control).select(*(F.col(x).alias(f"_{x}") for x in ("flat_share", "mean_size", "mean_confidence")))  # one row
-    return s.crossJoin(F.broadcast(c)).select("scenario", "flat_share", "mean_size", "mean_confidence", (F.col("flat_share") - F.col("_flat_share")).alias("flat_change"), (F.col("mean_size") - F.col("_mean_size")).alias("size_change"), (F.col("mean_confidence") - F.col("_mean_confidence")).alias("confidence_change"))
+    every = Window.partitionBy(F.lit(True))  # a row for each scenario
+    change = lambda c: F.col(c) - F.max(F.when(F.col("scenario") == control, F.col(c))).over(every)
+    names = {"flat_share": "flat_change", "mean_size": "size_change", "mean_confidence": "confidence_change"}
+    known = F.max(F.col("scenario") == control).over(every)  # without the control there is nothing to compare with
+    return s.withColumns({new: change(c) for c, new in names.items()} | {"_known": known}).where("_known").select("scenario", *names, *names.values())

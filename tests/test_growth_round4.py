@@ -100,3 +100,8 @@ def test_bars_meet_the_sessions_without_a_shuffle_by_date(spark):
     bars = spark.createDataFrame([("a", D(2020, 1, 1), 1.0, 1.0, 1.0, 1.0, 1.0)], "symbol string, date date, open double, high double, low double, close double, volume double")
     macro = spark.createDataFrame([(D(2020, 1, 1), 1.0, 0.0, 10.0, 0.5)], "date date, index_close double, index_mom_20d double, vix double, vix_percentile double")
     assert "strategy=broadcast" in plan(features.regime_table(bars, macro))
+
+
+def test_scenarios_make_their_regime_table_once(spark):
+    df = catalogue.queries()["c1_c5_scenarios"](spark, "/root/testdata/sf0.001")
+    assert plan(df).count("MapInArrow") == 1
