@@ -67,15 +67,19 @@ def tag_companies(rows: DataFrame, names: DataFrame, column: str = "title", gram
     text = F.lower(F.col(column))
     terms = names.select(F.col("symbol").alias("tagged"), F.lower("term").alias("_term")).where(F.length("_term") > 0).distinct()
     terms = terms.withColumns({"_gram": F.substring("_term", 1, gram), "_width": F.least(F.length("_term"), F.lit(gram))})
-    widths = sorted(r["_width"] for r in terms.select("_width").distinct().collect())  # at most `gram` numbers
-    keyed = rows.where(F.col(column).isNotNull()).withColumn("_key", F.xxhash64(text))
+    widths = {r["_width"]: r["count"] for r in terms.groupBy("_width").count().collect()}  # at most `gram` numbers
+    keyed = rows.where(F.col(column).isNotNull()).withColumn("_key", F.xxhash64(*rows.columns))
     if not widths:
         return keyed.drop("_key").limit(0).withColumn("tagged", F.lit(None).cast("string"))
-    grams = F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{w}}}))"), F.lit(1)) for w in widths)))
-    places = keyed.select("_key", F.explode(grams).alias("_gram"))
-    met = places.join(terms.select("_gram", "_term", "tagged"), "_gram").select("_key", "_term", "tagged").distinct()
-    found = keyed.join(met, "_key").where(F.contains(text, F.col("_term")))
-    return found.drop("_key", "_term").distinct()
+    grams = F.array_distinct(F.concat(*(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{w}}}))"), F.lit(1)) for w in sorted(widths))))
+    met = keyed.select("_key", F.explode(grams).alias("_gram")).join(terms.select("_gram", "_term", "tagged"), "_gram")
+    # A title's candidates are one array for about 4,096 terms; all terms of a symbol are in the same one.
+    lists = F.pmod(F.xxhash64("tagged"), F.lit(1 + sum(widths.values()) // 4096))
+    met = met.groupBy("_key", lists.alias("_list")).agg(F.collect_set(F.struct("tagged", "_term")).alias("_terms"))
+    # A title moves once, to where its terms are; of equal rows one is left before each symbol gets its own.
+    found = keyed.repartition("_key").distinct().join(met, "_key").withColumn("_text", text)
+    held = F.array_distinct(F.transform(F.filter("_terms", lambda x: F.contains(F.col("_text"), x["_term"])), lambda x: x["tagged"]))
+    return found.select(*rows.columns, F.explode(held).alias("tagged"))
 
 
 def to_sessions(rows: DataFrame, sessions: DataFrame) -> DataFrame:

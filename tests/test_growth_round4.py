@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 
 from panelloom.functions import windows
-from panelloom.operators import backtest, explain, features, opinions
+from panelloom.operators import backtest, explain, features, news, opinions
 from panelloom.plans import catalogue
 from panelloom.sources import adapters
 
@@ -105,3 +105,12 @@ def test_bars_meet_the_sessions_without_a_shuffle_by_date(spark):
 def test_scenarios_make_their_regime_table_once(spark):
     df = catalogue.queries()["c1_c5_scenarios"](spark, "/root/testdata/sf0.001")
     assert plan(df).count("MapInArrow") == 1
+
+
+def test_a_title_is_shuffled_once_however_many_terms_it_holds(spark):
+    rows = spark.createDataFrame([(i, "alpha beta gamma" if i % 2 else None) for i in range(6)], "id int, title string")
+    names = spark.createDataFrame([("a", "alpha"), ("a", "lpha"), ("b", "beta"), ("g", "delta")], "symbol string, term string")
+    got = news.tag_companies(rows, names)
+    text = got._jdf.queryExecution().executedPlan().toString()
+    assert sum("title#" in line for line in text.splitlines() if "Exchange hashpartitioning" in line) <= 1 and text.count("Exchange hashpartitioning(id#") == 0
+    assert sorted(map(tuple, got.select("id", "tagged").collect())) == [(i, s) for i in (1, 3, 5) for s in "ab"]
