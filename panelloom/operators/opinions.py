@@ -6,6 +6,7 @@ abstains. Agents, and named sets of agents, are columns.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import add
 
@@ -21,9 +22,9 @@ def _opinion(rows: DataFrame, agent: str, stance: Column, confidence: Column, ab
     return rows.select("symbol", "date", F.lit(agent).alias("agent"), zero(stance).alias("stance"), zero(confidence).alias("confidence"), F.coalesce(out, F.lit(True)).alias("abstained"), *keep)
 
 
-def technical(rows: DataFrame, scale: float = 4.0) -> DataFrame:
+def technical(rows: DataFrame, scale: float = 4.0, keep: tuple[str, ...] = ()) -> DataFrame:
     p = F.col("prob_up")
-    return _opinion(rows, "technical", clip(2 * (p - 0.5), -1, 1), clip(F.abs(p - 0.5) * scale, 0, 1), p.isNull())
+    return _opinion(rows, "technical", clip(2 * (p - 0.5), -1, 1), clip(F.abs(p - 0.5) * scale, 0, 1), p.isNull(), keep)
 
 
 def sentiment(rows: DataFrame, scale: float = 0.35, full: int = 5) -> DataFrame:
@@ -77,6 +78,43 @@ def combine(opinions: DataFrame, weights: dict[str, float] | None = None, keys:
     return out.select(*keys, score.alias("score"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), "n_active", "lowest", "highest", "lowest_conviction", "highest_conviction")
 
 
+def beside(rows: DataFrame, agents: dict[str, Callable[..., DataFrame]]) -> DataFrame:
+    """Adds to each row (symbol, date and what the agents read) every agent's opinion of it, as <agent>_stance,
+    <agent>_confidence and <agent>_abstained (null: the agent says nothing). Nothing is shuffled."""
+    for agent, make in agents.items():
+        made = make(rows, keep=tuple(c for c in rows.columns if c not in ("symbol", "date")))
+        rows = made.drop("agent").withColumnsRenamed({c: f"{agent}_{c}" for c in ("stance", "confidence", "abstained")})
+    return rows
+
+
+def stacked(rows: DataFrame, agents: tuple[str, ...]) -> DataFrame:
+    """The opinions that stand beside each other in rows, one below the other."""
+    each = [F.struct(F.lit(a).alias("agent"), *(F.col(f"{a}_{c}").alias(c) for c in ("stance", "confidence", "abstained"))) for a in agents]
+    return rows.select("symbol", "date", F.inline(F.array(*each))).where("abstained is not null")
+
+
+def combine_beside(rows: DataFrame, agents: tuple[str, ...]) -> DataFrame:
+    """combine for opinions that stand beside each other: its columns are added to each row, without a shuffle."""
+    on = {a: F.coalesce(~F.col(f"{a}_abstained"), F.lit(False)) for a in agents}
+    stance, confidence = ({a: F.col(f"{a}_{c}") for a in agents} for c in ("stance", "confidence"))
+    total = lambda f: reduce(add, (F.when(on[a], f(a)).otherwise(0.0) for a in agents))
+    # greatest and least skip nulls, but take two columns at least.
+    bound = lambda of, f: of(F.lit(None).cast("double"), *(F.when(on[a], f(a)) for a in agents))
+    rows = rows.withColumns(
+        {
+            "_a": total(lambda a: confidence[a] * stance[a]),
+            "_b": total(lambda a: confidence[a]),
+            "n_active": reduce(add, (on[a].cast("long") for a in agents)),
+            "lowest": bound(F.least, lambda a: stance[a]),
+            "highest": bound(F.greatest, lambda a: stance[a]),
+            "lowest_conviction": bound(F.least, lambda a: stance[a] * confidence[a]),
+            "highest_conviction": bound(F.greatest, lambda a: stance[a] * confidence[a]),
+        }
+    )
+    score = F.when(F.col("_b") > 1e-9, F.try_divide("_a", "_b")).otherwise(0.0)
+    return rows.withColumns({"score": score, "confidence": F.coalesce(F.try_divide("_b", "n_active"), F.lit(0.0))}).drop("_a", "_b")
+
+
 def by_configuration(opinions: DataFrame, configs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """combine for every named set of agents at once; configs: (config, agent), a table of a few rows."""
     return combine(opinions.join(F.broadcast(configs), "agent"), weights, ("config", "symbol", "date"))
@@ -133,13 +171,24 @@ def action(score: str = "score", size: str = "size") -> Column:
     return F.when((F.col(score) > 0.05) & (F.col(size) > 0), "BUY").when(F.col(score) > 0.05, "HOLD").otherwise("FLAT")
 
 
+def _line(agent: Column, stance: Column, confidence: Column, abstained: Column) -> Column:
+    return F.when(abstained, F.concat(agent, F.lit(": abstains"))).otherwise(F.format_string("%s: stance %+.2f, confidence %.2f", agent, stance, confidence))
+
+
 def brief(opinions: DataFrame) -> DataFrame:
     """One line for each agent of a symbol and day, abstainers too, in the order of names."""
-    line = F.when(F.col("abstained"), F.concat("agent", F.lit(": abstains"))).otherwise(F.format_string("%s: stance %+.2f, confidence %.2f", "agent", "stance", "confidence"))
+    line = _line(*(F.col(c) for c in ("agent", "stance", "confidence", "abstained")))
     return opinions.groupBy("symbol", "date").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("agent", line.alias("line")))), lambda x: x["line"]), "\n").alias("brief"))
 
 
-def rationale(decisions: DataFrame, briefs: DataFrame) -> DataFrame:
+def brief_beside(agents: tuple[str, ...]) -> Column:
+    """brief for opinions that stand beside each other."""
+    parts = {a: [F.col(f"{a}_{c}") for c in ("stance", "confidence", "abstained")] for a in sorted(agents)}
+    return F.concat_ws("\n", *(F.when(p[2].isNotNull(), _line(F.lit(a), *p)) for a, p in parts.items()))
+
+
+def rationale(decisions: DataFrame, briefs: DataFrame | None = None) -> DataFrame:
+    """briefs: None where the decisions have theirs."""
     head = F.format_string("%s at score %+.3f, size %.4f", "action", "score", "size")
-    rows = decisions.join(briefs, ["symbol", "date"], "left")
+    rows = decisions if briefs is None else decisions.join(briefs, ["symbol", "date"], "left")
     return rows.withColumn("rationale", F.concat_ws(" | ", head, F.replace("brief", F.lit("\n"), F.lit("; ")), F.when(F.col("debated"), "debated"))).drop("brief")

@@ -18,9 +18,14 @@ BASE, TARGET_VOL = 0.20, 0.20
 
 def breaker(bars: DataFrame, gap: float = -0.03, ranges: float = 2.5) -> DataFrame:
     """symbol, date and trigger: a gap down first, else a range over so many prior average true ranges."""
+    return with_trigger(bars, gap, ranges).select("symbol", "date", "trigger").where("trigger is not null")
+
+
+def with_trigger(bars: DataFrame, gap: float = -0.03, ranges: float = 2.5) -> DataFrame:
+    """bars with the breaker's trigger, null where there is none."""
     rows = causal_atr(bars).withColumn("_gap", F.try_divide("open", F.lag("close").over(symbol_rows())) - 1)
     trigger = F.when(F.col("_gap") <= gap, "gap_down").when(F.col("high") - F.col("low") > ranges * F.col("atr_prior"), "range")
-    return rows.select("symbol", "date", trigger.alias("trigger")).where("trigger is not null")
+    return rows.withColumn("trigger", trigger).drop("_gap", "atr_prior")
 
 
 def base_size(round_trip_bps: float = 0.0, margin_bps: float = 0.0) -> Column:

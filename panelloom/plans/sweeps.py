@@ -75,10 +75,9 @@ wt AS (SELECT strategy, s1.symbol, s1.date, CASE WHEN sum(s0) OVER (PARTITION BY
 """ + audits._AFTER_SIGNALS[audits._AFTER_SIGNALS.index("grid AS") :] + ", cells AS (SELECT strategy, date, net_return, 20 AS blen, 252.0::DOUBLE AS ppy FROM tracks), " + _resampled("cells"))
 def to_conviction_floor_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The debate's conviction floor from gate to Sharpe ratio: gated days take the debated score, sizes and tracks follow; all floors in one job."""
-    bars, regime = decisions._panel(spark, sf_dir)
-    rows = decisions._scored(spark, sf_dir, bars, regime).withColumns({c: F.round(c, 12) for c in ("lowest_conviction", "highest_conviction")})
+    rows = decisions._scored(decisions._panel(spark, sf_dir)).where("technical_abstained is not null and fwd_ret is not null").withColumns({c: F.round(c, 12) for c in ("lowest_conviction", "highest_conviction")})
     debates = opinions.debate_residual(audits._arguments(spark, sf_dir)).select("symbol", "date", "residual", "contested")
-    rows = rows.join(debates, ["symbol", "date"], "left").join(src.predictions_of(bars).select("symbol", "date", "fwd_ret"), ["symbol", "date"]).where("fwd_ret is not null")
+    rows = rows.join(debates, ["symbol", "date"], "left")
     flags = F.array(*(F.struct(F.format_string("floor%.2f", F.lit(f)).alias("strategy"), opinions.gate_conviction(f).alias("_gated")) for f in _FLOORS))
     floors = rows.select("*", F.inline(flags))
     at = floors.withColumn("_debated", F.col("_gated") & F.col("residual").isNotNull())
@@ -201,7 +200,7 @@ def n11_aligned_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add(decisions._VIEWS, "WITH " + decisions._SIZED + " SELECT symbol, date, round(s0, 6) + 0.0 AS size_before, round(size, 6) + 0.0 AS size, CASE WHEN score > 0.05 AND size > 0 THEN 'BUY' WHEN score > 0.05 THEN 'HOLD' ELSE 'FLAT' END AS action, CASE WHEN trigger IS NOT NULL THEN 'stopped by ' || trigger || (CASE WHEN size < s0 THEN '; ' ELSE '' END) ELSE '' END || (CASE WHEN size < s0 THEN 'scaled to the gross cap' ELSE '' END) AS risk_notes FROM cs")
 def k8_demoted_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Notes of breakers and of the cap, and what would be BUY without a size."""
-    rows = decisions._scored(spark, sf_dir, *decisions._panel(spark, sf_dir))
+    rows = decisions._scored(decisions._panel(spark, sf_dir))
     rows = rows.withColumn("size", sizing.base_size()).withColumn("size_before", F.col("size"))
     notes = F.when(F.col("trigger").isNotNull(), F.array(F.concat(F.lit("stopped by "), "trigger"))).otherwise(F.array().cast("array<string>"))
     out = sizing.demoted(sizing.capped(rows, ["date"]).withColumns({"risk_notes": notes, "action": F.when(F.col("score") > 0.05, "BUY").otherwise("FLAT")}))
