@@ -21,18 +21,30 @@ def true_range(w=None) -> Column:
     return F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
 
 
+_EXTREMES = {"lo": ("min", "low", 14, 14), "hi": ("max", "high", 14, 14)}
+
+
+def _stoch_k() -> Column:
+    return F.try_divide(F.col("close") - F.col("lo"), F.col("hi") - F.col("lo"))
+
+
+def stochastic_k(bars: DataFrame, placed: bool = False) -> DataFrame:
+    """bars with the stochastic %K of window_features alone; placed: as in rolling."""
+    return rolling(bars, _EXTREMES, ["symbol"], placed=placed).withColumn("stoch_k", _stoch_k()).drop(*_EXTREMES)
+
+
 def window_features(bars: DataFrame) -> DataFrame:
     """Returns, Bollinger position, volume z, volatility, distances to means, stochastic %K and range."""
     rows = bars.withColumns({f"ret_{k}d": ret(k) for k in (1, 5, 10, 20)})
     means = {f"mean_{n}": ("mean", "close", n, n) for n in (20, 50, 200)}
-    rows = rolling(rows, means | {"std": ("deviation", "close", 20, 20), "mean_v": ("mean", "volume", 20, 20), "std_v": ("deviation", "volume", 20, 20), "std_r": ("deviation", "ret_1d", 20, 20), "lo": ("min", "low", 14, 14), "hi": ("max", "high", 14, 14)}, ["symbol"], placed=True)
+    rows = rolling(rows, means | {"std": ("deviation", "close", 20, 20), "mean_v": ("mean", "volume", 20, 20), "std_v": ("deviation", "volume", 20, 20), "std_r": ("deviation", "ret_1d", 20, 20)} | _EXTREMES, ["symbol"], placed=True)
     return rows.withColumns(
         {
             "bb_pos": F.try_divide(F.col("close") - F.col("mean_20"), 2 * F.col("std")),
             "vol_z20": F.try_divide(F.col("volume") - F.col("mean_v"), F.col("std_v")),
             "vol_20": F.col("std_r") * sqrt(252),
             **{f"dist_sma{n}": F.col("close") / F.col(f"mean_{n}") - 1 for n in (20, 50, 200)},
-            "stoch_k": F.try_divide(F.col("close") - F.col("lo"), F.col("hi") - F.col("lo")),
+            "stoch_k": _stoch_k(),
             "range_pct": (F.col("high") - F.col("low")) / F.col("close"),
         }
     ).drop(*means, "std", "mean_v", "std_v", "std_r", "lo", "hi")

@@ -1,0 +1,59 @@
+"""Opinions, sizes and rules are made where a symbol's rows are."""
+
+import datetime as dt
+import re
+
+import pytest
+
+from panelloom.operators import features, opinions
+from panelloom.plans import catalogue, decisions
+
+D = dt.date
+
+
+def shuffled_by(df) -> list[str]:
+    """The keys of a plan's hash exchanges, without the numbers of its columns."""
+    return [re.sub(r"#\d+L?", "", x) for x in re.findall(r"hashpartitioning\((.*?), \d+\)", df._jdf.queryExecution().executedPlan().toString())]
+
+
+def test_opinions_beside_each_other_combine_like_stacked_ones(spark):
+    rows = [
+        ("a", D(2020, 1, 1), 0.5, 0.4, False, -0.25, 0.8, False),
+        ("b", D(2020, 1, 1), 0.0, 0.0, True, -0.25, 0.8, False),
+        ("c", D(2020, 1, 1), None, None, None, 0.5, 0.0, False),
+        ("d", D(2020, 1, 1), None, None, None, 0.0, 0.0, True),
+        ("e", D(2020, 1, 1), 0.0, 0.0, True, 0.0, 0.0, True),
+    ]
+    df = spark.createDataFrame(rows, "symbol string, date date, technical_stance double, technical_confidence double, technical_abstained boolean, regime_stance double, regime_confidence double, regime_abstained boolean")
+    stacked = opinions.stacked(df, decisions.AGENTS)
+    assert stacked.count() == 8
+    want = opinions.combine(stacked)
+    got = opinions.combine_beside(df, decisions.AGENTS)
+    assert got.select(want.columns).orderBy("symbol").collect() == want.orderBy("symbol").collect()
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    lines = {r["symbol"]: r["brief"] for r in opinions.brief(stacked).collect()}
+    assert {r["symbol"]: r["b"] for r in df.select("symbol", opinions.brief_beside(decisions.AGENTS).alias("b")).collect()} == lines
+
+
+@pytest.mark.parametrize("name", ["o1_o3_opinions", "o6_combined_scores", "o9_o12_escalation_rate", "o11_conviction_gate", "p14_usage_statistics", "x6_rubric_agreement"])
+def test_opinions_are_not_shuffled_by_symbol_and_date(spark, name):
+    df = decisions._sized(decisions._beside(spark, "/root/testdata/sf0.001", sizes=True)) if name == "x6_rubric_agreement" else catalogue.queries()[name](spark, "/root/testdata/sf0.001")
+    assert "symbol, date" not in shuffled_by(df) and "date, symbol" not in shuffled_by(df)
+    assert "Union" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_blended_scores_shuffle_their_decisions_for_the_debates_only(spark):
+    df = catalogue.queries()["o8_blended_scores"](spark, "/root/testdata/sf0.001")
+    assert "Union" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rationales_are_made_without_a_join(spark):
+    assert "Join" not in catalogue.queries()["x3_text_consistency"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rules_write_only_what_they_read(spark, monkeypatch):
+    made = []
+    keep = features.ewm
+    monkeypatch.setattr(features, "ewm", lambda df, *a, **b: made.append(df.columns) or keep(df, *a, **b))
+    catalogue.queries()["b1_b2_recursive_rules"](spark, "/root/testdata/sf0.001")
+    assert {"stoch_k", "fwd_ret"} <= set(made[0]) and not {"volume", "vol_z20", "bb_pos", "dist_sma200"} & set(made[0])
