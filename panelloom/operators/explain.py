@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from panelloom.functions.tables import written
 from panelloom.operators.inference import uniform
-from panelloom.operators.metrics import average_ranks
+from panelloom.operators.metrics import running_counts
 
 
 def reconstructed(opinions: DataFrame, without: str | None = None) -> DataFrame:
@@ -65,10 +65,11 @@ def sections(rationale: Column) -> Column:
 
 def decision_accuracy(decisions: DataFrame) -> DataFrame:
     """n, base rate of rises, precision of BUY, sign accuracy where the score isn't 0, and Spearman's ic."""
-    up = (F.col("fwd_ret") > 0).cast("double")
-    known = written(decisions.where("fwd_ret is not null").select("score", "fwd_ret", "action", F.lit(True).alias("_one")), "decisions")  # both ranks read them several times
-    ranked = average_ranks(average_ranks(known, "score", "_rs", ["_one"]), "fwd_ret", "_rr", ["_one"])
-    return ranked.agg(F.count("*").alias("n"), F.avg(up).alias("base_rate"), F.avg(F.when(F.col("action") == "BUY", up)).alias("buy_precision"), F.avg(F.when(F.col("score") != 0, (F.signum("score") == F.signum("fwd_ret")).cast("double"))).alias("sign_accuracy"), F.corr("_rs", "_rr").alias("ic"))
+    known = counted(decisions.where("fwd_ret is not null and score is not null"), "score", "fwd_ret", "action")
+    share = lambda of, where: F.try_divide(F.sum(F.when(of & where, F.col("_k")).otherwise(0)).cast("double"), F.sum(F.when(where, F.col("_k"))))
+    up, every = F.col("fwd_ret") > 0, F.lit(True)
+    shares = known.agg(F.coalesce(F.sum("_k"), F.lit(0)).alias("n"), share(up, every).alias("base_rate"), share(up, F.col("action") == "BUY").alias("buy_precision"), share(F.signum("score") == F.signum("fwd_ret"), F.col("score") != 0).alias("sign_accuracy"))
+    return shares.crossJoin(rank_correlation(known, "score", "fwd_ret").select(F.col("rho").alias("ic")))  # one row each
 
 
 def rubric(decisions: DataFrame, criteria: DataFrame) -> DataFrame:
@@ -78,6 +79,22 @@ def rubric(decisions: DataFrame, criteria: DataFrame) -> DataFrame:
     return decisions.join(F.broadcast(totals), "action", "left").withColumn("rubric", F.coalesce("rubric", F.lit(0)).cast("double"))
 
 
+def counted(rows: DataFrame, *columns: str) -> DataFrame:
+    """The distinct rows of some columns and _k, how often each occurs, written: both ranks read them several times.
+    Whatever most rows share is counted in the tasks that read it."""
+    return written(rows.groupBy(*columns).agg(F.count("*").alias("_k")), "pairs")
+
+
+def rank_correlation(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """n and rho, Spearman's correlation of pairs that occur _k times. The mean of average ranks is (n + 1) / 2 whatever
+    the values, so sums of products are about it at once."""
+    ranked = pairs.withColumn("_one", F.lit(True))
+    for value, out in ((a, "_ra"), (b, "_rb")):
+        ranks = running_counts(ranked.select("_one", value, "_k"), value, ["_one"], n=F.sum("_k"))
+        ranked = ranked.join(ranks.select(value, (F.col("_upto") - (F.col("_n") - 1) / 2 - (F.col("_all") + 1) / 2).alias(out)), value)
+    product = lambda x, y: F.sum(F.col("_k") * F.col(x) * F.col(y))
+    return ranked.agg(F.coalesce(F.sum("_k"), F.lit(0)).alias("n"), F.try_divide(product("_ra", "_rb"), F.sqrt(product("_ra", "_ra")) * F.sqrt(product("_rb", "_rb"))).alias("rho"))
+
+
 def spearman(rows: DataFrame, a: str, b: str) -> DataFrame:
-    known = written(rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b, F.lit(True).alias("_one")), "pairs")  # both ranks read them several times
-    return average_ranks(average_ranks(known, a, "_ra", ["_one"]), b, "_rb", ["_one"]).agg(F.count("*").alias("n"), F.corr("_ra", "_rb").alias("rho"))
+    return rank_correlation(counted(rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()), a, b), a, b)

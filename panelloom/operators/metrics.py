@@ -87,14 +87,15 @@ def attribution(track: DataFrame, benchmarks: DataFrame, periods: int = 252, ris
     )
 
 
-def running_counts(rows: DataFrame, value: str, keys: list[str], parts: int = 64) -> DataFrame:
-    """keys, value, _n (rows with the value), _upto (rows with at most it) and _all (the key's rows).
+def running_counts(rows: DataFrame, value: str, keys: list[str], parts: int = 64, n: Column | None = None) -> DataFrame:
+    """keys, value, _n (rows with the value), _upto (rows with at most it) and _all (the key's rows); n: an aggregate that
+    counts rows, where a row stands for several.
 
     One key may hold most rows, so its distinct values are cut at approximate quantiles: a window counts
     within each of the `parts` ranges, and another adds what the lower ranges hold. Equal values are one
     row and so never part. The counts don't depend on where the cuts fall.
     """
-    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    counts = rows.groupBy(*keys, value).agg((F.count("*") if n is None else n).alias("_n"))
     cuts = counts.groupBy(*keys).agg(F.percentile_approx(value, [i / parts for i in range(1, parts)]).alias("_cuts"))
     placed = counts.join(cuts, keys).withColumn("_part", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
     lower = placed.groupBy(*keys, "_part").agg(F.sum("_n").alias("_s"))  # at most `parts` rows for each key

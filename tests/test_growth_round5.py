@@ -3,9 +3,12 @@
 import datetime as dt
 import re
 
+import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from panelloom.operators import features, opinions
+from panelloom.operators import explain, features, opinions
 from panelloom.plans import catalogue, decisions
 
 D = dt.date
@@ -57,3 +60,17 @@ def test_rules_write_only_what_they_read(spark, monkeypatch):
     monkeypatch.setattr(features, "ewm", lambda df, *a, **b: made.append(df.columns) or keep(df, *a, **b))
     catalogue.queries()["b1_b2_recursive_rules"](spark, "/root/testdata/sf0.001")
     assert {"stoch_k", "fwd_ret"} <= set(made[0]) and not {"volume", "vol_z20", "bb_pos", "dist_sma200"} & set(made[0])
+
+
+def test_rank_correlation_counts_equal_pairs_once(spark):
+    rng = np.random.default_rng(5)
+    rows = [(float(min(rng.integers(0, 6), 3)), None if i % 50 == 7 else float(round(rng.normal(), 1))) for i in range(900)]
+    df = spark.createDataFrame(rows, "a double, b double")
+    got, x = explain.spearman(df, "a", "b").first(), pd.DataFrame(rows, columns=["a", "b"]).dropna()
+    assert (got["n"], got["rho"]) == (len(x), pytest.approx(x["a"].rank().corr(x["b"].rank()), abs=1e-12))
+    pairs = explain.counted(df.where("b is not null"), "a", "b")
+    assert pairs.count() == len(x.drop_duplicates()) < len(x)
+    one = explain.spearman(df.where("a = 3 and b is not null").withColumn("b", F.lit(1.0)), "a", "b").first()
+    assert one["n"] > 0 and one["rho"] is None
+    none = explain.spearman(df.where("a > 9"), "a", "b").first()
+    assert (none["n"], none["rho"]) == (0, None)
