@@ -8,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from panelloom.operators import explain, features, opinions
+from panelloom.operators import boosting, explain, features, opinions
 from panelloom.plans import catalogue, decisions
 
 D = dt.date
@@ -74,3 +74,15 @@ def test_rank_correlation_counts_equal_pairs_once(spark):
     assert one["n"] > 0 and one["rho"] is None
     none = explain.spearman(df.where("a > 9"), "a", "b").first()
     assert (none["n"], none["rho"]) == (0, None)
+
+
+def test_a_block_holds_little_for_each_pair_and_reads_rows_as_they_come():
+    rows = [{"date": D(2020, 1, 1) + dt.timedelta(days=i), "bins": bytes([i % 32, 3]), "y": i % 2, "held": i % 5 == 0} for i in range(40)]
+    spans = [(D(2020, 1, 1), D(2020, 1, 21)), (D(2020, 1, 11), D(2020, 2, 1))]
+    block = boosting.Block(iter(rows), spans, np.array([2.0, 1.0]), np.zeros(2))
+    assert sum(x.itemsize for x in (block.row, block.fold, block.score)) <= 14 and not hasattr(block, "weight")
+    h = block.histogram(np.full((2, 31), -1), np.zeros((2, 31), int), 0, 32, np.ones(2, bool))
+    fit = [[r for r in rows if lo <= r["date"] < hi and not r["held"]] for lo, hi in spans]
+    assert [h[2, f, 0, 1, 3] for f in (0, 1)] == [len(x) for x in fit]
+    assert h[0, 0, 0, 0].sum() == pytest.approx(sum(-0.5 * 2 if r["y"] else 0.5 for r in fit[0]))
+    assert boosting.Block(iter([]), spans, np.ones(2), np.zeros(2)).loss(2).sum() == 0
