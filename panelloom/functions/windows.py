@@ -96,6 +96,8 @@ def _ranks(x: np.ndarray, age: np.ndarray, n: int, known: np.ndarray) -> np.ndar
 
 def _rolled(kind: str, x: np.ndarray, age: np.ndarray, n: int, least: int) -> np.ndarray:
     """One rolling value of every row; age is a row's place in its series, nan a null."""
+    if kind == "lag":
+        return _before(x, age, n, np.nan)
     counts = np.concatenate([[0], np.cumsum(~np.isnan(x))])
     at = np.arange(len(x))
     known = counts[at + 1] - counts[at - np.minimum(age, n - 1)]
@@ -113,7 +115,7 @@ def _rolled(kind: str, x: np.ndarray, age: np.ndarray, n: int, least: int) -> np
 
 def rolling(df: DataFrame, columns: dict[str, tuple[str, str, int, int] | Callable], keys: list[str], order: str = "date", placed: bool = False) -> DataFrame:
     """Adds rolling values: new name -> (kind, column, n, least), kind being mean, min, max, deviation or rank of the
-    last n rows, null with fewer than `least` values (null or nan is none). The column may be one that stands before it
+    last n rows, null with fewer than `least` values (null or nan is none), or lag, the value n rows before. The column may be one that stands before it
     in `columns`; a function takes all arrays made so far, by name. Names with an underscore in front are not returned.
 
     Rows are sorted by key and order within their partitions and pass by in batches; of a series only the last
@@ -124,7 +126,7 @@ def rolling(df: DataFrame, columns: dict[str, tuple[str, str, int, int] | Callab
     schema = T.StructType(list(df.schema.fields) + [T.StructField(c, T.DoubleType()) for c in shown])
     frames = {c: f for c, f in columns.items() if not callable(f)}
     sources = [c for c in dict.fromkeys(f[1] for f in frames.values()) if c not in columns]
-    reach = {c: f[2] - 1 for c, f in frames.items()}
+    reach = {c: f[2] - (f[0] != "lag") for c, f in frames.items()}
     for c, f in frames.items():  # a value of made values needs their rows too
         reach[c] += reach.get(f[1], max(reach.values()) if callable(columns.get(f[1])) else 0)
     most = max(reach.values())

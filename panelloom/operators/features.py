@@ -72,18 +72,44 @@ def macro_series(index: DataFrame, vix: DataFrame) -> DataFrame:
     return table.join(level, "date", "left")
 
 
-def regime_table(bars: DataFrame, macro: DataFrame) -> DataFrame:
-    """Bars with the macro series filled forward, trend, strength, 52-week position and volatility ranks."""
+def with_macro(bars: DataFrame, macro: DataFrame) -> DataFrame:
+    """Bars with the macro series, filled forward over the symbol's rows."""
     fill = symbol_rows().rowsBetween(Window.unboundedPreceding, 0)
     rows = bars.join(F.broadcast(macro), "date", "left")  # macro is a row for each session
-    rows = rows.withColumns({c: F.last(c, ignorenulls=True).over(fill) for c in ("index_close", "index_mom_20d", "vix", "vix_percentile")})
-    rows = rows.withColumns({"ret_1d": ret(), "rel_strength_60d": ret(60) - ret(60, "index_close")})
-    # The volatility is rounded, so that equal windows tie in the ranks whatever the order of their sums.
-    frames = {"mean": ("mean", "close", 200, 200), "lo": ("min", "low", 252, 252), "hi": ("max", "high", 252, 252), "_std": ("deviation", "ret_1d", 20, 20)}
-    rows = rolling(rows, frames | {"vol_20": lambda made: np.round(made["_std"] * sqrt(252), 10), "vol_percentile": ("rank", "vol_20", 252, 60)}, ["symbol"], placed=True)
+    return rows.withColumns({c: F.last(c, ignorenulls=True).over(fill) for c in macro.columns if c != "date"})
+
+
+def _change(made: dict[str, np.ndarray], column: str, before: str) -> np.ndarray:
+    """Return over a value before, nan where that is none or 0."""
+    return made[column] / np.where(made[before] == 0, np.nan, made[before]) - 1
+
+
+def regime_of(rows: DataFrame) -> DataFrame:
+    """with_macro's rows with trend, strength, 52-week position and volatility ranks; returns are made where the frames are."""
+    frames = {
+        "_close_1": ("lag", "close", 1, 1),
+        "_close_60": ("lag", "close", 60, 1),
+        "_index_60": ("lag", "index_close", 60, 1),
+        "ret_1d": lambda made: _change(made, "close", "_close_1"),
+        "rel_strength_60d": lambda made: _change(made, "close", "_close_60") - _change(made, "index_close", "_index_60"),
+        "mean": ("mean", "close", 200, 200),
+        "lo": ("min", "low", 252, 252),
+        "hi": ("max", "high", 252, 252),
+        "_std": ("deviation", "ret_1d", 20, 20),
+        # The volatility is rounded, so that equal windows tie in the ranks whatever the order of their sums.
+        "vol_20": lambda made: np.round(made["_std"] * sqrt(252), 10),
+        "vol_percentile": ("rank", "vol_20", 252, 60),
+    }
+    names = rows.columns
+    rows = rolling(rows, frames, ["symbol"], placed=True)
     gap = F.try_divide("close", "mean") - 1
     pos = clip(F.try_divide(F.col("close") - F.col("lo"), F.col("hi") - F.col("lo")), 0, 1)
-    return rows.select(*bars.join(macro, "date", "left").columns, "ret_1d", F.signum(gap).alias("trend"), clip(gap, -0.5, 0.5).alias("trend_strength"), "rel_strength_60d", pos.alias("pos_52w"), "vol_20", "vol_percentile")
+    return rows.select(*names, "ret_1d", F.signum(gap).alias("trend"), clip(gap, -0.5, 0.5).alias("trend_strength"), "rel_strength_60d", pos.alias("pos_52w"), "vol_20", "vol_percentile")
+
+
+def regime_table(bars: DataFrame, macro: DataFrame) -> DataFrame:
+    """Bars with the macro series filled forward, trend, strength, 52-week position and volatility ranks."""
+    return regime_of(with_macro(bars, macro))
 
 
 def market_regime(index: DataFrame, start: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelloom.functions.rounding import half_up
 from panelloom.sources.adapters import with_views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -29,4 +30,4 @@ class Registry:
 
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
     """All doubles rounded, so that the order of sums doesn't show; -0.0 becomes 0.0."""
-    return df.select(*((F.round(c, places) + 0.0).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
+    return df.select(*((half_up(c, places) + 0.0).alias(c) if t == "double" else (F.round(c, places) + 0.0).alias(c) if t == "float" else F.col(c) for c, t in df.dtypes))
