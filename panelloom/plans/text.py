@@ -128,7 +128,10 @@ def e10_e13_welch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add("scored bars", "WITH " + _EVENTS + """, x AS (SELECT *, round(sentiment, 12) AS s FROM ev), r AS (SELECT *, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS rs, rank() OVER (ORDER BY fwd_ret) + (count(*) OVER (PARTITION BY fwd_ret) - 1) / 2 AS rr FROM x)
 SELECT 'all' AS study, count(*) AS n, round(corr(rs, rr), 6) + 0.0 AS ic, round(avg(CASE WHEN sign(s) = sign(fwd_ret) THEN 1.0 ELSE 0.0 END) FILTER (WHERE s <> 0), 6) AS hit_rate FROM r""")
 def e11_predictability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(sentiment.predictability(_events(spark, sf_dir).withColumn("sentiment", F.round("sentiment", 12)), ["study"]))
+    """As its SQL, for any number of events: a row even without one, and no least number for the correlation."""
+    out = sentiment.predictability(_events(spark, sf_dir).withColumn("sentiment", F.round("sentiment", 12)), ["study"], least=0)
+    every = spark.createDataFrame([("all",)], "study string")
+    return rounded(every.join(F.broadcast(out), "study", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long"))))  # one row
 
 
 @R.add("scored bars", "WITH " + _EVENTS + """, g AS (SELECT unnest(list_filter([CASE WHEN true THEN 'all' END, CASE WHEN n_headlines > 1 THEN 'several' END, CASE WHEN sentiment > 0 THEN 'good' END], lambda x: x IS NOT NULL)) AS subset, fwd_ret FROM ev)
