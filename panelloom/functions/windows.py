@@ -113,10 +113,45 @@ def _rolled(kind: str, x: np.ndarray, age: np.ndarray, n: int, least: int) -> np
     return np.where(known >= max(least, 1), out, np.nan)
 
 
+def _last(x: np.ndarray, first: np.ndarray, at: int, before: float) -> np.ndarray:
+    """The last value up to each row from `at` on; first is the place of a row's series, before the value at the row before."""
+    place = np.arange(len(x))
+    known = np.maximum.accumulate(np.where((place >= at) & ~np.isnan(x), place, -1))
+    out = np.where(known >= first, x[known], np.nan)
+    return np.where((first < at) & (known < at), before, out)
+
+
+def _mean(x: np.ndarray, first: np.ndarray, at: int, before: float, alpha: float) -> np.ndarray:
+    """Exponentially weighted means of the rows from `at` on: y0 = x0, y = (1 - alpha) y + alpha x. A null repeats the mean.
+
+    A row is an affine map of the mean before it; maps of 1, 2, 4, ... rows are composed. Values are taken relative to the
+    mean or value with which the series starts here, so equal values have themselves as their mean, exactly.
+    """
+    x = np.where(np.arange(len(x)) < at, np.nan, x)
+    if at:
+        x[at - 1] = before
+    known = ~np.isnan(x)
+    seen = np.concatenate([[0], np.cumsum(known)])
+    count = seen[1:] - seen[first]
+    starts = np.maximum.accumulate(np.where(known & (count == 1), np.arange(len(x)), -1))
+    about = np.where(count > 0, x[starts], np.nan)
+    m = np.where(known, 1 - alpha, 1.0)
+    s = np.where(known, alpha * (x - about), 0.0)
+    m[count < 1], s[count < 1] = 0.0, 0.0
+    m[known & (count == 1)], s[known & (count == 1)] = 0.0, 0.0
+    width = 1
+    while width < len(x) and m.any():  # a series' first map is 0 times what is before it
+        s[width:], m[width:] = s[width:] + m[width:] * s[:-width], m[width:] * m[:-width]
+        width *= 2
+    return about + s
+
+
 def rolling(df: DataFrame, columns: dict[str, tuple[str, str, int, int] | Callable], keys: list[str], order: str = "date", placed: bool = False) -> DataFrame:
     """Adds rolling values: new name -> (kind, column, n, least), kind being mean, min, max, deviation or rank of the
     last n rows, null with fewer than `least` values (null or nan is none), or lag, the value n rows before. The column may be one that stands before it
     in `columns`; a function takes all arrays made so far, by name. Names with an underscore in front are not returned.
+    Two more kinds run along the whole series, of which they keep one number: last, the last value so far, and ewm, the
+    exponentially weighted mean with alpha in the place of n. Of a running value a lag of one row may be taken, no more.
 
     Rows are sorted by key and order within their partitions and pass by in batches; of a series only the last
     rows are kept for the next batch, however long it is. Spark's own sliding frames read the whole frame again
@@ -126,13 +161,14 @@ def rolling(df: DataFrame, columns: dict[str, tuple[str, str, int, int] | Callab
     schema = T.StructType(list(df.schema.fields) + [T.StructField(c, T.DoubleType()) for c in shown])
     frames = {c: f for c, f in columns.items() if not callable(f)}
     sources = [c for c in dict.fromkeys(f[1] for f in frames.values()) if c not in columns]
-    reach = {c: f[2] - (f[0] != "lag") for c, f in frames.items()}
+    running = [c for c, f in frames.items() if f[0] in ("last", "ewm")]
+    reach = {c: 0 if c in running else f[2] - (f[0] != "lag") for c, f in frames.items()}
     for c, f in frames.items():  # a value of made values needs their rows too
         reach[c] += reach.get(f[1], max(reach.values()) if callable(columns.get(f[1])) else 0)
-    most = max(reach.values())
+    most = max(1, *reach.values())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, ran = None, {}
         for batch in batches:
             rows = pa.Table.from_batches([batch]).select([*keys, *sources])
             kept = held.num_rows if held is not None else 0
@@ -143,10 +179,21 @@ def rolling(df: DataFrame, columns: dict[str, tuple[str, str, int, int] | Callab
                 code = rows.column(k).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
                 new[1:] |= code[1:] != code[:-1]
             at = np.arange(len(new))
-            age = at - np.maximum.accumulate(np.where(new, at, 0))
+            first = np.maximum.accumulate(np.where(new, at, 0))
+            age = at - first
             made = {c: rows.column(c).to_numpy().astype(float) for c in sources}
             for c, f in columns.items():
-                made[c] = f(made) if callable(f) else _rolled(f[0], made[f[1]], age, f[2], f[3])
+                if callable(f):
+                    made[c] = f(made)
+                elif c in running:
+                    before = ran.get(c, np.nan)
+                    made[c] = _last(made[f[1]], first, kept, before) if f[0] == "last" else _mean(made[f[1]], first, kept, before, f[2])
+                    if kept:
+                        made[c][kept - 1] = before
+                    if len(made[c]):
+                        ran[c] = made[c][-1]
+                else:
+                    made[c] = _rolled(f[0], made[f[1]], age, f[2], f[3])
             added = [pa.array(made[c][kept:], pa.float64(), mask=np.isnan(made[c][kept:])) for c in shown]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], schema.names)
             held = rows.slice(max(0, rows.num_rows - most)).combine_chunks()

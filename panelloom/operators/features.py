@@ -33,6 +33,21 @@ def stochastic_k(bars: DataFrame, placed: bool = False) -> DataFrame:
     return rolling(bars, _EXTREMES, ["symbol"], placed=placed).withColumn("stoch_k", _stoch_k()).drop(*_EXTREMES)
 
 
+def latched(bars: DataFrame, low: float = 0.3, high: float = 0.7) -> DataFrame:
+    """Adds latch, baselines.rsi_latch on the stochastic %K over the rows with a forward return, in the pass that makes %K;
+    a window over the same symbols made bars."""
+
+    def k(made: dict[str, np.ndarray]) -> np.ndarray:
+        span = made["_hi"] - made["_lo"]
+        return (made["close"] - made["_lo"]) / np.where(span == 0, np.nan, span)
+
+    def crossing(made: dict[str, np.ndarray]) -> np.ndarray:
+        return np.where(np.isnan(made["fwd_ret"]), np.nan, np.where(made["_k"] < low, 1.0, np.where(made["_k"] > high, 0.0, np.nan)))
+
+    frames = {"_lo": _EXTREMES["lo"], "_hi": _EXTREMES["hi"], "_close": ("lag", "close", 0, 1), "_fwd": ("lag", "fwd_ret", 0, 1), "_k": k, "_crossing": crossing, "_held": ("last", "_crossing", 0, 0)}
+    return rolling(bars, frames | {"latch": lambda made: np.where(np.isnan(made["_k"]), 0.0, np.nan_to_num(made["_held"], nan=0.0))}, ["symbol"], placed=True)
+
+
 def window_features(bars: DataFrame) -> DataFrame:
     """Returns, Bollinger position, volume z, volatility, distances to means, stochastic %K and range."""
     rows = bars.withColumns({f"ret_{k}d": ret(k) for k in (1, 5, 10, 20)})

@@ -241,17 +241,26 @@ tracks AS (SELECT strategy, date, r + greatest(1 - exposure, 0) * (pow(1.06, 1 /
   r + greatest(1 - exposure, 0) * (pow(1.06, 1 / 252.0) - 1) - buy * {rate("buy", DELIVERY)!r} - sell * {rate("sell", DELIVERY)!r} AS net_return, exposure, buy + sell AS turnover, r, buy, sell FROM dy)"""
 
 
+def _rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """symbol, date, fwd_ret and the score of each rule whose SQL needs no recursion: buy and hold, mean reversion, and the latch on %K."""
+    bars = src.bars(spark, sf_dir).withColumns({"_ret": features.ret(), "fwd_ret": labels.forward_return(1)})
+    rows = features.latched(bars.select("symbol", "date", "high", "low", "close", "_ret", "fwd_ret")).where("fwd_ret is not null")
+    return rows.select("symbol", "date", "fwd_ret", F.lit(1.0).alias("BuyHold"), F.when(F.col("_ret") < 0, 1.0).otherwise(0.0).alias("MeanReversion"), F.coalesce("latch", F.lit(0.0)).alias("StochLatch"))
+
+
+_RULES = ("BuyHold", "MeanReversion", "StochLatch")
+
+
 def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Buy and hold, mean reversion, and the latch on %K: rules whose SQL needs no recursion."""
-    rows = features.window_features(src.bars(spark, sf_dir)).withColumn("fwd_ret", labels.forward_return(1)).where("fwd_ret is not null")
-    latch = baselines.rules()["RSI"]
-    rows = rows.withColumn("rsi_14", F.col("stoch_k"))
-    return baselines.signals(rows, {"BuyHold": F.lit(1.0), "MeanReversion": F.when(F.col("ret_1d") < 0, 1.0).otherwise(0.0), "StochLatch": latch})
+    return baselines.signals(_rules(spark, sf_dir), {k: F.col(k) for k in _RULES})
+
+
+def _days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backtest.equal_days(_rules(spark, sf_dir), {k: F.col(k) > 0.5 for k in _RULES}, src.sessions(spark, sf_dir), placed=True)
 
 
 def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = src.parts(spark, sf_dir)
-    return backtest.tracks(backtest.weights(_signals(spark, sf_dir), parts=n), parts=n)
+    return backtest.equal_tracks(_days(spark, sf_dir))
 
 
 def _perf_sql(rows: str, value: str, keys: str, extra: str = "") -> str:
