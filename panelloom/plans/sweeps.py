@@ -119,10 +119,10 @@ def i8_significance_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @R.add()
 def tq_i3_comparisons_with_every_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each strategy's Sharpe difference to buy and hold, to the equal-weight portfolio and to the index, Holm's step-down within each."""
-    signals = panel._signals(spark, sf_dir)
-    track = written(backtest.tracks(backtest.weights(signals)).select("strategy", "date", "net_return"), "tracks")
+    days = panel._days(spark, sf_dir)
+    track = backtest.equal_tracks(days).select("strategy", "date", "net_return")
     index = src.index_bars(spark, sf_dir).select(F.lit("index").alias("strategy"), "date", labels.forward_return(1, decisions.Window.orderBy("date")).alias("net_return")).where("net_return is not null")
-    equal = baselines.equal_weight(signals.where("strategy = 'BuyHold'")).select(F.lit("equal").alias("strategy"), "date", F.col("ret").alias("net_return"))
+    equal = days.where("strategy = 'BuyHold'").select(F.lit("equal").alias("strategy"), "date", (F.col("fwd") / F.col("n")).alias("net_return"))  # holds all names
     every = written(track.unionByName(index).unionByName(equal), "tracks")
     out = None
     for name in ("BuyHold", "equal", "index"):

@@ -66,7 +66,7 @@ def test_equal_tracks_from_counts_are_tracks_of_weights(spark, seed):
     pd.testing.assert_frame_equal(one, two, atol=1e-12, check_exact=False)
 
 
-@pytest.mark.parametrize("name", ["te_ta_wide_tracks", "tv_ablation"])
+@pytest.mark.parametrize("name", ["te_ta_wide_tracks", "tv_ablation", "tq_i3_comparisons_with_every_benchmark"])
 def test_portfolios_of_equal_weights_do_not_shuffle_their_names(spark, monkeypatch, name):
     made = []
     keep = backtest.written
