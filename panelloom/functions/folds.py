@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 CAP = 0.20
 
 
@@ -38,6 +42,35 @@ def fold_days(days: list[dict], band: float, rf: float, equity: float = 1.0, pea
     return out
 
 
+class Account:
+    """fold_days a day at a time, in arrays: what it keeps is the equity, its peak and the book of one day."""
+
+    def __init__(self, rf: float, equity: float = 1.0, peak: float = 1.0, names: pa.Array | None = None, weights: np.ndarray | None = None) -> None:
+        self.rf, self.equity, self.peak, self.names, self.weights = rf, equity, peak, names, weights
+
+    def day(self, names: pa.Array, sizes: np.ndarray, returns: np.ndarray, band: float) -> float:
+        """Adds a day of different names; a return that isn't known is nan. Gives the drawdown before it. Sums are Python's, as in fold_days."""
+        drawdown = self.equity / self.peak - 1
+        w = sizes * drawdown_factor(drawdown)
+        w = np.where(w < CAP, w, CAP)
+        w = _at_most_one(np.where(w > 0, w, 0.0))
+        if band > 0 and self.names is not None and len(self.names):
+            at = pc.index_in(names, value_set=self.names)
+            old = np.where(at.is_valid().to_numpy(zero_copy_only=False), self.weights[pc.fill_null(at, 0).to_numpy()], 0.0)
+            w = np.where((old > 0) & (w > 0) & (np.abs(w - old) < band), old, w)
+        w = _at_most_one(w)
+        earned = ~np.isnan(returns) & (w > 0)
+        self.equity *= 1 + sum((w[earned] * returns[earned]).tolist()) + max(0.0, 1 - sum(w[earned].tolist())) * self.rf
+        self.peak = max(self.peak, self.equity)
+        self.names, self.weights = names, w
+        return drawdown
+
+
+def _at_most_one(w: np.ndarray) -> np.ndarray:
+    total = sum(w.tolist())
+    return w / total if total > 1 else w
+
+
 def average_cost(q: float, avg: float, side: str, n: float, price: float, fee: float) -> tuple[float, float, float, bool]:
     """One fill: (quantity, average cost, realised profit, rejected). Selling more than held is rejected."""
     if side == "buy":

@@ -19,11 +19,11 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
-def written(df: DataFrame, name: str = "table") -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: its lineage ends there."""
+def written(df: DataFrame, name: str = "table", by: tuple[str, ...] = ()) -> DataFrame:
+    """df as a Parquet table in the shared folder, read again: its lineage ends there. by: columns whose values get folders."""
     spark = df.sparkSession
     at = f"{shared_dir(spark)}/panelloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
+    df.write.partitionBy(*by).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 

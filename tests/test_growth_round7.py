@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.operators import backtest
+from panelloom.operators import backtest, sizing
 from panelloom.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -83,3 +83,32 @@ def test_portfolios_of_equal_weights_do_not_shuffle_their_names(spark, monkeypat
 def test_tracks_equal_their_sql(spark, name):
     got, want = both(spark, name, SF)
     assert got == want
+
+
+def _sized(spark, n, days):
+    rng = np.random.default_rng(5)
+    rows = [(a, band, dt.date(2020, 1, 1) + dt.timedelta(days=i), f"s{k:03d}", float(rng.choice([0.0, 0.2, 0.19, 0.01])), None if rng.random() < 0.1 else float(rng.normal(-0.004, 0.03))) for a, band in (("a", 0.02), ("b", 0.0)) for i in range(days) for k in range(n) if rng.random() < 0.7]
+    return spark.createDataFrame(rows, "account string, band double, date date, symbol string, size double, fwd_ret double")
+
+
+def test_a_task_of_decisions_holds_a_day_and_not_a_year(spark):
+    rows = _sized(spark, 5, 90)
+    made = sizing.decide_block(rows, spark.createDataFrame([], sizing.STATE))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroup" not in plan and "collect_list" not in plan and "MapInArrow" in plan
+    key = lambda df: sorted(map(tuple, df.collect()))
+    want, end = sizing.decide(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        got, state = sizing.decide(rows, most=10)  # a stretch for each month, days over several batches
+        assert key(got) == key(want) and key(state) == key(end)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    twice = rows.unionByName(rows.withColumn("size", F.lit(0.2)).where("symbol = 's001'"))
+    assert key(sizing.decide(twice)[0]) == key(sizing.decide(rows.withColumn("size", F.when(F.col("symbol") == "s001", 0.2).otherwise(F.col("size"))))[0])
+
+
+def test_stretches_are_months_of_few_rows():
+    m = [dt.date(2020, i, 1) for i in range(1, 7)]
+    assert sizing.stretches(list(zip(m, (4, 4, 4, 30, 1, 9), strict=True)), 10) == [(m[0], m[1]), (m[2], m[2]), (m[3], m[3]), (m[4], m[5])]
+    assert sizing.stretches([], 10) == []
