@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import os
+import pickle
 import re
 from functools import reduce
 
@@ -13,8 +14,10 @@ import pytest
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelloom.operators import backtest, sizing
+from panelloom.functions import tables
+from panelloom.operators import backtest, boosting, features, sizing, walkforward
 from panelloom.plans import catalogue
+from panelloom.sources import adapters
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -112,3 +115,45 @@ def test_stretches_are_months_of_few_rows():
     m = [dt.date(2020, i, 1) for i in range(1, 7)]
     assert sizing.stretches(list(zip(m, (4, 4, 4, 30, 1, 9), strict=True)), 10) == [(m[0], m[1]), (m[2], m[2]), (m[3], m[3]), (m[4], m[5])]
     assert sizing.stretches([], 10) == []
+
+
+def test_all_features_of_one_pass_equal_those_of_steps(spark):
+    made = adapters.bars(spark, SF)
+    flat = spark.createDataFrame([("flat", dt.date(2020, 1, 1) + dt.timedelta(days=i), *[7.3] * 4, 5.0) for i in range(250)], made.schema)
+    made = made.unionByName(flat).repartition(3, "symbol").sortWithinPartitions("symbol", "date")
+    want = features.recursive_features(features.window_features(made)).orderBy("symbol", "date").toPandas()
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 64)
+    try:
+        one = features.all_features(made)
+        assert "Exchange hashpartitioning(symbol" not in re.sub(r"#\d+L?", "", one._jdf.queryExecution().executedPlan().toString()).split("MapInArrow")[0]
+        got = one.orderBy("symbol", "date").toPandas()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert list(got.columns) == list(want.columns)
+    pd.testing.assert_frame_equal(got, want, rtol=1e-9, atol=1e-11)
+    assert (got[got.symbol == "flat"]["macd_hist"] == 0).all()
+
+
+@pytest.mark.parametrize("name", ["m1_m3_walk_forward", "m2_fold_summary"])
+def test_walk_forward_writes_its_features_once(spark, monkeypatch, name):
+    monkeypatch.setattr(features, "ewm", None)
+    monkeypatch.setattr(walkforward, "walk_forward", lambda rows, *a: rows.select("date", F.col("fwd_ret").alias("prob_up"), "y", F.lit(0).alias("fold")))
+    catalogue.queries()[name](spark, SF)
+
+
+def test_boosting_leaves_no_checkpoints_and_renews_its_scores(spark):
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 32, (600, 2)).astype(np.uint8)
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(days=int(i)), int(rng.random() < (0.8 if b[0] > 15 else 0.3)), bytes(b), bool(rng.random() < 0.2)) for i, b in zip(rng.integers(0, 90, 600), x, strict=True)]
+    df = tables.written(spark.createDataFrame(rows, "date date, y int, bins binary, held boolean"))
+    folds = [(dt.date(2020, 1, 1), dt.date(2020, 3, 1)), (dt.date(2020, 1, 20), dt.date(2020, 3, 20))]
+    settings = boosting.Settings(trees=9, depth=2, patience=50)
+    whole, again = (boosting.train(df, folds, 2, settings, renew) for renew in (50, 3))
+    assert len(whole.value) == 9
+    for a, b in zip(whole.feature + whole.cut + whole.value, again.feature + again.cut + again.value, strict=True):
+        np.testing.assert_array_equal(a, b)
+    assert not [p for p, _, _ in os.walk(tables.shared_dir(spark).removeprefix("file://")) if os.path.basename(p).startswith("rdd-")]
+    block = boosting.Block(({"date": r[0], "y": r[1], "bins": r[2], "held": r[3]} for r in rows), folds, np.ones(2), np.zeros(2))
+    back = pickle.loads(pickle.dumps(block, 5))
+    assert len(pickle.dumps(block, 5)) < 8 * len(block.row) + 4 * len(rows) + 2000
+    assert (back.row == block.row).all() and (back.fold == block.fold).all()
